@@ -18,6 +18,12 @@ def exact_mean(col: Column, scale: int = 2) -> Column:
     return exact_sum(col, scale) / F.count(col)
 
 
+def fixed_mean(col: Column, scale: int) -> Column:
+    """Mean of quotients kept to ``scale`` digits, added as whole numbers of the last digit."""
+    steps = F.floor(col * 10**scale + 0.5)
+    return F.sum(steps.cast("decimal(20,0)")).cast("double") / 10**scale / F.count(col)
+
+
 def round_half_up(col: Column, digits: int) -> Column:
     """Round half away from zero in decimal, as an SQL numeric does, then back to double."""
     return F.round(col.cast("decimal(38,12)"), digits).cast("double")

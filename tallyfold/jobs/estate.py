@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import add_days, exact_mean, ratio, safe_ratio, three_bands
+from ..functions import add_days, exact_mean, fixed_mean, ratio, safe_ratio, three_bands
 from ..operators.aggregates import top_k
 from ..operators.outliers import FLAT_TRIMS, percentile_trim
 
@@ -28,7 +28,7 @@ def _unit_price() -> Column:
 
 
 def _means(*columns: str) -> list[Column]:
-    unit = exact_mean(_unit_price(), 4).alias("avg_cost_per_meter")
+    unit = fixed_mean(_unit_price(), 4).alias("avg_cost_per_meter")
     return [unit, *[exact_mean(F.col(c)).alias(f"avg_{c}") for c in columns]]
 
 

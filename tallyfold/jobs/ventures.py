@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exact_sum, midpoint, normalize_text, parse_date, parse_number
+from ..functions import exact_sum, fixed_mean, midpoint, normalize_text, parse_date, parse_number
 from ..functions import strip_separators
 from ..operators.aggregates import filter_keys_with_min_total, per_column_totals, with_share
 from ..operators.outliers import drop_outlier_entities, iqr_null_upper
@@ -83,9 +83,8 @@ def funding_by_type(df: DataFrame, types: Sequence[str] = FUNDING_TYPES) -> Data
 def yearly_dynamics(df: DataFrame) -> DataFrame:
     """Mean size of a round and the number of rounds per year."""
     size = F.try_divide(F.col("funding_total_usd"), F.col("funding_rounds"))
-    exact = size.cast("decimal(28,4)")
     return df.filter(F.col("year").isNotNull()).groupBy("year").agg(
-        (F.sum(exact).cast("double") / F.count(exact)).alias("avg_round"),
+        fixed_mean(size, 4).alias("avg_round"),
         F.sum("funding_rounds").alias("n_rounds"),
     )
 

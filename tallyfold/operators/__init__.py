@@ -4,7 +4,7 @@ from .aggregates import (
     with_group_size, with_share,
 )
 from .association import binned, chi_square, contingency_table, cramers_v, phik, phik_matrix
-from .keys import join_on_keys
+from .keys import join_on_keys, with_row
 from .outliers import (
     FLAT_TRIMS, Trim, boxplot_stats, drop_outlier_entities, flag_iqr_outliers, histogram,
     iqr_fences, iqr_null_upper, iqr_outliers, percentile_limits, percentile_trim,
@@ -30,5 +30,5 @@ __all__ = [
     "phik_matrix", "pivot_count", "pivot_sum", "quantile_columns", "row_loss_report",
     "running_max", "share_where", "size_classes", "snake_case_columns", "span_class", "sum_share",
     "top_k", "top_k_with_ties", "unfill_sentinel", "value_counts", "wide_sum", "with_group_size",
-    "with_share",
+    "with_row", "with_share",
 ]

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .keys import with_row
+
 # Bins of an interval column, and the range the normal is cut to.
 INTERVAL_BINS = 10
 NORMAL_RANGE = 5.0
@@ -26,19 +28,17 @@ def binned(
 ) -> DataFrame:
     """Every column as text: nominal values as they are, interval values as a bin number."""
     out = [F.col(c).cast("string").alias(c) for c in nominal]
-    if interval:
-        ends = df.agg(F.struct(*[
-            F.struct(
-                F.min(F.col(c).cast("double")).alias("lo"), F.max(F.col(c).cast("double")).alias("hi")
-            ).alias(c)
-            for c in interval
-        ])).scalar()
-        for c in interval:
-            lo, hi = ends.getField(c).getField("lo"), ends.getField(c).getField("hi")
-            at = F.floor(F.try_divide(F.col(c).cast("double") - lo, hi - lo) * bins)
-            at = F.when(F.col(c).isNotNull(), F.coalesce(F.least(at, F.lit(bins - 1)), F.lit(0)))
-            out.append(at.cast("string").alias(c))
-    return df.select(*out)
+    for c in interval:
+        v, lo, hi = F.col(c).cast("double"), F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
+        at = F.coalesce(F.least(F.floor(F.try_divide(v - lo, hi - lo) * bins), F.lit(bins - 1)), F.lit(0))
+        out.append(F.when(v.isNotNull(), at).cast("string").alias(c))
+    if not interval:
+        return df.select(*out)
+    ends = df.agg(
+        *[F.min(F.col(c).cast("double")).alias(f"__lo_{c}") for c in interval],
+        *[F.max(F.col(c).cast("double")).alias(f"__hi_{c}") for c in interval],
+    )
+    return with_row(df, ends).select(*out)
 
 
 def contingency_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:

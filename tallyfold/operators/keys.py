@@ -33,3 +33,11 @@ def join_on_keys(
     if how in ("left_semi", "left_anti"):
         return joined
     return joined.drop(*[f"__r_{k}" for k in on])
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row table (an aggregate without keys) to every row.
+
+    For limits that many expressions use: a scalar subquery is planned once per use.
+    """
+    return df.join(F.broadcast(row), F.lit(True))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from .keys import with_row
 from .quantiles import column_quantiles, exact_quantiles, quantile_columns
 
 
@@ -50,18 +51,18 @@ def _limit(column: str, p: float) -> str:
 
 def percentile_trim(df: DataFrame, trims: Sequence[Trim] = FLAT_TRIMS) -> DataFrame:
     """Rows inside all limits. A value equal to a limit is out."""
-    limits = percentile_limits(df, trims).select(F.struct("*")).scalar()
 
     def keeps(t: Trim) -> Column:
         value, tests = F.col(t.column), []
         if t.below is not None:
-            tests.append(value < limits.getField(_limit(t.column, t.below)))
+            tests.append(value < F.col(_limit(t.column, t.below)))
         if t.above is not None:
-            tests.append(value > limits.getField(_limit(t.column, t.above)))
+            tests.append(value > F.col(_limit(t.column, t.above)))
         inside = reduce(and_, tests)
         return inside | value.isNull() if t.optional else inside
 
-    return df.filter(reduce(and_, [keeps(t) for t in trims]))
+    limited = with_row(df, percentile_limits(df, trims))
+    return limited.filter(reduce(and_, [keeps(t) for t in trims])).select(*df.columns)
 
 
 def iqr_fences(df: DataFrame, key: str, value: str, k: float = 1.5) -> DataFrame:
@@ -117,18 +118,21 @@ def iqr_null_upper(df: DataFrame, key: str, value: str, k: float = 1.5) -> DataF
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """``(bin, lower, upper, n)`` for equal-width bins; the last one is closed on both sides."""
-    v = F.col(value).cast("double")
-    ends = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"))).scalar()
-    lo, hi = ends.getField("lo"), ends.getField("hi")
+    values = df.select(F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    ends = values.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     # A single value gets a range of one around it.
-    half = F.when(lo == hi, F.lit(0.5)).otherwise(F.lit(0.0))
-    start, width = lo - half, (hi + half) - (lo - half)
-    at = F.least(F.floor((v - start) / width * bins), F.lit(bins - 1)).cast("long")
-    counts = df.filter(v.isNotNull()).groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    frame = df.sparkSession.range(bins).select(
-        F.col("id").alias("bin"),
-        (start + width * F.col("id") / bins).alias("lower"),
-        (start + width * (F.col("id") + 1) / bins).alias("upper"),
+    half = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
+    span = ends.select(
+        (F.col("lo") - half).alias("start"),
+        ((F.col("hi") + half) - (F.col("lo") - half)).alias("width"),
+    )
+    at = F.floor((F.col("__v") - F.col("start")) / F.col("width") * bins)
+    counts = with_row(values, span).groupBy(
+        F.least(at, F.lit(bins - 1)).cast("long").alias("bin")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    edge = lambda i: F.col("start") + F.col("width") * i / bins
+    frame = with_row(df.sparkSession.range(bins).withColumnRenamed("id", "bin"), span).select(
+        "bin", edge(F.col("bin")).alias("lower"), edge(F.col("bin") + 1).alias("upper")
     )
     return frame.join(counts, "bin", "left").fillna(0, ["n"])
 
@@ -137,12 +141,11 @@ def boxplot_stats(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
     """One row: quartiles, the whisker ends (values inside the fences) and outlier count."""
     names: Mapping[float, str] = {0.25: "q1", 0.5: "median", 0.75: "q3"}
     quartiles = quantile_columns(exact_quantiles(df, value, list(names)), names)
-    q = quartiles.select(F.struct("*")).scalar()
-    v = F.col(value).cast("double")
-    reach = (q.getField("q3") - q.getField("q1")) * k
-    inside = v.between(q.getField("q1") - reach, q.getField("q3") + reach)
-    return df.agg(
-        *[F.max(q.getField(n)).alias(n) for n in names.values()],
+    v = F.col("__value")
+    reach = (F.col("q3") - F.col("q1")) * k
+    inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
+    return with_row(df.select(F.col(value).cast("double").alias("__value")), quartiles).agg(
+        *[F.max(n).alias(n) for n in names.values()],
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),
         F.count_if(~inside).alias("n_outliers"),

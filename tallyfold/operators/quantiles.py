@@ -1,57 +1,51 @@
 """Exact quantiles that never hold a group in one task's memory.
 
 Spark's own ``percentile`` keeps every distinct value of a group in one buffer. Here the values
-are first counted, so that copies collapse before the shuffle. The wanted ranks are then located
-in two rounds: among the values cut to three leading digits, then, inside the chosen cut, to six.
-Only the values that share six leading digits with the answer are ever sorted together.
+are first counted, so that copies collapse before the shuffle. Each distinct value belongs to a
+cell, the values with the same sign, magnitude and five leading digits; the running count over
+cells tells which cell holds a wanted rank, and only the values of that cell are sorted together.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .keys import join_on_keys
 
-COARSE_DIGITS, FINE_DIGITS = 3, 6
+CELL_DIGITS = 5
 _ALL = "__all"
 
 
-def _decade(v: Column) -> Column:
-    """Order of magnitude, shifted to be positive and given the sign of the value."""
-    return (F.signum(v) * (F.floor(F.log10(F.abs(v))) + 400)).cast("int")
+def _cell(v: Column) -> Column:
+    """A whole number that never falls as the value grows; zero has a cell of its own.
 
-
-def _leading_digits(v: Column, decade: Column, digits: int) -> Column:
-    """The first digits of a value; never falls as the value grows within one decade."""
-    step = F.pow(F.lit(10.0), F.abs(decade) - 400 - digits + 1)
-    return F.when(v == 0, F.lit(0)).otherwise(F.floor(v / step)).cast("long")
+    The magnitude is shifted to be positive and carries the sign. The result is declared never
+    null, which keeps the planner from adding a filter of its own to each use.
+    """
+    magnitude = F.floor(F.log10(F.abs(v)))
+    digits = F.floor(v / F.pow(F.lit(10.0), magnitude - CELL_DIGITS + 1))
+    cell = F.signum(v).cast("long") * (magnitude + 400) * 10 ** (CELL_DIGITS + 1) + digits
+    return F.coalesce(F.when(v != 0, cell), F.lit(0))
 
 
-def _wanted_ranks(total: Column, probs: Sequence[float], method: str) -> Column:
-    """Array of (p, rank, upper, weight): the order statistics each quantile is made of."""
+def _wanted_ranks(total: Column, probs: Sequence[float], method: str) -> list[tuple]:
+    """(p, rank, upper, weight): the order statistics each quantile is made of."""
     wanted = []
     for p in probs:
         if method == "discrete":
             rank = F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * total)).cast("long")
-            parts = [(rank, False, F.lit(0.0))]
+            wanted.append((float(p), rank, False, F.lit(0.0)))
         else:
             position = F.lit(float(p)) * (total - 1)
-            below = F.floor(position)
-            parts = [
-                ((below + 1).cast("long"), False, position - below),
-                ((F.ceil(position) + 1).cast("long"), True, position - below),
-            ]
-        wanted += [
-            F.struct(
-                F.lit(float(p)).alias("p"), rank.alias("rank"),
-                F.lit(upper).alias("upper"), weight.cast("double").alias("weight"),
-            )
-            for rank, upper, weight in parts
-        ]
-    return F.array(*wanted)
+            below, weight = F.floor(position), position - F.floor(position)
+            wanted.append((float(p), (below + 1).cast("long"), False, weight))
+            wanted.append((float(p), (F.ceil(position) + 1).cast("long"), True, weight))
+    return wanted
 
 
 def exact_quantiles(
@@ -72,56 +66,41 @@ def exact_quantiles(
         base = base.withColumn(_ALL, F.lit(1))
     groups = list(keys) or [_ALL]
 
-    decade = _decade(F.col("__v"))
     counted = (
         base.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
         .groupBy(*groups, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__e", F.coalesce(decade, F.lit(0)))
-        .withColumn("__c", _leading_digits(F.col("__v"), F.col("__e"), COARSE_DIGITS))
-        .withColumn("__f", _leading_digits(F.col("__v"), F.col("__e"), FINE_DIGITS))
+        .withColumn("__cell", _cell(F.col("__v")))
     )
 
-    def holds(rank: Column, upto: Column) -> Column:
-        return (rank > upto - F.col("__n")) & (rank <= upto)
+    def holds(rank: Column) -> Column:
+        return (rank > F.col("__upto") - F.col("__n")) & (rank <= F.col("__upto"))
 
     in_group = Window.partitionBy(*groups)
-    upto = F.sum("__n").over(
-        in_group.orderBy("__e", "__c").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    coarse = (
-        counted.groupBy(*groups, "__e", "__c")
-        .agg(F.sum("__n").alias("__n"))
-        .withColumn("__upto", upto)
-        .withColumn("__w", _wanted_ranks(F.sum("__n").over(in_group), probs, method))
-        .withColumn("__w", F.filter("__w", lambda w: holds(w["rank"], F.col("__upto"))))
+    so_far = Window.unboundedPreceding, Window.currentRow
+    wanted = _wanted_ranks(F.col("__total"), probs, method)
+    cells = (
+        counted.groupBy(*groups, "__cell").agg(F.sum("__n").alias("__n"))
+        .withColumn("__upto", F.sum("__n").over(in_group.orderBy("__cell").rowsBetween(*so_far)))
+        .withColumn("__total", F.sum("__n").over(in_group))
+        .filter(reduce(or_, [holds(rank) for _, rank, _, _ in wanted]))
         .select(
-            *groups, "__e", "__c", (F.col("__upto") - F.col("__n")).alias("__before"),
-            F.inline("__w"),
+            *groups, "__cell", (F.col("__upto") - F.col("__n")).alias("__before"),
+            F.inline(F.array_compact(F.array(*[
+                F.when(holds(rank), F.struct(
+                    F.lit(p).alias("p"), rank.alias("rank"), F.lit(upper).alias("upper"),
+                    weight.alias("weight"),
+                ))
+                for p, rank, upper, weight in wanted
+            ]))),
         )
     )
 
-    target = [*groups, "p", "upper", "rank", "weight"]
-    per_target = Window.partitionBy(*groups, "p", "upper")
-    upto = F.col("__before") + F.sum("__n").over(
-        per_target.orderBy("__f").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    fine = (
-        join_on_keys(counted, coarse, groups, never_null=["__e", "__c"], small_right=few)
-        .groupBy(*target, "__e", "__before", "__f")
-        .agg(F.sum("__n").alias("__n"))
-        .withColumn("__upto", upto)
-        .filter(holds(F.col("rank"), F.col("__upto")))
-        .select(*target, "__e", "__f", (F.col("__upto") - F.col("__n")).alias("__before"))
-    )
-
-    upto = F.col("__before") + F.sum("__n").over(
-        per_target.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    )
+    in_cell = Window.partitionBy(*groups, "p", "upper").orderBy("__v").rowsBetween(*so_far)
     found = (
-        join_on_keys(counted, fine, groups, never_null=["__e", "__f"], small_right=few)
-        .withColumn("__upto", upto)
-        .filter(holds(F.col("rank"), F.col("__upto")))
+        join_on_keys(counted, cells, groups, never_null=["__cell"], small_right=few)
+        .withColumn("__upto", F.col("__before") + F.sum("__n").over(in_cell))
+        .filter(holds(F.col("rank")))
         .groupBy(*groups, "p")
         .agg(
             F.max(F.when(~F.col("upper"), F.col("__v"))).alias("__lo"),

@@ -57,3 +57,9 @@ def ratio2(numerator: str, denominator: str) -> str:
 def exact_avg(column: str, scale: int = 2) -> str:
     """SQL for a mean added in decimal, like ``exact_mean``."""
     return f"(CAST(SUM(CAST({column} AS DECIMAL(18,{scale}))) AS DOUBLE) / COUNT({column}))"
+
+
+def fixed_avg(expression: str, scale: int) -> str:
+    """SQL for a mean of quotients, like ``fixed_mean``."""
+    steps = f"CAST(FLOOR(({expression}) * {10**scale} + 0.5) AS DECIMAL(20,0))"
+    return f"(CAST(SUM({steps}) AS DOUBLE) / {10**scale} / COUNT({expression}))"
