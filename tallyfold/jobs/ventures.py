@@ -18,6 +18,7 @@ from ..operators.aggregates import filter_keys_with_min_total, per_column_totals
 from ..operators.outliers import drop_outlier_entities, iqr_null_upper
 from ..operators.reshape import aligned_ratio, growing_keys
 from ..operators.segments import collapse_segments, span_class
+from ..session import settle
 
 # The types of funding, text columns, date columns and labels.
 FUNDING_TYPES = (
@@ -65,13 +66,18 @@ def with_span_class(df: DataFrame) -> DataFrame:
 
 
 def without_outliers(df: DataFrame, by: str = "name") -> DataFrame:
-    """Collapses small segments, then drops the companies with unusual totals for a segment."""
-    return drop_outlier_entities(collapse_segments(df, "market"), "market", "funding_total_usd", by)
+    """Collapses small segments, then drops the companies with unusual totals for a segment.
+
+    The collapsed table is read for the fences, for the outliers and for the result, so it is
+    written once.
+    """
+    collapsed = settle(collapse_segments(df, "market"), "segments")
+    return drop_outlier_entities(collapsed, "market", "funding_total_usd", by)
 
 
 def busy_years(df: DataFrame, least: float = 50) -> DataFrame:
-    """Rows of the years with at least ``least`` rounds."""
-    dated = df.withColumn("year", F.year("mid_funding_at"))
+    """Rows of the years with at least ``least`` rounds, read twice and so written once."""
+    dated = settle(df.withColumn("year", F.year("mid_funding_at")), "dated")
     return filter_keys_with_min_total(dated, "year", "funding_rounds", least)
 
 

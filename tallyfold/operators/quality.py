@@ -80,8 +80,11 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFram
 
     An aggregate, not a row number: copies collapse before the shuffle, however many there are.
     """
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*df.columns), order).alias("__row"))
-    return first.select("__row.*")
+    rest = [c for c in df.columns if c not in keys] or [order]
+    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__row"))
+    return first.select(
+        *[F.col(c) if c in keys else F.col(f"__row.`{c}`").alias(c) for c in df.columns]
+    )
 
 
 def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -135,14 +138,17 @@ def domain_check(df: DataFrame, column: str, allowed: Sequence[object]) -> DataF
     )
 
 
-def period_completeness(df: DataFrame, day: Column, start: str, end: str) -> DataFrame:
-    """``(day, n)`` for every day from ``start`` to ``end``; days without rows show zero."""
-    bounds = [F.lit(start).cast("date"), F.lit(end).cast("date")]
-    counts = (
-        df.filter(day.between(*bounds)).groupBy(day.cast("date").alias("day"))
-        .agg(F.count(F.lit(1)).alias("n"))
+def period_completeness(df: DataFrame, time: str, start: str, end: str) -> DataFrame:
+    """``(day, n)`` for every day from ``start`` to ``end``; days without rows show zero.
+
+    The bounds are compared with the column as it is, so that file statistics can skip data.
+    """
+    first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
+    inside = (F.col(time) >= first) & (F.col(time) < F.date_add(last, 1))
+    counts = df.filter(inside).groupBy(F.col(time).cast("date").alias("day")).agg(
+        F.count(F.lit(1)).alias("n")
     )
-    days = df.sparkSession.range(1).select(F.explode(F.sequence(*bounds)).alias("day"))
+    days = df.sparkSession.range(1).select(F.explode(F.sequence(first, last)).alias("day"))
     return days.join(counts, "day", "left").fillna(0, ["n"])
 
 

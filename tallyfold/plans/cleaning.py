@@ -124,8 +124,7 @@ def _(t):
     FROM generate_series(DATE '2001-07-01', DATE '2001-08-31', INTERVAL 1 DAY) g(day)
     LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(day AS DATE) GROUP BY 1""")
 def _(t):
-    return period_completeness(
-        t("orders"), F.col("o_orderdate").cast("date"), "2001-07-01", "2001-08-31")
+    return period_completeness(t("orders"), "o_orderdate", "2001-07-01", "2001-08-31")
 
 
 @query("key_uniqueness", """
