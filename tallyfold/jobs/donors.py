@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import age_band, age_years, ratio, round_half_up
+from ..functions import age_band, age_years, ratio
 from ..operators.aggregates import top_k
 
 # Channel columns and the names they are reported under; other labels.
@@ -116,19 +116,17 @@ def activity_by_age_band(users: DataFrame, as_of: str) -> DataFrame:
 
 
 def activity_frequency(donations: DataFrame, users: DataFrame, start: str, end: str) -> DataFrame:
-    """Donations per user and month of a period, by gender.
+    """Donations per month of a period, by gender.
 
     The number of months counts both ends. Donations are counted per user before users are joined.
     """
-    span = F.col("donation_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
     months = (F.year(last) - F.year(first)) * 12 + F.month(last) - F.month(first) + 1
-    per_user = donations.filter(span).groupBy("user_id").agg(F.count("id").alias("n"))
+    per_user = donations.filter(F.col("donation_date").between(first, last)).groupBy(
+        "user_id"
+    ).agg(F.count("id").alias("n"))
     joined = per_user.join(users.select(F.col("id").alias("user_id"), "gender"), "user_id")
-    monthly = F.try_divide(
-        F.sum("n").cast("double"), (F.count("user_id") * months).cast("double")
-    )
     return joined.groupBy("gender").agg(
         F.count("user_id").alias("n_users"), F.sum("n").alias("n_donations"),
-        round_half_up(monthly, 4).alias("per_month"),
+        mean2(F.sum("n"), months).alias("per_month"),
     ).withColumn("gender", F.coalesce("gender", F.lit(NO_GENDER)))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import exact_sum, fixed_mean, midpoint, normalize_text, parse_date, parse_number
 from ..functions import strip_separators
 from ..operators.aggregates import filter_keys_with_min_total, per_column_totals, with_share
+from ..operators.keys import join_on_keys
 from ..operators.outliers import drop_outlier_entities, iqr_null_upper
 from ..operators.reshape import aligned_ratio, growing_keys
 from ..operators.segments import collapse_segments, span_class
@@ -104,7 +105,7 @@ def growing_segments(
         exact_sum(F.col("funding_total_usd")).alias("total")
     )
     grew = growing_keys(yearly, "market", "year", "total", earlier, later).select("market")
-    return yearly.join(grew, "market", "left_semi")
+    return join_on_keys(yearly, grew, ["market"], "left_semi")
 
 
 def long_by_year(df: DataFrame, year: str, types: Sequence[str]) -> DataFrame:

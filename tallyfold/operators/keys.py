@@ -18,6 +18,10 @@ def join_on_keys(
 
     ``never_null`` keys are joined by plain equality.
 
+    Group values joined back to their rows must come through here too: a grouped table is already
+    laid out by its key, and on plain equality the planner would join it as it lies, in which form
+    adaptive execution cannot split a hot key. The null-safe keys make it shuffle both sides.
+
     ``small_right`` broadcasts the right side; callers set it only where the number of rows
     is bounded by their own arguments. Otherwise the planner decides from measured sizes and
     splits skewed partitions.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio
-from .keys import with_row
+from .keys import join_on_keys, with_row
 from .quantiles import column_quantiles, exact_quantiles, quantile_columns
 
 
@@ -79,9 +79,8 @@ def flag_iqr_outliers(df: DataFrame, key: str, value: str, k: float = 1.5) -> Da
     v = F.col(value)
     outside = (v > F.col("upper")) | (v < F.col("lower"))
     return (
-        df.join(iqr_fences(df, key, value, k), key, "left")
-        .withColumn("is_outlier", F.coalesce(outside, F.lit(False)))
-        .drop("lower", "upper")
+        join_on_keys(df, iqr_fences(df, key, value, k), [key], "left")
+        .select(*df.columns, F.coalesce(outside, F.lit(False)).alias("is_outlier"))
     )
 
 
@@ -106,14 +105,14 @@ def drop_outlier_entities(
     ``entity`` decides who goes: with a name, namesakes go too; with an id, only the row's owner.
     """
     flagged = flag_iqr_outliers(df, key, value, k).filter("is_outlier").select(entity).distinct()
-    return df.join(flagged, entity, "left_anti")
+    return join_on_keys(df, flagged.dropna(), [entity], "left_anti")
 
 
 def iqr_null_upper(df: DataFrame, key: str, value: str, k: float = 1.5) -> DataFrame:
     """Values above their group's upper fence become null; low values stay."""
     fences = iqr_fences(df, key, value, k).drop("lower")
     kept = F.when(~(F.col(value) > F.coalesce("upper", F.lit(float("inf")))), F.col(value))
-    return df.join(fences, key, "left").withColumn(value, kept).drop("upper")
+    return join_on_keys(df, fences, [key], "left").withColumn(value, kept).drop("upper")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

@@ -57,7 +57,7 @@ def fill_group_mean(df: DataFrame, column: str, keys: Sequence[str], scale: int
         exact_mean(F.col(column), scale).alias("__mean")
     )
     filled = F.coalesce(F.col(column).cast("double"), F.col("__mean"))
-    return df.join(means, list(keys), "left").withColumn(column, filled).drop("__mean")
+    return join_on_keys(df, means, keys, "left").withColumn(column, filled).drop("__mean")
 
 
 def unfill_sentinel(df: DataFrame, value: float, columns: Sequence[str]) -> DataFrame:

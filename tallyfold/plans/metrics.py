@@ -198,14 +198,13 @@ def _(t):
     return donors.activity_by_age_band(t("donors"), _AS_OF)
 
 
-@query("activity_frequency", """
+@query("activity_frequency", f"""
     WITH p AS (SELECT user_id, COUNT(id) AS n FROM donations
                WHERE donation_date BETWEEN DATE '1997-01-01' AND DATE '1998-06-30' GROUP BY user_id),
     g AS (SELECT gender, COUNT(*) AS n_users, CAST(SUM(n) AS BIGINT) AS n_donations
           FROM p JOIN donors ON user_id = id GROUP BY gender)
     SELECT COALESCE(gender, 'Пол не указан') AS gender, n_users, n_donations,
-           CAST((CAST(20000 * n_donations AS HUGEINT) + 18 * n_users) // (36 * n_users) AS DOUBLE)
-               / 10000 AS per_month FROM g""")
+           {ratio2('n_donations', '18')} AS per_month FROM g""")
 def _(t):
     return donors.activity_frequency(t("donations"), t("donors"), "1997-01-01", "1998-06-30")
 
