@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import day_diff, ratio
 from ..operators.aggregates import running_max, top_k
+from ..session import settle
 
 
 def _in_city(events: DataFrame, cities: DataFrame, city: str | None) -> DataFrame:
@@ -82,15 +83,11 @@ def average_check(
     return orders.groupBy("month").agg(check.cast("double").alias("average_check"))
 
 
-def partner_ltv(
-    events: DataFrame, cities: DataFrame, partners: DataFrame, start: str, end: str,
-    city: str | None = None,
-) -> DataFrame:
+def partner_ltv(paid: DataFrame, partners: DataFrame) -> DataFrame:
     """Commission per partner with its attributes.
 
     Income is summed per partner key before the join, so attributes meet one row per partner.
     """
-    paid = _in_city(with_commission(events, start, end), cities, city)
     income = paid.groupBy("rest_id", "city_id").agg(
         F.sum("commission_revenue").alias("commission_revenue")
     )
@@ -104,20 +101,26 @@ def ltv_top_partners(
     events: DataFrame, cities: DataFrame, partners: DataFrame, start: str, end: str,
     city: str | None = None, k: int = 3,
 ) -> DataFrame:
-    return top_k(partner_ltv(events, cities, partners, start, end, city), k, "ltv", ["rest_id"])
+    paid = _in_city(with_commission(events, start, end), cities, city)
+    return top_k(partner_ltv(paid, partners), k, "ltv", ["rest_id"])
 
 
 def ltv_top_items(
     events: DataFrame, cities: DataFrame, partners: DataFrame, dishes: DataFrame,
     start: str, end: str, city: str | None = None, k_partners: int = 2, k_items: int = 5,
 ) -> DataFrame:
-    """The best items of the best partners, with partner and item attributes."""
-    best = ltv_top_partners(events, cities, partners, start, end, city, k_partners)
-    income = (
+    """The best items of the best partners, with partner and item attributes.
+
+    The income per item is read three times, so it is written once; it is all the later steps need
+    of the log.
+    """
+    income = settle(
         _in_city(with_commission(events, start, end), cities, city)
         .groupBy("rest_id", "city_id", "object_id")
-        .agg(F.sum("commission_revenue").alias("commission_revenue"))
+        .agg(F.sum("commission_revenue").alias("commission_revenue")),
+        "income",
     )
+    best = top_k(partner_ltv(income, partners), k_partners, "ltv", ["rest_id"])
     items = top_k(
         income.join(F.broadcast(best.select("rest_id")), "rest_id", "left_semi")
         .groupBy("object_id").agg(_ltv()),

@@ -72,15 +72,12 @@ def employer_conditions(vacancies: DataFrame, k: int = 10) -> DataFrame:
 def skill_demand(
     vacancies: DataFrame, grade: str | None = None, columns: Sequence[str] = SKILL_COLUMNS
 ) -> DataFrame:
-    """``(slot, skill, n)`` for all skill columns from one pass, of one grade if asked.
-
-    Equal combinations collapse before the columns are laid out as rows.
-    """
+    """``(slot, skill, number_of_vacancies)`` of all skill columns from one pass, of one grade if
+    asked. Each task counts its own rows first, so only one row per skill and task is shuffled."""
     rows = vacancies if grade is None else vacancies.filter(F.col("experience") == grade)
-    combos = rows.groupBy(*columns).agg(F.count("id").alias("__n"))
     return (
-        combos.unpivot(["__n"], list(columns), "slot", "skill")
-        .groupBy("slot", "skill").agg(F.sum("__n").alias("number_of_vacancies"))
+        rows.select("id", *columns).unpivot(["id"], list(columns), "slot", "skill")
+        .groupBy("slot", "skill").agg(F.count("id").alias("number_of_vacancies"))
     )
 
 

@@ -31,9 +31,11 @@ def with_share(
 
 def sum_share(df: DataFrame, key: str, value: str) -> DataFrame:
     """Sum of ``value`` per key (null keys left out) and its share of the total."""
-    sums = df.filter(F.col(key).isNotNull()).groupBy(key).agg(exact_sum(F.col(value)).alias("total"))
-    grand = df.filter(F.col(key).isNotNull()).agg(exact_sum(F.col(value))).scalar()
-    return sums.withColumn("share", F.try_divide(F.col("total"), grand))
+    money = F.sum(F.col(value).cast("decimal(18,2)"))
+    sums = df.filter(F.col(key).isNotNull()).groupBy(key).agg(money.alias("total"))
+    grand = sums.agg(F.sum("total").cast("double")).scalar()
+    total = F.col("total").cast("double")
+    return sums.select(key, total.alias("total"), F.try_divide(total, grand).alias("share"))
 
 
 def top_k(df: DataFrame, k: int, by: str, ties: Sequence[str]) -> DataFrame:

@@ -44,10 +44,9 @@ def binned(
 def contingency_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Rows ``(left_column, right_column, left_value, right_value, n)`` for every pair.
 
-    Equal rows collapse first, so a row costs one cell update, not one per pair. A row counts for
-    a pair only if both values are there.
+    Each task counts its own cells first, so the shuffle carries cells, never rows. A row counts
+    for a pair only if both values are there.
     """
-    rows = df.select(*columns).groupBy(*columns).agg(F.count(F.lit(1)).alias("__n"))
     pairs = F.array(*[
         F.struct(
             F.lit(a).alias("left_column"), F.lit(b).alias("right_column"),
@@ -57,10 +56,10 @@ def contingency_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for a, b in combinations(columns, 2)
     ])
     return (
-        rows.select("__n", F.inline(pairs))
+        df.select(F.inline(pairs))
         .filter(F.col("left_value").isNotNull() & F.col("right_value").isNotNull())
         .groupBy("left_column", "right_column", "left_value", "right_value")
-        .agg(F.sum("__n").alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"))
     )
 
 

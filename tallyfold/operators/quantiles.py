@@ -1,9 +1,11 @@
 """Exact quantiles that never hold a group in one task's memory.
 
 Spark's own ``percentile`` keeps every distinct value of a group in one buffer. Here the values
-are first counted, so that copies collapse before the shuffle. Each distinct value belongs to a
-cell, the values with the same sign, magnitude and five leading digits; the running count over
-cells tells which cell holds a wanted rank, and only the values of that cell are sorted together.
+are first counted, so that copies collapse before the shuffle. A wanted rank is then located in
+steps: among the cells of values that share sign, magnitude and four leading digits, by a running
+count over cells; inside that cell, among cells of ten digits; and last among the values of that
+cell. However the values lie, a step orders no more than some millions of rows per group, because
+a double has seventeen digits.
 """
 
 from __future__ import annotations
@@ -17,19 +19,23 @@ from pyspark.sql import functions as F
 
 from .keys import join_on_keys
 
-CELL_DIGITS = 5
+COARSE, FINE = 4, 10
 _ALL = "__all"
 
 
-def _cell(v: Column) -> Column:
+def _cell(digits: int) -> Column:
     """A whole number that never falls as the value grows; zero has a cell of its own.
 
-    The magnitude is shifted to be positive and carries the sign. The result is declared never
-    null, which keeps the planner from adding a filter of its own to each use.
+    The magnitude is shifted to be positive and carries the sign; the limits keep the smallest
+    doubles and infinity in the outermost cells. The result is declared never null, which keeps
+    the planner from adding a filter of its own to each use.
     """
-    magnitude = F.floor(F.log10(F.abs(v)))
-    digits = F.floor(v / F.pow(F.lit(10.0), magnitude - CELL_DIGITS + 1))
-    cell = F.signum(v).cast("long") * (magnitude + 400) * 10 ** (CELL_DIGITS + 1) + digits
+    v = F.col("__v")
+    magnitude = F.greatest(F.least(F.floor(F.log10(F.abs(v))), F.lit(309)), F.lit(-290))
+    leading = v / F.pow(F.lit(10.0), magnitude - digits + 1)
+    most = float(10**digits)
+    leading = F.floor(F.greatest(F.least(leading, F.lit(most)), F.lit(-most)))
+    cell = F.signum(v).cast("long") * (magnitude + 400) * 10 ** (digits + 1) + leading
     return F.coalesce(F.when(v != 0, cell), F.lit(0))
 
 
@@ -70,8 +76,9 @@ def exact_quantiles(
         base.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
         .groupBy(*groups, "__v")
         .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__cell", _cell(F.col("__v")))
     )
+    coarse = counted.withColumn("__cell", _cell(COARSE))
+    fine = counted.withColumn("__cell", _cell(FINE))
 
     def holds(rank: Column) -> Column:
         return (rank > F.col("__upto") - F.col("__n")) & (rank <= F.col("__upto"))
@@ -79,34 +86,40 @@ def exact_quantiles(
     in_group = Window.partitionBy(*groups)
     so_far = Window.unboundedPreceding, Window.currentRow
     wanted = _wanted_ranks(F.col("__total"), probs, method)
-    cells = (
-        counted.groupBy(*groups, "__cell").agg(F.sum("__n").alias("__n"))
+    before = (F.col("__upto") - F.col("__n")).alias("__before")
+    located = (
+        coarse.groupBy(*groups, "__cell").agg(F.sum("__n").alias("__n"))
         .withColumn("__upto", F.sum("__n").over(in_group.orderBy("__cell").rowsBetween(*so_far)))
         .withColumn("__total", F.sum("__n").over(in_group))
         .filter(reduce(or_, [holds(rank) for _, rank, _, _ in wanted]))
-        .select(
-            *groups, "__cell", (F.col("__upto") - F.col("__n")).alias("__before"),
-            F.inline(F.array_compact(F.array(*[
-                F.when(holds(rank), F.struct(
-                    F.lit(p).alias("p"), rank.alias("rank"), F.lit(upper).alias("upper"),
-                    weight.alias("weight"),
-                ))
-                for p, rank, upper, weight in wanted
-            ]))),
-        )
+        .select(*groups, "__cell", before, F.inline(F.array_compact(F.array(*[
+            F.when(holds(rank), F.struct(
+                F.lit(p).alias("p"), rank.alias("rank"), F.lit(upper).alias("upper"),
+                weight.alias("weight"),
+            ))
+            for p, rank, upper, weight in wanted
+        ]))))
     )
 
-    in_cell = Window.partitionBy(*groups, "p", "upper").orderBy("__v").rowsBetween(*so_far)
-    found = (
-        join_on_keys(counted, cells, groups, never_null=["__cell"], small_right=few)
-        .withColumn("__upto", F.col("__before") + F.sum("__n").over(in_cell))
-        .filter(holds(F.col("rank")))
-        .groupBy(*groups, "p")
-        .agg(
-            F.max(F.when(~F.col("upper"), F.col("__v"))).alias("__lo"),
-            F.max(F.when(F.col("upper"), F.col("__v"))).alias("__hi"),
-            F.max("weight").alias("__weight"),
-        )
+    def step(rows: DataFrame, order: str) -> DataFrame:
+        """Counts on from what lies before the cell, up to the row that holds the rank."""
+        along = Window.partitionBy(*groups, "p", "upper").orderBy(order).rowsBetween(*so_far)
+        upto = F.col("__before") + F.sum("__n").over(along)
+        return rows.withColumn("__upto", upto).filter(holds(F.col("rank")))
+
+    def in_located(values: DataFrame, cells: DataFrame) -> DataFrame:
+        return join_on_keys(values, cells, groups, never_null=["__cell"], small_right=few)
+
+    target = [*groups, "p", "upper", "rank", "weight"]
+    closer = step(
+        in_located(coarse, located).withColumn("__cell", _cell(FINE))
+        .groupBy(*target, "__before", "__cell").agg(F.sum("__n").alias("__n")),
+        "__cell",
+    ).select(*target, "__cell", before)
+    found = step(in_located(fine, closer), "__v").groupBy(*groups, "p").agg(
+        F.max(F.when(~F.col("upper"), F.col("__v"))).alias("__lo"),
+        F.max(F.when(F.col("upper"), F.col("__v"))).alias("__hi"),
+        F.max("weight").alias("__weight"),
     )
     between = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__weight")
     return found.select(*keys, "p", F.coalesce(between, F.col("__lo")).alias("q"))

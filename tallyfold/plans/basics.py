@@ -8,18 +8,13 @@ from ..functions import contains_all, day_diff, excludes_all, exact_mean, exact_
 from ..operators import snake_case_columns, with_group_size
 from ..operators.reshape import aligned_ratio
 from ..session import scratch_path
-from ..sources import preview, read_csv, schema_profile
+from ..sources import SCHEMAS, preview, read_csv, schema_profile
 from .registry import exact_avg, query
 
-CUSTOMER_SCHEMA = (
-    "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
-)
-
-
 def _csv_round_trip(t, sep):
     path = scratch_path(t.spark, "customer-csv")
     t("customer").write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
-    return read_csv(t.spark, path, CUSTOMER_SCHEMA, sep)
+    return read_csv(t.spark, path, SCHEMAS["customer"], sep)
 
 
 @query("src_csv", "SELECT * FROM customer")

@@ -52,7 +52,8 @@ VIEWS = {
         JOIN {customer} c ON o.o_custkey = c.c_custkey
         JOIN (SELECT l_orderkey, SUM(l_quantity) AS total_area, COUNT(*) AS rooms,
                      NULLIF(COUNT(CASE WHEN l_returnflag = 'R' THEN 1 END), 0) AS balcony,
-                     CASE WHEN MAX(l_linestatus) = 'F' OR MIN(l_linestatus) = 'O' THEN 2.5e0 + MAX(l_tax) END AS ceiling_height
+                     CASE WHEN COUNT(CASE WHEN l_linestatus = 'F' THEN 1 END) IN (0, COUNT(*))
+                          THEN 2.5e0 + MAX(l_tax) END AS ceiling_height
               FROM {lineitem} GROUP BY l_orderkey) l ON o.o_orderkey = l.l_orderkey""",
     "ads": """
         SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS first_day_exposition,
@@ -159,7 +160,7 @@ VIEWS = {
         FROM {venue_info} i LEFT JOIN {venue_prices} p ON i.id = p.id""",
     "event_numbers": """
         SELECT event_id, user_id, event_type, value,
-               CAST(regexp_extract(props, '[0-9]+', 0) AS INTEGER) AS k
+               CAST(SUBSTR(props, 7, LENGTH(props) - 7) AS INTEGER) AS k
         FROM {events}""",
     "rounds": """
         SELECT event_id AS id, CONCAT('c', CAST(user_id AS STRING), '-', CAST(k AS STRING)) AS name,

@@ -1,4 +1,4 @@
 from .profile import preview, schema_profile
-from .readers import TABLES, load, read_csv, register_views
+from .readers import SCHEMAS, TABLES, load, read_csv, register_views
 
-__all__ = ["TABLES", "load", "preview", "read_csv", "register_views", "schema_profile"]
+__all__ = ["SCHEMAS", "TABLES", "load", "preview", "read_csv", "register_views", "schema_profile"]

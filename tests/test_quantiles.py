@@ -64,9 +64,27 @@ def test_unknown_method(spark):
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(st.lists(st.floats(allow_nan=False, allow_infinity=False, width=32), min_size=1, max_size=40))
+@given(st.lists(st.floats(allow_nan=False, allow_infinity=False), min_size=1, max_size=40))
 def test_any_list(spark, values):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     got = {r.p: r.q for r in exact_quantiles(df, "v", [0.0, 0.3, 1.0], method="discrete").collect()}
     for p in got:
         assert got[p] == np.quantile(values, p, method="inverted_cdf")
+
+
+def test_extreme_doubles(spark):
+    values = [5e-324, -5e-324, 1e-310, 1.7976931348623157e308, float("inf"), float("-inf"), 0.0, -0.0]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    probs = [0.1, 0.3, 0.6, 0.8, 0.9, 1.0]
+    got = {r.p: r.q for r in exact_quantiles(df, "v", probs, method="discrete").collect()}
+    assert got == {p: np.quantile(values, p, method="inverted_cdf") for p in probs}
+
+
+def test_values_that_share_many_digits(spark):
+    """Instants of one day in microseconds: the first digits say nothing."""
+    rng = np.random.default_rng(5)
+    values = (1.7e15 + rng.integers(0, 86_400_000_000, 5000)).astype(float)
+    values[::3] = 0.0
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    got = {r.p: r.q for r in exact_quantiles(df, "v", PROBS, method="discrete").collect()}
+    assert got == {p: np.quantile(values, p, method="inverted_cdf") for p in PROBS}
