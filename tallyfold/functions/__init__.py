@@ -1,7 +1,8 @@
 from .bands import age_band, bin_half_open, label_by_rules, ordinal_lookup, three_bands
 from .dates import add_days, age_years, day_diff, midpoint, parse_date
 from .numbers import (
-    exact_mean, exact_sum, fixed_mean, narrow_to_byte, narrow_to_short, parse_number, ratio,
+    exact_mean, exact_sum, fixed_mean, narrow_to_byte, narrow_to_short, number,
+    parse_number, ratio,
     round_half_up, safe_ratio, strip_separators, zero_to_null,
 )
 from .text import contains_all, excludes_all, normalize_text, starts_with
@@ -9,6 +10,6 @@ from .text import contains_all, excludes_all, normalize_text, starts_with
 __all__ = [
     "add_days", "age_band", "age_years", "bin_half_open", "contains_all", "day_diff", "exact_mean",
     "exact_sum", "excludes_all", "fixed_mean", "label_by_rules", "midpoint", "narrow_to_byte", "narrow_to_short",
-    "normalize_text", "ordinal_lookup", "parse_date", "parse_number", "ratio", "round_half_up",
+    "normalize_text", "number", "ordinal_lookup", "parse_date", "parse_number", "ratio", "round_half_up",
     "safe_ratio", "starts_with", "strip_separators", "three_bands", "zero_to_null",
 ]

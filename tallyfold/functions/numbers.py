@@ -18,6 +18,12 @@ def exact_mean(col: Column, scale: int = 2) -> Column:
     return exact_sum(col, scale) / F.count(col)
 
 
+def number(col: Column) -> Column:
+    """As double, with "not a number" as a gap."""
+    value = col.cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def fixed_mean(col: Column, scale: int) -> Column:
     """Mean of quotients kept to ``scale`` digits, added as whole numbers of the last digit."""
     steps = F.floor(col * 10**scale + 0.5)

@@ -41,6 +41,15 @@ def monthly_volume(donations: DataFrame, start: str, end: str) -> DataFrame:
     return donations.filter(span).groupBy(month).agg(F.count("id").alias("count_of_donations"))
 
 
+def daily_volume(donations: DataFrame, month: str) -> DataFrame:
+    """Donations per day of the month that starts on the given date; empty days are not listed."""
+    first = F.lit(month).cast("date")
+    inside = (F.col("donation_date") >= first) & (F.col("donation_date") < F.add_months(first, 1))
+    return donations.filter(inside).groupBy("donation_date").agg(
+        F.count("id").alias("count_of_donations")
+    )
+
+
 def most_active_users(donations: DataFrame, k: int = 10) -> DataFrame:
     """Users by number of confirmed and registered donations."""
     counted = donations.filter(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import exact_sum, ratio
+from ..functions import exact_sum, number, ratio
 from .keys import join_on_keys
 
 
@@ -105,7 +105,7 @@ def describe_column(
     """Rows ``(position, stat, value)``: count, mean, sample std, min, quantiles, max."""
     from .quantiles import exact_quantiles
 
-    v = F.col(column).cast("double")
+    v = number(F.col(column))
     moments = df.agg(
         F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),

@@ -15,7 +15,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
+from ..functions import number
 from .keys import with_row
 
 # Bins of an interval column, and the range the normal is cut to.
@@ -29,14 +31,14 @@ def binned(
     """Every column as text: nominal values as they are, interval values as a bin number."""
     out = [F.col(c).cast("string").alias(c) for c in nominal]
     for c in interval:
-        v, lo, hi = F.col(c).cast("double"), F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
+        v, lo, hi = number(F.col(c)), F.col(f"__lo_{c}"), F.col(f"__hi_{c}")
         at = F.coalesce(F.least(F.floor(F.try_divide(v - lo, hi - lo) * bins), F.lit(bins - 1)), F.lit(0))
         out.append(F.when(v.isNotNull(), at).cast("string").alias(c))
     if not interval:
         return df.select(*out)
     ends = df.agg(
-        *[F.min(F.col(c).cast("double")).alias(f"__lo_{c}") for c in interval],
-        *[F.max(F.col(c).cast("double")).alias(f"__hi_{c}") for c in interval],
+        *[F.min(number(F.col(c))).alias(f"__lo_{c}") for c in interval],
+        *[F.max(number(F.col(c))).alias(f"__hi_{c}") for c in interval],
     )
     return with_row(df, ends).select(*out)
 
@@ -108,9 +110,17 @@ def phik(cells: DataFrame) -> DataFrame:
 
 
 def phik_matrix(
-    df: DataFrame, nominal: Sequence[str], interval: Sequence[str], bins: int = INTERVAL_BINS
+    df: DataFrame, nominal: Sequence[str] | None = None, interval: Sequence[str] | None = None,
+    bins: int = INTERVAL_BINS,
 ) -> DataFrame:
-    """Rows ``(left_column, right_column, phik)`` in both directions."""
+    """Rows ``(left_column, right_column, phik)`` in both directions.
+
+    Without lists of columns, numbers are taken as interval and everything else as nominal.
+    """
+    if nominal is None and interval is None:
+        interval = [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+        nominal = [c for c in df.columns if c not in interval]
+    nominal, interval = list(nominal or ()), list(interval or ())
     columns = [*nominal, *interval]
     one_way = phik(contingency_table(binned(df, nominal, interval, bins), columns))
     ways = F.array(

@@ -10,7 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ratio
+from ..functions import number, ratio
 from .keys import join_on_keys, with_row
 from .quantiles import column_quantiles, exact_quantiles, quantile_columns
 
@@ -117,7 +117,7 @@ def iqr_null_upper(df: DataFrame, key: str, value: str, k: float = 1.5) -> DataF
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     """``(bin, lower, upper, n)`` for equal-width bins; the last one is closed on both sides."""
-    values = df.select(F.col(value).cast("double").alias("__v")).filter(F.col("__v").isNotNull())
+    values = df.select(number(F.col(value)).alias("__v")).filter(F.col("__v").isNotNull())
     ends = values.agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"))
     # A single value gets a range of one around it.
     half = F.when(F.col("lo") == F.col("hi"), F.lit(0.5)).otherwise(F.lit(0.0))
@@ -143,7 +143,7 @@ def boxplot_stats(df: DataFrame, value: str, k: float = 1.5) -> DataFrame:
     v = F.col("__value")
     reach = (F.col("q3") - F.col("q1")) * k
     inside = v.between(F.col("q1") - reach, F.col("q3") + reach)
-    return with_row(df.select(F.col(value).cast("double").alias("__value")), quartiles).agg(
+    return with_row(df.select(number(F.col(value)).alias("__value")), quartiles).agg(
         *[F.max(n).alias(n) for n in names.values()],
         F.min(F.when(inside, v)).alias("whisker_low"),
         F.max(F.when(inside, v)).alias("whisker_high"),

@@ -11,7 +11,7 @@ from ..jobs import venues as venue_jobs
 from ..operators import (
     binned, boxplot_stats, collapse_segments, column_quantiles, contingency_table, cramers_v,
     drop_outlier_entities, growing_keys, histogram, iqr_null_upper, iqr_outliers, percentile_trim,
-    phik_matrix, pivot_count, pivot_sum, size_classes, span_class,
+    phik_matrix, pivot_count, pivot_sum, size_classes, span_class, top_k_with_ties,
 )
 from .registry import exact_avg, query
 
@@ -64,6 +64,16 @@ def _(t):
     return iqr_outliers(t("rounds"), "market", "funding_total_usd", "name")
 
 
+@query("top_outlier_segments", f"""
+    WITH {_fenced('rounds')},
+    s AS (SELECT market, COUNT(name) FILTER (WHERE odd) / CAST(COUNT(market) AS DOUBLE) AS share
+          FROM flagged WHERE market IS NOT NULL GROUP BY market)
+    SELECT market, share FROM (SELECT *, RANK() OVER (ORDER BY share DESC) AS r FROM s) WHERE r <= 15""")
+def _(t):
+    shares = iqr_outliers(t("rounds"), "market", "funding_total_usd", "name")
+    return top_k_with_ties(shares, 15, "share").select("market", "share")
+
+
 @query("drop_outlier_entities", f"""
     WITH {_fenced('rounds')}
     SELECT id, name, market, funding_total_usd FROM rounds

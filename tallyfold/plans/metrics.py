@@ -163,6 +163,14 @@ def _(t):
     return donors.monthly_volume(t("donations"), "1997-01-01", "1998-12-31")
 
 
+@query("daily_volume", """
+    SELECT CAST(donation_date AS VARCHAR) AS donation_date, COUNT(id) AS count_of_donations
+    FROM donations WHERE CAST(date_trunc('month', donation_date) AS DATE) = DATE '1998-11-01'
+    GROUP BY donation_date""")
+def _(t):
+    return donors.daily_volume(t("donations"), "1998-11-01")
+
+
 @query("most_active_users", """
     SELECT user_id, COUNT(donation_date) AS count_of_donations FROM donations
     WHERE confirmation AND donation_added_date IS NOT NULL GROUP BY user_id

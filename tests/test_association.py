@@ -92,3 +92,14 @@ def test_matrix(spark, people):
     assert 0.5 < got["a", "b"] < 1.0 and 0.4 < got["a", "size"] < 1.0
     table = pd.crosstab(people.a, people.b)
     assert got["a", "b"] == pytest.approx(phik_from_chi2(_chi2(table), 720, 3, 3), abs=1e-9)
+
+
+def test_columns_are_told_apart_by_type(spark, people):
+    frame = people[["a", "size"]].assign(flag=people.a == "x")
+    frame.loc[3, "size"] = float("nan")
+    df = spark.createDataFrame(frame)
+    guessed = {(r[0], r[1]): r[2] for r in phik_matrix(df).collect()}
+    stated = {(r[0], r[1]): r[2] for r in phik_matrix(df, ["a", "flag"], ["size"]).collect()}
+    assert guessed == stated and len(guessed) == 6 and guessed["a", "flag"] == 1.0
+    cells = contingency_table(binned(df, ["a"], ["size"]), ["a", "size"])
+    assert cells.agg({"n": "sum"}).first()[0] == len(frame) - 1
