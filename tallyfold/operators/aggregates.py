@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exact_sum, number, ratio
+from ..session import settle
 from .keys import join_on_keys
 
 
@@ -52,7 +53,7 @@ def top_k_with_ties(df: DataFrame, k: int, by: str) -> DataFrame:
 def with_group_size(df: DataFrame, key: str, name: str = "group_size") -> DataFrame:
     """Adds the number of rows that share the key; a missing key has no group."""
     sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    return join_on_keys(df, sizes, [key], "left")
+    return join_on_keys(df, settle(sizes, "sizes"), [key], "left")
 
 
 def running_max(
@@ -128,7 +129,8 @@ def describe_column(
 def filter_keys_with_min_total(df: DataFrame, key: str, value: str, least: float) -> DataFrame:
     """Rows of the keys whose total of ``value`` reaches ``least``."""
     kept = df.groupBy(key).agg(F.sum(value).alias("__t")).filter(F.col("__t") >= least).select(key)
-    return join_on_keys(df, kept.filter(F.col(key).isNotNull()), [key], "left_semi")
+    kept = settle(kept.filter(F.col(key).isNotNull()), "keys")
+    return join_on_keys(df, kept, [key], "left_semi")
 
 
 def share_where(condition: Column, digits: int | None = None) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import number, ratio
+from ..session import settle
 from .keys import join_on_keys, with_row
 from .quantiles import column_quantiles, exact_quantiles, quantile_columns
 
@@ -71,7 +72,10 @@ def iqr_fences(df: DataFrame, key: str, value: str, k: float = 1.5) -> DataFrame
     quartiles = exact_quantiles(rows, value, [0.25, 0.75], [key])
     q = quantile_columns(quartiles, {0.25: "q1", 0.75: "q3"}, [key])
     reach = (F.col("q3") - F.col("q1")) * k
-    return q.select(key, (F.col("q1") - reach).alias("lower"), (F.col("q3") + reach).alias("upper"))
+    fences = q.select(
+        key, (F.col("q1") - reach).alias("lower"), (F.col("q3") + reach).alias("upper")
+    )
+    return settle(fences, "fences")
 
 
 def flag_iqr_outliers(df: DataFrame, key: str, value: str, k: float = 1.5) -> DataFrame:
@@ -105,7 +109,7 @@ def drop_outlier_entities(
     ``entity`` decides who goes: with a name, namesakes go too; with an id, only the row's owner.
     """
     flagged = flag_iqr_outliers(df, key, value, k).filter("is_outlier").select(entity).distinct()
-    return join_on_keys(df, flagged.dropna(), [entity], "left_anti")
+    return join_on_keys(df, settle(flagged.dropna(), "flagged"), [entity], "left_anti")
 
 
 def iqr_null_upper(df: DataFrame, key: str, value: str, k: float = 1.5) -> DataFrame:

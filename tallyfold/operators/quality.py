@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exact_mean, normalize_text, ratio
+from ..session import settle
 from .keys import join_on_keys
 
 
@@ -57,6 +58,7 @@ def fill_group_mean(df: DataFrame, column: str, keys: Sequence[str], scale: int
         exact_mean(F.col(column), scale).alias("__mean")
     )
     filled = F.coalesce(F.col(column).cast("double"), F.col("__mean"))
+    means = settle(means, "means")
     return join_on_keys(df, means, keys, "left").withColumn(column, filled).drop("__mean")
 
 
@@ -92,7 +94,7 @@ def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     repeated = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).drop("__n")
     )
-    return join_on_keys(df, repeated, keys, "left_semi")
+    return join_on_keys(df, settle(repeated, "repeated"), keys, "left_semi")
 
 
 def hidden_duplicates(df: DataFrame, column: str) -> DataFrame:

@@ -41,7 +41,10 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Writes an intermediate table once and reads it back.
 
     For results that several later steps read: without it each step would compute the whole
-    chain again. It lives in the shared scratch folder, so losing an executor loses nothing.
+    chain again. Also for group values about to meet their rows: the planner then knows their
+    size from the file and can broadcast them, where it would else shuffle the rows before it
+    finds out that the other side is small. The table lives in the shared scratch folder, so
+    losing an executor loses nothing. Writing it runs a job.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
