@@ -11,10 +11,8 @@ a double has seventeen digits.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .keys import join_on_keys
@@ -23,37 +21,49 @@ COARSE, FINE = 4, 10
 _ALL = "__all"
 
 
-def _cell(digits: int) -> Column:
+def _cell(digits: int) -> str:
     """A whole number that never falls as the value grows; zero has a cell of its own.
 
     The magnitude is shifted to be positive and carries the sign; the limits keep the smallest
     doubles and infinity in the outermost cells. The result is declared never null, which keeps
     the planner from adding a filter of its own to each use.
     """
-    v = F.col("__v")
-    magnitude = F.greatest(F.least(F.floor(F.log10(F.abs(v))), F.lit(309)), F.lit(-290))
-    leading = v / F.pow(F.lit(10.0), magnitude - digits + 1)
-    most = float(10**digits)
-    leading = F.floor(F.greatest(F.least(leading, F.lit(most)), F.lit(-most)))
-    cell = F.signum(v).cast("long") * (magnitude + 400) * 10 ** (digits + 1) + leading
-    return F.coalesce(F.when(v != 0, cell), F.lit(0))
+    magnitude = "greatest(least(floor(log10(abs(__v))), 309), -290)"
+    leading = f"__v / pow(10D, {magnitude} - {digits - 1})"
+    leading = f"floor(greatest(least({leading}, 1E{digits}D), -1E{digits}D))"
+    shifted = f"cast(signum(__v) as bigint) * ({magnitude} + 400) * {10 ** (digits + 1)}L"
+    return f"coalesce(CASE WHEN __v <> 0 THEN {shifted} + {leading} END, 0L)"
 
 
-def _wanted_ranks(total: Column, probs: Sequence[float], method: str) -> list[tuple]:
-    """(p, rank, upper, weight): the order statistics each quantile is made of."""
+def _wanted_ranks(probs: Sequence[float], method: str) -> list[tuple[str, str]]:
+    """(rank, struct of p, rank, upper and weight) of the order statistics of each quantile."""
     wanted = []
     for p in probs:
+        at = f"cast('{float(p)!r}' as double)"
         if method == "discrete":
-            rank = F.greatest(F.lit(1), F.ceil(F.lit(float(p)) * total)).cast("long")
-            wanted.append((float(p), rank, False, F.lit(0.0)))
+            parts = [(f"greatest(1L, ceil({at} * __total))", "false", "0D")]
         else:
-            position = F.lit(float(p)) * (total - 1)
-            below, weight = F.floor(position), position - F.floor(position)
-            wanted.append((float(p), (below + 1).cast("long"), False, weight))
-            wanted.append((float(p), (F.ceil(position) + 1).cast("long"), True, weight))
+            position = f"({at} * (__total - 1))"
+            weight = f"{position} - floor({position})"
+            parts = [(f"floor({position}) + 1", "false", weight),
+                     (f"ceil({position}) + 1", "true", weight)]
+        wanted += [
+            (rank, f"named_struct('p', {at}, 'rank', {rank}, 'upper', {upper}, 'weight', {weight})")
+            for rank, upper, weight in parts
+        ]
     return wanted
 
 
+def _holds(rank: str) -> str:
+    return f"({rank} > __upto - __n AND {rank} <= __upto)"
+
+
+def _running(order: str, keys: Sequence[str]) -> str:
+    by = ", ".join(f"`{k}`" for k in keys)
+    return (f"sum(__n) OVER (PARTITION BY {by} ORDER BY {order} "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = (),
     method: str = "linear", few_keys: bool = False,
@@ -67,62 +77,58 @@ def exact_quantiles(
     if method not in ("linear", "discrete"):
         raise ValueError(f"unknown method {method!r}")
     few = few_keys or not keys
-    base = df.select(*keys, F.col(value).cast("double").alias("__v"))
-    if not keys:
-        base = base.withColumn(_ALL, F.lit(1))
     groups = list(keys) or [_ALL]
+    columns = [F.col(k) for k in keys] or [F.lit(1).alias(_ALL)]
+    by = [f"`{k}`" for k in groups]
 
     counted = (
-        base.filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-        .groupBy(*groups, "__v")
-        .agg(F.count(F.lit(1)).alias("__n"))
+        df.select(*columns, F.col(value).cast("double").alias("__v"))
+        .filter("__v IS NOT NULL AND NOT isnan(__v)")
+        .groupBy(*groups, "__v").agg(F.expr("count(1) AS __n"))
     )
-    coarse = counted.withColumn("__cell", _cell(COARSE))
-    fine = counted.withColumn("__cell", _cell(FINE))
+    coarse = counted.selectExpr(*by, "__v", "__n", f"{_cell(COARSE)} AS __cell")
+    fine = counted.selectExpr(*by, "__v", "__n", f"{_cell(FINE)} AS __cell")
 
-    def holds(rank: Column) -> Column:
-        return (rank > F.col("__upto") - F.col("__n")) & (rank <= F.col("__upto"))
+    def in_located(values: DataFrame, cells: DataFrame) -> DataFrame:
+        return join_on_keys(values, cells, groups, never_null=["__cell"], small_right=few)
 
-    in_group = Window.partitionBy(*groups)
-    so_far = Window.unboundedPreceding, Window.currentRow
-    wanted = _wanted_ranks(F.col("__total"), probs, method)
-    before = (F.col("__upto") - F.col("__n")).alias("__before")
+    # Cells of four digits that hold a wanted rank, with the count of all that lies before.
+    wanted = _wanted_ranks(probs, method)
+    chosen = ", ".join(f"CASE WHEN {_holds(rank)} THEN {it} END" for rank, it in wanted)
     located = (
-        coarse.groupBy(*groups, "__cell").agg(F.sum("__n").alias("__n"))
-        .withColumn("__upto", F.sum("__n").over(in_group.orderBy("__cell").rowsBetween(*so_far)))
-        .withColumn("__total", F.sum("__n").over(in_group))
-        .filter(reduce(or_, [holds(rank) for _, rank, _, _ in wanted]))
-        .select(*groups, "__cell", before, F.inline(F.array_compact(F.array(*[
-            F.when(holds(rank), F.struct(
-                F.lit(p).alias("p"), rank.alias("rank"), F.lit(upper).alias("upper"),
-                weight.alias("weight"),
-            ))
-            for p, rank, upper, weight in wanted
-        ]))))
+        coarse.groupBy(*groups, "__cell").agg(F.expr("sum(__n) AS __n"))
+        .selectExpr(
+            *by, "__cell", "__n", f"{_running('__cell', groups)} AS __upto",
+            f"sum(__n) OVER (PARTITION BY {', '.join(by)}) AS __total",
+        )
+        .filter(" OR ".join(_holds(rank) for rank, _ in wanted))
+        .selectExpr(*by, "__cell", "__upto - __n AS __before", f"inline(array_compact(array({chosen})))")
     )
 
-    def step(rows: DataFrame, order: str) -> DataFrame:
-        """Counts on from what lies before the cell, up to the row that holds the rank."""
-        along = Window.partitionBy(*groups, "p", "upper").orderBy(order).rowsBetween(*so_far)
-        upto = F.col("__before") + F.sum("__n").over(along)
-        return rows.withColumn("__upto", upto).filter(holds(F.col("rank")))
-
-    def in_located(values: DataFrame, cells: DataFrame) -> DataFrame:
-        return join_on_keys(values, cells, groups, never_null=["__cell"], small_right=few)
-
-    target = [*groups, "p", "upper", "rank", "weight"]
-    closer = step(
-        in_located(coarse, located).withColumn("__cell", _cell(FINE))
-        .groupBy(*target, "__before", "__cell").agg(F.sum("__n").alias("__n")),
-        "__cell",
-    ).select(*target, "__cell", before)
-    found = step(in_located(fine, closer), "__v").groupBy(*groups, "p").agg(
-        F.max(F.when(~F.col("upper"), F.col("__v"))).alias("__lo"),
-        F.max(F.when(F.col("upper"), F.col("__v"))).alias("__hi"),
-        F.max("weight").alias("__weight"),
+    # Inside each, the cell of ten digits; then, inside that, the value itself.
+    target = [*by, "p", "upper", "rank", "weight", "__before"]
+    along = [*groups, "p", "upper"]
+    closer = (
+        in_located(coarse, located)
+        .selectExpr(*target, "__n", f"{_cell(FINE)} AS __cell")
+        .groupBy(*groups, *target[len(by):], "__cell").agg(F.expr("sum(__n) AS __n"))
+        .selectExpr(*target, "__cell", "__n",
+                    f"__before + {_running('__cell', along)} AS __upto")
+        .filter(_holds("rank"))
+        .selectExpr(*target[:-1], "__cell", "__upto - __n AS __before")
+    )
+    found = (
+        in_located(fine, closer)
+        .selectExpr(*target[:-1], "__v", "__n", f"__before + {_running('__v', along)} AS __upto")
+        .filter(_holds("rank"))
+        .groupBy(*groups, "p")
+        .agg(F.expr("max(CASE WHEN NOT upper THEN __v END) AS __lo"),
+             F.expr("max(CASE WHEN upper THEN __v END) AS __hi"),
+             F.expr("max(weight) AS __weight"))
+    )
+    return found.selectExpr(
+        *by[: len(keys)], "p", "coalesce(__lo + (__hi - __lo) * __weight, __lo) AS q"
     )
-    between = F.col("__lo") + (F.col("__hi") - F.col("__lo")) * F.col("__weight")
-    return found.select(*keys, "p", F.coalesce(between, F.col("__lo")).alias("q"))
 
 
 def quantile_columns(
