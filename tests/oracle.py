@@ -31,7 +31,7 @@ def _rows(table, columns):
 def compare(name: str, spark, con, sf_dir: str) -> list[str]:
     """Differences between the two answers; empty when they agree to the last bit."""
     got = run(name, spark, sf_dir).toArrow()
-    want = con.execute(QUERIES[name].sql).to_arrow_table()
+    want = con.sql(QUERIES[name].sql).to_arrow_table()
     problems = []
     if sorted(got.column_names) != sorted(want.column_names):
         return [f"columns {got.column_names} against {want.column_names}"]
