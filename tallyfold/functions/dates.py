@@ -1,4 +1,4 @@
-"""Date expressions. The day of reference is always an argument, never the clock."""
+"""Date expressions. The as-of day is always an argument, never the clock."""
 
 from __future__ import annotations
 

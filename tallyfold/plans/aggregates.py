@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import exact_mean, exact_sum, ratio, round_half_up
+from ..functions import exact_mean, exact_sum, parse_number, ratio
 from ..jobs import games, vacancies, venues
 from ..operators import (
     categorical_crosscount, describe_column, exact_quantiles, fill_group_mean, group_median,
-    per_column_totals, running_max, share_where, sum_share, top_k, top_k_with_ties, value_counts,
+    per_column_totals, running_max, share_where, sum_share, top_k_with_ties, value_counts,
     wide_sum, with_group_size, with_share,
 )
 from ..operators.quantiles import column_quantiles
@@ -277,8 +277,6 @@ def _(t):
     SELECT name, platform, year_of_release, na_sales, COALESCE(eu_sales, mean) AS eu_sales
     FROM g LEFT JOIN m ON platform = p AND year_of_release = y""")
 def _(t):
-    from ..functions import parse_number
-
     parsed = t("games").select(
         "name", "platform", "year_of_release", "na_sales",
         parse_number(F.col("eu_sales")).alias("eu_sales"))

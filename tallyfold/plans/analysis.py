@@ -6,10 +6,9 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from ..functions import exact_sum
 from ..jobs import venues as venue_jobs
 from ..operators import (
-    binned, boxplot_stats, collapse_segments, column_quantiles, contingency_table, cramers_v,
+    binned, boxplot_stats, collapse_segments, contingency_table, cramers_v,
     drop_outlier_entities, growing_keys, histogram, iqr_null_upper, iqr_outliers, percentile_trim,
     phik_matrix, pivot_count, pivot_sum, size_classes, span_class, top_k_with_ties,
 )
@@ -195,9 +194,6 @@ def _(t):
     return venue_jobs.mean_by(placed, "distance", "middle_of_bill_range")
 
 
-_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
-
-
 def _pivot(expression):
     return ", ".join(expression.format(v=v) for v in ("BUILDING", "MACHINERY", "NOTHING"))
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import (
-    add_days, age_band, age_years, bin_half_open, day_diff, exact_sum, label_by_rules, midpoint,
-    narrow_to_byte, narrow_to_short, normalize_text, ordinal_lookup, parse_date, parse_number,
-    round_half_up, safe_ratio, strip_separators, three_bands, zero_to_null,
+    add_days, age_band, age_years, bin_half_open, day_diff, midpoint, narrow_to_byte,
+    narrow_to_short, normalize_text, ordinal_lookup, parse_date, parse_number, round_half_up,
+    safe_ratio, strip_separators, three_bands,
 )
 from ..jobs.estate import DURATION_BANDS
 from ..jobs.games import CRITIC_EDGES, SCORE_LABELS
