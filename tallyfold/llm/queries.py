@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, toxicity
+from . import bpe, secret_scan, toxicity
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -26,11 +26,16 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, LlmQuery] = {
     "op2_bpe_codec": LlmQuery(op2_bpe_codec),
+    "op4_secret_scan": LlmQuery(op4_secret_scan),
     "op10_toxicity": LlmQuery(op10_toxicity),
 }
