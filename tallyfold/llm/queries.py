@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secret_scan, toxicity
+from . import bpe, quality_rules, secret_scan, toxicity
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -30,6 +30,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,5 +41,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, LlmQuery] = {
     "op2_bpe_codec": LlmQuery(op2_bpe_codec),
     "op4_secret_scan": LlmQuery(op4_secret_scan),
+    "op5_quality_rules": LlmQuery(op5_quality_rules),
     "op10_toxicity": LlmQuery(op10_toxicity),
 }
