@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_rules, secret_scan, toxicity
+from . import bpe, kd_shards, quality_rules, secret_scan, toxicity
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -34,6 +34,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards.shard_documents(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -42,5 +46,6 @@ QUERIES: dict[str, LlmQuery] = {
     "op2_bpe_codec": LlmQuery(op2_bpe_codec),
     "op4_secret_scan": LlmQuery(op4_secret_scan),
     "op5_quality_rules": LlmQuery(op5_quality_rules),
+    "op6_kd_shards": LlmQuery(op6_kd_shards),
     "op10_toxicity": LlmQuery(op10_toxicity),
 }
