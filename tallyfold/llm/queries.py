@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kd_shards, multi_index, quality_rules, secret_scan, toxicity
+from . import bpe, kd_shards, multi_index, quality_rules, recompression, secret_scan, toxicity
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -42,6 +42,10 @@ def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,5 +56,6 @@ QUERIES: dict[str, LlmQuery] = {
     "op5_quality_rules": LlmQuery(op5_quality_rules),
     "op6_kd_shards": LlmQuery(op6_kd_shards),
     "op7_multi_index": LlmQuery(op7_multi_index),
+    "op9_recompression": LlmQuery(op9_recompression),
     "op10_toxicity": LlmQuery(op10_toxicity),
 }
