@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kd_shards, multi_index, quality_rules, recompression, secret_scan, toxicity
+from . import bpe, kd_shards, multi_index, ngram_jaccard, quality_rules, recompression, secret_scan, toxicity
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.ngram_groups(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
@@ -51,6 +55,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, LlmQuery] = {
+    "op1_ngram_jaccard": LlmQuery(op1_ngram_jaccard),
     "op2_bpe_codec": LlmQuery(op2_bpe_codec),
     "op4_secret_scan": LlmQuery(op4_secret_scan),
     "op5_quality_rules": LlmQuery(op5_quality_rules),

@@ -187,7 +187,7 @@ def segments(words: Words, window: int = WINDOW) -> tuple[np.ndarray, ...]:
     return text[first], name[first].view(np.int64), digest.view(np.int64), place[first], place[last]
 
 
-def _packed(docs: DataFrame) -> DataFrame:
+def packed_texts(docs: DataFrame) -> DataFrame:
     """Id, fingerprint and compressed text of every document; rows alike in the first two are alike."""
     fields = f"k {dict(docs.dtypes)['k']}, t long, z binary"
 
@@ -201,7 +201,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select("k", "t", "text").mapInArrow(pack, fields)
 
 
-def _unpacked(z: pa.Array) -> pa.Array:
+def unpacked(z: pa.Array) -> pa.Array:
     open_up = zstandard.ZstdDecompressor().decompress
     return pa.array([open_up(b) for b in z.to_pylist()], pa.binary())
 
@@ -232,7 +232,7 @@ def _window_rows(held: DataFrame) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 one = batch.slice(row, 1)
-                sums = prefix_sums(words_of(_unpacked(one.column("z"))).hashes)
+                sums = prefix_sums(words_of(unpacked(one.column("z"))).hashes)
                 parts = one.column("parts")[0].as_py()
                 first = np.array([p["first"] for p in parts])
                 count = np.array([p["last"] for p in parts]) - first + 1
@@ -260,7 +260,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     reps = mixed.groupBy("name", "digest").agg(F.min(F.struct("k", "t", "first", "last")).alias("r"))
     reps = settle(reps.select("name", "digest", "r.*"), "segment-representatives")
     parts = reps.groupBy("k", "t").agg(F.collect_list(F.struct("name", "digest", "first", "last")).alias("parts"))
-    held = join_on_keys(_packed(docs).dropDuplicates(["k", "t"]), parts, ["k", "t"])
+    held = join_on_keys(packed_texts(docs).dropDuplicates(["k", "t"]), parts, ["k", "t"])
     spelled = settle(_window_rows(held), "windows")
     least = spelled.groupBy("name", "window").agg(F.min("k").alias("least"))
     earlier = join_on_keys(spelled, least, ["name", "window"]).where("least < k").select("name", "digest", "place")
@@ -281,7 +281,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", wit
     docs = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
     cuts = repeated_windows(docs).groupBy("k", "t").agg(F.collect_list(F.struct("first", "last")).alias("cuts"))
-    joined = join_on_keys(_packed(docs), cuts, ["k", "t"], how="left")
+    joined = join_on_keys(packed_texts(docs), cuts, ["k", "t"], how="left")
     kind = dict(docs.dtypes)["k"]
     names = ["k", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * with_text
 
