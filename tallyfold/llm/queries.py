@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, kd_shards, multi_index, ngram_jaccard, quality_rules, recompression, secret_scan, toxicity
+from . import bpe, kd_shards, line_dedup, mixing, multi_index, ngram_jaccard, quality_rules, recompression, secret_scan, toxicity
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -30,6 +30,10 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.document_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_documents(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,10 @@ def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+
+
 def op9_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.remove_repeats(table(spark, sf_dir, "documents"))
 
@@ -57,10 +65,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, LlmQuery] = {
     "op1_ngram_jaccard": LlmQuery(op1_ngram_jaccard),
     "op2_bpe_codec": LlmQuery(op2_bpe_codec),
+    "op3_mixing": LlmQuery(op3_mixing),
     "op4_secret_scan": LlmQuery(op4_secret_scan),
     "op5_quality_rules": LlmQuery(op5_quality_rules),
     "op6_kd_shards": LlmQuery(op6_kd_shards),
     "op7_multi_index": LlmQuery(op7_multi_index),
+    "op8_line_dedup": LlmQuery(op8_line_dedup),
     "op9_recompression": LlmQuery(op9_recompression),
     "op10_toxicity": LlmQuery(op10_toxicity),
 }

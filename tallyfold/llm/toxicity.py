@@ -14,7 +14,7 @@ rows count once, as toxic if one of them is; null labels are left out.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -149,35 +149,49 @@ def featured(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
     return docs.mapInArrow(extract, f"{fields}, x array<double>")
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Key, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of every document."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
+def fit_scorer(docs: DataFrame, labels: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Learns from the labels of ``docs`` (``k``, ``text``); the result adds ``score`` in place of ``text``."""
     sample = settle(training_rows(labels), "toxicity-sample")
     # The sample has at most TRAIN_ROWS rows of three numbers.
     rows = settle(docs.join(F.broadcast(sample), "k").select("k", "text", "label", "part"), "toxicity-rows")
-    classes = rows.groupBy("label").count().collect()
-    names = ["k", "held_out", "score", "predicted"]
+    classes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
+    share = sum(n for label, n in classes.items() if label == 1) / max(1, sum(classes.values()))
+    constant = lambda df: df.drop("text").withColumn("score", F.lit(float(share)))
     if len(classes) < 2:
-        share = classes[0].label if classes else 0.0
-        scored = docs.select("k", F.lit(float(share)).alias("score"))
-    else:
-        lexicon = learn_lexicon(rows.where("part < 5").select("text", "label"))
-        learned = settle(featured(rows.where("part >= 5").select("label", "part", "text"), lexicon), "toxicity-features")
-        learned = learned.withColumn("v", array_to_vector("x"))
-        trees, check = learned.where("part < 8"), learned.where("part >= 8")
-        if trees.select("label").distinct().count() < 2 or check.select("label").distinct().count() < 2:
-            trees = check = learned
-        if trees.select("label").distinct().count() < 2:
-            share = sum(r["count"] * r.label for r in classes) / sum(r["count"] for r in classes)
-            scored = docs.select("k", F.lit(float(share)).alias("score"))
-        else:
-            few = trees.select("label", "v").coalesce(4)
-            model = GBTClassifier(labelCol="label", featuresCol="v", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(few)
-            probability = vector_to_array(F.col("probability"))[1]
-            raw = model.transform(check).select("label", probability.alias("p"))
-            curve = IsotonicRegression(labelCol="label", featuresCol="p").fit(raw)
-            raw = model.transform(featured(docs, lexicon).withColumn("v", array_to_vector("x"))).select("k", probability.alias("p"))
-            scored = curve.transform(raw).select("k", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "prediction")).alias("score"))
-    out = scored.select("k", held_out(F.col("k")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
-    return out.select(names).withColumnRenamed("k", key)
+        return constant
+    lexicon = learn_lexicon(rows.where("part < 5").select("text", "label"))
+    learned = settle(featured(rows.where("part >= 5").select("label", "part", "text"), lexicon), "toxicity-features")
+    learned = learned.withColumn("v", array_to_vector("x"))
+    trees, check = learned.where("part < 8"), learned.where("part >= 8")
+    if min(part.select("label").distinct().count() for part in (trees, check)) < 2:
+        trees = check = learned
+        if learned.select("label").distinct().count() < 2:
+            return constant
+    few = trees.select("label", "v").coalesce(4)
+    model = GBTClassifier(labelCol="label", featuresCol="v", maxIter=TREES, maxDepth=DEPTH, seed=7).fit(few)
+    probability = vector_to_array(F.col("probability"))[1]
+    raw = model.transform(check).select("label", probability.alias("__raw"))
+    curve = IsotonicRegression(labelCol="label", featuresCol="__raw", predictionCol="__score").fit(raw)
+
+    def score(df: DataFrame) -> DataFrame:
+        names = [c for c in df.columns if c != "text"]
+        out = model.transform(featured(df, lexicon).withColumn("v", array_to_vector("x")))
+        out = curve.transform(out.select(*names, probability.alias("__raw")))
+        return out.select(*names, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "__score")).alias("score"))
+
+    return score
+
+
+def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on) of every document."""
+    docs = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
+    scored = fit_scorer(docs, labels)(docs)
+    return scored.select(
+        F.col("k").alias(key), held_out(F.col("k")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, columns unchanged, that are not predicted toxic; no shuffle of the texts."""
+    plain = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
+    return fit_scorer(plain, labels)(rows).where("score < 0.5").select("row.*")
