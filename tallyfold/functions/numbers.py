@@ -1,7 +1,7 @@
 """Numeric expressions.
 
-``exact_sum`` and ``exact_mean`` add in decimal, so the answer does not depend on the order in
-which partitions arrive; the last step is one double conversion and one division.
+Sums and means are of the values as they are; nothing is rounded before it is added. Money is the one
+exception to doubles: ``money`` reads a column as decimal and fails where digits would be lost.
 """
 
 from __future__ import annotations
@@ -10,24 +10,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def exact_sum(col: Column, scale: int = 2) -> Column:
-    return F.sum(col.cast(f"decimal(18,{scale})")).cast("double")
-
-
-def exact_mean(col: Column, scale: int = 2) -> Column:
-    return exact_sum(col, scale) / F.count(col)
-
-
 def number(col: Column) -> Column:
     """As double, with "not a number" as a gap."""
     value = col.cast("double")
     return F.when(~F.isnan(value), value)
 
 
-def fixed_mean(col: Column, scale: int) -> Column:
-    """Mean of quotients kept to ``scale`` digits, added as whole numbers of the last digit."""
-    steps = F.floor(col * 10**scale + 0.5)
-    return F.sum(steps.cast("decimal(20,0)")).cast("double") / 10**scale / F.count(col)
+def total(col: Column) -> Column:
+    """Sum as double, gaps and "not a number" left out."""
+    return F.sum(number(col))
+
+
+def mean(col: Column) -> Column:
+    """Mean as double, gaps and "not a number" left out."""
+    return F.avg(number(col))
+
+
+def money(col: Column, scale: int = 2) -> Column:
+    """Decimal with ``scale`` digits after the point; a value with more digits, or one too large, fails."""
+    exact = col.cast(f"decimal(28,{scale})")
+    lossless = col.isNull() | (exact.cast("double") == col.cast("double"))
+    return F.when(lossless, exact).otherwise(F.raise_error(F.lit(f"more than {scale} digits of money")))
 
 
 def round_half_up(col: Column, digits: int) -> Column:
@@ -67,10 +70,16 @@ def parse_number(col: Column) -> Column:
     return F.when(~F.isnan(parsed), parsed)
 
 
+def _narrow(col: Column, bits: int, name: str) -> Column:
+    top = 1 << (bits - 1)
+    fits = col.isNull() | (col.between(-top, top - 1) & (col == F.floor(col)))
+    return F.when(fits, col.cast(name)).otherwise(F.raise_error(F.lit(f"a value does not fit {name}")))
+
+
 def narrow_to_short(col: Column) -> Column:
-    """Cast to 16 bit; a value out of range gives null instead of a wrapped number."""
-    return F.when(col.between(-32768, 32767), col).cast("short")
+    """Cast to 16 bit; a fraction or a value out of range fails instead of being changed."""
+    return _narrow(col, 16, "short")
 
 
 def narrow_to_byte(col: Column) -> Column:
-    return F.when(col.between(-128, 127), col).cast("byte")
+    return _narrow(col, 8, "byte")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import day_diff, ratio
+from ..functions import day_diff, money, ratio
 from ..operators.aggregates import running_max, top_k
 from ..session import settle
 
@@ -55,8 +55,11 @@ def conversion_rate(
 
 
 def with_commission(events: DataFrame, start: str, end: str) -> DataFrame:
-    """Paid events of a period with the service's income from each, exact to the cent's hundredth."""
-    income = F.col("revenue").cast("decimal(18,2)") * F.col("commission").cast("decimal(8,4)")
+    """Paid events of a period with the service's income from each, in decimal.
+
+    Revenue has two digits after the point and the rate four; more digits fail.
+    """
+    income = money(F.col("revenue")) * money(F.col("commission"), 4)
     return events.filter(
         F.col("revenue").isNotNull() & _between("log_date", start, end)
     ).withColumn("commission_revenue", income)
@@ -79,7 +82,7 @@ def average_check(
         F.sum("commission_revenue").alias("income")
     )
     income = F.sum("income").cast("decimal(28,6)")
-    check = F.round(F.try_divide(income, F.count("order_id").cast("decimal(10,0)")), 2)
+    check = F.round(F.try_divide(income, F.count("order_id").cast("decimal(20,0)")), 2)
     return orders.groupBy("month").agg(check.cast("double").alias("average_check"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import add_days, exact_mean, fixed_mean, ratio, safe_ratio, three_bands
+from ..functions import add_days, mean, ratio, safe_ratio, three_bands
 from ..operators.aggregates import top_k
 from ..operators.outliers import FLAT_TRIMS, percentile_trim
 
@@ -28,8 +28,8 @@ def _unit_price() -> Column:
 
 
 def _means(*columns: str) -> list[Column]:
-    unit = fixed_mean(_unit_price(), 4).alias("avg_cost_per_meter")
-    return [unit, *[exact_mean(F.col(c)).alias(f"avg_{c}") for c in columns]]
+    unit = mean(_unit_price()).alias("avg_cost_per_meter")
+    return [unit, *[mean(F.col(c)).alias(f"avg_{c}") for c in columns]]
 
 
 def duration_profile(
@@ -118,7 +118,7 @@ def top_places(
     places = rows.groupBy("city").agg(
         F.count("id").alias("adv_count"),
         ratio(removed, F.count("id"), 2).alias("share_of_removed"),
-        exact_mean(F.col("days_exposition")).alias("avg_days_exposition"),
+        mean(F.col("days_exposition")).alias("avg_days_exposition"),
         *_means("total_area", "rooms", "balcony"),
     )
     return top_k(places, k, "adv_count", ["city"])

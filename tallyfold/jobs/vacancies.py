@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import excludes_all
+from ..functions import excludes_all, money, number, round_half_up
 from ..operators.aggregates import top_k
 
 # Parts of names of the professions that are left out, and the skill columns.
@@ -28,8 +28,9 @@ SKILL_COLUMNS = (
 
 
 def _mean(column: str, digits: int):
-    total = F.sum(F.col(column).cast("decimal(18,2)"))
-    exact = F.try_divide(total, F.count(column).cast("decimal(10,0)"))
+    """Mean of pay, declared with two digits, rounded half up in decimal."""
+    paid = F.sum(money(F.col(column))).cast("decimal(30,2)")
+    exact = F.try_divide(paid, F.count(column).cast("decimal(20,0)"))
     return F.round(exact, digits).cast("double")
 
 
@@ -39,8 +40,8 @@ def salary_span(vacancies: DataFrame) -> DataFrame:
     for c in ("salary_from", "salary_to"):
         out += [
             _mean(c, 0).alias(f"average_{c}"),
-            F.round(F.min(F.col(c).cast("decimal(18,2)")), 0).cast("double").alias(f"min_{c}"),
-            F.round(F.max(F.col(c).cast("decimal(18,2)")), 0).cast("double").alias(f"max_{c}"),
+            round_half_up(F.min(number(F.col(c))), 0).alias(f"min_{c}"),
+            round_half_up(F.max(number(F.col(c))), 0).alias(f"max_{c}"),
         ]
     return vacancies.agg(*out)
 

@@ -12,14 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exact_sum, fixed_mean, midpoint, normalize_text, parse_date, parse_number
-from ..functions import strip_separators
+from ..functions import mean, midpoint, normalize_text, parse_date, parse_number, strip_separators, total
 from ..operators.aggregates import filter_keys_with_min_total, per_column_totals, with_share
 from ..operators.keys import join_on_keys
 from ..operators.outliers import drop_outlier_entities, iqr_null_upper
 from ..operators.reshape import aligned_ratio, growing_keys
 from ..operators.segments import collapse_segments, span_class
-from ..session import settle
 
 # The types of funding, text columns, date columns and labels.
 FUNDING_TYPES = (
@@ -69,16 +67,14 @@ def with_span_class(df: DataFrame) -> DataFrame:
 def without_outliers(df: DataFrame, by: str = "name") -> DataFrame:
     """Collapses small segments, then drops the companies with unusual totals for a segment.
 
-    The collapsed table is read for the fences, for the outliers and for the result, so it is
-    written once.
+    Rows stay lazy: only segment sizes, fences and the names that go are written.
     """
-    collapsed = settle(collapse_segments(df, "market"), "segments")
-    return drop_outlier_entities(collapsed, "market", "funding_total_usd", by)
+    return drop_outlier_entities(collapse_segments(df, "market"), "market", "funding_total_usd", by)
 
 
 def busy_years(df: DataFrame, least: float = 50) -> DataFrame:
-    """Rows of the years with at least ``least`` rounds, read twice and so written once."""
-    dated = settle(df.withColumn("year", F.year("mid_funding_at")), "dated")
+    """Rows of the years with at least ``least`` rounds."""
+    dated = df.withColumn("year", F.year("mid_funding_at"))
     return filter_keys_with_min_total(dated, "year", "funding_rounds", least)
 
 
@@ -91,7 +87,7 @@ def yearly_dynamics(df: DataFrame) -> DataFrame:
     """Mean size of a round and the number of rounds per year."""
     size = F.try_divide(F.col("funding_total_usd"), F.col("funding_rounds"))
     return df.filter(F.col("year").isNotNull()).groupBy("year").agg(
-        fixed_mean(size, 4).alias("avg_round"),
+        mean(size).alias("avg_round"),
         F.sum("funding_rounds").alias("n_rounds"),
     )
 
@@ -102,7 +98,7 @@ def growing_segments(
     """``(market, year, total)`` of every year, for segments that grew between two years."""
     single = df.filter(F.col("market").isNotNull() & ~F.col("market").isin(list(merged)))
     yearly = single.filter(F.col("year").isNotNull()).groupBy("market", "year").agg(
-        exact_sum(F.col("funding_total_usd")).alias("total")
+        total(F.col("funding_total_usd")).alias("total")
     )
     grew = growing_keys(yearly, "market", "year", "total", earlier, later).select("market")
     return join_on_keys(yearly, grew, ["market"], "left_semi")
@@ -111,7 +107,7 @@ def growing_segments(
 def long_by_year(df: DataFrame, year: str, types: Sequence[str]) -> DataFrame:
     """``(year, type, amount)``: sums per year and type; a type without amounts gives zero."""
     sums = df.filter(F.col(year).isNotNull()).groupBy(F.col(year).alias("year")).agg(
-        *[F.coalesce(exact_sum(F.col(c)), F.lit(0.0)).alias(c) for c in types]
+        *[F.coalesce(total(F.col(c)), F.lit(0.0)).alias(c) for c in types]
     )
     return sums.unpivot(["year"], list(types), "type", "amount")
 

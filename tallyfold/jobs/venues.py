@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import contains_all, exact_mean, narrow_to_byte, narrow_to_short, normalize_text
+from ..functions import contains_all, mean, narrow_to_byte, narrow_to_short, normalize_text
 from ..functions import ordinal_lookup
 from ..operators.aggregates import top_k_with_ties
 from ..operators.quality import dedup_keep_first
@@ -68,7 +68,7 @@ def chains(venues: DataFrame) -> DataFrame:
         (F.col("chain") == 1) & F.col("name").isNotNull() & F.col("category").isNotNull()
     )
     return members.groupBy("name", "category").agg(
-        F.count("name").alias("cnt"), exact_mean(F.col("rating")).alias("avg")
+        F.count("name").alias("cnt"), mean(F.col("rating")).alias("avg")
     )
 
 
@@ -80,5 +80,5 @@ def top_chains(venues: DataFrame, k: int = 15) -> DataFrame:
 def mean_by(df: DataFrame, key: str, value: str) -> DataFrame:
     """Mean of a measure per class; rows without a class are left out."""
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        exact_mean(F.col(value)).alias("mean")
+        mean(F.col(value)).alias("mean")
     )

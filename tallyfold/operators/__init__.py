@@ -10,9 +10,10 @@ from .outliers import (
     iqr_fences, iqr_null_upper, iqr_outliers, percentile_limits, percentile_trim,
 )
 from .quality import (
-    count_duplicates, dedup_keep_first, domain_check, duplicate_groups, fill_group_mean,
+    count_duplicates, dedup_keep_first, domain_check, downcast, duplicate_groups, fill_group_mean,
     hidden_duplicates, implausible_dates, key_uniqueness, missing_share_by, missing_stats,
-    missingness_rule, period_completeness, row_loss_report, snake_case_columns, unfill_sentinel,
+    missingness_rule, narrowest_types, period_completeness, row_loss_report, snake_case_columns,
+    unfill_sentinel,
 )
 from .quantiles import column_quantiles, exact_quantiles, group_median, quantile_columns
 from .reshape import aligned_ratio, growing_keys, pivot_count, pivot_sum
@@ -21,12 +22,12 @@ from .segments import collapse_segments, size_classes, span_class
 __all__ = [
     "FLAT_TRIMS", "Trim", "aligned_ratio", "binned", "boxplot_stats", "categorical_crosscount",
     "chi_square", "collapse_segments", "column_quantiles", "contingency_table", "count_duplicates",
-    "cramers_v", "dedup_keep_first", "describe_column", "domain_check", "drop_outlier_entities",
+    "cramers_v", "dedup_keep_first", "describe_column", "domain_check", "downcast", "drop_outlier_entities",
     "duplicate_groups", "exact_quantiles", "fill_group_mean", "filter_keys_with_min_total",
     "flag_iqr_outliers", "group_median", "growing_keys", "hidden_duplicates", "histogram",
     "implausible_dates", "iqr_fences", "iqr_null_upper", "iqr_outliers", "join_on_keys",
     "key_uniqueness", "missing_share_by", "missing_stats", "missingness_rule",
-    "percentile_limits", "percentile_trim", "per_column_totals", "period_completeness", "phik",
+    "narrowest_types", "percentile_limits", "percentile_trim", "per_column_totals", "period_completeness", "phik",
     "phik_matrix", "pivot_count", "pivot_sum", "quantile_columns", "row_loss_report",
     "running_max", "share_where", "size_classes", "snake_case_columns", "span_class", "sum_share",
     "top_k", "top_k_with_ties", "unfill_sentinel", "value_counts", "wide_sum", "with_group_size",

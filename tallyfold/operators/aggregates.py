@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import exact_sum, number, ratio
+from ..functions import number, ratio
+from ..functions import total as total_of
 from ..session import settle
 from .keys import join_on_keys
 from .quantiles import exact_quantiles
@@ -33,11 +34,9 @@ def with_share(
 
 def sum_share(df: DataFrame, key: str, value: str) -> DataFrame:
     """Sum of ``value`` per key (null keys left out) and its share of the total."""
-    money = F.sum(F.col(value).cast("decimal(18,2)"))
-    sums = df.filter(F.col(key).isNotNull()).groupBy(key).agg(money.alias("total"))
-    grand = sums.agg(F.sum("total").cast("double")).scalar()
-    total = F.col("total").cast("double")
-    return sums.select(key, total.alias("total"), F.try_divide(total, grand).alias("share"))
+    sums = df.filter(F.col(key).isNotNull()).groupBy(key).agg(total_of(F.col(value)).alias("total"))
+    grand = sums.agg(F.sum("total")).scalar()
+    return sums.select(key, "total", F.try_divide(F.col("total"), grand).alias("share"))
 
 
 def top_k(df: DataFrame, k: int, by: str, ties: Sequence[str]) -> DataFrame:
@@ -89,7 +88,7 @@ def per_column_totals(df: DataFrame, columns: Sequence[str], name: str = "type")
         long.unpivot([], list(columns), name, "value")
         .groupBy(name)
         .agg(
-            F.coalesce(exact_sum(F.col("value")), F.lit(0.0)).alias("total"),
+            F.coalesce(total_of(F.col("value")), F.lit(0.0)).alias("total"),
             F.count_if(F.col("value") > 0).alias("frequency"),
         )
     )
@@ -97,7 +96,7 @@ def per_column_totals(df: DataFrame, columns: Sequence[str], name: str = "type")
 
 def wide_sum(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     """Sum of each column per key; a column with no value sums to zero. Null keys left out."""
-    sums = [F.coalesce(exact_sum(F.col(c)), F.lit(0.0)).alias(c) for c in columns]
+    sums = [F.coalesce(total_of(F.col(c)), F.lit(0.0)).alias(c) for c in columns]
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(*sums)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exact_mean, normalize_text, ratio
+from ..functions import mean, normalize_text, number, ratio
 from ..session import settle
 from .keys import join_on_keys
 
@@ -48,16 +48,16 @@ def missing_share_by(df: DataFrame, key: str) -> DataFrame:
     )
 
 
-def fill_group_mean(df: DataFrame, column: str, keys: Sequence[str], scale: int = 2) -> DataFrame:
-    """Fills gaps with the mean of the rows with equal keys. A missing key equals nothing, so
-    those gaps stay.
+def fill_group_mean(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
+    """Fills gaps, "not a number" too, with the mean of the rows with equal keys. A missing key
+    equals nothing, so those gaps stay.
 
     Only the per-group means travel to the rows; no group is gathered in one place.
     """
     means = df.dropna(subset=list(keys)).groupBy(*keys).agg(
-        exact_mean(F.col(column), scale).alias("__mean")
+        mean(F.col(column)).alias("__mean")
     )
-    filled = F.coalesce(F.col(column).cast("double"), F.col("__mean"))
+    filled = F.coalesce(number(F.col(column)), F.col("__mean"))
     means = settle(means, "means")
     return join_on_keys(df, means, keys, "left").withColumn(column, filled).drop("__mean")
 
@@ -80,10 +80,12 @@ def count_duplicates(df: DataFrame) -> DataFrame:
 def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The row with the smallest ``order`` of each key combination; null equals null.
 
+    Rows without an order come last; rows with equal order are told apart by their other columns.
     An aggregate, not a row number: copies collapse before the shuffle, however many there are.
     """
-    rest = [c for c in df.columns if c not in keys] or [order]
-    first = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("__row"))
+    rest = [c for c in df.columns if c not in keys and c != order]
+    place = F.struct(F.col(order).isNull().alias("__last"), *[F.col(f"`{c}`") for c in (order, *rest)])
+    first = df.groupBy(*keys).agg(F.min(place).alias("__row"))
     return first.select(
         *[F.col(c) if c in keys else F.col(f"__row.`{c}`").alias(c) for c in df.columns]
     )
@@ -123,6 +125,31 @@ def row_loss_report(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def narrowest_types(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column_name, type)``: the narrowest whole-number type that holds every value of a column,
+    or double where a value has a fraction. One pass; nothing is changed by it."""
+    aggs = []
+    for i, c in enumerate(columns):
+        v = F.col(f"`{c}`")
+        aggs += [F.min(v).alias(f"lo_{i}"), F.max(v).alias(f"hi_{i}"), F.count_if(v != F.floor(v)).alias(f"cut_{i}")]
+
+    def fitting(i: int) -> Column:
+        found = F.lit("bigint")
+        for name, bits in (("int", 32), ("smallint", 16), ("tinyint", 8)):
+            top = 1 << (bits - 1)
+            found = F.when((F.col(f"lo_{i}") >= -top) & (F.col(f"hi_{i}") <= top - 1), F.lit(name)).otherwise(found)
+        return F.when(F.col(f"cut_{i}") > 0, F.lit("double")).otherwise(found)
+
+    rows = [F.struct(F.lit(c).alias("column_name"), fitting(i).alias("type")) for i, c in enumerate(columns)]
+    return df.agg(*aggs).select(F.inline(F.array(*rows)))
+
+
+def downcast(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns cast to the narrowest type that loses nothing. Reads the columns once when called."""
+    types = {r.column_name: r.type for r in narrowest_types(df, columns).collect()}
+    return df.withColumns({c: F.col(f"`{c}`").cast(types[c]) for c in columns})
+
+
 def missingness_rule(df: DataFrame, column: str, expected_missing: Column) -> DataFrame:
     """Do the gaps of a column follow a rule? Gaps, rule hits, and rows where the two differ."""
     gap = F.col(column).isNull()

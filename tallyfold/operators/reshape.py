@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import exact_sum, safe_ratio
+from ..functions import safe_ratio, total
 
 
 def pivot_count(
@@ -34,7 +34,7 @@ def pivot_sum(
     """Sums by row and by the given column values; null where nothing occurs."""
     return (
         df.filter(F.col(row).isNotNull()).groupBy(row).pivot(column, list(values))
-        .agg(exact_sum(F.col(value)))
+        .agg(total(F.col(value)))
     )
 
 
@@ -42,11 +42,11 @@ def growing_keys(
     df: DataFrame, key: str, period: str, value: str, earlier: object, later: object
 ) -> DataFrame:
     """``(key, earlier, later)`` totals of the keys that grew; both periods must have data."""
-    def total(p):
-        return exact_sum(F.when(F.col(period) == p, F.col(value)))
+    def during(p):
+        return total(F.when(F.col(period) == p, F.col(value)))
 
     both = df.filter(F.col(key).isNotNull() & F.col(period).isin(earlier, later))
-    sums = both.groupBy(key).agg(total(earlier).alias("earlier"), total(later).alias("later"))
+    sums = both.groupBy(key).agg(during(earlier).alias("earlier"), during(later).alias("later"))
     return sums.filter(F.col("later") > F.col("earlier"))
 
 

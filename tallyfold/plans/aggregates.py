@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import exact_mean, exact_sum, parse_number, ratio
+from ..functions import mean, parse_number, ratio, total
 from ..jobs import games, vacancies, venues
 from ..operators import (
     categorical_crosscount, describe_column, exact_quantiles, fill_group_mean, group_median,
@@ -13,7 +13,7 @@ from ..operators import (
     wide_sum, with_group_size, with_share,
 )
 from ..operators.quantiles import column_quantiles
-from .registry import exact_avg, query, ratio2
+from .registry import query, ratio2
 from .standins import ROUND_TYPES
 
 
@@ -50,20 +50,19 @@ def _(t):
 
 
 @query("group_sum", """
-    SELECT l_suppkey, CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS revenue
-    FROM lineitem GROUP BY l_suppkey""")
+    SELECT l_suppkey, SUM(l_extendedprice) AS revenue
+    FROM lineitem GROUP BY l_suppkey""", digits={"revenue": 2})
 def _(t):
-    return t("lineitem").groupBy("l_suppkey").agg(exact_sum(F.col("l_extendedprice")).alias("revenue"))
+    return t("lineitem").groupBy("l_suppkey").agg(total(F.col("l_extendedprice")).alias("revenue"))
 
 
-@query("group_avg", f"""
-    SELECT district, {exact_avg('middle_of_bill_range')} AS avg_bill, {exact_avg('rating', 1)}
-           AS avg_rating
-    FROM venues GROUP BY district""")
+@query("group_avg", """
+    SELECT district, AVG(middle_of_bill_range) AS avg_bill, AVG(rating) AS avg_rating
+    FROM venues GROUP BY district""", digits={"avg_bill": 6, "avg_rating": 6})
 def _(t):
     return t("venues").groupBy("district").agg(
-        exact_mean(F.col("middle_of_bill_range")).alias("avg_bill"),
-        exact_mean(F.col("rating"), 1).alias("avg_rating"))
+        mean(F.col("middle_of_bill_range")).alias("avg_bill"),
+        mean(F.col("rating")).alias("avg_rating"))
 
 
 def _whole_mean(c):
@@ -196,40 +195,38 @@ def _(t):
     return value_counts(t("games"), "rating")
 
 
-@query("named_aggregates", f"""
-    SELECT name, category, COUNT(name) AS cnt, {exact_avg('rating')} AS avg
-    FROM venues WHERE chain = 1 GROUP BY name, category""")
+@query("named_aggregates", """
+    SELECT name, category, COUNT(name) AS cnt, AVG(rating) AS avg
+    FROM venues WHERE chain = 1 GROUP BY name, category""", digits={"avg": 6})
 def _(t):
     return venues.chains(t("venues"))
 
 
 def _sums(columns):
     return ", ".join(
-        f"COALESCE(CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE), 0) AS {c}" for c in columns)
+        f"COALESCE(SUM({c}), 0) AS {c}" for c in columns)
 
 
 @query("wide_sum_by_year", f"""
     SELECT CAST(year(first_funding_at) AS INTEGER) AS year, {_sums(ROUND_TYPES)}
-    FROM rounds WHERE first_funding_at IS NOT NULL GROUP BY 1""")
+    FROM rounds WHERE first_funding_at IS NOT NULL GROUP BY 1""", digits={c: 2 for c in ROUND_TYPES})
 def _(t):
     rounds = t("rounds").withColumn("year", F.year("first_funding_at"))
     return wide_sum(rounds, "year", ROUND_TYPES)
 
 
 @query("per_column_totals", " UNION ALL ".join(
-    f"SELECT '{c}' AS type, COALESCE(CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE), 0) AS total, "
+    f"SELECT '{c}' AS type, COALESCE(SUM({c}), 0) AS total, "
     f"COUNT(*) FILTER (WHERE {c} > 0) AS frequency FROM rounds" for c in ROUND_TYPES
-))
+), digits={"total": 2})
 def _(t):
     return per_column_totals(t("rounds"), ROUND_TYPES)
 
 
 @query("sum_share", """
-    SELECT market, CAST(SUM(CAST(funding_total_usd AS DECIMAL(18,2))) AS DOUBLE) AS total,
-           CAST(SUM(CAST(funding_total_usd AS DECIMAL(18,2))) AS DOUBLE)
-           / (SELECT CAST(SUM(CAST(funding_total_usd AS DECIMAL(18,2))) AS DOUBLE) FROM rounds
-              WHERE market IS NOT NULL) AS share
-    FROM rounds WHERE market IS NOT NULL GROUP BY market""")
+    SELECT market, SUM(funding_total_usd) AS total, SUM(funding_total_usd)
+           / (SELECT SUM(funding_total_usd) FROM rounds WHERE market IS NOT NULL) AS share
+    FROM rounds WHERE market IS NOT NULL GROUP BY market""", digits={"total": 2, "share": 9})
 def _(t):
     return sum_share(t("rounds"), "market", "funding_total_usd")
 
@@ -269,13 +266,13 @@ def _(t):
         days.withColumn("__at", F.unix_date("day")), "users", "__at", ["event_type"]).drop("__at")
 
 
-@query("impute_group_mean", f"""
+@query("impute_group_mean", """
     WITH g AS (SELECT name, platform, year_of_release, na_sales,
                       TRY_CAST(eu_sales AS DOUBLE) AS eu_sales FROM games),
-    m AS (SELECT platform AS p, year_of_release AS y, {exact_avg('eu_sales')} AS mean FROM g
+    m AS (SELECT platform AS p, year_of_release AS y, AVG(eu_sales) AS mean FROM g
           GROUP BY platform, year_of_release)
     SELECT name, platform, year_of_release, na_sales, COALESCE(eu_sales, mean) AS eu_sales
-    FROM g LEFT JOIN m ON platform = p AND year_of_release = y""")
+    FROM g LEFT JOIN m ON platform = p AND year_of_release = y""", digits={"eu_sales": 6})
 def _(t):
     parsed = t("games").select(
         "name", "platform", "year_of_release", "na_sales",
@@ -315,17 +312,17 @@ def _(t):
     return top_k_with_ties(counts, 15, "n")
 
 
-@query("union_all", f"""
+@query("union_all", """
     SELECT 'поступило' AS month_category, CAST(EXTRACT(MONTH FROM o_orderdate) AS INTEGER) AS month,
-           COUNT(*) AS n, {exact_avg('o_totalprice')} AS avg_price FROM orders GROUP BY 2
+           COUNT(*) AS n, AVG(o_totalprice) AS avg_price FROM orders GROUP BY 2
     UNION ALL
     SELECT 'выполнено', CAST(EXTRACT(MONTH FROM o_orderdate) AS INTEGER), COUNT(*),
-           {exact_avg('o_totalprice')} FROM orders WHERE o_orderstatus = 'F' GROUP BY 2""")
+           AVG(o_totalprice) FROM orders WHERE o_orderstatus = 'F' GROUP BY 2""", digits={"avg_price": 6})
 def _(t):
     def months(rows, label):
         return rows.groupBy(F.month("o_orderdate").alias("month")).agg(
             F.lit(label).alias("month_category"), F.count(F.lit(1)).alias("n"),
-            exact_mean(F.col("o_totalprice")).alias("avg_price"))
+            mean(F.col("o_totalprice")).alias("avg_price"))
 
     orders = t("orders")
     return months(orders, "поступило").unionByName(

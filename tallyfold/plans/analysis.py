@@ -12,7 +12,7 @@ from ..operators import (
     drop_outlier_entities, growing_keys, histogram, iqr_null_upper, iqr_outliers, percentile_trim,
     phik_matrix, pivot_count, pivot_sum, size_classes, span_class, top_k_with_ties,
 )
-from .registry import exact_avg, query
+from .registry import query
 
 TRIMMED = """
     limits AS (SELECT quantile_disc(total_area, 0.99) AS area, quantile_disc(rooms, 0.99) AS rooms,
@@ -188,7 +188,7 @@ def _(t):
                            WHEN 'Западный административный округ' THEN 1
                            WHEN 'Северный административный округ' THEN 4 ELSE 8 END AS INTEGER)
                       AS distance, middle_of_bill_range AS bill FROM venues)
-    SELECT distance, {exact_avg('bill')} AS mean FROM v GROUP BY distance""")
+    SELECT distance, AVG(bill) AS mean FROM v GROUP BY distance""", digits={"mean": 6})
 def _(t):
     placed = t("venues").withColumn("distance", venue_jobs.distance())
     return venue_jobs.mean_by(placed, "distance", "middle_of_bill_range")
@@ -217,9 +217,8 @@ _YEARS = tuple(range(2000, 2017))
 
 
 @query("pivot_sum", "SELECT market, " + ", ".join(
-    f"CAST(SUM(CAST(funding_total_usd AS DECIMAL(18,2))) FILTER (WHERE year(first_funding_at) = {y}) "
-    f'AS DOUBLE) AS "{y}"' for y in _YEARS
-) + " FROM rounds WHERE market IS NOT NULL GROUP BY market")
+    f'SUM(funding_total_usd) FILTER (WHERE year(first_funding_at) = {y}) AS "{y}"' for y in _YEARS
+) + " FROM rounds WHERE market IS NOT NULL GROUP BY market", digits={str(y): 2 for y in _YEARS})
 def _(t):
     rounds = t("rounds").withColumn("year", F.year("first_funding_at"))
     return pivot_sum(rounds, "market", "year", _YEARS, "funding_total_usd")
@@ -227,11 +226,9 @@ def _(t):
 
 @query("growth_filter", """
     SELECT o_custkey,
-           CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE year(o_orderdate) = 1998)
-                AS DOUBLE) AS earlier,
-           CAST(SUM(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (WHERE year(o_orderdate) = 1999)
-                AS DOUBLE) AS later
-    FROM orders GROUP BY o_custkey HAVING later > earlier""")
+           SUM(o_totalprice) FILTER (WHERE year(o_orderdate) = 1998) AS earlier,
+           SUM(o_totalprice) FILTER (WHERE year(o_orderdate) = 1999) AS later
+    FROM orders GROUP BY o_custkey HAVING later > earlier""", digits={"earlier": 2, "later": 2})
 def _(t):
     orders = t("orders").select("o_custkey", "o_totalprice", F.year("o_orderdate").alias("year"))
     return growing_keys(orders, "o_custkey", "year", "o_totalprice", 1998, 1999)

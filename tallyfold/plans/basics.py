@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import contains_all, day_diff, excludes_all, exact_mean, exact_sum, starts_with
+from ..functions import contains_all, day_diff, excludes_all, mean, starts_with, total
 from ..operators import snake_case_columns, with_group_size
 from ..operators.reshape import aligned_ratio
 from ..session import scratch_path
 from ..sources import SCHEMAS, preview, read_csv, schema_profile
-from .registry import exact_avg, query
+from .registry import query
 
 def _csv_round_trip(t, sep):
     path = scratch_path(t.spark, "customer-csv")
@@ -152,11 +152,10 @@ def _(t):
 
 @query("scalar_subquery_filter", """
     SELECT c_custkey, c_acctbal FROM customer
-    WHERE c_acctbal > (SELECT CAST(SUM(CAST(c_acctbal AS DECIMAL(18,2))) AS DOUBLE)
-                              / COUNT(c_acctbal) FROM customer)""")
+    WHERE c_acctbal > (SELECT AVG(c_acctbal) FROM customer)""")
 def _(t):
     customer = t("customer").select("c_custkey", "c_acctbal")
-    limit = customer.agg(exact_mean(F.col("c_acctbal"))).scalar()
+    limit = customer.agg(mean(F.col("c_acctbal"))).scalar()
     return customer.filter(F.col("c_acctbal") > limit)
 
 
@@ -213,25 +212,25 @@ def _(t):
         "order_id", "rest_id", "city_id", "chain")
 
 
-@query("join_star", f"""
-    SELECT r_name, c_mktsegment, COUNT(o_orderkey) AS n, {exact_avg('o_totalprice')} AS avg_price
+@query("join_star", """
+    SELECT r_name, c_mktsegment, COUNT(o_orderkey) AS n, AVG(o_totalprice) AS avg_price
     FROM orders JOIN customer ON o_custkey = c_custkey
     JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
-    GROUP BY r_name, c_mktsegment""")
+    GROUP BY r_name, c_mktsegment""", digits={"avg_price": 6})
 def _(t):
     # Orders are added up per customer first, so a customer with very many orders is one row.
     per_customer = t("orders").groupBy("o_custkey").agg(
         F.count("o_orderkey").alias("n"),
-        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"),
+        total(F.col("o_totalprice")).alias("total"),
         F.count("o_totalprice").alias("priced"),
     )
-    mean = F.sum("total").cast("double") / F.sum("priced")
+    price = F.sum("total") / F.sum("priced")
     return (
         per_customer.join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
         .join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
         .join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         .groupBy("r_name", "c_mktsegment")
-        .agg(F.sum("n").alias("n"), mean.alias("avg_price"))
+        .agg(F.sum("n").alias("n"), price.alias("avg_price"))
     )
 
 
@@ -291,21 +290,21 @@ def _(t):
 
 @query("join_aligned_ratio", """
     WITH paid AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag AS type,
-                         CAST(SUM(CAST(l_tax AS DECIMAL(18,2))) AS DOUBLE) AS v
+                         SUM(l_tax) AS v
                   FROM lineitem WHERE year(l_shipdate) > 1995 GROUP BY 1, 2),
     sold AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_returnflag AS type,
-                    CAST(SUM(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS v
+                    SUM(l_extendedprice) AS v
              FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2)
     SELECT COALESCE(p.year, s.year) AS year, COALESCE(p.type, s.type) AS type,
            (p.v * 1000000) / s.v AS ratio
-    FROM paid p FULL JOIN sold s ON p.year = s.year AND p.type = s.type""")
+    FROM paid p FULL JOIN sold s ON p.year = s.year AND p.type = s.type""", digits={"ratio": 6})
 def _(t):
     lines = t("lineitem").select(
         F.year("l_shipdate").alias("year"), F.col("l_returnflag").alias("type"),
         "l_tax", "l_extendedprice")
 
     def amount(rows, column):
-        return rows.groupBy("year", "type").agg(exact_sum(F.col(column)).alias("v"))
+        return rows.groupBy("year", "type").agg(total(F.col(column)).alias("v"))
 
     return aligned_ratio(
         amount(lines.filter("year > 1995"), "l_tax"),

@@ -11,7 +11,7 @@ from ..operators import (
     implausible_dates, key_uniqueness, missing_share_by, missing_stats, missingness_rule,
     period_completeness, row_loss_report, unfill_sentinel,
 )
-from .registry import exact_avg, query, ratio2
+from .registry import query, ratio2
 
 _VENUE_GAPS = ("district", "hours", "seats", "price_cat", "bill_range", "middle_of_bill_range",
                "middle_of_coffee_cup_price")
@@ -151,14 +151,14 @@ _RAW_NAMES = {
     "other_sales": "Other sales", "critic_score": "Critic Score", "user_score": "User Score",
     "rating": "Rating",
 }
-_CLEAN_GAMES = f"""
+_CLEAN_GAMES = """
     WITH g AS (SELECT name, platform, year_of_release, lower(genre) AS genre, na_sales,
                       TRY_CAST(eu_sales AS DOUBLE) AS eu, TRY_CAST(jp_sales AS DOUBLE) AS jp,
                       other_sales, COALESCE(critic_score, -1) AS critic_score,
                       COALESCE(TRY_CAST(user_score AS DOUBLE), -1) AS user_score,
                       CASE WHEN rating = 'K-A' THEN 'E' ELSE rating END AS rating FROM games),
-    m AS (SELECT platform AS p, year_of_release AS y, {exact_avg('eu')} AS eu_mean,
-                 {exact_avg('jp')} AS jp_mean FROM g GROUP BY 1, 2),
+    m AS (SELECT platform AS p, year_of_release AS y, AVG(eu) AS eu_mean,
+                 AVG(jp) AS jp_mean FROM g GROUP BY 1, 2),
     clean AS (SELECT DISTINCT name, platform,
                      CAST(COALESCE(year_of_release, 0) AS SMALLINT) AS year_of_release, genre,
                      na_sales, COALESCE(eu, eu_mean) AS eu_sales, COALESCE(jp, jp_mean) AS jp_sales,
@@ -166,7 +166,7 @@ _CLEAN_GAMES = f"""
               FROM g LEFT JOIN m ON platform = p AND year_of_release = y)"""
 
 
-@query("clean_games", _CLEAN_GAMES + " SELECT * FROM clean")
+@query("clean_games", _CLEAN_GAMES + " SELECT * FROM clean", digits={"eu_sales": 6, "jp_sales": 6})
 def _(t):
     return games.clean_games(t("games").withColumnsRenamed(_RAW_NAMES))
 

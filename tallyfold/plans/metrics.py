@@ -8,7 +8,7 @@ from ..functions import midpoint
 from ..jobs import delivery, donors, estate, vacancies, venues, ventures
 from ..operators import value_counts
 from .analysis import SIZED, TRIMMED
-from .registry import exact_avg, fixed_avg, query, ratio2
+from .registry import query, ratio2
 from .standins import ROUND_TYPES
 
 _CITY = "ASIA"
@@ -220,9 +220,10 @@ def _(t):
 
 
 _CAPITAL, _TOWN = "NATION_0", "BUILDING"
-_MEANS = f"""{fixed_avg('last_price / total_area', 4)} AS avg_cost_per_meter,
-    {exact_avg('total_area')} AS avg_total_area"""
-_ROOMS = f"{exact_avg('rooms')} AS avg_rooms, {exact_avg('balcony')} AS avg_balcony"
+_MEANS = "AVG(last_price / total_area) AS avg_cost_per_meter, AVG(total_area) AS avg_total_area"
+_ROOMS = "AVG(rooms) AS avg_rooms, AVG(balcony) AS avg_balcony"
+_MEAN_DIGITS = {"avg_cost_per_meter": 4, "avg_total_area": 4}
+_ROOM_DIGITS = _MEAN_DIGITS | {"avg_rooms": 6, "avg_balcony": 6}
 
 
 @query("duration_profile", f"""
@@ -239,7 +240,7 @@ _ROOMS = f"{exact_avg('rooms')} AS avg_rooms, {exact_avg('balcony')} AS avg_balc
           FROM rows_ WHERE region IS NOT NULL GROUP BY region, exposition_category),
     totals AS (SELECT region AS r, SUM(flats_count) AS total FROM g GROUP BY region)
     SELECT g.*, {ratio2('flats_count', 'total')} AS share_into_region
-    FROM g JOIN totals ON region = r""")
+    FROM g JOIN totals ON region = r""", digits=_ROOM_DIGITS)
 def _(t):
     return estate.duration_profile(
         t("flats"), t("ads"), t("flat_cities"), t("flat_types"), capital=_CAPITAL, town=_TOWN)
@@ -264,7 +265,7 @@ _YEARS = f"type = '{_TOWN}' AND year(first_day_exposition) BETWEEN 1996 AND 1999
     m AS ({_season(estate.OPENED, 'first_day_exposition', _YEARS)}
           UNION ALL {_season(estate.CLOSED, 'last_day', _YEARS + ' AND last_day IS NOT NULL')})
     SELECT month_category, month, adv_count, avg_cost_per_meter, avg_total_area, rank,
-           {ratio2('adv_count', 'total')} AS share_into_month FROM m""")
+           {ratio2('adv_count', 'total')} AS share_into_month FROM m""", digits=_MEAN_DIGITS)
 def _(t):
     return estate.seasonality(
         t("flats"), t("ads"), t("flat_types"), town=_TOWN, first_year=1996, last_year=1999)
@@ -274,7 +275,8 @@ def _(t):
     WITH {_LISTED},
     m AS ({_season(estate.OPENED, 'first_day_exposition', 'TRUE')}
           UNION ALL {_season(estate.CLOSED, 'last_day', 'last_day IS NOT NULL')})
-    SELECT month_category, month, adv_count, avg_cost_per_meter, avg_total_area FROM m""")
+    SELECT month_category, month, adv_count, avg_cost_per_meter, avg_total_area FROM m""",
+       digits=_MEAN_DIGITS)
 def _(t):
     return estate.seasonality_overview(t("flats"), t("ads"))
 
@@ -284,9 +286,10 @@ def _(t):
     SELECT city, COUNT(a.id) AS adv_count,
            {ratio2('COUNT(a.id) FILTER (WHERE days_exposition IS NOT NULL)', 'COUNT(a.id)')}
                AS share_of_removed,
-           {exact_avg('days_exposition')} AS avg_days_exposition, {_MEANS}, {_ROOMS}
+           AVG(days_exposition) AS avg_days_exposition, {_MEANS}, {_ROOMS}
     FROM trimmed f JOIN ads a ON f.id = a.id JOIN flat_cities c ON f.city_id = c.city_id
-    WHERE city <> '{_CAPITAL}' GROUP BY city ORDER BY adv_count DESC, city LIMIT 15""")
+    WHERE city <> '{_CAPITAL}' GROUP BY city ORDER BY adv_count DESC, city LIMIT 15""",
+       digits=_ROOM_DIGITS | {"avg_days_exposition": 4})
 def _(t):
     return estate.top_places(t("flats"), t("ads"), t("flat_cities"), capital=_CAPITAL)
 
@@ -323,11 +326,11 @@ def _(t):
     return vacancies.grades(t("vacancies"), _LEFT_OUT)
 
 
-@query("top_chains", f"""
+@query("top_chains", """
     SELECT name, category, cnt, avg FROM (
-        SELECT name, category, COUNT(name) AS cnt, {exact_avg('rating')} AS avg,
+        SELECT name, category, COUNT(name) AS cnt, AVG(rating) AS avg,
                RANK() OVER (ORDER BY COUNT(name) DESC) AS r
-        FROM venues WHERE chain = 1 GROUP BY name, category) WHERE r <= 15""")
+        FROM venues WHERE chain = 1 GROUP BY name, category) WHERE r <= 15""", digits={"avg": 6})
 def _(t):
     return venues.top_chains(t("venues"))
 
@@ -376,13 +379,12 @@ def _(t):
 
 
 @query("funding_by_type", _DATED + ", s AS (" + " UNION ALL ".join(
-    f"SELECT '{c}' AS type, COALESCE(CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE), 0) AS total, "
+    f"SELECT '{c}' AS type, COALESCE(SUM({c}), 0) AS total, "
     f"COUNT(*) FILTER (WHERE {c} > 0) AS frequency FROM busy" for c in ROUND_TYPES
 ) + """) SELECT type, total, frequency,
-    round(total / (SELECT SUM(total) FROM s), 9) AS share FROM s""")
+    total / (SELECT SUM(total) FROM s) AS share FROM s""", digits={"total": 2, "share": 9})
 def _(t):
-    by_type = ventures.funding_by_type(_busy(t), ROUND_TYPES)
-    return by_type.withColumn("share", F.round("share", 9))
+    return ventures.funding_by_type(_busy(t), ROUND_TYPES)
 
 
 @query("funding_spans", """
@@ -397,25 +399,26 @@ def _(t):
     return value_counts(ventures.with_span_class(t("rounds")), "funding_periods_categories")
 
 
-@query("yearly_dynamics", _DATED + f"""
-    SELECT year, {fixed_avg('funding_total_usd / funding_rounds', 4)} AS avg_round,
-           CAST(SUM(funding_rounds) AS BIGINT) AS n_rounds FROM busy GROUP BY year""")
+@query("yearly_dynamics", _DATED + """
+    SELECT year, AVG(funding_total_usd / funding_rounds) AS avg_round,
+           CAST(SUM(funding_rounds) AS BIGINT) AS n_rounds FROM busy GROUP BY year""",
+       digits={"avg_round": 4})
 def _(t):
     return ventures.yearly_dynamics(_busy(t))
 
 
 @query("growing_segments", _DATED + """,
-    y AS (SELECT market, year, CAST(SUM(CAST(funding_total_usd AS DECIMAL(18,2))) AS DOUBLE) AS total
+    y AS (SELECT market, year, SUM(funding_total_usd) AS total
           FROM busy WHERE market NOT IN ('mid', 'niche') GROUP BY market, year)
     SELECT market, year, total FROM y WHERE market IN (
         SELECT a.market FROM y a JOIN y b ON a.market = b.market AND a.year = 2006 AND b.year = 2007
-        WHERE b.total > a.total)""")
+        WHERE b.total > a.total)""", digits={"total": 2})
 def _(t):
     return ventures.growing_segments(_busy(t), 2006, 2007)
 
 
 @query("return_rate", _DATED + ", invested AS (" + " UNION ALL ".join(
-    f"SELECT year, '{c}' AS type, COALESCE(CAST(SUM(CAST({c} AS DECIMAL(18,2))) AS DOUBLE), 0) AS v "
+    f"SELECT year, '{c}' AS type, COALESCE(SUM({c}), 0) AS v "
     "FROM busy GROUP BY year" for c in ROUND_TYPES
 ) + """),
     rates AS (SELECT COALESCE(r.year, i.year) AS year, COALESCE(r.type, i.type) AS type,
@@ -424,7 +427,7 @@ def _(t):
     f AS (SELECT type AS t, quantile_cont(ratio, 0.25) AS q1, quantile_cont(ratio, 0.75) AS q3
           FROM rates GROUP BY type)
     SELECT year, type, CASE WHEN NOT ratio > q3 + (q3 - q1) * 1.5 THEN ratio END AS ratio
-    FROM rates JOIN f ON type = t""")
+    FROM rates JOIN f ON type = t""", digits={"ratio": 6})
 def _(t):
     invested = ventures.long_by_year(_busy(t), "year", ROUND_TYPES)
     return ventures.return_rate(t("return_amounts"), invested)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,23 +16,34 @@ from .standins import Tables, expand_sql
 class Query:
     plan: Callable[[Tables], DataFrame]
     sql: str | None
+    digits: Mapping[str, int]
 
 
 QUERIES: dict[str, Query] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, digits: Mapping[str, int] | None = None):
+    """Registers a plan and its SQL twin.
+
+    ``digits`` rounds columns of the result, on both sides: sums and means of doubles differ in their
+    last bits with the order of the rows, within one engine too.
+    """
+    if sql is not None and digits:
+        rounded = ", ".join(f'ROUND("{c}", {d}) AS "{c}"' for c, d in digits.items())
+        sql = f"SELECT * REPLACE ({rounded}) FROM ({sql})"
+
     def add(plan: Callable[[Tables], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = Query(plan, None if sql is None else expand_sql(sql))
+        QUERIES[name] = Query(plan, None if sql is None else expand_sql(sql), digits or {})
         return plan
 
     return add
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain_types(QUERIES[name].plan(Tables(spark, sf_dir)))
+    found = plain_types(QUERIES[name].plan(Tables(spark, sf_dir)))
+    return found.withColumns({c: F.round(F.col(f"`{c}`"), d) for c, d in QUERIES[name].digits.items()})
 
 
 def plain_types(df: DataFrame) -> DataFrame:
@@ -52,14 +63,3 @@ def ratio2(numerator: str, denominator: str) -> str:
     """SQL for a quotient of whole numbers rounded half up to two digits, without float error."""
     n, d = f"CAST({numerator} AS HUGEINT)", f"CAST({denominator} AS HUGEINT)"
     return f"(CAST((200 * {n} + {d}) // (2 * {d}) AS DOUBLE) / 100)"
-
-
-def exact_avg(column: str, scale: int = 2) -> str:
-    """SQL for a mean added in decimal, like ``exact_mean``."""
-    return f"(CAST(SUM(CAST({column} AS DECIMAL(18,{scale}))) AS DOUBLE) / COUNT({column}))"
-
-
-def fixed_avg(expression: str, scale: int) -> str:
-    """SQL for a mean of quotients, like ``fixed_mean``."""
-    steps = f"CAST(FLOOR(({expression}) * {10**scale} + 0.5) AS DECIMAL(20,0))"
-    return f"(CAST(SUM({steps}) AS DOUBLE) / {10**scale} / COUNT({expression}))"

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import (
-    add_days, age_band, age_years, bin_half_open, day_diff, midpoint, narrow_to_byte,
+    add_days, age_band, age_years, bin_half_open, day_diff, midpoint, money, narrow_to_byte,
     narrow_to_short, normalize_text, ordinal_lookup, parse_date, parse_number, round_half_up,
     safe_ratio, strip_separators, three_bands,
 )
 from ..jobs.estate import DURATION_BANDS
 from ..jobs.games import CRITIC_EDGES, SCORE_LABELS
 from ..jobs.venues import DISTRICT_DISTANCE, FARTHEST
+from ..operators import narrowest_types
 from .registry import query
 
 
@@ -50,13 +51,29 @@ def _(t):
 
 
 @query("narrow_cast", """
-    SELECT p_partkey, CAST(p_size AS SMALLINT) AS size16, CAST(p_size AS TINYINT) AS size8,
-           TRY_CAST(p_partkey AS TINYINT) AS key8 FROM part""")
+    SELECT p_partkey, CAST(p_size AS SMALLINT) AS size16, CAST(p_size AS TINYINT) AS size8
+    FROM part""")
 def _(t):
     return t("part").select(
         "p_partkey", narrow_to_short(F.col("p_size")).alias("size16"),
-        narrow_to_byte(F.col("p_size")).alias("size8"),
-        narrow_to_byte(F.col("p_partkey")).alias("key8"))
+        narrow_to_byte(F.col("p_size")).alias("size8"))
+
+
+def _narrowest(column):
+    least, most = f"MIN({column})", f"MAX({column})"
+    fits = " ".join(
+        f"WHEN {least} >= {-(1 << bits - 1)} AND {most} <= {(1 << bits - 1) - 1} THEN '{name}'"
+        for name, bits in (("tinyint", 8), ("smallint", 16), ("int", 32)))
+    whole = f"COUNT(*) FILTER (WHERE {column} <> FLOOR({column})) > 0"
+    return f"SELECT '{column}' AS column_name, CASE WHEN {whole} THEN 'double' {fits} ELSE 'bigint' END AS type FROM lineitem"
+
+
+_MEASURES = ("l_orderkey", "l_linenumber", "l_quantity", "l_discount")
+
+
+@query("narrowest_types", " UNION ALL ".join(_narrowest(c) for c in _MEASURES))
+def _(t):
+    return narrowest_types(t("lineitem"), _MEASURES)
 
 
 @query("date_truncate", """
@@ -123,7 +140,7 @@ def _(t):
            CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(8,4)), 2)
                 AS DOUBLE) AS commission FROM lineitem""")
 def _(t):
-    exact = F.col("l_extendedprice").cast("decimal(18,2)") * F.col("l_discount").cast("decimal(8,4)")
+    exact = money(F.col("l_extendedprice")) * money(F.col("l_discount"), 4)
     return t("lineitem").select(
         "l_orderkey", "l_linenumber", round_half_up(exact, 2).alias("commission"))
 

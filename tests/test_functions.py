@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions import (
-    add_days, age_band, age_years, bin_half_open, contains_all, exact_mean, excludes_all, fixed_mean,
-    midpoint, narrow_to_byte, narrow_to_short, normalize_text, ordinal_lookup, parse_date,
-    parse_number, ratio, round_half_up, safe_ratio, starts_with, three_bands,
+    add_days, age_band, age_years, bin_half_open, contains_all, excludes_all, mean, midpoint, money,
+    narrow_to_byte, narrow_to_short, normalize_text, ordinal_lookup, parse_date, parse_number, ratio,
+    round_half_up, safe_ratio, starts_with, three_bands, total,
 )
+from tallyfold.operators import downcast
 
 
 def values(spark, data, schema, expression):
@@ -45,9 +46,18 @@ def test_parse_date(spark):
     assert got == [dt.date(2014, 1, 5), None, None, None, None, None]
 
 
-def test_narrowing_never_wraps(spark):
-    assert values(spark, [1, 127, 128, -129, None], "int", narrow_to_byte) == [1, 127, None, None, None]
-    assert values(spark, [1288, 40000], "int", narrow_to_short) == [1288, None]
+def test_narrowing_fails_instead_of_losing_values(spark):
+    assert values(spark, [1, 127, -128, None], "int", narrow_to_byte) == [1, 127, -128, None]
+    assert values(spark, [2000.0, None], "double", narrow_to_short) == [2000, None]
+    for value in (40000.0, 2000.5):
+        with pytest.raises(Exception, match="does not fit short"):
+            values(spark, [value], "double", narrow_to_short)
+
+
+def test_narrowest_type_that_fits(spark):
+    df = spark.createDataFrame([(1, 1288.0, 40000, 0.5), (None, -1.0, 5, 2.0)], "a long, b double, c long, d double")
+    assert [f.dataType.simpleString() for f in downcast(df, df.columns).schema] == ["tinyint", "smallint", "int", "double"]
+    assert [tuple(r) for r in downcast(df, df.columns).collect()] == [tuple(r) for r in df.collect()]
 
 
 def test_age_by_month_and_day(spark):
@@ -89,12 +99,22 @@ def test_rounding_is_decimal(spark):
     assert got == [0.15, 0.13, None]
 
 
-def test_means_do_not_depend_on_order(spark):
-    data = [(0.1,)] * 7 + [(1e9,), (0.2,), (None,)]
-    for part in (data, data[::-1]):
-        row = spark.createDataFrame(part, "v double").repartition(5).agg(
-            exact_mean(F.col("v")), fixed_mean(F.col("v"), 4)).first()
-        assert row[0] == row[1] == pytest.approx(1000000000.9 / 9, rel=1e-15)
+def test_sums_and_means_keep_all_digits(spark):
+    def both(values):
+        return tuple(spark.createDataFrame([(v,) for v in values], "v double").agg(total(F.col("v")), mean(F.col("v"))).first())
+
+    assert both([0.004, 0.004, 1.0]) == pytest.approx((1.008, 0.336), rel=1e-15)
+    assert both([1e17, 2e17]) == (3e17, 1.5e17)
+    assert both([0.00004]) == (0.00004, 0.00004)
+    assert both([1.0, float("nan"), None]) == (1.0, 1.0)
+    assert both([None]) == (None, None)
+
+
+def test_money_never_loses_digits(spark):
+    got = values(spark, [0.1, 1234.56, None], "double", money)
+    assert [None if v is None else str(v) for v in got] == ["0.10", "1234.56", None]
+    with pytest.raises(Exception, match="digits of money"):
+        values(spark, [0.004], "double", money)
 
 
 def test_zero_denominator(spark):

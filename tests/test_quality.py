@@ -134,3 +134,16 @@ def test_csv_round_trip_with_quotes_and_breaks(spark, rows):
 
 def test_settled_table_is_the_same(spark, rows):
     assert rows(settle(gaps(spark), "gaps")) == rows(gaps(spark))
+
+
+def test_dedup_keeps_rows_without_order_and_breaks_ties(spark):
+    df = spark.createDataFrame(
+        [("a", None, "x"), ("b", 2, "late"), ("b", 1, "q"), ("b", 1, "p"), ("c", None, "z"), ("c", 5, "y")], "k string, o int, p string")
+    got = sorted(tuple(r) for r in dedup_keep_first(df, ["k"], "o").collect())
+    assert got == [("a", None, "x"), ("b", 1, "p"), ("c", 5, "y")]
+
+
+def test_group_mean_fills_not_a_number_and_keeps_small_values(spark):
+    df = spark.createDataFrame([("a", 0.004), ("a", None), ("a", float("nan")), (None, None)], "k string, v double")
+    got = sorted((tuple(r) for r in fill_group_mean(df, "v", ["k"]).collect()), key=repr)
+    assert got == [("a", 0.004), ("a", 0.004), ("a", 0.004), (None, None)]
