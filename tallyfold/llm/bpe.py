@@ -21,8 +21,9 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .batches import slices, texts
@@ -280,16 +281,13 @@ def token_digests(
 
 def decode_ids(ids: Column, vocabulary: str) -> Column:
     """Text of an array of ids, special tokens included; null stays null."""
-    from pyspark.sql.functions import pandas_udf
-    from pyspark.sql import SparkSession
-
     with open(vocabulary, "rb") as f:
         source = f.read()
     name = hashlib.sha256(source).hexdigest()
     sent = SparkSession.active().sparkContext.broadcast(source)
 
-    @pandas_udf("string")
-    def decode(values: "pd.Series") -> "pd.Series":  # noqa: F821
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
         bpe = loaded(name, sent.value)
         return values.map(lambda v: None if v is None else bpe.decode(np.asarray(v, np.int64)).decode())
 
