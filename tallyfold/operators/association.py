@@ -7,8 +7,7 @@ per pair. What is left to solve is one number per pair, on a table with one row
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from functools import lru_cache
+from collections.abc import Callable, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -23,6 +22,8 @@ from .keys import with_row
 # Bins of an interval column, and the range the normal is cut to.
 INTERVAL_BINS = 10
 NORMAL_RANGE = 5.0
+#: Classes a column may have; the work for a pair grows with the product of its classes.
+MAX_CLASSES = 1000
 
 
 def binned(
@@ -97,15 +98,19 @@ def phik(cells: DataFrame) -> DataFrame:
 
     The correlation of a bivariate normal, cut into equally wide bins on [-5, 5], whose expected
     chi-square equals the one observed. The scale makes a correlation of one give the largest
-    possible chi-square, and the degrees of freedom are taken off as noise.
+    possible chi-square, and the degrees of freedom are taken off as noise. A column with more than
+    ``MAX_CLASSES`` values, such as an id, is an error.
     """
+    solver = phik_solver()
+
     @F.pandas_udf("double")
     def solve(chi2: pd.Series, n: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([phik_from_chi2(*row) for row in zip(chi2, n, left, right)], dtype=float)
+        return pd.Series([solver(*row) for row in zip(chi2, n, left, right)], dtype=float)
 
     solved = F.when(
-        F.least("n_left", "n_right") > 1, solve("chi2", "n", "n_left", "n_right")
-    )
+        F.greatest("n_left", "n_right") > MAX_CLASSES,
+        F.raise_error(F.concat("left_column", F.lit(" or "), "right_column", F.lit(f" has more than {MAX_CLASSES} classes"))),
+    ).when(F.least("n_left", "n_right") > 1, solve("chi2", "n", "n_left", "n_right"))
     return chi_square(cells).select("left_column", "right_column", solved.alias("phik"))
 
 
@@ -130,55 +135,63 @@ def phik_matrix(
     return one_way.select(F.inline(ways), "phik")
 
 
-@lru_cache(maxsize=1)
-def _normal_cdf_table() -> tuple[np.ndarray, np.ndarray]:
-    x = np.linspace(-10, 10, 200_001)
-    return x, np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in x])
-
-
-def _normal_cdf(x: np.ndarray) -> np.ndarray:
-    return np.interp(x, *_normal_cdf_table())
-
-
-def _cell_weight(rho: float, nx: int, ny: int) -> float:
-    """Sum over cells of (probability at rho - at 0)^2 / probability at 0."""
-    ex = np.linspace(-NORMAL_RANGE, NORMAL_RANGE, nx + 1)
-    ey = np.linspace(-NORMAL_RANGE, NORMAL_RANGE, ny + 1)
-    px, py = np.diff(_normal_cdf(ex)), np.diff(_normal_cdf(ey))
-    nodes, weights = np.polynomial.legendre.leggauss(4)
-    total = 0.0
-    for i in range(nx):
-        if rho >= 1:
-            lo, hi = np.maximum(ex[i], ey[:-1]), np.minimum(ex[i + 1], ey[1:])
-            joint = np.where(hi > lo, _normal_cdf(hi) - _normal_cdf(lo), 0.0)
-        else:
-            cuts = np.linspace(ex[i], ex[i + 1], max(2, math.ceil(200 / nx)) + 1)
-            half, mid = np.diff(cuts)[:, None] / 2, (cuts[:-1] + cuts[1:])[:, None] / 2
-            x = (mid + half * nodes).ravel()
-            dx = (half * weights).ravel() * np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
-            edges = (ey[None, :] - rho * x[:, None]) / math.sqrt(1 - rho * rho)
-            joint = dx @ np.diff(_normal_cdf(edges), axis=1)
-        free = np.maximum(px[i] * py, 1e-20)
-        total += float((((joint - free) ** 2) / free).sum())
-    return total
-
-
-def phik_from_chi2(chi2: float, n: int, nx: int, ny: int, steps: int = 30) -> float:
-    """Solves for the correlation by bisection."""
-    if min(nx, ny) < 2:
-        return math.nan
-    noise = (nx - 1) * (ny - 1)
-    largest = n * (min(nx, ny) - 1)
-    if chi2 <= noise:
-        return 0.0
-    if chi2 >= largest:
-        return 1.0
-    scale = (largest - noise) / (n * _cell_weight(1.0, nx, ny))
-    low, high = 0.0, 1.0
-    for _ in range(steps):
-        rho = (low + high) / 2
-        if noise + n * scale * _cell_weight(rho, nx, ny) < chi2:
-            low = rho
-        else:
-            high = rho
-    return (low + high) / 2
+def phik_solver() -> Callable[[float, int, int, int], float]:
+    """The function that solves for φK, whole in itself: it travels to executors that lack this package."""
+    grid = np.linspace(-10, 10, 200_001)
+    table = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in grid])
+    reach = NORMAL_RANGE
+
+    def cdf(x: np.ndarray) -> np.ndarray:
+        return np.interp(x, grid, table)
+
+    def cell_weight(rho: float, nx: int, ny: int) -> float:
+        """Sum over cells of (probability at rho - at 0)^2 / probability at 0."""
+        ex, ey = np.linspace(-reach, reach, nx + 1), np.linspace(-reach, reach, ny + 1)
+        px, py = np.diff(cdf(ex)), np.diff(cdf(ey))
+        # Narrow classes need few nodes; some classes at a time, so that memory stays bounded.
+        cuts = max(1, math.ceil(200 / nx))
+        nodes, weights = np.polynomial.legendre.leggauss(4 if nx < 200 else 2)
+        width = 2 * reach / nx / cuts
+        step = max(1, 2_000_000 // (cuts * len(nodes) * (ny + 1)))
+        total = 0.0
+        for start in range(0, nx, step):
+            left = ex[start:min(start + step, nx)]
+            if rho >= 1:
+                lo = np.maximum(left[:, None], ey[:-1])
+                hi = np.minimum(left[:, None] + 2 * reach / nx, ey[1:])
+                joint = np.where(hi > lo, cdf(hi) - cdf(lo), 0.0)
+            else:
+                mid = left[:, None] + width * (np.arange(cuts) + 0.5)
+                x = mid[:, :, None] + width / 2 * nodes
+                dx = width / 2 * weights * np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+                edges = (ey - rho * x[..., None]) / math.sqrt(1 - rho * rho)
+                joint = np.einsum("icn,icny->iy", dx, np.diff(cdf(edges), axis=-1))
+            free = np.maximum(px[start:start + len(left), None] * py, 1e-20)
+            total += float((((joint - free) ** 2) / free).sum())
+        return total
+
+    def solve(chi2: float, n: int, nx: int, ny: int, steps: int = 30) -> float:
+        """Solves for the correlation by bisection."""
+        if min(nx, ny) < 2:
+            return math.nan
+        noise = (nx - 1) * (ny - 1)
+        largest = n * (min(nx, ny) - 1)
+        if chi2 <= noise:
+            return 0.0
+        if chi2 >= largest:
+            return 1.0
+        scale = (largest - noise) / (n * cell_weight(1.0, nx, ny))
+        low, high = 0.0, 1.0
+        for _ in range(steps):
+            rho = (low + high) / 2
+            if noise + n * scale * cell_weight(rho, nx, ny) < chi2:
+                low = rho
+            else:
+                high = rho
+        return (low + high) / 2
+
+    solve.cell_weight = cell_weight
+    return solve
+
+
+phik_from_chi2 = phik_solver()

@@ -1,11 +1,14 @@
 import math
+import os
+import subprocess
+import sys
 
 import numpy as np
 import pandas as pd
 import pytest
 
 from tallyfold.operators import binned, chi_square, contingency_table, cramers_v, phik_matrix
-from tallyfold.operators.association import _cell_weight, phik_from_chi2
+from tallyfold.operators.association import phik_from_chi2
 
 
 @pytest.fixture(scope="module")
@@ -66,15 +69,15 @@ def _weight_on_a_grid(rho, nx, ny, n=1200):
 
 @pytest.mark.parametrize("rho,nx,ny", [(0.3, 4, 4), (0.6, 3, 5), (0.8, 2, 6), (0.9, 4, 3)])
 def test_cell_weight(rho, nx, ny):
-    assert _cell_weight(rho, nx, ny) == pytest.approx(_weight_on_a_grid(rho, nx, ny), rel=2e-2)
+    assert phik_from_chi2.cell_weight(rho, nx, ny) == pytest.approx(_weight_on_a_grid(rho, nx, ny), rel=2e-2)
 
 
 def test_solution_inverts_the_weight():
     n, nx, ny = 5000, 4, 5
     noise, largest = 12, n * 3
-    scale = (largest - noise) / (n * _cell_weight(1.0, nx, ny))
+    scale = (largest - noise) / (n * phik_from_chi2.cell_weight(1.0, nx, ny))
     for rho in (0.2, 0.5, 0.8):
-        chi2 = noise + n * scale * _cell_weight(rho, nx, ny)
+        chi2 = noise + n * scale * phik_from_chi2.cell_weight(rho, nx, ny)
         assert phik_from_chi2(chi2, n, nx, ny) == pytest.approx(rho, abs=1e-5)
     assert phik_from_chi2(5.0, n, nx, ny) == 0.0
     assert phik_from_chi2(largest, n, nx, ny) == 1.0
@@ -103,3 +106,32 @@ def test_columns_are_told_apart_by_type(spark, people):
     assert guessed == stated and len(guessed) == 6 and guessed["a", "flag"] == 1.0
     cells = contingency_table(binned(df, ["a"], ["size"]), ["a", "size"])
     assert cells.agg({"n": "sum"}).first()[0] == len(frame) - 1
+
+
+def test_columns_with_too_many_classes_are_an_error(spark):
+    df = spark.range(1200).selectExpr("cast(id as string) AS name", "id % 3 AS kind")
+    with pytest.raises(Exception, match="more than 1000 classes"):
+        phik_matrix(df, ["name", "kind"], []).collect()
+
+
+def test_many_classes_are_solved_alike():
+    """Finer integration agrees where the number of nodes changes with the number of classes."""
+    few, many = (phik_from_chi2.cell_weight(0.5, n, 6) for n in (199, 201))
+    assert few == pytest.approx(many, rel=2e-2)
+
+
+def test_solver_travels_to_workers_without_the_package(tmp_path):
+    """From another folder, where only the driver can import the package."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {repo!r})
+from tallyfold.session import local_session
+from tallyfold.operators import phik_matrix
+spark = local_session(cpus=2, shuffle_partitions=2)
+df = spark.range(200).selectExpr("id % 3 AS a", "id % 6 AS b")
+print("rows", phik_matrix(df, ["a", "b"], []).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows 2" in done.stdout, done.stderr[-2000:]
