@@ -73,6 +73,17 @@ def _(t):
     return top_k_with_ties(shares, 15, "share").select("market", "share")
 
 
+@query("top_outlier_collapsed", f"""
+    WITH {SIZED}, {_fenced('collapsed')},
+    s AS (SELECT market, COUNT(name) FILTER (WHERE odd) / CAST(COUNT(market) AS DOUBLE) AS share
+          FROM flagged WHERE market IS NOT NULL GROUP BY market)
+    SELECT market, share FROM (SELECT *, RANK() OVER (ORDER BY share DESC) AS r FROM s) WHERE r <= 15""")
+def _(t):
+    merged = collapse_segments(t("rounds"), "market")
+    shares = iqr_outliers(merged, "market", "funding_total_usd", "name")
+    return top_k_with_ties(shares.filter(F.col("market").isNotNull()), 15, "share").select("market", "share")
+
+
 @query("drop_outlier_entities", f"""
     WITH {_fenced('rounds')}
     SELECT id, name, market, funding_total_usd FROM rounds

@@ -72,6 +72,16 @@ def _(t):
     return count_duplicates(t("documents").select("text", "lang"))
 
 
+@query("dedup_all_columns", """
+    SELECT COUNT(*) AS n_distinct, CAST(SUM(n) AS BIGINT) AS n_rows,
+           CAST(SUM(n - 1) AS BIGINT) AS n_extra
+    FROM (SELECT COLUMNS(*), COUNT(*) AS n FROM (
+        SELECT * FROM games UNION ALL SELECT * FROM games WHERE length(name) % 7 = 0) GROUP BY ALL)""")
+def _(t):
+    copied = t("games").unionAll(t("games").filter(F.length("name") % 7 == 0))
+    return count_duplicates(copied)
+
+
 @query("dedup_keep_first", """
     SELECT doc_id, source, n_chars, text FROM documents
     QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1""")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import midpoint
 from ..jobs import delivery, donors, estate, vacancies, venues, ventures
-from ..operators import value_counts
+from ..operators import sum_share, value_counts
 from .analysis import SIZED, TRIMMED
 from .registry import query, ratio2
 from .standins import ROUND_TYPES
@@ -399,6 +399,24 @@ def _(t):
     return value_counts(ventures.with_span_class(t("rounds")), "funding_periods_categories")
 
 
+@query("funding_span_volume", """
+    SELECT funding_periods_categories, total, total / SUM(total) OVER () AS share FROM (
+    SELECT CASE WHEN funding_rounds = 1 THEN 'Единичное финансирование'
+                WHEN last_funding_at IS NULL THEN 'Вне описанных категорий'
+                WHEN last_funding_at - first_funding_at <= 365 THEN 'Срок финансирования до года'
+                ELSE 'Срок финансирования более года' END AS funding_periods_categories,
+           SUM(funding_total_usd) AS total FROM rounds GROUP BY 1)""", digits={"total": 2, "share": 9})
+def _(t):
+    return sum_share(ventures.with_span_class(t("rounds")), "funding_periods_categories", "funding_total_usd")
+
+
+@query("returns_by_type", """
+    SELECT type, SUM(amount) AS total, SUM(amount) / (SELECT SUM(amount) FROM return_amounts) AS share
+    FROM return_amounts GROUP BY type""", digits={"total": 6, "share": 9})
+def _(t):
+    return sum_share(t("return_amounts"), "type", "amount")
+
+
 @query("yearly_dynamics", _DATED + """
     SELECT year, AVG(funding_total_usd / funding_rounds) AS avg_round,
            CAST(SUM(funding_rounds) AS BIGINT) AS n_rounds FROM busy GROUP BY year""",
