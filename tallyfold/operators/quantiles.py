@@ -1,11 +1,12 @@
 """Exact quantiles that never hold a group in one task's memory.
 
-Spark's own ``percentile`` keeps every distinct value of a group in one buffer. Here the values
-are first counted, so that copies collapse before the shuffle. A wanted rank is then located in
-steps: among the cells of values that share sign, magnitude and four leading digits, by a running
-count over cells; inside that cell, among cells of ten digits; and last among the values of that
-cell. However the values lie, a step orders no more than some millions of rows per group, because
-a double has seventeen digits.
+Spark's own ``percentile`` keeps every distinct value of a group in one buffer. Here a wanted rank is
+located in steps, each a scan of the one column that is counted before it is shuffled: among the
+cells of values that share sign, magnitude and four leading digits, by a running count over cells;
+inside that cell, among cells of ten digits; and last among the values of that cell. Only cells, and
+the values of the last cells, cross the network. However the values lie, a step orders no more than
+some millions of rows per group, because a double has seventeen digits. The located cells, a row for
+each group and rank, are written as they are found, so calling this runs two jobs.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import settle
 from .keys import join_on_keys
 
 COARSE, FINE = 4, 10
@@ -81,22 +83,23 @@ def exact_quantiles(
     columns = [F.col(k) for k in keys] or [F.lit(1).alias(_ALL)]
     by = [f"`{k}`" for k in groups]
 
-    counted = (
+    rows = (
         df.select(*columns, F.col(value).cast("double").alias("__v"))
         .filter("__v IS NOT NULL AND NOT isnan(__v)")
-        .groupBy(*groups, "__v").agg(F.expr("count(1) AS __n"))
     )
-    coarse = counted.selectExpr(*by, "__v", "__n", f"{_cell(COARSE)} AS __cell")
-    fine = counted.selectExpr(*by, "__v", "__n", f"{_cell(FINE)} AS __cell")
+    coarse = rows.selectExpr(*by, "__v", f"{_cell(COARSE)} AS __cell")
+    fine = rows.selectExpr(*by, "__v", f"{_cell(FINE)} AS __cell")
 
     def in_located(values: DataFrame, cells: DataFrame) -> DataFrame:
+        # Written first, a row for each group and rank: its size is known and it travels to the rows.
+        cells = settle(cells, "quantile-cells")
         return join_on_keys(values, cells, groups, never_null=["__cell"], small_right=few)
 
     # Cells of four digits that hold a wanted rank, with the count of all that lies before.
     wanted = _wanted_ranks(probs, method)
     chosen = ", ".join(f"CASE WHEN {_holds(rank)} THEN {it} END" for rank, it in wanted)
     located = (
-        coarse.groupBy(*groups, "__cell").agg(F.expr("sum(__n) AS __n"))
+        coarse.groupBy(*groups, "__cell").agg(F.expr("count(1) AS __n"))
         .selectExpr(
             *by, "__cell", "__n", f"{_running('__cell', groups)} AS __upto",
             f"sum(__n) OVER (PARTITION BY {', '.join(by)}) AS __total",
@@ -110,8 +113,8 @@ def exact_quantiles(
     along = [*groups, "p", "upper"]
     closer = (
         in_located(coarse, located)
-        .selectExpr(*target, "__n", f"{_cell(FINE)} AS __cell")
-        .groupBy(*groups, *target[len(by):], "__cell").agg(F.expr("sum(__n) AS __n"))
+        .selectExpr(*target, f"{_cell(FINE)} AS __cell")
+        .groupBy(*groups, *target[len(by):], "__cell").agg(F.expr("count(1) AS __n"))
         .selectExpr(*target, "__cell", "__n",
                     f"__before + {_running('__cell', along)} AS __upto")
         .filter(_holds("rank"))
@@ -119,6 +122,7 @@ def exact_quantiles(
     )
     found = (
         in_located(fine, closer)
+        .groupBy(*groups, *target[len(by):], "__v").agg(F.expr("count(1) AS __n"))
         .selectExpr(*target[:-1], "__v", "__n", f"__before + {_running('__v', along)} AS __upto")
         .filter(_holds("rank"))
         .groupBy(*groups, "p")

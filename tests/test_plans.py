@@ -52,10 +52,13 @@ def test_top_k_sorts_no_full_table(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_quantiles_scan_and_shuffle_the_values_once(spark, sf_dir):
+def test_quantiles_shuffle_only_values_of_located_cells(spark, sf_dir):
+    """The raw values meet the located cells in a broadcast join, below the only shuffle that carries them."""
     lines = Tables(spark, sf_dir)("lineitem")
     plan = final_plan(exact_quantiles(lines, "l_extendedprice", [0.25, 0.75], ["l_returnflag"]))
-    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+    assert plan.count("l_extendedprice:double") == 1 and "SortMergeJoin" not in plan
+    values = next(i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line and "__v" in line)
+    assert "BroadcastHashJoin" in "\n".join(plan.splitlines()[values:])
 
 
 def test_aggregates_combine_before_the_shuffle(spark, sf_dir):
