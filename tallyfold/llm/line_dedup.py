@@ -85,22 +85,45 @@ def may_match(a: str, b: str) -> Column:
     return (100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)) & (rest >= least) & (apart <= n1 + n2 - 2 * least)
 
 
-def _lists(sets: DataFrame) -> DataFrame:
-    """Inverted lists with two classes or more; ``h`` is the earliest class of the list and size class."""
+def _listed(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
+    """A row for each class and member of its prefix (``g``); of the lists ``only``, if given."""
     classes = sets.groupBy("n", "d1", "d2", "p").agg(F.min(F.struct(*LINE)).alias("c"), F.first("prefix").alias("prefix"))
     rows = classes.select("c.k", "c.line", "n", "p", F.posexplode("prefix").alias("pos", "g"))
-    rows = rows.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int"))
-    by_list, by_size = W.partitionBy("g").orderBy("size_class", *LINE), W.partitionBy("g", "size_class").orderBy(*LINE)
-    head = F.first(F.struct("k", "line", "n", "pos", "p")).over(by_size)
-    rows = rows.withColumns({"before": F.lag("n").over(by_list), "after": F.lead("n").over(by_list), "h": head})
-    return rows.where("before IS NOT NULL OR after IS NOT NULL").select("g", *LINE, "n", "pos", "p", "h")
+    return rows if only is None else join_on_keys(rows, only, ["g"])
+
+
+def _later(rows: DataFrame) -> DataFrame:
+    """The same with ``h``, the earliest class of the list and size class, where the filters let it match."""
+    size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
+    head = F.first(F.struct("k", "line", "n", "pos", "p")).over(W.partitionBy("g", "size_class").orderBy(*LINE))
+    rows = rows.withColumn("size_class", size_class).withColumn("h", head)
+    rows = rows.select("*", *[F.col(f"h.{c}").alias(f"{c}_h") for c in ("k", "line", "n", "pos", "p")])
+    other = (F.col("k_h") != F.col("k")) | (F.col("line_h") != F.col("line"))
+    return rows.select("g", *LINE, "n", "pos", "p", F.when(other & may_match("", "_h"), F.struct(F.col("k_h").alias("k"), F.col("line_h").alias("line"))).alias("h"))
+
+
+def _pairs(rows: DataFrame, heads: bool) -> DataFrame:
+    """Pairs of a class (``k``, ``line``) and an earlier one (``hk``, ``hline``) that the filters pass, with the
+    number of lists ``c`` they meet in. With ``heads`` a class that has a head in a list meets only that one."""
+    later = _later(rows) if heads else rows.withColumn("h", F.lit(None).cast("struct<k: long, line: int>"))
+    earlier = rows.select("g", *[F.col(c).alias(f"{c}_x") for c in ("k", "line", "n", "pos", "p")])
+    place = F.struct(F.col("k_x").alias("k"), F.col("line_x").alias("line"))
+    before = (F.col("k_x") < F.col("k")) | ((F.col("k_x") == F.col("k")) & (F.col("line_x") < F.col("line")))
+    wanted = F.when(F.col("h").isNotNull(), F.col("h") == place).otherwise(before & may_match("", "_x"))
+    # Both sides are laid out by g already, from one shuffle.
+    met = later.join(earlier, "g").where(wanted)
+    pairs = met.groupBy(*LINE, F.col("k_x").alias("hk"), F.col("line_x").alias("hline"), F.col("h").isNotNull().alias("star"))
+    return pairs.agg(F.count(F.lit(1)).alias("c"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Later lines (``k``, ``line``) of pairs with an earlier one (``hk``, ``hline``) that match on their words."""
-    pairs = settle(pairs, "line-pairs")
-    ids = pairs.select(*LINE).union(pairs.select("hk", "hline")).distinct()
-    words = settle(join_on_keys(lines_of(docs), settle(ids, "line-ids"), LINE).dropDuplicates(LINE), "line-words")
+    pairs = settle(pairs.select(*LINE, "hk", "hline").distinct(), "line-pairs")
+    ids = settle(pairs.select(*LINE).union(pairs.select("hk", "hline")).distinct(), "line-ids")
+    lines = docs.select("k", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+    # Texts meet the wanted places before they are cut into words.
+    words = join_on_keys(lines, ids, LINE).dropDuplicates(LINE).select(*LINE, line_words(F.col("s")).alias("words"))
+    words = settle(words, "line-words")
     other = words.select(F.col("k").alias("hk"), F.col("line").alias("hline"), F.col("words").alias("hwords"))
     both = join_on_keys(join_on_keys(pairs, words, LINE), other, ["hk", "hline"])
     both = both.withColumn("o", F.size(F.array_intersect("words", "hwords")))
@@ -108,35 +131,26 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(100 * F.col("o") >= PERCENT * union).select(*LINE).distinct()
 
 
-def _earlier_pairs(lists: DataFrame, later: DataFrame) -> DataFrame:
-    """Pairs of the classes ``later`` with all earlier classes of their lists that the filters pass."""
-    y = join_on_keys(lists.drop("h"), later, LINE)
-    x = lists.select("g", *[F.col(c).alias(f"{c}_x") for c in ("k", "line", "n", "pos", "p")])
-    pairs = join_on_keys(y, x, ["g"]).where(may_match("", "_x"))
-    pairs = pairs.where((F.col("k_x") < F.col("k")) | ((F.col("k_x") == F.col("k")) & (F.col("line_x") < F.col("line"))))
-    return pairs.select(*LINE, F.col("k_x").alias("hk"), F.col("line_x").alias("hline")).distinct()
-
-
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """``k`` and ``line`` of every line that an earlier line matches; ``docs``: ``k``, ``text``."""
     sets = settle(described(lines_of(docs), word_levels(docs)), "line-sets")
-    lists = settle(_lists(sets), "line-lists")
-    members = lists.select(*LINE).distinct()
-    stars = lists.select(*LINE, "n", "pos", "p", *[F.col(f"h.{c}").alias(f"{c}_h") for c in ("k", "line", "n", "pos", "p")])
-    stars = stars.where((F.col("k_h") != F.col("k")) | (F.col("line_h") != F.col("line"))).where(may_match("", "_h"))
-    stars = stars.groupBy(*LINE, "k_h", "line_h").agg(F.count(F.lit(1)).alias("c"))
-    best = stars.groupBy(*LINE).agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("k_h").alias("hk"), F.col("line_h").alias("hline"))).alias("h"))
-    best = settle(best.select(*LINE, "h.hk", "h.hline"), "line-heads")
-    # Sets without such a head meet all earlier sets of their lists at once, the others if their head fails.
-    without = join_on_keys(members, best, LINE, how="left_anti")
-    gone = settle(_verified(best.union(_earlier_pairs(lists, without)), docs), "line-matches")
-    failed = settle(join_on_keys(best.select(*LINE), gone, LINE, how="left_anti"), "line-open")
-    gone = gone.union(_verified(_earlier_pairs(lists, failed), docs))
-    first = sets.groupBy("n", "d1", "d2").agg(F.min(F.struct(*LINE)).alias("c"))
-    gone = gone.select(F.struct(*LINE).alias("c")).distinct().withColumn("gone", F.lit(True))
-    first = settle(join_on_keys(first, gone, ["c"], how="left"), "line-classes")
+    met = settle(_pairs(_listed(sets), heads=True), "line-candidates")
+    # Of the heads in all its lists a set takes the one it meets most often.
+    stars = met.where("star").groupBy(*LINE).agg(
+        F.min(F.struct((-F.col("c")).alias("c"), F.col("hk"), F.col("hline"))).alias("h"))
+    stars = settle(stars.select(*LINE, "h.hk", "h.hline"), "line-heads")
+    direct = met.where("NOT star").select(*LINE, "hk", "hline")
+    gone = settle(_verified(stars.union(direct), docs), "line-matches")
+    # Sets whose head failed meet all earlier sets of their lists.
+    failed = settle(join_on_keys(stars.select(*LINE), gone, LINE, how="left_anti"), "line-open")
+    open_lists = join_on_keys(sets.select(*LINE, "prefix"), failed, LINE).select(F.explode("prefix").alias("g")).distinct()
+    again = join_on_keys(_pairs(_listed(sets, settle(open_lists, "line-open-lists")), heads=False), failed, LINE)
+    gone = settle(gone.union(_verified(again, docs)).distinct(), "line-gone")
+    first = sets.groupBy("n", "d1", "d2").agg(F.min(F.struct(*LINE)).alias("c")).select("n", "d1", "d2", "c.*")
+    first = join_on_keys(first, gone.withColumn("gone", F.lit(True)), LINE, how="left")
+    first = settle(first.select("n", "d1", "d2", F.struct(*LINE).alias("c"), F.coalesce("gone", F.lit(False)).alias("gone")), "line-classes")
     lost = join_on_keys(sets.select(*LINE, "n", "d1", "d2"), first, ["n", "d1", "d2"])
-    return lost.where(F.coalesce("gone", F.struct(*LINE) != F.col("c"))).select(*LINE)
+    return lost.where(F.col("gone") | (F.struct(*LINE) != F.col("c"))).select(*LINE)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
