@@ -5,7 +5,9 @@ The join works on relations between sets rather than on pairs of documents.
 1. Equal sets become one. Each set is ordered by rarity (a count sketch of all n-grams) and its prefix,
    of which two linked sets must share a member, goes into inverted lists, ordered by size.
 2. *Heads.* Within a list and a size class the first set is the head. A set is verified against the head
-   it meets most often, which also measures how it differs from it. What links so forms groups.
+   it meets most often, which also measures how it differs from it. Sets in crowded lists are verified
+   against a few more heads, each the least set in another order of the ids, unless they share a group
+   with it by then. What links so forms groups; of a large family of near copies little is left.
 3. *Skipping by blocks.* Lists whose sets are all of one group are done. The others are cut into blocks
    with the range of their sizes and the least position; pairs of blocks that cannot hold a link, or
    hold one group, are skipped as a whole.
@@ -42,6 +44,9 @@ N, PERCENT = 5, 80
 SKETCH_BITS = 17
 SLICE = 1 << 20
 BLOCK = 256
+#: Lists with so many sets of a size class are crowded; their sets meet a head for each of these orders.
+CROWD = 8
+ORDERS = (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF, 0x7FFFFFFFFFFFFFFF, 0x2492492492492492)
 
 
 def grams(words: Words, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -147,19 +152,24 @@ def linked() -> Column:
 
 
 def _lists(sets: DataFrame) -> DataFrame:
-    """Inverted lists with two or more sets: ``g``, set ``k``, its size and position, and its ``head``."""
+    """Inverted lists with two or more sets: ``g``, set ``k``, its size and position, its ``head``, and
+    ``m0``, ``m1``, ...: for crowded lists the least set in each of the orders, as its order value."""
     classes = sets.groupBy("n", "d1", "d2").agg(F.min("k").alias("k"), F.first("prefix").alias("prefix"))
     rows = classes.select("k", "n", F.posexplode("prefix").alias("pos", "g"))
     rows = rows.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / PERCENT)).cast("int"))
     by_list = W.partitionBy("g").orderBy("size_class", "n", "k")
     by_size = W.partitionBy("g", "size_class").orderBy("n", "k")
+    crowd = W.partitionBy("g", "size_class")
     rows = rows.withColumns({"before": F.lag("k").over(by_list), "after": F.lead("k").over(by_list), "head": F.first("k").over(by_size)})
-    return rows.where("before IS NOT NULL OR after IS NOT NULL").select("g", "k", "n", "pos", "head")
+    rows = rows.withColumn("crowd", F.count(F.lit(1)).over(crowd))
+    rows = rows.withColumns({f"m{i}": F.min(F.col("k").bitwiseXOR(F.lit(o))).over(crowd) for i, o in enumerate(ORDERS)})
+    least = [F.when(F.col("crowd") >= CROWD, F.col(f"m{i}")).alias(f"m{i}") for i in range(len(ORDERS))]
+    return rows.where("before IS NOT NULL OR after IS NOT NULL").select("g", "k", "n", "pos", "head", *least)
 
 
 def _open_pairs(lists: DataFrame, known: DataFrame) -> DataFrame:
     """Pairs of sets of different groups that share a list and may link; ``known``: set, group, head, overlap."""
-    rows = join_on_keys(lists.drop("head"), known, ["k"])
+    rows = join_on_keys(lists.select("g", "k", "n", "pos"), known, ["k"])
     mixed = rows.groupBy("g").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("g")
     rows = join_on_keys(rows, mixed, ["g"])
     place = F.row_number().over(W.partitionBy("g").orderBy("n", "pos", "k")) - 1
@@ -208,6 +218,19 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     answers = settle(verified(stars, texts), "gram-answers")
     first = settle(components(answers.where(linked()).select("a", "b")), "gram-groups")
 
+    # The further heads, where they may still join two groups.
+    orders = range(len(ORDERS))
+    other = lists.groupBy("k").agg(*[F.min(f"m{i}").alias(f"m{i}") for i in orders])
+    other = other.select(F.col("k").alias("a"), F.explode(F.array(*[F.col(f"m{i}").bitwiseXOR(F.lit(o)) for i, o in enumerate(ORDERS)])).alias("b"))
+    other = other.where("b IS NOT NULL AND a != b").distinct()
+    for side in "ab":
+        group = first.select(F.col("node").alias(side), F.col("component").alias(f"g{side}"))
+        other = join_on_keys(other, group, [side], how="left")
+    other = other.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
+    further = settle(verified(settle(other, "gram-further"), texts), "gram-further-answers")
+    links = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    first = settle(components(links.union(further.where(linked()).select("a", "b"))), "gram-groups")
+
     head = answers.select(F.col("a").alias("k"), F.col("b").alias("head"), "o")
     known = join_on_keys(members, head, ["k"], how="left")
     known = join_on_keys(known, first.select(F.col("node").alias("k"), "component"), ["k"], how="left")
