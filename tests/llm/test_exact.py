@@ -12,7 +12,7 @@ import pytest
 from tallyfold.llm import bpe, kd_shards, line_dedup, multi_index, ngram_jaccard, quality_rules, recompression, secret_scan
 from tallyfold.llm.components import components
 from tallyfold.llm.fingerprints import words_of
-from tallyfold.llm.queries import VOCABULARY
+from tallyfold.llm.queries import VOCABULARY, table
 
 
 def by_id(df):
@@ -196,12 +196,22 @@ def test_vector_groups(spark):
     rows += [(1000 + i, v, 1) for i, v in enumerate(odd)] + [(1100, [1.0] * 9, None), (1101, [1.0] * 9, None)]
     rows += [(1200 + i, rows[0][1], 0) for i in range(700)]
     df = spark.createDataFrame([(*r, 5, "x") for r in rows], "vec_id long, embedding array<double>, label int, u long, cell string")
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in multi_index.near_duplicates(df).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in multi_index.near_duplicates(df, recall=1).collect()}
     assert got == brute.vector_groups(rows)
     assert multi_index.near_duplicates(df.limit(0)).count() == 0
     assert {r.n_links for r in multi_index.near_duplicates(df.where("label IS NULL")).collect()} == {0}
 
 
+def test_recall_of_the_multi_index(spark):
+    df = table(spark, "/root/testdata/sf0.1", "embeddings")
+    rows = df.collect()
+    want = brute.vector_groups([(r.vec_id, r.embedding, r.label) for r in rows if r.label < 3])
+    got = {r.vec_id: r for r in multi_index.near_duplicates(df.where("label < 3")).collect()}
+    true = sum(w[0] for w in want.values())
+    assert true > 50 and sum(min(got[k].n_links, w[0]) for k, w in want.items()) >= 0.98 * true
+    assert all(got[k].n_links <= w[0] for k, w in want.items())
+
+
 def test_multi_sequence_visits_by_growing_bound():
     rng = np.random.default_rng(0)
     a, b = rng.random(7), rng.random(5)
