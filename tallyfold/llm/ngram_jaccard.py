@@ -4,10 +4,11 @@ The join works on relations between sets rather than on pairs of documents.
 
 1. Equal sets become one. Each set is ordered by rarity (a count sketch of all n-grams) and its prefix,
    of which two linked sets must share a member, goes into inverted lists, ordered by size.
-2. *Heads.* Within a list and a size class the first set is the head. A set is verified against the head
-   it meets most often, which also measures how it differs from it. Sets in crowded lists are verified
-   against a few more heads, each the least set in another order of the ids, unless they share a group
-   with it by then. What links so forms groups; of a large family of near copies little is left.
+2. *Heads.* Within a list and a size class the first set is the head, in crowded lists the set that is in
+   most crowded lists, which is the least changed of a family of near copies. A set is verified against
+   the head it meets most often, which also measures how it differs from it. Where that is no link, sets
+   in crowded lists are verified against a few more heads, each the least set in another order of the ids.
+   What links so forms groups; of a large family little is left.
 3. *Skipping by blocks.* Lists whose sets are all of one group are done. The others are cut into blocks
    with the range of their sizes and the least position; pairs of blocks that cannot hold a link, or
    hold one group, are skipped as a whole.
@@ -46,7 +47,7 @@ SLICE = 1 << 20
 BLOCK = 256
 #: Lists with so many sets of a size class are crowded; their sets meet a head for each of these orders.
 CROWD = 8
-ORDERS = (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x00FF00FF00FF00FF, 0x7FFFFFFFFFFFFFFF, 0x2492492492492492)
+ORDERS = (0x5555555555555555, 0x3333333333333333, 0x0F0F0F0F0F0F0F0F, 0x7FFFFFFFFFFFFFFF)
 
 
 def grams(words: Words, n: int = N) -> tuple[np.ndarray, np.ndarray]:
@@ -167,8 +168,28 @@ def _lists(sets: DataFrame) -> DataFrame:
     return rows.where("before IS NOT NULL OR after IS NOT NULL").select("g", "k", "n", "pos", "head", *least)
 
 
+def _central(lists: DataFrame) -> DataFrame:
+    """For each set in crowded lists (``a``) the set of those lists that is in most crowded lists (``b``)."""
+    crowded = lists.where("m0 IS NOT NULL").select("g", "k")
+    often = crowded.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    counted = join_on_keys(crowded, often, ["k"])
+    centre = counted.groupBy("g").agg(F.max(F.struct("c", (-F.col("k")).alias("m"))).alias("x"))
+    met = join_on_keys(crowded, centre, ["g"]).groupBy("k").agg(F.max("x").alias("x"))
+    return met.select(F.col("k").alias("a"), (-F.col("x.m")).alias("b"))
+
+
+def _bounds(side: str = "_") -> tuple[Column, Column]:
+    """Least and greatest overlap of two sets that the overlaps with a common head allow."""
+    c = lambda name, s: F.col(f"{name}{side}{s}")
+    same = F.coalesce(c("head", "x") == c("head", "y"), F.lit(False))
+    low = F.when(same, c("o", "x") + c("o", "y") - c("nh", "x")).otherwise(0)
+    high = F.when(same, F.least(c("o", "x"), c("o", "y")) + F.least(c("n", "x") - c("o", "x"), c("n", "y") - c("o", "y")))
+    return low, F.coalesce(high, F.least(c("n", "x"), c("n", "y")))
+
+
 def _open_pairs(lists: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs of sets of different groups that share a list and may link; ``known``: set, group, head, overlap."""
+    """Pairs of sets of different groups that share a list and may link, and whether they surely do;
+    ``known``: set, group, its head, their overlap and the size of the head."""
     rows = join_on_keys(lists.select("g", "k", "n", "pos"), known, ["k"])
     mixed = rows.groupBy("g").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("g")
     rows = join_on_keys(rows, mixed, ["g"])
@@ -184,21 +205,18 @@ def _open_pairs(lists: DataFrame, known: DataFrame) -> DataFrame:
         (100 * F.col("n_hi_x") >= PERCENT * F.col("n_lo_y")) & (rest >= needed(F.col("n_lo_x"), F.col("n_lo_y")))
         & ~((F.col("g_lo_x") == F.col("g_hi_x")) & (F.col("g_lo_x") == F.col("g_lo_y")) & (F.col("g_lo_y") == F.col("g_hi_y"))))
     pairs = pairs.select("g", "block_x", "block_y")
-    left, right = (rows.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "k", "n", "pos", "group", "head", "o")]) for s in "xy")
+    left, right = (rows.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("block", "k", "n", "pos", "group", "head", "o", "nh")]) for s in "xy")
     pairs = join_on_keys(join_on_keys(pairs, left, ["g", "block_x"]), right, ["g", "block_y"])
     least = needed(F.col("n_x"), F.col("n_y"))
     rest = 1 + F.least(F.col("n_x") - 1 - F.col("pos_x"), F.col("n_y") - 1 - F.col("pos_y"))
+    low, high = _bounds()
     pairs = pairs.where(
-        (F.col("group_x") != F.col("group_y")) & (100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y")) & (rest >= least)
+        (high >= least) & (F.col("group_x") != F.col("group_y")) & (100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y")) & (rest >= least)
         & ((F.col("block_x") < F.col("block_y")) | (F.col("k_x") < F.col("k_y"))))
-    swap = F.col("k_x") > F.col("k_y")
-    pick = lambda c: (F.when(swap, F.col(f"{c}_y")).otherwise(F.col(f"{c}_x")), F.when(swap, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y")))
-    out = []
-    for c, name in (("k", ""), ("n", "n"), ("head", "h"), ("o", "o")):
-        a, b = pick(c)
-        out += [a.alias(f"{name}a" if name else "a"), b.alias(f"{name}b" if name else "b")]
     # A pair verified with its head is known.
-    return pairs.select(*out).where("NOT (ha <=> b) AND NOT (hb <=> a)").distinct()
+    pairs = pairs.where("NOT (head_x <=> k_y) AND NOT (head_y <=> k_x)")
+    ends = (F.least("k_x", "k_y").alias("a"), F.greatest("k_x", "k_y").alias("b"))
+    return pairs.groupBy(*ends).agg(F.max(low >= least).alias("sure"))
 
 
 def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -211,40 +229,34 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     met = lists.where("head != k").groupBy("k", "head").agg(F.count(F.lit(1)).alias("c"))
     best = met.groupBy("k").agg(F.max(F.struct("c", (-F.col("head")).alias("m"))).alias("x"))
-    stars = settle(best.select(F.col("k").alias("a"), (-F.col("x.m")).alias("b")), "gram-heads")
+    best = best.select(F.col("k").alias("a"), (-F.col("x.m")).alias("b"))
+    central = settle(_central(lists), "gram-central")
+    stars = join_on_keys(best, central.select("a"), ["a"], how="left_anti").union(central.where("a != b"))
+    stars = settle(stars, "gram-heads")
     members = settle(lists.select("k").distinct(), "gram-members")
     wanted = join_on_keys(some.select("k", "t").distinct(), members, ["k"])
     texts = settle(join_on_keys(packed_texts(docs).dropDuplicates(["k", "t"]), wanted, ["k", "t"]).select("k", "z"), "gram-texts")
     answers = settle(verified(stars, texts), "gram-answers")
-    first = settle(components(answers.where(linked()).select("a", "b")), "gram-groups")
-
-    # The further heads, where they may still join two groups.
+    # The further heads of sets that are not linked to their first one.
     orders = range(len(ORDERS))
     other = lists.groupBy("k").agg(*[F.min(f"m{i}").alias(f"m{i}") for i in orders])
     other = other.select(F.col("k").alias("a"), F.explode(F.array(*[F.col(f"m{i}").bitwiseXOR(F.lit(o)) for i, o in enumerate(ORDERS)])).alias("b"))
     other = other.where("b IS NOT NULL AND a != b").distinct()
-    for side in "ab":
-        group = first.select(F.col("node").alias(side), F.col("component").alias(f"g{side}"))
-        other = join_on_keys(other, group, [side], how="left")
-    other = other.where(F.coalesce("ga", "a") != F.coalesce("gb", "b")).select("a", "b")
-    further = settle(verified(settle(other, "gram-further"), texts), "gram-further-answers")
-    links = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    first = settle(components(links.union(further.where(linked()).select("a", "b"))), "gram-groups")
-
-    head = answers.select(F.col("a").alias("k"), F.col("b").alias("head"), "o")
+    other = join_on_keys(other, answers.where(linked()).select("a"), ["a"], how="left_anti")
+    further = verified(settle(other, "gram-further"), texts)
+    links = answers.union(settle(further, "gram-further-answers")).where(linked()).select("a", "b")
+    first = components(links)
+
+    # An id with several texts has several answers, and none that would bound others.
+    head = answers.groupBy(F.col("a").alias("k")).agg(
+        F.max("b").alias("head"), F.max("o").alias("o"), F.max("nb").alias("nh"), F.count(F.lit(1)).alias("c"))
+    head = head.where("c = 1").drop("c")
     known = join_on_keys(members, head, ["k"], how="left")
     known = join_on_keys(known, first.select(F.col("node").alias("k"), "component"), ["k"], how="left")
-    known = settle(known.select("k", F.coalesce("component", "k").alias("group"), "head", "o"), "gram-known")
-    pairs = settle(_open_pairs(lists, known), "gram-pairs")
+    known = settle(known.select("k", F.coalesce("component", "k").alias("group"), "head", "o", "nh"), "gram-known")
     # With one head h: |x & y| >= |x & h| + |y & h| - |h|, and <= least overlap + least rest outside h.
-    sizes = answers.groupBy("b").agg(F.max("nb").alias("nh"))
-    derived = join_on_keys(pairs, sizes.select(F.col("b").alias("ha"), "nh"), ["ha"], how="left")
-    same = F.coalesce(F.col("ha") == F.col("hb"), F.lit(False))
-    low = F.when(same, F.col("oa") + F.col("ob") - F.col("nh")).otherwise(0)
-    high = F.when(same, F.least("oa", "ob") + F.least(F.col("na") - F.col("oa"), F.col("nb") - F.col("ob"))).otherwise(F.least("na", "nb"))
-    least = needed(F.col("na"), F.col("nb"))
-    derived = settle(derived.select("a", "b", (low >= least).alias("sure"), (high < least).alias("never")), "gram-derived")
-    more = settle(verified(derived.where("NOT sure AND NOT never"), texts), "gram-verified")
+    derived = settle(_open_pairs(lists, known), "gram-derived")
+    more = settle(verified(derived.where("NOT sure"), texts), "gram-verified")
     links = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     links = links.union(derived.where("sure").select("a", "b")).union(more.where(linked()).select("a", "b"))
     groups = components(links)
