@@ -11,8 +11,10 @@ first meets only the earliest set of its size class that it shares most lists wi
 that need no other pair. This keeps large groups of near copies from being paired among themselves.
 
 Rarity is the count of a word's bucket in a sketch of fixed size over all lines; it decides only the
-order. Lines with fewer than ``LEAST_WORDS`` distinct words are never removed. Null and empty texts have
-no lines to remove. Documents without an id keep all lines and remove none; rows with one id are one document.
+order. Sets of up to eight words match only equal sets, at 0.9, so they are in no list: their class says all.
+Every line with a word can be removed; blank lines have an empty set, which has no similarity, and stay. Null
+and empty texts have no lines to remove. Documents without an id keep all lines and remove none; rows with one
+id are one document.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from tallyfold.operators.keys import join_on_keys
 from tallyfold.session import settle
 
 PERCENT = 90
-LEAST_WORDS = 5
+LEAST_WORDS = 1
 SKETCH_BITS = 18
 SPACES = " \t\n\x0b\x0c\r"
 LINE = ["k", "line"]
@@ -66,7 +68,8 @@ def described(lines: DataFrame, levels: Column) -> DataFrame:
     sets = lines.select(*LINE, F.sort_array(F.transform("words", member)).alias("m"))
     n = F.size("m")
     parity = F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
-    kept = n - F.ceil(n * PERCENT / 100.0 - 1e-9).cast("int") + 1
+    # The nearest to a set that is not equal is the set with one word more.
+    kept = F.when(100 * n >= PERCENT * (n + 1), n - F.ceil(n * PERCENT / 100.0 - 1e-9).cast("int") + 1).otherwise(0)
     return sets.select(
         *LINE, n.alias("n"), F.xxhash64("m").alias("d1"), F.xxhash64(F.lit(1), "m").alias("d2"), parity.alias("p"),
         F.slice("m", 1, kept).alias("prefix"))
@@ -87,7 +90,7 @@ def may_match(a: str, b: str) -> Column:
 
 def _listed(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
     """A row for each class and member of its prefix (``g``); of the lists ``only``, if given."""
-    classes = sets.groupBy("n", "d1", "d2", "p").agg(F.min(F.struct(*LINE)).alias("c"), F.first("prefix").alias("prefix"))
+    classes = sets.where(F.size("prefix") > 0).groupBy("n", "d1", "d2", "p").agg(F.min(F.struct(*LINE)).alias("c"), F.first("prefix").alias("prefix"))
     rows = classes.select("c.k", "c.line", "n", "p", F.posexplode("prefix").alias("pos", "g"))
     return rows if only is None else join_on_keys(rows, only, ["g"])
 

@@ -151,6 +151,21 @@ def test_line_dedup_of_variants(spark):
     assert {k: r.removed for k, r in got.items() if r.removed} == want
 
 
+def test_line_dedup_of_short_lines(spark):
+    """Lines of one to twelve words, also in another order or with a word twice, and blank ones."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(12)]
+    lines = ["Menu", "", " \t", "All rights reserved", "rights All reserved"]
+    lines += [" ".join(rng.choices(words[:size], k=size + 1)) for size in range(1, 13) for _ in range(6)]
+    lines += [" ".join(rng.sample(words, size)) for size in range(8, 13) for _ in range(6)]
+    rows = [(i, "\n".join(rng.choices(lines, k=6))) for i in range(30)]
+    got = by_id(line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")))
+    want = brute.removed_lines(rows, line_dedup.PERCENT, 1)
+    assert {k: r.removed for k, r in got.items() if r.removed} == want
+    removed = [rows[k][1].split("\n")[i] for k, r in got.items() for i in r.removed]
+    assert "Menu" in removed and not any(s.strip() == "" for s in removed)
+
+
 def test_text_statistics(odd_docs, no_docs):
     rows, df = odd_docs
     out = quality_rules.judge_documents(df)
