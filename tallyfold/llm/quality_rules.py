@@ -7,8 +7,9 @@ Mahalanobis distance from the final estimate is beyond ``CUTOFF`` are rejected.
 bounds the nearest rows is a mergeable summary, so a hot source is never gathered in one task.
 
 Null texts count as empty, and an empty text has no words and fails the fixed limits. Null
-languages and sources form groups of their own. Groups with fewer than ``LEAST_ROWS`` rows that pass
-the fixed limits have no estimate and reject nothing. Repeated rows are each judged.
+languages and sources form groups of their own. A group with fewer than ``LEAST_ROWS`` rows that pass
+the fixed limits is judged by the estimate of its whole language, and if that has too few rows as well,
+by the estimate of all rows, however few. Repeated rows are each judged.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Fixed limits: least words, greatest share of repeated words in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Share of rows that the estimate keeps, estimation steps, least rows of a group.
+#: Share of rows that the estimate keeps, estimation steps, least rows of a group with an estimate of its own.
 NEAREST, STEPS, LEAST_ROWS = 0.75, 3, 50
 #: Squared distance beyond which a row is rejected (a chi-square with five degrees goes beyond 45
 #: once in 10^8), and that chi-square's median, to which distances are scaled.
@@ -128,12 +129,29 @@ def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
     return _cholesky(rows.groupBy(*keys).agg(*aggs))
 
 
-def robust_estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Centre (``m_i``), root of the covariance (``l_i_j``) and scale of each group with enough rows."""
+def _pools(level: Column) -> list[Column]:
+    """Names the rows that an estimate is made from: 0 for a language and source, 1 for a language, 2 for all."""
+    return [
+        level.alias("pool"), F.when(level < 2, F.col("g_lang")).alias("p_lang"),
+        F.when(level < 1, F.col("g_source")).alias("p_source")]
+
+
+def pools_of_groups(stats: DataFrame) -> DataFrame:
+    """The pool of each language and source: the smallest with enough rows that pass the fixed limits."""
+    groups = stats.groupBy("g_lang", "g_source").agg(F.count_if(~F.col("base_failed")).alias("n"))
+    groups = settle(groups, "quality-groups")
+    langs = groups.groupBy("g_lang").agg(F.sum("n").alias("n_lang"))
+    level = F.when(F.col("n") >= LEAST_ROWS, 0).when(F.col("n_lang") >= LEAST_ROWS, 1).otherwise(2)
+    groups = join_on_keys(groups, langs, ["g_lang"]).withColumn("level", level)
+    return settle(groups.select("g_lang", "g_source", *_pools(F.col("level"))), "quality-pools")
+
+
+def robust_estimates(rows: DataFrame, pools: DataFrame, keys: list[str]) -> DataFrame:
+    """Centre (``m_i``), root of the covariance (``l_i_j``) and scale of each of the ``pools`` with rows."""
     p = range(len(FEATURES))
-    middle = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), *[F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)])
-    middle = settle(middle.where(F.col("n") >= LEAST_ROWS).drop("n"), "quality-middle")
+    middle = join_on_keys(rows, pools, keys).groupBy(*keys).agg(
+        *[F.percentile_approx(f, 0.5, 1000).alias(f"m_{i}") for i, f in enumerate(FEATURES)])
+    middle = settle(middle, "quality-middle")
     off = [F.abs(F.col(f) - F.col(f"m_{i}")) for i, f in enumerate(FEATURES)]
     spread = join_on_keys(rows, middle, keys).groupBy(*keys).agg(
         *[F.percentile_approx(o, 0.5, 1000).alias(f"s_{i}") for i, o in enumerate(off)])
@@ -154,13 +172,16 @@ def robust_estimates(rows: DataFrame, keys: list[str]) -> DataFrame:
 def judge_documents(
     docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source",
 ) -> DataFrame:
-    """Key, the counts, ``base_failed``, ``distance`` (null without an estimate) and ``kept``."""
+    """Key, the counts, ``base_failed``, ``distance`` (null only if no row passes the fixed limits) and ``kept``."""
     docs = docs.select(
         F.col(key).alias("k"), F.col(lang).alias("g_lang"), F.col(source).alias("g_source"), F.col(text).cast("string").alias("text"))
-    keys = ["g_lang", "g_source"]
+    groups, keys = ["g_lang", "g_source"], ["pool", "p_lang", "p_source"]
     stats = settle(transformed(text_statistics(docs)), "quality-statistics")
-    estimates = robust_estimates(stats.where(~F.col("base_failed")).select(*keys, *FEATURES), keys)
-    judged = _distance(join_on_keys(stats, estimates, keys, how="left"))
+    pools = pools_of_groups(stats)
+    rows = stats.where(~F.col("base_failed")).select(*groups, *FEATURES, F.explode(F.array(*map(F.lit, range(3)))).alias("level"))
+    estimates = robust_estimates(rows.select(*_pools(F.col("level")), *FEATURES), pools.select(*keys).distinct(), keys)
+    estimates = settle(join_on_keys(pools, estimates, keys).drop(*keys), "quality-of-groups")
+    judged = _distance(join_on_keys(stats, estimates, groups, how="left"))
     distance = F.col("d2") / F.col("scale")
     return judged.select(
         F.col("k").alias(key), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

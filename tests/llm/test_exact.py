@@ -178,6 +178,25 @@ def test_text_statistics(odd_docs, no_docs):
     assert quality_rules.judge_documents(no_docs).count() == 0
 
 
+def test_small_groups_are_judged_by_their_language_or_by_all(spark):
+    rng = random.Random(5)
+
+    def text(size, n=80):
+        return " ".join("".join(rng.choices("abcdefghij", k=rng.randint(*size))) for _ in range(n + rng.randint(0, 60)))
+
+    plain, junk = (3, 8), (40, 60)
+    rows = [(i, text(plain), "en", "large") for i in range(150)]
+    rows += [(200 + i, text(plain), "en", "small") for i in range(12)] + [(300 + i, text(plain), "de", "s") for i in range(4)]
+    rows += [(400, text(plain), None, None), (401, "short", "fr", "short only")]
+    bad = [(500, text(junk), "en", "large"), (501, text(junk), "en", "small"), (502, text(junk), "de", "s"), (503, text(junk), None, "t")]
+    schema = "doc_id long, text string, lang string, source string"
+    got = by_id(quality_rules.judge_documents(spark.createDataFrame(rows + bad, schema)))
+    assert len(got) == len(rows + bad) and all(r.distance is not None for r in got.values())
+    assert {k for k, r in got.items() if not r.kept} == {401, 500, 501, 502, 503}
+    few = by_id(quality_rules.judge_documents(spark.createDataFrame(rows[:8], schema)))
+    assert all(r.kept and r.distance is not None for r in few.values())
+
+
 def test_shards(odd_docs, no_docs):
     rows, df = odd_docs
     out = kd_shards.shard_documents(df, shards=5).toPandas()
