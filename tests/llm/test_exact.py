@@ -296,6 +296,27 @@ def test_formats_are_learned_from_credentials():
     assert secret_scan.infer([]).log_likelihood("h") < 0
 
 
+def test_formats_are_learned_from_all_documents(spark):
+    """Access keys only in the 300 documents that come last by the hash of their id."""
+    ids = spark.range(25_000).selectExpr("id AS k", "xxhash64(cast(id AS string)) AS h").orderBy("h", "k").toPandas().k.tolist()
+    late = set(ids[-300:])
+    rng = random.Random(3)
+    key = lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    df = spark.createDataFrame([(k, "some words " + (key() if k in late else "www.example.com/path1")) for k in ids], "k long, text string")
+    automata, _ = secret_scan.learn_formats(df)
+    assert len(automata) == 1 and automata[0].log_likelihood(secret_scan.classes(key())) > secret_scan.infer([]).log_likelihood("Z" * 20)
+
+
+def test_every_run_is_scored():
+    """Short runs, one class only, parts after an equals sign, and the rests beside a fixed span."""
+    text = "abcdefgh x1 12345678 k=value999/ab== short=1 left.part_password=abcdefghij rest0rest0-0123456789abcdef0123456789abcdef-beside12"
+    scored = []
+    secret_scan.format_spans(text, runs := list(secret_scan.RUN.finditer(text)), secret_scan.base_spans(text, runs), lambda v: scored.append(v))
+    assert scored == ["abcdefgh", "12345678", "k=value999/ab==", "value999/ab==", "left.part_", "rest0rest0-", "-beside12"]
+    found = secret_scan.format_spans(text, runs, secret_scan.base_spans(text, runs), lambda v: v.startswith("value"))
+    assert [(k, text[s:e]) for k, s, e, _ in found] == [("format", "value999/ab==")]
+
+
 @pytest.mark.parametrize("text", [None, "", " \n"])
 def test_words_of_nothing(text):
     assert words_of(pa.array([text, text])).counts().tolist() == [0, 0]
