@@ -6,8 +6,10 @@ domain k. Rates r_i >= 0 minimise the squared errors of the domain totals sum_i
 their targets, plus a small ridge that keeps each rate near 1 (without it a target that is out of
 reach would be paid for by wild rates). The gradient of a rate, in words, is p_i . e with e the K errors.
 So a projected gradient step from 1 is r_i = max(0, 1 - p_i . y) for some y of K numbers, and the minimum
-has this form. Each step needs one distributed sum, of the K errors and of the Gram matrix of the rates
-that are not held at 0, which scales the change of y; rates never leave the executors.
+has this form. The y are found by Newton steps on the K numbers: a projected gradient step scaled by the
+Gram matrix of the rates that are not held at 0. A step that does not lower the dual objective enough is
+halved, and steps go on until y settles; not settling in ``STEPS`` sums is an error. Each step needs one
+distributed sum, of the K errors, the Gram matrix and the objective; rates never leave the executors.
 
 A document is emitted floor(rate + u) times, u a fixed uniform number of its id. Null and empty texts
 have no words, move no sum, and are kept once. A domain without labels gets probability 0 and its
@@ -41,8 +43,8 @@ TRAIN_ROWS = 16_000
 #: domain when it was seen in so many documents, with such log odds.
 BUCKET_BITS, LEAST_SEEN, LEAST_ODDS = 18, 4, 2.0
 BEGINNING = 5
-#: Projected gradient steps at most, and weight of the ridge towards 1.
-STEPS, RIDGE = 12, 0.01
+#: Distributed sums at most, the change of y that ends the steps, and weight of the ridge towards 1.
+STEPS, SETTLED, RIDGE = 60, 1e-6, 0.01
 SLICE = 1 << 20
 _MARKS = [np.frombuffer(m, np.uint8) for m in (b"!?", b"#*$%&<>", b"|", b"0123456789", bytes(range(65, 91)))]
 
@@ -188,23 +190,37 @@ def fit_rates(scored: DataFrame, targets: dict[str, float], total: float | None
         return y
     goal = np.array([targets.get(d, 0.0) for d in DOMAINS])
     goal = goal / max(goal.sum(), 1e-12) * (held if total is None else total)
-    for _ in range(STEPS):
+    ridge = RIDGE * held
+
+    def measured(y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """The dual objective at y, its downhill slopes, and its curvature."""
         rate = rates(p, y)
         free = (rate > 0).cast("double") * words
         aggs = [F.sum(rate * words * p[k]).alias(f"s{k}") for k in domains]
         aggs += [F.sum(free * p[i] * p[j]).alias(f"g{i}{j}") for i in domains for j in domains if i <= j]
-        row = scored.agg(*aggs).first()
+        row = scored.agg(F.sum(rate * rate * words).alias("r"), *aggs).first()
         error = np.array([row[f"s{k}"] for k in domains]) - goal
         gram = np.array([[row[f"g{min(i, j)}{max(i, j)}"] for j in domains] for i in domains])
-        change = np.linalg.solve(gram + np.eye(len(DOMAINS)) * RIDGE * held, error - RIDGE * held * y)
-        y = y + change
-        if np.abs(change).max() < 1e-6:
-            break
-    return y
+        return 0.5 * row["r"] + 0.5 * ridge * (y @ y) + goal @ y, error - ridge * y, gram + np.eye(len(DOMAINS)) * ridge
+
+    value, slopes, curvature = measured(y)
+    share, change = 1.0, np.linalg.solve(curvature, slopes)
+    for _ in range(STEPS):
+        if np.abs(change).max() < SETTLED:
+            return y + change
+        at = measured(y + share * change)
+        # Sums of doubles differ in their last digits from run to run.
+        if at[0] <= value - 1e-4 * share * (slopes @ change) + 1e-12 * (abs(value) + held):
+            y = y + share * change
+            value, slopes, curvature = at
+            share, change = 1.0, np.linalg.solve(curvature, slopes)
+        else:
+            share /= 2
+    raise RuntimeError(f"mixing rates did not settle in {STEPS} steps: y would still change by {np.abs(change).max():.3g}")
 
 
 def rates(p: Column, y: np.ndarray) -> Column:
-    """Rates of the projected gradient step from 1 along ``y``."""
+    """Rates of the projected step from 1 along ``y``."""
     return F.greatest(F.lit(0.0), 1.0 - _dot(p, y))
 
 

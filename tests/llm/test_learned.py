@@ -83,6 +83,21 @@ def test_rates_solve_the_least_squares(spark):
     assert np.abs(np.maximum(0, 1 - p @ y) - r).max() < 1e-3
 
 
+def test_rates_that_do_not_settle_are_an_error(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(7)
+    words, p = np.exp(rng.normal(0, 3, 60)).round() + 1, rng.dirichlet([0.1, 0.1, 0.1], 60)
+    rows = spark.createDataFrame([(int(w), [float(x) for x in q]) for w, q in zip(words, p)], "__words long, __p array<double>")
+    targets = {"good": 0.1, "poor": 0.9, "toxic": 0.0}
+    y, goal = mixing.fit_rates(rows, targets), np.array([targets[d] for d in mixing.DOMAINS]) * words.sum()
+    error = (np.maximum(0, 1 - p @ y) * words) @ p - goal
+    assert np.abs(error / (mixing.RIDGE * words.sum()) - y).max() < 1e-4
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.fit_rates(rows, targets)
+
+
 def test_mixing_of_odd_rows(spark, odd_docs, no_docs, no_labels):
     rows, df = odd_docs
     rng = random.Random(0)
