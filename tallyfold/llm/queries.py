@@ -6,8 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, kd_shards, line_dedup, mixing, multi_index, ngram_jaccard, quality_rules, recompression, secret_scan, toxicity
+from . import bpe, kd_shards, line_dedup, mixing, multi_index, ngram_jaccard, packed_products, quality_rules, recompression, secret_scan, toxicity
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -62,6 +63,36 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_packed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    rows = rows.where(packed_products.usable(F.col("label"), F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = rows.select("vec_id", label.alias("label"), packed_products.quantised(F.col("embedding"), 256).alias("parts"))
+    return packed_products.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS parts
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+    list_dot_product(a.parts, b.parts)::BIGINT AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, p.positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)::INTEGER AS rank,
+  s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same
+  AND 100 * s.score BETWEEN 30 * p.positive_score AND 90 * p.positive_score
+QUALIFY rank <= 10
+"""
+
 QUERIES: dict[str, LlmQuery] = {
     "op1_ngram_jaccard": LlmQuery(op1_ngram_jaccard),
     "op2_bpe_codec": LlmQuery(op2_bpe_codec),
@@ -73,4 +104,5 @@ QUERIES: dict[str, LlmQuery] = {
     "op8_line_dedup": LlmQuery(op8_line_dedup),
     "op9_recompression": LlmQuery(op9_recompression),
     "op10_toxicity": LlmQuery(op10_toxicity),
+    "op13_packed_negatives": LlmQuery(op13_packed_negatives, OP13_SQL),
 }
