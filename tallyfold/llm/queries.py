@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, kd_shards, line_dedup, mixing, multi_index, ngram_jaccard, packed_products, quality_rules, recompression, secret_scan, toxicity
+from . import bpe, host_extract, kd_shards, line_dedup, mixing, multi_index, ngram_jaccard, packed_products, prefix_trie, quality_rules, recompression, secret_scan, toxicity
 
 VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -63,6 +63,51 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+# CRC-32 is folded bit by bit; nodes are named by the digests of their turns.
+OP11_SQL = r"""
+WITH turns AS (
+  SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+digests AS (
+  SELECT c, turn, substr(sha256(length(role)::VARCHAR || ':' || role || text), 1, 32) AS d,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM turns),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, d) AS r FROM digests),
+steps AS (
+  SELECT DISTINCT c, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0])) AS bits FROM ranked),
+convs AS (
+  SELECT c, c - c % 20 AS b, xor(list_reduce(list_concat([4294967295::BIGINT], bits),
+    lambda a, x: xor(xor(a, x) >> 1, CASE WHEN xor(a, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 4 AS h FROM steps),
+heads AS (SELECT v.c, t.r AS depth, t.d, t.w FROM convs v JOIN ranked t ON t.c = v.b AND t.r <= v.h),
+sizes AS (SELECT v.c, v.h, count(x.c) AS n FROM convs v LEFT JOIN heads x ON x.c = v.c GROUP BY v.c, v.h),
+rebuilt AS (
+  SELECT * FROM heads UNION ALL
+  SELECT t.c, t.r - s.h + s.n, t.d, t.w FROM ranked t JOIN sizes s ON s.c = t.c AND t.r > s.h),
+members AS (
+  SELECT c, depth, string_agg(d, '') OVER (PARTITION BY c ORDER BY depth) AS path, w FROM rebuilt
+  UNION ALL SELECT c, 0, '', 0 FROM convs),
+lengths AS (SELECT c, max(depth) AS depth FROM members GROUP BY c),
+ending AS (
+  SELECT m.path, string_agg(m.c::VARCHAR, ',' ORDER BY m.c) AS ids FROM members m JOIN lengths l ON l.c = m.c AND l.depth = m.depth GROUP BY m.path),
+nodes AS (SELECT path, depth, min(c) AS conv_id, count(*) AS n_convs, min(w) AS w FROM members GROUP BY path, depth),
+children AS (SELECT substr(path, 1, length(path) - 32) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+full_nodes AS (SELECT n.*, coalesce(k.n, 0) AS n_children FROM nodes n LEFT JOIN children k ON k.path = n.path),
+sums AS (
+  SELECT a.path, sum((b.n_children = 0)::BIGINT) AS n_leaves, sum((b.n_convs - 1) * b.w) AS saved_tokens
+  FROM full_nodes a JOIN full_nodes b ON starts_with(b.path, a.path) GROUP BY a.path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children::BIGINT AS n_children,
+  s.n_leaves::BIGINT AS n_leaves, s.saved_tokens::BIGINT AS saved_tokens, sha256(coalesce(e.ids, '')) AS ends_sha256
+FROM full_nodes n JOIN sums s ON s.path = n.path LEFT JOIN ending e ON e.path = n.path
+LEFT JOIN nodes p ON n.depth > 0 AND p.path = substr(n.path, 1, length(n.path) - 32) AND p.depth = n.depth - 1
+"""
+
+
+def op12_host_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op13_packed_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     rows = rows.where(packed_products.usable(F.col("label"), F.col("embedding")))
@@ -104,5 +149,7 @@ QUERIES: dict[str, LlmQuery] = {
     "op8_line_dedup": LlmQuery(op8_line_dedup),
     "op9_recompression": LlmQuery(op9_recompression),
     "op10_toxicity": LlmQuery(op10_toxicity),
+    "op11_prefix_trie": LlmQuery(op11_prefix_trie, OP11_SQL),
+    "op12_host_extract": LlmQuery(op12_host_extract),
     "op13_packed_negatives": LlmQuery(op13_packed_negatives, OP13_SQL),
 }
