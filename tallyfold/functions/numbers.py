@@ -1,7 +1,8 @@
 """Numeric expressions.
 
-Sums and means are of the values as they are; nothing is rounded before it is added. Money is the one
-exception to doubles: ``money`` reads a column as decimal and fails where digits would be lost.
+Sums and means are of the values as they are; nothing is rounded before it is added. Amounts of money are
+added as doubles per key first; ``exact_amount`` turns such a sum into a decimal, so that what is added from
+then on, and the rounding of the result, is exact.
 """
 
 from __future__ import annotations
@@ -26,11 +27,10 @@ def mean(col: Column) -> Column:
     return F.avg(number(col))
 
 
-def money(col: Column, scale: int = 2) -> Column:
-    """Decimal with ``scale`` digits after the point; a value with more digits, or one too large, fails."""
-    exact = col.cast(f"decimal(28,{scale})")
-    lossless = col.isNull() | (exact.cast("double") == col.cast("double"))
-    return F.when(lossless, exact).otherwise(F.raise_error(F.lit(f"more than {scale} digits of money")))
+def exact_amount(col: Column, scale: int = 6) -> Column:
+    """A sum of amounts as decimal with ``scale`` digits after the point: the last bits of a double, which
+    depend on the order of the rows, are rounded away. More digits are no error; the scale is the caller's."""
+    return col.try_cast(f"decimal(38,{scale})")
 
 
 def round_half_up(col: Column, digits: int) -> Column:

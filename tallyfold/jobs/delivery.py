@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import day_diff, money, ratio
+from ..functions import day_diff, exact_amount, number, ratio
 from ..operators.aggregates import running_max, top_k
+from ..operators.bitmaps import common_bitmaps, count_bitmaps, id_bitmaps
+from ..operators.ranges import range_join
 from ..session import settle
 
 
@@ -55,17 +57,20 @@ def conversion_rate(
 
 
 def with_commission(events: DataFrame, start: str, end: str) -> DataFrame:
-    """Paid events of a period with the service's income from each, in decimal.
-
-    Revenue has two digits after the point and the rate four; more digits fail.
-    """
-    income = money(F.col("revenue")) * money(F.col("commission"), 4)
+    """Paid events of a period with the service's income from each, of any number of digits."""
+    income = number(F.col("revenue")) * number(F.col("commission"))
     return events.filter(
         F.col("revenue").isNotNull() & _between("log_date", start, end)
     ).withColumn("commission_revenue", income)
 
 
+def _income() -> Column:
+    """Income of one key, from its rows, in decimal."""
+    return exact_amount(F.sum("commission_revenue")).alias("commission_revenue")
+
+
 def _ltv() -> Column:
+    """Income of several keys, in two digits."""
     return F.round(F.sum("commission_revenue"), 2).cast("double").alias("ltv")
 
 
@@ -79,7 +84,7 @@ def average_check(
     """
     paid = _in_city(with_commission(events, start, end), cities, city)
     orders = paid.groupBy(F.trunc("log_date", "month").alias("month"), "order_id").agg(
-        F.sum("commission_revenue").alias("income")
+        _income().alias("income")
     )
     income = F.sum("income").cast("decimal(28,6)")
     check = F.round(F.try_divide(income, F.count("order_id").cast("decimal(20,0)")), 2)
@@ -91,9 +96,10 @@ def partner_ltv(paid: DataFrame, partners: DataFrame) -> DataFrame:
 
     Income is summed per partner key before the join, so attributes meet one row per partner.
     """
-    income = paid.groupBy("rest_id", "city_id").agg(
-        F.sum("commission_revenue").alias("commission_revenue")
-    )
+    return _partner_ltv(paid.groupBy("rest_id", "city_id").agg(_income()), partners)
+
+
+def _partner_ltv(income: DataFrame, partners: DataFrame) -> DataFrame:
     return (
         income.join(partners.select("rest_id", "city_id", "chain", "type"), ["rest_id", "city_id"])
         .groupBy("rest_id", "chain", "type").agg(_ltv())
@@ -120,10 +126,11 @@ def ltv_top_items(
     income = settle(
         _in_city(with_commission(events, start, end), cities, city)
         .groupBy("rest_id", "city_id", "object_id")
-        .agg(F.sum("commission_revenue").alias("commission_revenue")),
+        .agg(_income()),
         "income",
     )
-    best = top_k(partner_ltv(income, partners), k_partners, "ltv", ["rest_id"])
+    per_partner = income.groupBy("rest_id", "city_id").agg(F.sum("commission_revenue").alias("commission_revenue"))
+    best = top_k(_partner_ltv(per_partner, partners), k_partners, "ltv", ["rest_id"])
     items = top_k(
         income.join(F.broadcast(best.select("rest_id")), "rest_id", "left_semi")
         .groupBy("object_id").agg(_ltv()),
@@ -157,6 +164,44 @@ def daily_retention(
     )
 
 
+def daily_retention_binned(
+    events: DataFrame, cities: DataFrame, new_from: str, new_to: str, active_from: str,
+    active_to: str, city: str | None = None, days: int = 8,
+) -> DataFrame:
+    """The rows of ``daily_retention``, joined by user and bin of days.
+
+    A user with very many days is dealt to as many tasks as there are bins.
+    """
+    log = _in_city(events.filter(F.col("user_id").isNotNull()), cities, city)
+    new = log.filter(_between("first_date", new_from, new_to)).select("first_date", "user_id").distinct()
+    active = log.filter(_between("log_date", active_from, active_to)).select("log_date", "user_id").distinct()
+    met = range_join(new, active, "user_id", "first_date", "log_date", 0, days - 1)
+    return met.select("user_id", "first_date", day_diff(F.col("log_date"), F.col("first_date")).alias("day_since_install"))
+
+
+def user_bitmaps(events: DataFrame, day: str, user: str = "user_id") -> DataFrame:
+    """``(day, bucket, bitmap)``: which users, numbered without large gaps, have a row on each day.
+
+    A table to keep: bitmaps of new days are added to it, and every count below reads it alone.
+    """
+    return id_bitmaps(events.filter(F.col(day).isNotNull()), [day], user)
+
+
+def dau_of_bitmaps(active: DataFrame) -> DataFrame:
+    """``(log_date, dau)`` of the bitmaps of users with an order."""
+    return count_bitmaps(active, ["log_date"], "dau")
+
+
+def retention_of_bitmaps(first: DataFrame, active: DataFrame, by_month: bool = False, days: int = 8) -> DataFrame:
+    """``retention`` from bitmaps of new users by ``first_date`` and of active ones by ``log_date``."""
+    offset = F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("day_since_install")
+    asked = first.select("*", offset).withColumn("log_date", F.date_add("first_date", F.col("day_since_install")))
+    kept = common_bitmaps(asked, active, ["log_date"]).withColumn("month", F.trunc("first_date", "month"))
+    keys = ["month"] if by_month else []
+    curve = count_bitmaps(kept, [*keys, "day_since_install"], "retained_users").filter("retained_users > 0")
+    return _with_rate(curve, keys)
+
+
 def retention(daily: DataFrame, by_month: bool = False) -> DataFrame:
     """Distinct users per day since the first visit, and their share of the curve's highest
     value so far; ``by_month`` gives one curve per month of first visit."""
@@ -165,6 +210,10 @@ def retention(daily: DataFrame, by_month: bool = False) -> DataFrame:
     curve = rows.groupBy(*keys, "day_since_install").agg(
         F.count_distinct("user_id").alias("retained_users")
     )
+    return _with_rate(curve, keys)
+
+
+def _with_rate(curve: DataFrame, keys: list[str]) -> DataFrame:
     peaked = running_max(curve, "retained_users", "day_since_install", keys, "__peak")
     rate = ratio(F.col("retained_users"), F.col("__peak"), 2)
     return peaked.select(*keys, "day_since_install", "retained_users", rate.alias("retention_rate"))

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import excludes_all, money, number, round_half_up
+from ..functions import exact_amount, excludes_all, number, round_half_up
 from ..operators.aggregates import top_k
 
 # Parts of names of the professions that are left out, and the skill columns.
@@ -28,8 +28,8 @@ SKILL_COLUMNS = (
 
 
 def _mean(column: str, digits: int):
-    """Mean of pay, declared with two digits, rounded half up in decimal."""
-    paid = F.sum(money(F.col(column))).cast("decimal(30,2)")
+    """Mean of pay, rounded half up in decimal."""
+    paid = exact_amount(F.sum(number(F.col(column)))).try_cast("decimal(28,6)")
     exact = F.try_divide(paid, F.count(column).cast("decimal(20,0)"))
     return F.round(exact, digits).cast("double")
 

@@ -18,6 +18,7 @@ from ..operators.keys import join_on_keys
 from ..operators.outliers import drop_outlier_entities, iqr_null_upper
 from ..operators.reshape import aligned_ratio, growing_keys
 from ..operators.segments import collapse_segments, span_class
+from ..session import settle
 
 # The types of funding, text columns, date columns and labels.
 FUNDING_TYPES = (
@@ -67,9 +68,12 @@ def with_span_class(df: DataFrame) -> DataFrame:
 def without_outliers(df: DataFrame, by: str = "name") -> DataFrame:
     """Collapses small segments, then drops the companies with unusual totals for a segment.
 
-    Rows stay lazy: only segment sizes, fences and the names that go are written.
+    The rows are written twice, as they come and with their segments: sizes, fences, names and all later
+    steps read those tables, and what the rows are made from is read once. Select the columns needed first.
+    ``scratch_scope`` deletes the tables.
     """
-    return drop_outlier_entities(collapse_segments(df, "market"), "market", "funding_total_usd", by)
+    rows = settle(df, "rounds")
+    return drop_outlier_entities(collapse_segments(rows, "market"), "market", "funding_total_usd", by)
 
 
 def busy_years(df: DataFrame, least: float = 50) -> DataFrame:

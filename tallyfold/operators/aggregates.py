@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import number, ratio
 from ..functions import total as total_of
 from ..session import settle
-from .keys import join_on_keys
+from .keys import join_group_values, join_on_keys
 from .quantiles import exact_quantiles
 
 
@@ -53,7 +53,7 @@ def top_k_with_ties(df: DataFrame, k: int, by: str) -> DataFrame:
 def with_group_size(df: DataFrame, key: str, name: str = "group_size") -> DataFrame:
     """Adds the number of rows that share the key; a missing key has no group."""
     sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    return join_on_keys(df, settle(sizes, "sizes"), [key], "left")
+    return join_group_values(df, sizes, [key], name)
 
 
 def running_max(

@@ -22,8 +22,6 @@ from .keys import with_row
 # Bins of an interval column, and the range the normal is cut to.
 INTERVAL_BINS = 10
 NORMAL_RANGE = 5.0
-#: Classes a column may have; the work for a pair grows with the product of its classes.
-MAX_CLASSES = 1000
 
 
 def binned(
@@ -98,8 +96,8 @@ def phik(cells: DataFrame) -> DataFrame:
 
     The correlation of a bivariate normal, cut into equally wide bins on [-5, 5], whose expected
     chi-square equals the one observed. The scale makes a correlation of one give the largest
-    possible chi-square, and the degrees of freedom are taken off as noise. A column with more than
-    ``MAX_CLASSES`` values, such as an id, is an error.
+    possible chi-square, and the degrees of freedom are taken off as noise. Columns may have any number of
+    classes.
     """
     solver = phik_solver()
 
@@ -107,10 +105,7 @@ def phik(cells: DataFrame) -> DataFrame:
     def solve(chi2: pd.Series, n: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
         return pd.Series([solver(*row) for row in zip(chi2, n, left, right)], dtype=float)
 
-    solved = F.when(
-        F.greatest("n_left", "n_right") > MAX_CLASSES,
-        F.raise_error(F.concat("left_column", F.lit(" or "), "right_column", F.lit(f" has more than {MAX_CLASSES} classes"))),
-    ).when(F.least("n_left", "n_right") > 1, solve("chi2", "n", "n_left", "n_right"))
+    solved = F.when(F.least("n_left", "n_right") > 1, solve("chi2", "n", "n_left", "n_right"))
     return chi_square(cells).select("left_column", "right_column", solved.alias("phik"))
 
 
@@ -135,11 +130,22 @@ def phik_matrix(
     return one_way.select(F.inline(ways), "phik")
 
 
+def association_row(matrix: DataFrame, column: str, value: str = "phik") -> DataFrame:
+    """``(column_name, value)``: a matrix's row of one column, without itself, strongest first; ties by name."""
+    others = matrix.filter((F.col("left_column") == column) & (F.col("right_column") != column))
+    return others.select(F.col("right_column").alias("column_name"), value).orderBy(F.col(value).desc_nulls_last(), "column_name")
+
+
 def phik_solver() -> Callable[[float, int, int, int], float]:
-    """The function that solves for φK, whole in itself: it travels to executors that lack this package."""
+    """The function that solves for φK, whole in itself: it travels to executors that lack this package.
+
+    The expected chi-square is summed over all cells of a small table. In one with more than 1000 classes it is a
+    power series in the correlation (Mehler's, whose coefficients need one pass over the classes) up to 0.9, and above
+    that a sum over the band of cells that the density reaches, the others being empty.
+    """
     grid = np.linspace(-10, 10, 200_001)
     table = np.array([0.5 * math.erfc(-v / math.sqrt(2)) for v in grid])
-    reach = NORMAL_RANGE
+    reach, terms = NORMAL_RANGE, 150
 
     def cdf(x: np.ndarray) -> np.ndarray:
         return np.interp(x, grid, table)
@@ -170,6 +176,75 @@ def phik_solver() -> Callable[[float, int, int, int], float]:
             total += float((((joint - free) ** 2) / free).sum())
         return total
 
+    def normalised(size: int) -> np.ndarray:
+        """Products, over the classes, of the first Hermite integrals of each, divided by its probability."""
+        gram = np.zeros((terms, terms))
+        for start in range(0, size, 20_000):
+            x = -reach + 2 * reach * np.arange(start, min(start + 20_000, size) + 1) / size
+            d = np.exp(-x * x / 2) / math.sqrt(2 * math.pi)
+            p = np.maximum(np.diff(cdf(x)), 1e-300)
+            h, before, out = np.ones_like(x), np.zeros_like(x), np.empty((terms, len(p)))
+            for k in range(1, terms + 1):
+                out[k - 1] = -np.diff(h * d) / math.sqrt(k) / np.sqrt(p)
+                h, before = (x * h - math.sqrt(k - 1) * before) / math.sqrt(k), h
+            gram += out @ out.T
+        return gram
+
+    def band_weight(rho: float, nx: int, ny: int) -> float:
+        """``cell_weight`` of many classes: rows in blocks, and of each block the columns within nine deviations."""
+        ex, ey = np.linspace(-reach, reach, nx + 1), np.linspace(-reach, reach, ny + 1)
+        px, py = np.diff(cdf(ex)), np.diff(cdf(ey))
+        sigma, all_y, total = math.sqrt(max(0.0, 1 - rho * rho)), float(py.sum()), 0.0
+        if not sigma:
+            return cell_weight(rho, nx, ny)
+        step = max(1, nx // 400)
+        for start in range(0, nx, step):
+            end = min(start + step, nx)
+            near = rho * ex[start] - 9 * sigma, rho * ex[end] + 9 * sigma
+            lo = max(0, int(np.searchsorted(ey, near[0])) - 1)
+            hi = min(ny, int(np.searchsorted(ey, near[1])) + 1)
+            for first in range(lo, hi, 100_000):
+                last = min(first + 100_000, hi)
+                for row in range(start, end, max(1, 2_000_000 // (last - first))):
+                    rows = slice(row, min(row + max(1, 2_000_000 // (last - first)), end))
+                    half, mid = np.diff(ex[:2])[0] / 2, (ex[rows] + ex[rows.start + 1: rows.stop + 1]) / 2
+                    joint = 0.0
+                    for node in (-1 / math.sqrt(3), 1 / math.sqrt(3)):
+                        x = mid + half * node
+                        edges = (ey[None, first:last + 1] - rho * x[:, None]) / sigma
+                        joint = joint + (half * np.exp(-x * x / 2) / math.sqrt(2 * math.pi))[:, None] * np.diff(cdf(edges), axis=1)
+                    free = np.maximum(px[rows, None] * py[first:last], 1e-300)
+                    total += float((((joint - free) ** 2) / free).sum())
+            total += float(px[start:end].sum()) * (all_y - float(py[lo:hi].sum()))
+        return total
+
+    def weight_of(nx: int, ny: int) -> Callable[[float], float]:
+        if max(nx, ny) <= 1000:
+            return lambda rho: cell_weight(rho, nx, ny)
+        both = normalised(nx) * normalised(ny)
+
+        def weight(rho: float) -> float:
+            if rho > 0.9:
+                return diagonal_weight(nx, ny) if rho >= 1 else band_weight(rho, nx, ny)
+            powers = rho ** np.arange(1, terms + 1)
+            return float(powers @ both @ powers)
+
+        return weight
+
+    def diagonal_weight(nx: int, ny: int) -> float:
+        """``cell_weight`` at 1: only cells on the diagonal have a probability; the others give their own."""
+        ex, ey = np.linspace(-reach, reach, nx + 1), np.linspace(-reach, reach, ny + 1)
+        cuts = np.union1d(ex, ey)
+        joint = np.diff(cdf(cuts))
+        middle = (cuts[1:] + cuts[:-1]) / 2
+        ix = np.clip(np.searchsorted(ex, middle) - 1, 0, nx - 1)
+        iy = np.clip(np.searchsorted(ey, middle) - 1, 0, ny - 1)
+        px, py = np.diff(cdf(ex)), np.diff(cdf(ey))
+        cells, place = np.unique(ix.astype(np.int64) * ny + iy, return_inverse=True)
+        joint = np.bincount(place, joint)
+        free = np.maximum(px[cells // ny] * py[cells % ny], 1e-300)
+        return float((((joint - free) ** 2) / free).sum() + px.sum() * py.sum() - free.sum())
+
     def solve(chi2: float, n: int, nx: int, ny: int, steps: int = 30) -> float:
         """Solves for the correlation by bisection."""
         if min(nx, ny) < 2:
@@ -180,17 +255,19 @@ def phik_solver() -> Callable[[float, int, int, int], float]:
             return 0.0
         if chi2 >= largest:
             return 1.0
-        scale = (largest - noise) / (n * cell_weight(1.0, nx, ny))
+        nx, ny = int(nx), int(ny)
+        weight = weight_of(nx, ny)
+        scale = (largest - noise) / (n * weight(1.0))
         low, high = 0.0, 1.0
         for _ in range(steps):
             rho = (low + high) / 2
-            if noise + n * scale * cell_weight(rho, nx, ny) < chi2:
+            if noise + n * scale * weight(rho) < chi2:
                 low = rho
             else:
                 high = rho
         return (low + high) / 2
 
-    solve.cell_weight = cell_weight
+    solve.cell_weight, solve.weight_of, solve.diagonal_weight = cell_weight, weight_of, diagonal_weight
     return solve
 
 

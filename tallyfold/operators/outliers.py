@@ -11,9 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import number, ratio
-from ..session import settle
-from .keys import join_on_keys, with_row
-from .quantiles import column_quantiles, exact_quantiles, quantile_columns
+from ..session import settle, settle_computed
+from .keys import join_group_values, join_on_keys, with_row
+from .quantiles import Histogram, column_quantiles, count_values, exact_quantiles, quantile_columns
 
 
 @dataclass(frozen=True)
@@ -51,7 +51,11 @@ def _limit(column: str, p: float) -> str:
 
 
 def percentile_trim(df: DataFrame, trims: Sequence[Trim] = FLAT_TRIMS) -> DataFrame:
-    """Rows inside all limits. A value equal to a limit is out."""
+    """Rows inside all limits. A value equal to a limit is out.
+
+    Rows that are computed, not just read, are written first: the limits and the result then read that table.
+    """
+    df = settle_computed(df, "trim-rows")
 
     def keeps(t: Trim) -> Column:
         value, tests = F.col(t.column), []
@@ -68,14 +72,18 @@ def percentile_trim(df: DataFrame, trims: Sequence[Trim] = FLAT_TRIMS) -> DataFr
 
 def iqr_fences(df: DataFrame, key: str, value: str, k: float = 1.5) -> DataFrame:
     """``(key, lower, upper)``: the quartiles of each group widened by ``k`` ranges."""
-    rows = df.filter(F.col(key).isNotNull())
-    quartiles = exact_quantiles(rows, value, [0.25, 0.75], [key])
-    q = quantile_columns(quartiles, {0.25: "q1", 0.75: "q3"}, [key])
+    return settle(_sized_fences(df, key, value, k).drop("__size"), "fences")
+
+
+def _sized_fences(df: DataFrame, key: str, value: str, k: float) -> DataFrame:
+    """The fences and the number of values of each group."""
+    values = Histogram(count_values(df.filter(F.col(key).isNotNull()), value, [key]), [key])
+    q = quantile_columns(values.quantiles([0.25, 0.75]), {0.25: "q1", 0.75: "q3"}, [key])
     reach = (F.col("q3") - F.col("q1")) * k
     fences = q.select(
         key, (F.col("q1") - reach).alias("lower"), (F.col("q3") + reach).alias("upper")
     )
-    return settle(fences, "fences")
+    return fences.join(values.sizes("__size"), key)
 
 
 def flag_iqr_outliers(df: DataFrame, key: str, value: str, k: float = 1.5) -> DataFrame:
@@ -83,7 +91,7 @@ def flag_iqr_outliers(df: DataFrame, key: str, value: str, k: float = 1.5) -> Da
     v = F.col(value)
     outside = (v > F.col("upper")) | (v < F.col("lower"))
     return (
-        join_on_keys(df, iqr_fences(df, key, value, k), [key], "left")
+        join_group_values(df, _sized_fences(df, key, value, k), [key], "__size")
         .select(*df.columns, F.coalesce(outside, F.lit(False)).alias("is_outlier"))
     )
 
@@ -108,15 +116,17 @@ def drop_outlier_entities(
 
     ``entity`` decides who goes: with a name, namesakes go too; with an id, only the row's owner.
     """
+    df = settle_computed(df, "entity-rows")
     flagged = flag_iqr_outliers(df, key, value, k).filter("is_outlier").select(entity).distinct()
     return join_on_keys(df, settle(flagged.dropna(), "flagged"), [entity], "left_anti")
 
 
 def iqr_null_upper(df: DataFrame, key: str, value: str, k: float = 1.5) -> DataFrame:
     """Values above their group's upper fence become null; low values stay."""
-    fences = iqr_fences(df, key, value, k).drop("lower")
+    df = settle_computed(df, "null-upper-rows")
+    fences = _sized_fences(df, key, value, k).drop("lower")
     kept = F.when(~(F.col(value) > F.coalesce("upper", F.lit(float("inf")))), F.col(value))
-    return join_on_keys(df, fences, [key], "left").withColumn(value, kept).drop("upper")
+    return join_group_values(df, fences, [key], "__size").withColumn(value, kept).drop("upper", "__size")
 
 
 def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:

@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import mean, normalize_text, number, ratio
-from ..session import settle
-from .keys import join_on_keys
+from .keys import join_group_values
 
 
 def snake_case_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.lower().replace(" ", "_") for c in df.columns])
 
 
-def _is_missing(df: DataFrame, column: str) -> Column:
+def is_missing(df: DataFrame, column: str) -> Column:
     c = F.col(f"`{column}`")
     if dict(df.dtypes)[column] in ("double", "float"):
         return c.isNull() | F.isnan(c)
@@ -27,7 +26,7 @@ def missing_stats(df: DataFrame) -> DataFrame:
     """``(column_name, missing, share)`` of the columns that have gaps, from one pass."""
     counts = df.agg(
         F.count(F.lit(1)).alias("n"),
-        *[F.count_if(_is_missing(df, c)).alias(f"m_{i}") for i, c in enumerate(df.columns)],
+        *[F.count_if(is_missing(df, c)).alias(f"m_{i}") for i, c in enumerate(df.columns)],
     )
     rows = [
         F.struct(
@@ -44,7 +43,7 @@ def missing_share_by(df: DataFrame, key: str) -> DataFrame:
     """Share of gaps in every column per value of ``key``; rows without a key are left out."""
     n = F.count(F.lit(1))
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        *[ratio(F.count_if(_is_missing(df, c)), n).alias(c) for c in df.columns if c != key]
+        *[ratio(F.count_if(is_missing(df, c)), n).alias(c) for c in df.columns if c != key]
     )
 
 
@@ -55,11 +54,10 @@ def fill_group_mean(df: DataFrame, column: str, keys: Sequence[str]) -> DataFram
     Only the per-group means travel to the rows; no group is gathered in one place.
     """
     means = df.dropna(subset=list(keys)).groupBy(*keys).agg(
-        mean(F.col(column)).alias("__mean")
+        mean(F.col(column)).alias("__mean"), F.count(F.lit(1)).alias("__size")
     )
     filled = F.coalesce(number(F.col(column)), F.col("__mean"))
-    means = settle(means, "means")
-    return join_on_keys(df, means, keys, "left").withColumn(column, filled).drop("__mean")
+    return join_group_values(df, means, keys, "__size").withColumn(column, filled).drop("__mean", "__size")
 
 
 def unfill_sentinel(df: DataFrame, value: float, columns: Sequence[str]) -> DataFrame:
@@ -67,9 +65,29 @@ def unfill_sentinel(df: DataFrame, value: float, columns: Sequence[str]) -> Data
     return df.withColumns({c: F.nullif(F.col(c), F.lit(value)) for c in columns})
 
 
+def digest_of(df: DataFrame, columns: Sequence[str]) -> list[Column]:
+    """Two 64-bit hashes that stand for the values of some columns; null differs from every value.
+
+    Rows with different values share both with a probability of about 2^-128 for a pair.
+    """
+    kinds = dict(df.dtypes)
+    plain = [F.col(f"`{c}`") + 0.0 if kinds[c] in ("double", "float") else F.col(f"`{c}`") for c in columns]
+    # A hash passes over nulls, so which values are null is hashed too.
+    gaps = F.concat(*[F.when(F.col(f"`{c}`").isNull(), "1").otherwise("0") for c in columns])
+    return [F.xxhash64(gaps, *plain), F.xxhash64(F.lit(0x5EED), gaps, *plain)]
+
+
+_DIGEST = ("__d1", "__d2")
+
+
+def with_digest(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumns(dict(zip(_DIGEST, digest_of(df, columns))))
+
+
 def count_duplicates(df: DataFrame) -> DataFrame:
-    """One row: rows, distinct rows and surplus copies."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    """One row: rows, distinct rows and surplus copies. Rows are counted by digest: numbers, not rows, are
+    sorted out and shuffled."""
+    groups = df.select(*[d.alias(n) for n, d in zip(_DIGEST, digest_of(df, df.columns))]).groupBy(*_DIGEST).agg(F.count(F.lit(1)).alias("__n"))
     return groups.agg(
         F.coalesce(F.sum("__n"), F.lit(0)).alias("n_rows"),
         F.count(F.lit(1)).alias("n_distinct"),
@@ -92,11 +110,10 @@ def dedup_keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFram
 
 
 def duplicate_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every row whose key combination occurs more than once."""
-    repeated = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > 1).drop("__n")
-    )
-    return join_on_keys(df, settle(repeated, "repeated"), keys, "left_semi")
+    """Every row whose key combination occurs more than once; found by digest, hot keys in a broadcast."""
+    rows = with_digest(df, keys)
+    repeated = rows.groupBy(*_DIGEST).agg(F.count(F.lit(1)).alias("__size")).filter("__size > 1")
+    return join_group_values(rows, repeated, _DIGEST, "__size", how="inner").select(*df.columns)
 
 
 def hidden_duplicates(df: DataFrame, column: str) -> DataFrame:

@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import mean, parse_number, ratio, total
 from ..jobs import games, vacancies, venues
 from ..operators import (
-    categorical_crosscount, describe_column, exact_quantiles, fill_group_mean, group_median,
-    per_column_totals, running_max, share_where, sum_share, top_k_with_ties, value_counts,
+    categorical_crosscount, count_bitmaps, describe_column, exact_quantiles, fill_group_mean, group_median,
+    id_bitmaps, join_on_keys, per_column_totals, running_max, share_where, sum_share, top_k_with_ties, value_counts,
     wide_sum, with_group_size, with_share,
 )
 from ..operators.quantiles import column_quantiles
-from .registry import query, ratio2
+from .registry import query, ratio2, same_rows
 from .standins import ROUND_TYPES
 
 
@@ -38,6 +38,14 @@ def _(t):
         F.count_distinct("l_suppkey").alias("suppliers"))
 
 
+@same_rows("distinct_count_bitmaps", "distinct_count")
+def _(t):
+    lines, key = t("lineitem"), ["l_returnflag"]
+    parts = count_bitmaps(id_bitmaps(lines, key, "l_partkey"), key, "parts")
+    suppliers = count_bitmaps(id_bitmaps(lines, key, "l_suppkey"), key, "suppliers")
+    return join_on_keys(parts, suppliers, key)
+
+
 @query("filtered_aggregate", f"""
     SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day,
            COUNT(*) FILTER (WHERE event_type = 'purchase') AS purchases,

@@ -6,12 +6,14 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from ..functions import normalize_text
 from ..jobs import venues as venue_jobs
 from ..operators import (
-    binned, boxplot_stats, collapse_segments, contingency_table, cramers_v,
+    association_row, binned, boxplot_stats, collapse_segments, contingency_table, cramers_v,
     drop_outlier_entities, growing_keys, histogram, iqr_null_upper, iqr_outliers, percentile_trim,
     phik_matrix, pivot_count, pivot_sum, size_classes, span_class, top_k_with_ties,
 )
+from .phik_sql import phik_sql
 from .registry import query
 
 TRIMMED = """
@@ -160,11 +162,20 @@ _BINNED = """
         CASE WHEN seats IS NOT NULL THEN CAST(CAST(least(floor((CAST(seats AS DOUBLE) - (SELECT MIN(seats) FROM venues))
              / (SELECT MAX(seats) - MIN(seats) FROM venues) * 10), 9) AS BIGINT) AS VARCHAR) END AS seats
         FROM venues)"""
-_CELLS = "cells AS (" + " UNION ALL ".join(
-    f"SELECT '{a}' AS left_column, '{b}' AS right_column, {a} AS left_value, {b} AS right_value, "
-    f"COUNT(*) AS n FROM binned WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}"
-    for a, b in combinations((*_NOMINAL, *_INTERVAL), 2)
-) + ")"
+
+
+def _cells(columns):
+    return "cells AS (" + " UNION ALL ".join(
+        f"SELECT '{a}' AS left_column, '{b}' AS right_column, {a} AS left_value, {b} AS right_value, "
+        f"COUNT(*) AS n FROM binned WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {a}, {b}"
+        for a, b in combinations(columns, 2)
+    ) + ")"
+
+
+_CELLS = _cells((*_NOMINAL, *_INTERVAL))
+_BOTH_WAYS = """
+    SELECT left_column, right_column, phik FROM solved
+    UNION ALL SELECT right_column, left_column, phik FROM solved"""
 
 
 @query("contingency_table", f"WITH {_BINNED}, {_CELLS} SELECT * FROM cells")
@@ -189,11 +200,56 @@ def _(t):
     return table.withColumn("cramers_v", F.round("cramers_v", 6))
 
 
-@query("phik_matrix")
+@query("phik_matrix", phik_sql(f"{_BINNED}, {_CELLS}", _BOTH_WAYS), digits={"phik": 6})
 def _(t):
     return phik_matrix(t("venues"), _NOMINAL, _INTERVAL)
 
 
+_RATED = ("category", "district", "price_cat", "is_24_7"), ("rating", "chain", "seats")
+_RATED_SQL = """
+    clean AS (SELECT category, district, price_cat, rating, CAST(chain AS DOUBLE) AS chain, CAST(seats AS DOUBLE) AS seats,
+                     CAST(COALESCE(trim(lower(hours)) = 'ежедневно, круглосуточно', FALSE) AS VARCHAR) AS is_24_7 FROM venues),
+    ends AS (SELECT MIN(rating) AS r0, MAX(rating) AS r1, MIN(chain) AS c0, MAX(chain) AS c1, MIN(seats) AS s0, MAX(seats) AS s1 FROM clean),
+    binned AS (SELECT category, district, price_cat, is_24_7, """ + ", ".join(
+        f"CASE WHEN {c} IS NOT NULL THEN CAST(COALESCE(least(floor(({c} - {k}0) / NULLIF({k}1 - {k}0, 0) * 10), 9), 0) AS BIGINT) END AS {c}"
+        for c, k in (("rating", "r"), ("chain", "c"), ("seats", "s"))) + " FROM clean, ends)"
+_RATED_CELLS = _cells((*_RATED[0], *_RATED[1]))
+
+
+def _rated(t):
+    """The columns whose link with the rating is asked for, types as the cleaned table has them."""
+    venues = t("venues").withColumn("hours", normalize_text(F.col("hours")))
+    return venues.withColumn("is_24_7", venue_jobs.is_24_7()).select(*_RATED[0], *_RATED[1])
+
+
+@query("phik_rated_venues", phik_sql(f"{_RATED_SQL}, {_RATED_CELLS}", _BOTH_WAYS), digits={"phik": 6})
+def _(t):
+    return phik_matrix(_rated(t))
+
+
+@query("phik_row_of_rating", phik_sql(f"{_RATED_SQL}, {_RATED_CELLS}", f"""
+    SELECT right_column AS column_name, phik FROM ({_BOTH_WAYS})
+    WHERE left_column = 'rating' ORDER BY phik DESC, right_column"""), digits={"phik": 6})
+def _(t):
+    return association_row(phik_matrix(_rated(t)), "rating")
+
+
+@query("phik_distance_bill", phik_sql("""
+    v AS (SELECT CAST(CASE district WHEN 'Центральный административный округ' THEN 0
+                 WHEN 'Западный административный округ' THEN 1
+                 WHEN 'Северный административный округ' THEN 4 ELSE 8 END AS DOUBLE) AS distance,
+          CAST(middle_of_bill_range AS DOUBLE) AS bill FROM venues),
+    ends AS (SELECT MIN(distance) AS d0, MAX(distance) AS d1, MIN(bill) AS b0, MAX(bill) AS b1 FROM v),
+    binned AS (SELECT CAST(least(floor((distance - d0) / (d1 - d0) * 10), 9) AS BIGINT) AS distance,
+                      CASE WHEN bill IS NOT NULL THEN CAST(least(floor((bill - b0) / (b1 - b0) * 10), 9) AS BIGINT) END AS middle_of_bill_range
+               FROM v, ends), """ + _cells(("distance", "middle_of_bill_range")), """
+    SELECT right_column AS column_name, phik FROM (SELECT 'middle_of_bill_range' AS l, left_column AS right_column, phik FROM solved)"""),
+    digits={"phik": 6})
+def _(t):
+    rows = t("venues").select(venue_jobs.distance().alias("distance"), "middle_of_bill_range")
+    return association_row(phik_matrix(rows), "middle_of_bill_range")
+
+
 @query("mean_by_ordinal", f"""
     WITH v AS (SELECT CAST(CASE district WHEN 'Центральный административный округ' THEN 0
                            WHEN 'Западный административный округ' THEN 1

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import contains_all, day_diff, excludes_all, mean, starts_with, total
-from ..operators import snake_case_columns, with_group_size
+from ..operators import bucketed, join_group_values, snake_case_columns, with_group_size
 from ..operators.reshape import aligned_ratio
 from ..session import scratch_path
 from ..sources import SCHEMAS, preview, read_csv, schema_profile
-from .registry import query
+from .registry import query, same_rows
+
 
 def _csv_round_trip(t, sep):
     path = scratch_path(t.spark, "customer-csv")
@@ -234,6 +235,22 @@ def _(t):
     )
 
 
+@query("join_star_lines", """
+    SELECT o_orderpriority, c_mktsegment, COUNT(*) AS n, SUM(l_quantity) AS quantity
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+    GROUP BY o_orderpriority, c_mktsegment""", digits={"quantity": 4})
+def _(t):
+    """Orders and lines meet on copies laid out by order, with no exchange on either side."""
+    lines = bucketed(t("lineitem").select("l_orderkey", "l_quantity"), ["l_orderkey"], 8)
+    orders = bucketed(t("orders").select("o_orderkey", "o_custkey", "o_orderpriority"), ["o_orderkey"], 8)
+    per_order = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), total(F.col("l_quantity")).alias("quantity"))
+    return (
+        per_order.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(t("customer").select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("o_orderpriority", "c_mktsegment").agg(F.sum("n").alias("n"), F.sum("quantity").alias("quantity"))
+    )
+
+
 @query("join_left", """
     SELECT d.doc_id, d.lang, l.quality, l.toxic
     FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
@@ -281,6 +298,19 @@ def _(t):
     ).withColumn("day_since_install", day_diff(F.col("log_date"), F.col("first_date")))
 
 
+@same_rows("join_equi_range_split", "join_equi_range")
+def _(t):
+    """The same with users of very many days met in a broadcast instead of in one task."""
+    days = t("visit_days")
+    first = days.groupBy("user_id").agg(
+        F.min(F.when(F.col("order_id").isNotNull(), F.col("log_date"))).alias("first_date"),
+        F.count(F.lit(1)).alias("n_days"))
+    met = join_group_values(days.select("user_id", "log_date"), first.filter("first_date IS NOT NULL AND user_id IS NOT NULL"),
+                            ["user_id"], "n_days", how="inner")
+    later = met.filter(F.col("log_date") >= F.col("first_date"))
+    return later.select("user_id", "first_date", "log_date", day_diff(F.col("log_date"), F.col("first_date")).alias("day_since_install"))
+
+
 @query("join_lookup", """
     SELECT p_partkey, p_brand, n AS brand_size FROM part
     LEFT JOIN (SELECT p_brand AS b, COUNT(*) AS n FROM part GROUP BY p_brand) ON p_brand = b""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import midpoint, starts_with
 from ..jobs import games
 from ..operators import (
-    count_duplicates, dedup_keep_first, domain_check, duplicate_groups, hidden_duplicates,
+    TableProfile, count_duplicates, dedup_keep_first, domain_check, duplicate_groups, hidden_duplicates,
     implausible_dates, key_uniqueness, missing_share_by, missing_stats, missingness_rule,
     period_completeness, row_loss_report, unfill_sentinel,
 )
@@ -155,6 +155,30 @@ def _(t):
         t("lineitem"), F.col("l_shipdate").cast("date"), "1996-01-01", "2001-06-30")
 
 
+@query("table_profile", """
+    WITH l AS (SELECT l_orderkey, l_linenumber, NULLIF(l_returnflag, 'A') AS l_returnflag, CAST(l_shipdate AS DATE) AS l_shipdate FROM lineitem)
+    SELECT 'missing' AS report, 'l_returnflag' AS item, COUNT(*) - COUNT(l_returnflag) AS n, FALSE AS good FROM l
+    UNION ALL SELECT 'value', l_returnflag, COUNT(*), COALESCE(l_returnflag IN ('N', 'X'), FALSE) FROM l GROUP BY l_returnflag
+    UNION ALL SELECT 'key', 'l_orderkey, l_linenumber', COUNT(DISTINCT (l_orderkey, l_linenumber)),
+              COUNT(DISTINCT (l_orderkey, l_linenumber)) = COUNT(*) FROM l
+    UNION ALL SELECT 'key', 'l_orderkey', COUNT(DISTINCT l_orderkey), COUNT(DISTINCT l_orderkey) = COUNT(*) FROM l
+    UNION ALL SELECT 'year', CAST(year(l_shipdate) AS VARCHAR), COUNT(*) FILTER (WHERE l_shipdate NOT BETWEEN DATE '1996-01-01' AND DATE '2001-06-30'),
+              bool_and(l_shipdate BETWEEN DATE '1996-01-01' AND DATE '2001-06-30') FROM l GROUP BY year(l_shipdate)""", owned=True)
+def _(t):
+    lines = t("lineitem").select(
+        "l_orderkey", "l_linenumber", F.nullif("l_returnflag", F.lit("A")).alias("l_returnflag"), F.col("l_shipdate").cast("date").alias("l_shipdate"))
+    keys = ["l_orderkey", "l_linenumber"]
+    profile = TableProfile(lines, values=["l_returnflag"], keys=[keys, keys[:1]],
+                           days={"shipped": (F.col("l_shipdate"), "1996-01-01", "2001-06-30")})
+    row = lambda report, item, n, good: [F.lit(report).alias("report"), item.alias("item"), n.alias("n"), good.alias("good")]
+    out = profile.missing_stats().select(row("missing", F.col("column_name"), F.col("missing"), F.lit(False)))
+    out = out.unionByName(profile.domain_check("l_returnflag", ["N", "X"]).select(row("value", F.col("value"), F.col("n"), F.col("allowed"))))
+    for k in (keys, keys[:1]):
+        out = out.unionByName(profile.key_uniqueness(k).select(row("key", F.lit(", ".join(k)), F.col("n_keys"), F.col("is_unique"))))
+    years = profile.implausible_dates("shipped")
+    return out.unionByName(years.select(row("year", F.col("year").cast("string"), F.col("n_implausible"), F.col("n_implausible") == 0)))
+
+
 _RAW_NAMES = {
     "name": "Name", "platform": "Platform", "year_of_release": "Year of Release", "genre": "Genre",
     "na_sales": "NA sales", "eu_sales": "EU sales", "jp_sales": "JP sales",

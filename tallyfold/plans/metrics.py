@@ -6,11 +6,17 @@ from pyspark.sql import functions as F
 
 from ..functions import midpoint
 from ..jobs import delivery, donors, estate, vacancies, venues, ventures
-from ..operators import sum_share, value_counts
+from ..operators import row_loss_report, sum_share, value_counts
 from .analysis import SIZED, TRIMMED
-from .registry import query, ratio2
+from .registry import query, ratio2, same_rows
 from .standins import ROUND_TYPES
 
+
+
+def clean_text(column):
+    return f"trim(lower({column}))"
+
+
 _CITY = "ASIA"
 _VISITS = ("2024-01-03", "2024-01-28")
 _SALES = ("1996-05-01", "1999-06-30")
@@ -117,6 +123,37 @@ def _(t):
     return delivery.retention(daily, by_month=True)
 
 
+def _user_bitmaps(t, column, *span):
+    log = t("visits").join(t("service_cities").filter(F.col("city_name") == _CITY), "city_id")
+    return delivery.user_bitmaps(log.filter(F.col(column).between(*[F.lit(d).cast("date") for d in span])), column)
+
+
+@same_rows("dau_bitmaps", "dau")
+def _(t):
+    bought = t("visits").filter("order_id IS NOT NULL").join(
+        t("service_cities").filter(F.col("city_name") == _CITY), "city_id")
+    days = bought.filter(F.col("log_date").between(*[F.lit(d).cast("date") for d in _VISITS]))
+    return delivery.dau_of_bitmaps(delivery.user_bitmaps(days, "log_date"))
+
+
+@same_rows("retention_daily_bitmaps", "retention_daily")
+def _(t):
+    return delivery.retention_of_bitmaps(
+        _user_bitmaps(t, "first_date", *_COHORT[:2]), _user_bitmaps(t, "log_date", *_COHORT[2:]))
+
+
+@same_rows("retention_cohort_bitmaps", "retention_cohort")
+def _(t):
+    return delivery.retention_of_bitmaps(
+        _user_bitmaps(t, "first_date", *_COHORT[:2]), _user_bitmaps(t, "log_date", *_COHORT[2:]), by_month=True)
+
+
+@same_rows("retention_daily_binned", "retention_daily")
+def _(t):
+    daily = delivery.daily_retention_binned(t("visits"), t("service_cities"), *_COHORT, city=_CITY)
+    return delivery.retention(daily)
+
+
 @query("channel_summary", " UNION ALL ".join(
     f"SELECT '{name}' AS social_media, COUNT(id) AS count_of_users, "
     f"{ratio2('SUM(confirmed_donations)', 'COUNT(confirmed_donations)')} AS avg_donations "
@@ -365,26 +402,57 @@ _DATED = f"""
                                                HAVING SUM(funding_rounds) >= 50))"""
 
 
-def _busy(t):
-    """The start-ups of the later metrics: no outliers, middle date filled, busy years only."""
+def _busy(t, *columns):
+    """The start-ups of the later metrics: no outliers, middle date filled, busy years only; with the columns asked for."""
     middle = midpoint(F.col("first_funding_at"), F.col("last_funding_at"))
     known = F.col("mid_funding_at").cast("timestamp_ntz")
     rounds = t("rounds").withColumn("mid_funding_at", F.coalesce(known, middle))
-    return ventures.busy_years(ventures.without_outliers(rounds))
+    needed = dict.fromkeys(("name", "market", "funding_total_usd", "funding_rounds", "mid_funding_at", *columns))
+    return ventures.busy_years(ventures.without_outliers(rounds.select(*needed)))
 
 
 @query("years_with_min_volume", _DATED + " SELECT id, market, year FROM busy")
 def _(t):
-    return _busy(t).select("id", "market", "year")
+    return _busy(t, "id").select("id", "market", "year")
+
+
+@query("clean_rounds", f"""
+    WITH parsed AS (SELECT id, {clean_text('name')} AS name, {clean_text('market')} AS market,
+            TRY_CAST(replace(trim(funding_total_usd), ',', '') AS DOUBLE) AS funding_total_usd, funding_rounds,
+            CAST(try_strptime(trim(first_funding_at), '%Y-%m-%d') AS DATE) AS first_funding_at,
+            CAST(try_strptime(trim(mid_funding_at), '%Y-%m-%d') AS DATE) AS mid_funding_at,
+            CAST(try_strptime(trim(last_funding_at), '%Y-%m-%d') AS DATE) AS last_funding_at
+        FROM raw_rounds),
+    kept AS (SELECT DISTINCT * FROM parsed WHERE funding_total_usd IS NOT NULL)
+    SELECT id, COALESCE(name, 'Название неизвестно') AS name, market, funding_total_usd, funding_rounds,
+           CAST(first_funding_at AS VARCHAR) AS first_funding_at,
+           CAST(COALESCE(CAST(mid_funding_at AS TIMESTAMP), CAST(first_funding_at AS TIMESTAMP)
+                + to_hours(CAST(last_funding_at - first_funding_at AS BIGINT) * 12)) AS VARCHAR) AS mid_funding_at,
+           CAST(last_funding_at AS VARCHAR) AS last_funding_at FROM kept""")
+def _(t):
+    raw = t("raw_rounds").withColumnsRenamed({"market": " market ", "funding_total_usd": " funding_total_usd "})
+    return ventures.clean_rounds(raw)
+
+
+@query("clean_rounds_loss", f"""
+    WITH c AS (SELECT DISTINCT id, {clean_text('name')} AS name, {clean_text('market')} AS market,
+            TRY_CAST(replace(trim(funding_total_usd), ',', '') AS DOUBLE) AS v, funding_rounds,
+            try_strptime(trim(first_funding_at), '%Y-%m-%d') AS f, try_strptime(trim(mid_funding_at), '%Y-%m-%d') AS m,
+            try_strptime(trim(last_funding_at), '%Y-%m-%d') AS l FROM raw_rounds),
+    n AS (SELECT (SELECT COUNT(*) FROM raw_rounds) AS n_before, (SELECT COUNT(*) FROM c WHERE v IS NOT NULL) AS n_after)
+    SELECT n_before, n_after, n_before - n_after AS n_lost, {ratio2('100 * (n_before - n_after)', 'n_before')} AS pct_lost FROM n""")
+def _(t):
+    raw = t("raw_rounds").withColumnsRenamed({"market": " market ", "funding_total_usd": " funding_total_usd "})
+    return row_loss_report(raw, ventures.clean_rounds(raw))
 
 
 @query("funding_by_type", _DATED + ", s AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS type, COALESCE(SUM({c}), 0) AS total, "
     f"COUNT(*) FILTER (WHERE {c} > 0) AS frequency FROM busy" for c in ROUND_TYPES
 ) + """) SELECT type, total, frequency,
-    total / (SELECT SUM(total) FROM s) AS share FROM s""", digits={"total": 2, "share": 9})
+    total / (SELECT SUM(total) FROM s) AS share FROM s""", digits={"total": 2, "share": 9}, owned=True)
 def _(t):
-    return ventures.funding_by_type(_busy(t), ROUND_TYPES)
+    return ventures.funding_by_type(_busy(t, *ROUND_TYPES), ROUND_TYPES)
 
 
 @query("funding_spans", """
@@ -420,7 +488,7 @@ def _(t):
 @query("yearly_dynamics", _DATED + """
     SELECT year, AVG(funding_total_usd / funding_rounds) AS avg_round,
            CAST(SUM(funding_rounds) AS BIGINT) AS n_rounds FROM busy GROUP BY year""",
-       digits={"avg_round": 4})
+       digits={"avg_round": 4}, owned=True)
 def _(t):
     return ventures.yearly_dynamics(_busy(t))
 
@@ -430,7 +498,7 @@ def _(t):
           FROM busy WHERE market NOT IN ('mid', 'niche') GROUP BY market, year)
     SELECT market, year, total FROM y WHERE market IN (
         SELECT a.market FROM y a JOIN y b ON a.market = b.market AND a.year = 2006 AND b.year = 2007
-        WHERE b.total > a.total)""", digits={"total": 2})
+        WHERE b.total > a.total)""", digits={"total": 2}, owned=True)
 def _(t):
     return ventures.growing_segments(_busy(t), 2006, 2007)
 
@@ -445,7 +513,7 @@ def _(t):
     f AS (SELECT type AS t, quantile_cont(ratio, 0.25) AS q1, quantile_cont(ratio, 0.75) AS q3
           FROM rates GROUP BY type)
     SELECT year, type, CASE WHEN NOT ratio > q3 + (q3 - q1) * 1.5 THEN ratio END AS ratio
-    FROM rates JOIN f ON type = t""", digits={"ratio": 6})
+    FROM rates JOIN f ON type = t""", digits={"ratio": 6}, owned=True)
 def _(t):
-    invested = ventures.long_by_year(_busy(t), "year", ROUND_TYPES)
+    invested = ventures.long_by_year(_busy(t, *ROUND_TYPES), "year", ROUND_TYPES)
     return ventures.return_rate(t("return_amounts"), invested)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import (
-    add_days, age_band, age_years, bin_half_open, day_diff, midpoint, money, narrow_to_byte,
+    add_days, age_band, age_years, bin_half_open, day_diff, exact_amount, midpoint, narrow_to_byte,
     narrow_to_short, normalize_text, ordinal_lookup, parse_date, parse_number, round_half_up,
     safe_ratio, strip_separators, three_bands,
 )
@@ -140,7 +140,7 @@ def _(t):
            CAST(ROUND(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(8,4)), 2)
                 AS DOUBLE) AS commission FROM lineitem""")
 def _(t):
-    exact = money(F.col("l_extendedprice")) * money(F.col("l_discount"), 4)
+    exact = exact_amount(F.col("l_extendedprice") * F.col("l_discount"))
     return t("lineitem").select(
         "l_orderkey", "l_linenumber", round_half_up(exact, 2).alias("commission"))
 

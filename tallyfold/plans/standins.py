@@ -181,6 +181,19 @@ VIEWS = {
                CASE WHEN event_type = 'signup' AND k > 10 THEN value END AS grant_money,
                CASE WHEN event_type = 'error' AND k > 30 THEN value END AS private_equity
         FROM {event_numbers}""",
+    # The same as text, as it is before it is cleaned: padded, in capitals, with separators, bad dates and copies.
+    "raw_rounds": """
+        SELECT id, CASE WHEN id % 50 <> 7 THEN CONCAT(' ', UPPER(name), CASE WHEN id % 2 = 0 THEN ' ' ELSE '' END) END AS name,
+               CASE WHEN market IS NOT NULL THEN CONCAT(UPPER(market), '  ') END AS market,
+               CASE WHEN id % 9 = 4 THEN ' -   ' WHEN id % 13 = 5 THEN NULL
+                    ELSE CONCAT('  ', CAST(CAST(FLOOR(funding_total_usd) AS INTEGER) AS STRING), ',',
+                                LPAD(CAST(CAST(id % 1000 AS INTEGER) AS STRING), 3, '0'), ' ') END AS funding_total_usd,
+               funding_rounds,
+               CASE WHEN id % 17 = 3 THEN 'unknown' WHEN id % 17 = 4 THEN '2013-02-30' WHEN id % 500 = 11 THEN '1636-09-08'
+                    ELSE CONCAT(' ', CAST(first_funding_at AS STRING)) END AS first_funding_at,
+               CAST(mid_funding_at AS STRING) AS mid_funding_at,
+               CONCAT(CAST(last_funding_at AS STRING), ' ') AS last_funding_at
+        FROM (SELECT * FROM {rounds} UNION ALL SELECT * FROM {rounds} WHERE id % 11 = 0)""",
     "return_amounts": """
         SELECT CAST(2000 + k % 18 AS INTEGER) AS year,
                CASE event_type WHEN 'click' THEN 'seed' WHEN 'view' THEN 'venture'
@@ -224,6 +237,8 @@ def expand_sql(sql: str) -> str:
         f"{n} AS ({re.sub(r'[{](\w+)[}]', r'\1', VIEWS[n]).strip()})" for n in needed
     )
     body = sql.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -1,12 +1,18 @@
-"""Session settings and the shared scratch location."""
+"""Session settings, the shared scratch location, and tables written there."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of the scopes that are open, innermost last: path by the id of the frame that reads it.
+_SCOPES: ContextVar[tuple[dict[str, SparkSession], ...]] = ContextVar("scopes", default=())
+
 
 def local_session(cpus: int | str = 8, shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; clusters bring their own."""
@@ -46,8 +52,63 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     chain again. Also for group values about to meet their rows: the planner then knows their
     size from the file and can broadcast them, where it would else shuffle the rows before it
     finds out that the other side is small. The table lives in the shared scratch folder, so
-    losing an executor loses nothing. Writing it runs a job.
+    losing an executor loses nothing. Writing it runs a job. The innermost open
+    ``scratch_scope`` owns the table; without one it stays.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    scopes = _SCOPES.get()
+    if scopes:
+        scopes[-1][path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_computed(df: DataFrame, name: str) -> DataFrame:
+    """``settle``, unless the rows come straight from files: those are as cheap to read again."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = [line.lstrip(" +-:").split(" ", 1)[0].split("[", 1)[0] for line in plan.splitlines() if line.strip()]
+    plain = {"Project", "Filter", "Relation", "LocalRelation", "Range"}
+    return df if all(n in plain for n in nodes) else settle(df, name)
+
+
+def _deleted(path: str, spark: SparkSession) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+class Scope:
+    """Tables settled since it was opened."""
+
+    def __init__(self, owned: dict[str, SparkSession]):
+        self._owned = owned
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        """Settles what is handed out; it belongs to the next outer scope, not to this one."""
+        scopes = _SCOPES.get()
+        place = _SCOPES.set(tuple(s for s in scopes if s is not self._owned))
+        try:
+            return settle(df, name)
+        finally:
+            _SCOPES.reset(place)
+
+    def free(self) -> None:
+        """Deletes the tables so far. No frame that reads them may be used afterwards."""
+        while self._owned:
+            _deleted(*self._owned.popitem())
+
+
+@contextmanager
+def scratch_scope() -> Iterator[Scope]:
+    """Owns the tables settled within, and deletes them at its end.
+
+    Frames that read them must have been used by then; one to be handed out goes through ``result``.
+    The tables of a scope that fails are deleted too.
+    """
+    owned: dict[str, SparkSession] = {}
+    place = _SCOPES.set((*_SCOPES.get(), owned))
+    scope = Scope(owned)
+    try:
+        yield scope
+    finally:
+        _SCOPES.reset(place)
+        scope.free()

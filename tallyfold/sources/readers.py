@@ -44,7 +44,7 @@ def read_csv(
     spark: SparkSession, path: str, schema: StructType | str, sep: str = ",",
     quoted_newlines: bool = False,
 ) -> DataFrame:
-    """CSV with a header line. Unpack archives first: Spark cannot split a zip.
+    """CSV with a header line; ``read_zip_csv`` reads it inside zip archives.
 
     ``quoted_newlines`` reads fields with line breaks in them; such files cannot be split
     between tasks either, so it is off unless asked for.

@@ -108,10 +108,18 @@ def test_columns_are_told_apart_by_type(spark, people):
     assert cells.agg({"n": "sum"}).first()[0] == len(frame) - 1
 
 
-def test_columns_with_too_many_classes_are_an_error(spark):
-    df = spark.range(1200).selectExpr("cast(id as string) AS name", "id % 3 AS kind")
-    with pytest.raises(Exception, match="more than 1000 classes"):
-        phik_matrix(df, ["name", "kind"], []).collect()
+def test_columns_of_many_classes_are_answered(spark):
+    df = spark.range(3000).selectExpr("cast(id % 1500 as string) AS name", "cast(id % 3 as string) AS kind", "cast(id as string) AS each")
+    got = {(r.left_column, r.right_column): r.phik for r in phik_matrix(df, ["name", "kind", "each"]).collect()}
+    assert got["name", "kind"] == pytest.approx(1) and got["each", "kind"] == pytest.approx(1) and 0 <= got["name", "each"] <= 1
+
+
+@pytest.mark.parametrize("rho", [0.05, 0.5, 0.88, 0.95, 0.99])
+def test_weights_of_many_classes(rho):
+    """The series and the band against the sum over all cells; that one integrates by two nodes a class here."""
+    weight = phik_from_chi2.weight_of(1001, 40)
+    assert weight(rho) == pytest.approx(phik_from_chi2.cell_weight(rho, 1001, 40), rel=2e-3)
+    assert weight(1.0) == pytest.approx(phik_from_chi2.cell_weight(1.0, 1001, 40), rel=1e-9)
 
 
 def test_many_classes_are_solved_alike():

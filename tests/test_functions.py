@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfold.functions import (
-    add_days, age_band, age_years, bin_half_open, contains_all, excludes_all, mean, midpoint, money,
+    add_days, age_band, age_years, bin_half_open, contains_all, exact_amount, excludes_all, mean, midpoint,
     narrow_to_byte, narrow_to_short, normalize_text, ordinal_lookup, parse_date, parse_number, ratio,
     round_half_up, safe_ratio, starts_with, three_bands, total,
 )
@@ -110,11 +110,9 @@ def test_sums_and_means_keep_all_digits(spark):
     assert both([None]) == (None, None)
 
 
-def test_money_never_loses_digits(spark):
-    got = values(spark, [0.1, 1234.56, None], "double", money)
-    assert [None if v is None else str(v) for v in got] == ["0.10", "1234.56", None]
-    with pytest.raises(Exception, match="digits of money"):
-        values(spark, [0.004], "double", money)
+def test_amounts_of_any_number_of_digits(spark):
+    got = values(spark, [0.1 + 0.2, 1234.56, 0.004, 0.0000004, 1e300, None], "double", exact_amount)
+    assert [None if v is None else f"{v:f}" for v in got] == ["0.300000", "1234.560000", "0.004000", "0.000000", None, None]
 
 
 def test_zero_denominator(spark):

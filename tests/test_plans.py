@@ -4,7 +4,11 @@ import re
 
 import pytest
 
-from tallyfold.operators import exact_quantiles, top_k
+from pyspark.sql import functions as F
+
+from tallyfold import session
+from tallyfold.jobs import delivery
+from tallyfold.operators import bucketed, count_values, exact_quantiles, quantiles, top_k
 from tallyfold.plans import QUERIES, run
 from tallyfold.plans.standins import Tables
 
@@ -25,7 +29,7 @@ def test_no_cross_product_and_no_python_rows(name, spark, sf_dir):
         return
     plan = static_plan(run(name, spark, sf_dir))
     assert "CartesianProduct" not in plan
-    if name != "phik_matrix":
+    if not name.startswith("phik_"):
         assert "Python" not in plan and "Pandas" not in plan
     # The only joins without a key add one row of totals or limits.
     for line in plan.splitlines():
@@ -35,7 +39,7 @@ def test_no_cross_product_and_no_python_rows(name, spark, sf_dir):
 
 ONE_ROW_JOINS = {
     "percentile_trim", "boxplot_stats", "histogram", "phik_matrix", "contingency_table",
-    "cramers_v", "duration_profile", "top_places",
+    "cramers_v", "duration_profile", "top_places", "phik_rated_venues", "phik_row_of_rating", "phik_distance_bill",
 }
 
 
@@ -52,13 +56,50 @@ def test_top_k_sorts_no_full_table(spark, sf_dir):
     assert "TakeOrderedAndProject" in plan
 
 
-def test_quantiles_shuffle_only_values_of_located_cells(spark, sf_dir):
-    """The raw values meet the located cells in a broadcast join, below the only shuffle that carries them."""
+def test_quantiles_read_one_table_of_counted_values(spark, sf_dir, monkeypatch):
+    """Neither the short walk nor the search by cells reads the rows again, and the counts are made in part before the shuffle."""
     lines = Tables(spark, sf_dir)("lineitem")
-    plan = final_plan(exact_quantiles(lines, "l_extendedprice", [0.25, 0.75], ["l_returnflag"]))
-    assert plan.count("l_extendedprice:double") == 1 and "SortMergeJoin" not in plan
-    values = next(i for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning" in line and "__v" in line)
-    assert "BroadcastHashJoin" in "\n".join(plan.splitlines()[values:])
+    counted = static_plan(count_values(lines, "l_extendedprice", ["l_returnflag"]))
+    assert counted.count("FileScan parquet") == 1 and counted.count("HashAggregate") == 2 and counted.count("Exchange") == 1
+    for few in (quantiles.FEW, 0):
+        monkeypatch.setattr(quantiles, "FEW", few)
+        plan = final_plan(exact_quantiles(lines, "l_extendedprice", [0.25, 0.75], ["l_returnflag"]))
+        assert "l_extendedprice:double" not in plan and "SortMergeJoin" not in plan
+
+
+def test_a_trim_scans_each_base_table_once(spark, sf_dir, monkeypatch):
+    written = []
+    monkeypatch.setattr(session, "settle", lambda df, name, do=session.settle: (written.append(static_plan(df)), do(df, name))[1])
+    monkeypatch.setattr(quantiles, "settle", session.settle)
+    written.append(static_plan(run("percentile_trim", spark, sf_dir)))
+    scans = [s for plan in written for s in re.findall(r"FileScan parquet .*?Location: .*?/(\w+)\.parquet", plan)]
+    assert sorted(scans) == ["customer", "lineitem", "orders"]
+
+
+def test_counting_copies_sorts_nothing(spark, sf_dir):
+    assert "SortAggregate" not in final_plan(run("dedup_all_columns", spark, sf_dir))
+
+
+def test_bucketed_copies_meet_without_an_exchange(spark, sf_dir):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        t = Tables(spark, sf_dir)
+        lines, orders = bucketed(t("lineitem"), ["l_orderkey"], 4), bucketed(t("orders"), ["o_orderkey"], 4)
+        both = lines.join(orders, lines.l_orderkey == orders.o_orderkey)
+        assert "Exchange" not in static_plan(both) and both.count() == t("lineitem").count()
+        sales = lines.join(t("orders"), lines.l_orderkey == F.col("o_orderkey"))
+        assert static_plan(sales).count("Exchange") == 1
+        # The best items of the best partners, from a log laid out by partner: its sums need no exchange.
+        log = t("sales").where("revenue IS NOT NULL")
+        laid = bucketed(log, ["rest_id", "city_id"], 4)
+        per_partner = laid.groupBy("rest_id", "city_id").agg(F.sum("revenue").alias("r"))
+        assert "Exchange" not in static_plan(per_partner)
+        assert per_partner.count() == log.select("rest_id", "city_id").distinct().count()
+        best = [delivery.ltv_top_items(x, t("service_cities"), t("partners"), t("dishes"), "1996-05-01", "1999-06-30", city="ASIA") for x in (log, laid)]
+        assert sorted(best[0].collect()) == sorted(best[1].collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_aggregates_combine_before_the_shuffle(spark, sf_dir):

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tallyfold.operators import keys
 from tallyfold.operators import (
     dedup_keep_first, duplicate_groups, fill_group_mean, flag_iqr_outliers, with_group_size,
 )
@@ -39,9 +40,11 @@ def plan_of(df):
     return text[: text.index("== Initial Plan ==")]
 
 
-def test_hot_key_is_split_in_joins_back(no_broadcast, hot):
+def test_rows_of_a_hot_key_meet_their_group_in_a_broadcast(no_broadcast, hot, monkeypatch):
+    assert "SortMergeJoin" not in plan_of(with_group_size(hot, "k"))
+    monkeypatch.setattr(keys, "HOT_SHARE", 500)  # more groups than that: only those of hot keys are broadcast
     sized = with_group_size(hot, "k")
-    assert "skewed" in plan_of(sized) or "skew=true" in plan_of(sized)
+    assert "BroadcastHashJoin" in plan_of(sized) and "SortMergeJoin" in plan_of(sized)
     assert sized.filter("k = -1").agg(F.min("group_size"), F.count("*")).first()[:] == (N // 3, N // 3)
 
 
