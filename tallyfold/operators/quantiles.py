@@ -24,7 +24,7 @@ from .keys import join_on_keys
 
 COARSE, FINE = 4, 10
 #: Counted values that one running count may walk.
-FEW = 1 << 18
+FEW = 1 << 20
 _ALL = "__all"
 
 

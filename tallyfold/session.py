@@ -10,7 +10,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Tables of the scopes that are open, innermost last: path by the id of the frame that reads it.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Tables of the scopes that are open, innermost last.
 _SCOPES: ContextVar[tuple[dict[str, SparkSession], ...]] = ContextVar("scopes", default=())
 
 
@@ -56,13 +57,24 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     ``scratch_scope`` owns the table; without one it stays.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    _write(df, path)
     scopes = _SCOPES.get()
     if scopes:
         scopes[-1][path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _write(df: DataFrame, path: str) -> None:
+    """Writes the rows; the shuffle files of this write go with its end, not when the driver happens to collect garbage."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def settle_computed(df: DataFrame, name: str) -> DataFrame:
     """``settle``, unless the rows come straight from files: those are as cheap to read again."""
     plan = df._jdf.queryExecution().optimizedPlan().toString()
@@ -85,7 +97,18 @@ class Scope:
     def result(self, df: DataFrame, name: str) -> DataFrame:
         """Settles what is handed out; it belongs to the next outer scope, not to this one."""
         scopes = _SCOPES.get()
-        place = _SCOPES.set(tuple(s for s in scopes if s is not self._owned))
+        inner = next((i for i, s in enumerate(scopes) if s is self._owned), len(scopes))
+        place = _SCOPES.set(scopes[:inner])
+        try:
+            return settle(df, name)
+        finally:
+            _SCOPES.reset(place)
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Settles a table that belongs to this scope, also while inner ones are open."""
+        scopes = _SCOPES.get()
+        own = next(i for i, s in enumerate(scopes) if s is self._owned)
+        place = _SCOPES.set(scopes[: own + 1])
         try:
             return settle(df, name)
         finally:
