@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm import bpe, line_dedup, mixing, ngram_jaccard, toxicity
 from tallyfold.llm.queries import VOCABULARY, table
 from tallyfold.operators.keys import join_on_keys
-from tallyfold.session import settle
+from tallyfold.session import scratch_scope, settle
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,9 +33,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of every group; repeated rows of that id all stay."""
-    groups = ngram_jaccard.ngram_groups(docs).select(F.col("doc_id").alias("__k"), F.col("component_id").alias("__c"))
-    gone = settle(groups.where("__k != __c").select("__k").distinct(), "pipeline-copies")
-    return join_on_keys(docs.withColumn("__k", F.col("doc_id")), gone, ["__k"], how="left_anti").select(*docs.columns)
+    with scratch_scope() as scope:
+        groups = ngram_jaccard.ngram_groups(docs)
+        gone = scope.result(groups.where("doc_id != component_id").select(F.col("doc_id").alias("k")).distinct(), "pipeline-copies")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("k"))
+    return join_on_keys(rows, gone, ["k"], how="left_anti").select("row.*")
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
