@@ -26,14 +26,34 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .batches import slices, texts
+from .batches import bounded_batches, frugal, slices, texts
 
 END = "￿"
 WORD_END = "</w>"
-#: Remembered chunks and letter runs of a worker; when full they are forgotten at once.
-CHUNK_CACHE = 300_000
-PIECE_CACHE = 200_000
-PAIR_CACHE = 400_000
+#: Bytes of remembered chunks and letter runs of a worker; when full they are forgotten at once. Longer ones are
+#: not remembered. An entry counts with what the two objects and their place in the table take besides.
+CHUNK_BYTES, PIECE_BYTES, LONGEST, ENTRY = 32 << 20, 16 << 20, 64, 190
+PAIR_CACHE = 200_000
+
+
+class Remembered(dict):
+    """Packed ids by text, of bounded size in bytes."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    def keep(self, text: str, ids: bytes) -> bytes:
+        if len(text) <= LONGEST:
+            if self.held > self.limit:
+                self.forget()
+            self.held += ENTRY + 2 * len(text) + len(ids)
+            self[text] = ids
+        return ids
+
+    def forget(self) -> None:
+        self.clear()
+        self.held = 0
 
 
 def byte_letters() -> list[str]:
@@ -81,8 +101,7 @@ class WordBpe:
                 automaton.add_word(marked, (len(marked), token))
         automaton.make_automaton()
         self.matches = automaton.iter
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.chunks, self.pieces = Remembered(CHUNK_BYTES), Remembered(PIECE_BYTES)
 
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         pieces = [names.get(i, "").encode() + b" " for i in range(max(names) + 1)]
@@ -156,14 +175,12 @@ class WordBpe:
     def _piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            if len(self.pieces) >= PIECE_CACHE:
-                self.pieces.clear()
             if piece.isascii() and piece.isprintable():
                 word = piece
             else:
                 letters = self.letters
                 word = "".join([letters[b] for b in piece.encode()])
-            found = self.pieces[piece] = np.array(self.encode_word(word + END), "<u4").tobytes()
+            found = self.pieces.keep(piece, np.array(self.encode_word(word + END), "<u4").tobytes())
         return found
 
     def _chunk(self, chunk: str) -> bytes:
@@ -177,10 +194,13 @@ class WordBpe:
                 # Letter by letter: the library has no special case for a sigma that ends a word.
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
             out += map(self._piece, self.split(part.lower()))
-        if len(self.chunks) >= CHUNK_CACHE:
-            self.chunks.clear()
-        found = self.chunks[chunk] = b"".join(out)
-        return found
+        return self.chunks.keep(chunk, b"".join(out))
+
+    def forget(self) -> None:
+        """Drops what was remembered: the worker lives on after its task."""
+        self.chunks.forget()
+        self.pieces.forget()
+        self.compatible.clear()
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
@@ -230,6 +250,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
     docs = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
     schema = f"k {dict(docs.dtypes)['k']}, n_tokens long, ids array<int>"
 
+    @frugal
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(name, sent.value)
         for batch in batches:
@@ -239,8 +260,9 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(packed), "<i4"))
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(counts, pa.int64()), ids], ["k", "n_tokens", "ids"])
+        bpe.forget()
 
-    return docs.mapInArrow(encode, schema).withColumnRenamed("k", key)
+    return bounded_batches(docs).mapInArrow(encode, schema).withColumnRenamed("k", key)
 
 
 def token_digests(
@@ -259,6 +281,7 @@ def token_digests(
     fields = f"k {dict(docs.dtypes)['k']}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     names = ["k", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
 
+    @frugal
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(name, sent.value)
         sha = hashlib.sha256
@@ -275,8 +298,9 @@ def token_digests(
                     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.forget()
 
-    return docs.mapInArrow(digest, fields + ", ids array<int>" * with_ids).withColumnRenamed("k", key)
+    return bounded_batches(docs).mapInArrow(digest, fields + ", ids array<int>" * with_ids).withColumnRenamed("k", key)
 
 
 def decode_ids(ids: Column, vocabulary: str) -> Column:

@@ -2,19 +2,22 @@
 
 A line's set is its distinct words. Lines with equal sets are one class, whose first line (by document
 id, then place) stands for it. The words of a set are ordered by rarity and its prefix, of which two
-matching sets must share a word, goes into inverted lists with size and position. Within a list,
-sets are paired under the length and positional filters, and a 64-bit parity of each set bounds the
-difference of two sets from below. What is left is verified by Jaccard on the words themselves.
+matching sets must share a word, goes into inverted lists with size and position; lists of one set are dropped. Within a
+list, sets are paired under the length and positional filters, and a 64-bit parity of each set bounds the
+difference of two sets from below. What is left is verified by Jaccard on the words themselves, which are cut again
+from the documents that hold them: a bitmap of fixed size keeps the other documents from being shuffled.
 
 A line is removed when an earlier line matches it, whether or not that one is removed too. So each set
 first meets only the earliest set of its size class that it shares most lists with; sets removed by
-that need no other pair. This keeps large groups of near copies from being paired among themselves.
+that need no other pair. This keeps large groups of near copies from being paired among themselves. Sets that are
+not let through to that one by the filters meet all earlier sets of the list.
 
 Rarity is the count of a word's bucket in a sketch of fixed size over all lines; it decides only the
 order. Sets of up to eight words match only equal sets, at 0.9, so they are in no list: their class says all.
 Every line with a word can be removed; blank lines have an empty set, which has no similarity, and stay. Null
-and empty texts have no lines to remove. Documents without an id keep all lines and remove none; rows with one
-id are one document.
+and empty texts have no lines to remove. Documents without an id keep all lines and remove none. Rows of one id
+and one text are one document; other texts of an id follow in the order of a hash of the text, and each row loses only
+lines of its own text.
 """
 
 from __future__ import annotations
@@ -26,30 +29,38 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfold.operators.keys import join_on_keys
-from tallyfold.session import settle
+from tallyfold.session import scratch_scope, settle
 
 PERCENT = 90
 LEAST_WORDS = 1
 SKETCH_BITS = 18
 SPACES = " \t\n\x0b\x0c\r"
+#: Bits of the bitmap of documents whose lines are verified.
+BITMAP_BITS = 24
+#: A line: its document's id, and one number for the document's text and the line's place in it.
 LINE = ["k", "line"]
 
 
 def line_words(text: Column) -> Column:
-    """Distinct words of a line."""
-    inner = F.btrim(text, F.lit(SPACES))
-    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(inner, r"[\x20\x09-\x0D]+")))
+    """The words of a line; repeated ones stay."""
+    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+
+
+def text_number(text: Column) -> Column:
+    """31 bits that tell the texts of one id apart, placed above a line's place."""
+    return F.shiftleft(F.xxhash64(text).bitwiseAND((1 << 31) - 1), 31)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
-    """``k``, ``line`` (from 0) and ``words`` of the lines that can be removed."""
-    lines = docs.where(F.col("k").isNotNull() & F.col("text").isNotNull()).select("k", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    return lines.select(*LINE, line_words(F.col("s")).alias("words")).where(F.size("words") >= LEAST_WORDS)
+    """``k``, ``line`` and ``words`` of the lines that can be removed."""
+    lines = docs.where(F.col("k").isNotNull() & F.col("text").isNotNull()).select("k", text_number(F.col("text")).alias("t"), F.posexplode(F.split("text", "\n")).alias("at", "s"))
+    lines = lines.select("k", (F.col("t") + F.col("at")).alias("line"), line_words(F.col("s")).alias("words"))
+    return lines.where(F.size("words") >= LEAST_WORDS)
 
 
 def word_levels(docs: DataFrame) -> Column:
     """A constant array: for each bucket of word hashes, half powers of two of its count."""
-    words = docs.where("text IS NOT NULL").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w"))
+    words = docs.where("text IS NOT NULL").select(F.explode(line_words(F.col("text"))).alias("w"))
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - SKETCH_BITS)
     counts = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).toArrow()  # at most 2^SKETCH_BITS rows
     levels = ["0"] * (1 << SKETCH_BITS)
@@ -58,21 +69,26 @@ def word_levels(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(levels)), ",").cast("array<tinyint>")
 
 
+def members(words: Column) -> Column:
+    """The distinct words as sorted 64-bit hashes."""
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+
+
 def described(lines: DataFrame, levels: Column) -> DataFrame:
-    """Size, digests, parity and prefix of every line's set; members are hashes led by their level."""
-    def member(w: Column) -> Column:
-        h = F.xxhash64(w)
+    """Size, digests, parity and prefix of every line's set; members of the prefix are hashes led by their level."""
+    def member(h: Column) -> Column:
         level = F.get(levels, F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")).cast("long")
         return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))
 
-    sets = lines.select(*LINE, F.sort_array(F.transform("words", member)).alias("m"))
+    sets = lines.select(*LINE, members(F.col("words")).alias("m"))
     n = F.size("m")
     parity = F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
     # The nearest to a set that is not equal is the set with one word more.
     kept = F.when(100 * n >= PERCENT * (n + 1), n - F.ceil(n * PERCENT / 100.0 - 1e-9).cast("int") + 1).otherwise(0)
+    prefix = F.when(kept > 0, F.slice(F.sort_array(F.transform("m", member)), F.lit(1), kept)).otherwise(F.array().cast("array<long>"))
     return sets.select(
-        *LINE, n.alias("n"), F.xxhash64("m").alias("d1"), F.xxhash64(F.lit(1), "m").alias("d2"), parity.alias("p"),
-        F.slice("m", 1, kept).alias("prefix"))
+        *LINE, n.alias("n"), F.xxhash64("m").alias("d1"), F.xxhash64(F.lit(1), "m").alias("d2"), F.when(kept > 0, parity).otherwise(0).alias("p"),
+        prefix.alias("prefix"))
 
 
 def least_overlap(n1: Column, n2: Column) -> Column:
@@ -88,90 +104,109 @@ def may_match(a: str, b: str) -> Column:
     return (100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)) & (rest >= least) & (apart <= n1 + n2 - 2 * least)
 
 
-def _listed(sets: DataFrame, only: DataFrame | None = None) -> DataFrame:
-    """A row for each class and member of its prefix (``g``); of the lists ``only``, if given."""
+def _listed(sets: DataFrame) -> DataFrame:
+    """A row for each class and member of its prefix (``g``)."""
     classes = sets.where(F.size("prefix") > 0).groupBy("n", "d1", "d2", "p").agg(F.min(F.struct(*LINE)).alias("c"), F.first("prefix").alias("prefix"))
-    rows = classes.select("c.k", "c.line", "n", "p", F.posexplode("prefix").alias("pos", "g"))
-    return rows if only is None else join_on_keys(rows, only, ["g"])
+    return classes.select("c.k", "c.line", "n", "p", F.posexplode("prefix").alias("pos", "g"))
 
 
-def _later(rows: DataFrame) -> DataFrame:
-    """The same with ``h``, the earliest class of the list and size class, where the filters let it match."""
+def _with_heads(rows: DataFrame) -> DataFrame:
+    """Rows of lists of two classes or more with ``h``, the earliest class of the list and size class where the
+    filters let it match."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
-    head = F.first(F.struct("k", "line", "n", "pos", "p")).over(W.partitionBy("g", "size_class").orderBy(*LINE))
-    rows = rows.withColumn("size_class", size_class).withColumn("h", head)
-    rows = rows.select("*", *[F.col(f"h.{c}").alias(f"{c}_h") for c in ("k", "line", "n", "pos", "p")])
+    rows = rows.withColumn("size_class", size_class)
+    head = F.first(F.struct(*LINE, "n", "pos", "p")).over(W.partitionBy("g", "size_class").orderBy(*LINE))
+    rows = rows.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("g"))).withColumn("h", head).where("many > 1")
+    rows = rows.select("*", *[F.col(f"h.{c}").alias(f"{c}_h") for c in (*LINE, "n", "pos", "p")])
     other = (F.col("k_h") != F.col("k")) | (F.col("line_h") != F.col("line"))
     return rows.select("g", *LINE, "n", "pos", "p", F.when(other & may_match("", "_h"), F.struct(F.col("k_h").alias("k"), F.col("line_h").alias("line"))).alias("h"))
 
 
-def _pairs(rows: DataFrame, heads: bool) -> DataFrame:
-    """Pairs of a class (``k``, ``line``) and an earlier one (``hk``, ``hline``) that the filters pass, with the
-    number of lists ``c`` they meet in. With ``heads`` a class that has a head in a list meets only that one."""
-    later = _later(rows) if heads else rows.withColumn("h", F.lit(None).cast("struct<k: long, line: int>"))
-    earlier = rows.select("g", *[F.col(c).alias(f"{c}_x") for c in ("k", "line", "n", "pos", "p")])
-    place = F.struct(F.col("k_x").alias("k"), F.col("line_x").alias("line"))
+def _earlier(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """Pairs of a class of ``asked`` (``k``, ``line``) and an earlier one of ``rows`` (``hk``, ``hline``) in one list that the
+    filters pass; the join can be split."""
+    others = rows.select("g", *[F.col(c).alias(f"{c}_x") for c in (*LINE, "n", "pos", "p")])
     before = (F.col("k_x") < F.col("k")) | ((F.col("k_x") == F.col("k")) & (F.col("line_x") < F.col("line")))
-    wanted = F.when(F.col("h").isNotNull(), F.col("h") == place).otherwise(before & may_match("", "_x"))
-    # Both sides are laid out by g already, from one shuffle.
-    met = later.join(earlier, "g").where(wanted)
-    pairs = met.groupBy(*LINE, F.col("k_x").alias("hk"), F.col("line_x").alias("hline"), F.col("h").isNotNull().alias("star"))
-    return pairs.agg(F.count(F.lit(1)).alias("c"))
+    met = join_on_keys(asked.select("g", *LINE, "n", "pos", "p"), others, ["g"]).where(before & may_match("", "_x"))
+    return met.select(*LINE, F.col("k_x").alias("hk"), F.col("line_x").alias("hline")).distinct()
+
+
+def _of_wanted_documents(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents whose bit is set in a bitmap of the documents of ``wanted`` (``k``, ``t``).
+
+    The bitmap has at most 2^(BITMAP_BITS - 6) rows of 64 bits, whatever the number of documents.
+    """
+    bit = lambda: F.shiftrightunsigned(F.xxhash64("k", "t"), 64 - BITMAP_BITS)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit().bitwiseAND(63).cast("int"))
+    bits = wanted.groupBy(F.shiftrightunsigned(bit(), 6).alias("word")).agg(F.bit_or(one).alias("bits"))
+    met = docs.join(F.broadcast(settle(bits, "line-bitmap")), F.shiftrightunsigned(bit(), 6) == F.col("word"))
+    return met.where(F.col("bits").bitwiseAND(one) != 0).select("k", "t", "text")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Later lines (``k``, ``line``) of pairs with an earlier one (``hk``, ``hline``) that match on their words."""
-    pairs = settle(pairs.select(*LINE, "hk", "hline").distinct(), "line-pairs")
-    ids = settle(pairs.select(*LINE).union(pairs.select("hk", "hline")).distinct(), "line-ids")
-    lines = docs.select("k", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    # Texts meet the wanted places before they are cut into words.
-    words = join_on_keys(lines, ids, LINE).dropDuplicates(LINE).select(*LINE, line_words(F.col("s")).alias("words"))
-    words = settle(words, "line-words")
-    other = words.select(F.col("k").alias("hk"), F.col("line").alias("hline"), F.col("words").alias("hwords"))
+    """Later lines (``k``, ``line``) of pairs with an earlier one (``hk``, ``hline``) that match on their words; ``pairs`` is written."""
+    ids = pairs.select(*LINE).union(pairs.select("hk", "hline")).distinct()
+    place = F.col("line").bitwiseAND((1 << 31) - 1)
+    ids = ids.select("k", (F.col("line") - place).alias("t"), place.cast("int").alias("at"))
+    ids = settle(ids.groupBy("k", "t").agg(F.collect_set("at").alias("wanted")), "line-ids")
+    some = docs.where("k IS NOT NULL AND text IS NOT NULL").select("k", text_number(F.col("text")).alias("t"), "text")
+    held = join_on_keys(_of_wanted_documents(some, ids.select("k", "t")), ids, ["k", "t"])
+    held = held.select("k", "t", F.explode("wanted").alias("at"), F.split("text", "\n").alias("lines"))
+    words = held.select("k", (F.col("t") + F.col("at")).alias("line"), members(line_words(F.get("lines", "at"))).alias("m"))
+    # Rows that occur twice have their lines once.
+    words = settle(words.dropDuplicates(LINE), "line-words")
+    other = words.select(F.col("k").alias("hk"), F.col("line").alias("hline"), F.col("m").alias("hm"))
     both = join_on_keys(join_on_keys(pairs, words, LINE), other, ["hk", "hline"])
-    both = both.withColumn("o", F.size(F.array_intersect("words", "hwords")))
-    union = F.size("words") + F.size("hwords") - F.col("o")
-    return both.where(100 * F.col("o") >= PERCENT * union).select(*LINE).distinct()
+    common = F.size(F.array_intersect("m", "hm"))
+    return both.where(100 * common >= PERCENT * (F.size("m") + F.size("hm") - common)).select(*LINE).distinct()
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
-    """``k`` and ``line`` of every line that an earlier line matches; ``docs``: ``k``, ``text``."""
-    sets = settle(described(lines_of(docs), word_levels(docs)), "line-sets")
-    met = settle(_pairs(_listed(sets), heads=True), "line-candidates")
-    # Of the heads in all its lists a set takes the one it meets most often.
-    stars = met.where("star").groupBy(*LINE).agg(
-        F.min(F.struct((-F.col("c")).alias("c"), F.col("hk"), F.col("hline"))).alias("h"))
-    stars = settle(stars.select(*LINE, "h.hk", "h.hline"), "line-heads")
-    direct = met.where("NOT star").select(*LINE, "hk", "hline")
-    gone = settle(_verified(stars.union(direct), docs), "line-matches")
-    # Sets whose head failed meet all earlier sets of their lists.
-    failed = settle(join_on_keys(stars.select(*LINE), gone, LINE, how="left_anti"), "line-open")
-    open_lists = join_on_keys(sets.select(*LINE, "prefix"), failed, LINE).select(F.explode("prefix").alias("g")).distinct()
-    again = join_on_keys(_pairs(_listed(sets, settle(open_lists, "line-open-lists")), heads=False), failed, LINE)
-    gone = settle(gone.union(_verified(again, docs)).distinct(), "line-gone")
-    first = sets.groupBy("n", "d1", "d2").agg(F.min(F.struct(*LINE)).alias("c")).select("n", "d1", "d2", "c.*")
-    first = join_on_keys(first, gone.withColumn("gone", F.lit(True)), LINE, how="left")
-    first = settle(first.select("n", "d1", "d2", F.struct(*LINE).alias("c"), F.coalesce("gone", F.lit(False)).alias("gone")), "line-classes")
-    lost = join_on_keys(sets.select(*LINE, "n", "d1", "d2"), first, ["n", "d1", "d2"])
-    return lost.where(F.col("gone") | (F.struct(*LINE) != F.col("c"))).select(*LINE)
+    """``k``, ``t`` (of the text) and ``removed`` (places from 0) of the documents that hold a line which an earlier
+    line matches; ``docs``: ``k``, ``text``. The table is written, all others are deleted."""
+    with scratch_scope() as scope:
+        sets = settle(described(lines_of(docs), word_levels(docs)), "line-sets")
+        lists = settle(_with_heads(_listed(sets)), "line-lists")
+        # Of the heads in all its lists a set takes the one it meets most often.
+        met = lists.where("h IS NOT NULL").groupBy(*LINE, F.col("h.k").alias("hk"), F.col("h.line").alias("hline")).agg(F.count(F.lit(1)).alias("c"))
+        stars = met.groupBy(*LINE).agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("hk"), F.col("hline"))).alias("h"))
+        stars = settle(stars.select(*LINE, "h.hk", "h.hline"), "line-heads")
+        direct = _earlier(lists.where("h IS NULL"), lists)
+        pairs = settle(stars.union(direct).distinct(), "line-pairs")
+        gone = settle(_verified(pairs, docs), "line-matches")
+        # Sets whose head failed meet all earlier sets of their lists.
+        failed = settle(join_on_keys(stars.select(*LINE), gone, LINE, how="left_anti"), "line-open")
+        again = _earlier(join_on_keys(lists.where("h IS NOT NULL"), failed, LINE, how="left_semi"), lists)
+        again = settle(join_on_keys(again, pairs, [*LINE, "hk", "hline"], how="left_anti"), "line-more-pairs")
+        gone = settle(gone.union(_verified(again, docs)).distinct(), "line-gone")
+        first = sets.groupBy("n", "d1", "d2").agg(F.min(F.struct(*LINE)).alias("c")).select("n", "d1", "d2", "c.*")
+        first = join_on_keys(first, gone.withColumn("gone", F.lit(True)), LINE, how="left")
+        first = first.select("n", "d1", "d2", F.struct(*LINE).alias("c"), F.coalesce("gone", F.lit(False)).alias("gone"))
+        lost = join_on_keys(sets.select(*LINE, "n", "d1", "d2"), first, ["n", "d1", "d2"])
+        lost = lost.where(F.col("gone") | (F.struct(*LINE) != F.col("c"))).select(*LINE)
+        at = F.col("line").bitwiseAND((1 << 31) - 1)
+        lost = lost.groupBy("k", (F.col("line") - at).alias("t")).agg(F.sort_array(F.collect_set(at.cast("int"))).alias("removed"))
+        return scope.result(lost, "line-lost")
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Key, ``n_lines``, ``n_removed`` and ``removed`` (places from 0) of every document."""
     docs = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    lost = repeated_lines(docs).groupBy("k").agg(F.sort_array(F.collect_set("line")).alias("removed"))
-    counts = docs.select("k", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    out = join_on_keys(counts, lost, ["k"], how="left")
+    lost = repeated_lines(docs)
+    counts = docs.select("k", text_number(F.col("text")).alias("t"), F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    out = join_on_keys(counts, lost, ["k", "t"], how="left")
     removed = F.coalesce("removed", F.array().cast("array<int>"))
     return out.select(F.col("k").alias(key), F.when(F.col("n_lines") < 0, 0).otherwise(F.col("n_lines")).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def without_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, columns unchanged, with their repeated lines taken out of the text."""
-    names = docs.columns
     plain = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    lost = repeated_lines(plain).groupBy(F.col("k").alias("__k")).agg(F.collect_set("line").alias("__lost"))
-    joined = docs.join(lost, docs[key].eqNullSafe(lost["__k"]), "left")
-    kept = F.filter(F.split(docs[text], "\n"), lambda s, i: ~F.array_contains("__lost", i))
-    new = F.when(F.col("__lost").isNull(), docs[text]).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[new.alias(c) if c == text else docs[c] for c in names])
+    lost = repeated_lines(plain)
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).alias("k"), text_number(F.col(text).cast("string")).alias("t"))
+    joined = join_on_keys(rows, lost, ["k", "t"], how="left")
+    held = F.col("row")[text]
+    kept = F.filter(F.split(held, "\n"), lambda s, i: ~F.array_contains("removed", i))
+    new = F.when(F.col("removed").isNull(), held).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[new.alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])

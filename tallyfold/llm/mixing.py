@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.session import settle
 
-from .batches import slices
+from .batches import bounded_batches, frugal, slices, texts_of
 from .fingerprints import _FOLDED, Words, prefix_sums, span, words_of
 
 #: Domains in the order of their probabilities, and the share of words each should have.
@@ -106,6 +106,7 @@ def domain_labels(labels: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def learn_evidence(rows: DataFrame) -> np.ndarray:
     """Log odds of each bucket for each domain, 0 where there is little; ``rows``: ``domain``, ``text``."""
+    @frugal
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=SLICE):
@@ -118,7 +119,7 @@ def learn_evidence(rows: DataFrame) -> np.ndarray:
     for r in rows.groupBy("domain").count().collect():
         size[r.domain] = r["count"]
     seen = np.zeros((len(DOMAINS), 1 << BUCKET_BITS), np.float32)
-    counts = rows.mapInArrow(spread, "domain int, bucket long").groupBy("domain", "bucket").count()
+    counts = bounded_batches(rows).mapInArrow(spread, "domain int, bucket long").groupBy("domain", "bucket").count()
     counts = counts.toArrow()  # at most domains x 2^BUCKET_BITS rows
     seen[counts.column("domain").to_numpy(), counts.column("bucket").to_numpy()] = counts.column("count").to_numpy()
     rest, whole = seen.sum(0) - seen, size.sum()
@@ -134,6 +135,7 @@ def learn_domains(docs: DataFrame, labels: DataFrame) -> Softmax:
     evidence = learn_evidence(rows.where("part = 0").select("domain", "text"))
     sent = docs.sparkSession.sparkContext.broadcast(evidence)
 
+    @frugal
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, limit=SLICE):
@@ -155,19 +157,21 @@ def learn_domains(docs: DataFrame, labels: DataFrame) -> Softmax:
 
 
 def with_posteriors(docs: DataFrame, model: Softmax, text: str) -> DataFrame:
-    """The documents with ``__words`` and ``__p``, the domain probabilities; all columns stay."""
+    """``row``, a struct of all columns of the documents, ``__words`` and ``__p``, the domain probabilities."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    names, text = ["row"], f"row.{text}"
+    fields = f"row {docs.schema['row'].dataType.simpleString()}"
 
+    @frugal
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, SLICE):
-                counts, x = features(part.column(text), sent.value.evidence)
+                counts, x = features(texts_of(part, text), sent.value.evidence)
                 p = pa.array(list(sent.value.posteriors(x)), pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(counts, pa.int64()), p], [*names, "__words", "__p"])
 
-    return docs.mapInArrow(score, f"{fields}, __words long, __p array<double>")
+    return bounded_batches(docs).mapInArrow(score, f"{fields}, __words long, __p array<double>")
 
 
 def _dot(p: Column, g: np.ndarray) -> Column:
@@ -232,7 +236,7 @@ def _copies(key: Column, rate: Column) -> Column:
 def _fitted(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None, total: float | None, key: str, text: str):
     plain = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
     model = learn_domains(plain, labels)
-    scored = settle(with_posteriors(plain, model, "text").select("k", "__words", "__p"), "mixing-scores")
+    scored = settle(with_posteriors(plain, model, "text").select("row.k", "__words", "__p"), "mixing-scores")
     return model, scored, fit_rates(scored, TARGETS if targets is None else targets, total)
 
 
@@ -255,6 +259,5 @@ def mixed_documents(
     """The documents, columns unchanged, each as often as its rate says; no shuffle of the texts."""
     model, _, y = _fitted(docs, labels, targets, total, key, text)
     scored = with_posteriors(docs.withColumn(text, F.col(text).cast("string")), model, text)
-    copies = _copies(F.col(key), rates(F.col("__p"), y))
-    repeated = scored.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), copies)))
-    return repeated.select(*docs.columns)
+    copies = _copies(F.col("row")[key], rates(F.col("__p"), y))
+    return scored.select("row", F.explode(F.array_repeat(F.lit(1), copies)).alias("__copy")).select("row.*")

@@ -34,9 +34,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfold.operators.keys import join_on_keys
-from tallyfold.session import settle
+from tallyfold.session import scratch_scope, settle
 
-from .batches import slices
+from .batches import bounded_batches, frugal, slices
 from .components import components
 from .fingerprints import Words, mix, prefix_sums, span, words_of
 from .recompression import packed_texts, unpacked
@@ -76,6 +76,7 @@ def needed(n1: Column, n2: Column, percent: int = PERCENT) -> Column:
 
 def rarity_levels(docs: DataFrame) -> np.ndarray:
     """Half powers of two of the count of each n-gram's bucket, over all documents."""
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
@@ -85,7 +86,7 @@ def rarity_levels(docs: DataFrame) -> np.ndarray:
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some], pa.int64())], ["bucket", "seen"])
 
-    totals = docs.select("text").mapInArrow(count, "bucket int, seen long").groupBy("bucket").agg(F.sum("seen").alias("seen"))
+    totals = bounded_batches(docs.select("text")).mapInArrow(count, "bucket int, seen long").groupBy("bucket").agg(F.sum("seen").alias("seen"))
     levels = np.zeros(1 << SKETCH_BITS, np.uint8)
     rows = totals.toArrow()  # at most 2^SKETCH_BITS rows
     levels[rows.column("bucket").to_numpy()] = 2 * np.log2(rows.column("seen").to_numpy()) + 1
@@ -98,6 +99,7 @@ def described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
     kind = dict(docs.dtypes)["k"]
     names = ["k", "t", "n", "d1", "d2", "prefix"]
 
+    @frugal
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = sent.value
         for batch in batches:
@@ -120,7 +122,7 @@ def described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                     part.column("k"), part.column("t"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]),
                     pa.ListArray.from_arrays(offsets, pa.array(prefix.view(np.int64)))], names)
 
-    return docs.select("k", "t", "text").mapInArrow(describe, f"k {kind}, t long, n long, d1 long, d2 long, prefix array<long>")
+    return bounded_batches(docs.select("k", "t", "text")).mapInArrow(describe, f"k {kind}, t long, n long, d1 long, d2 long, prefix array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -130,6 +132,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     right = texts.select(F.col("k").alias("b"), F.col("z").alias("zb"))
     both = join_on_keys(join_on_keys(pairs.select("a", "b"), left, ["a"]), right, ["b"])
 
+    @frugal
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 128):
@@ -145,7 +148,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [part.column("a"), part.column("b"), *(pa.array(x, pa.int64()) for x in (na, nb, o))], ["a", "b", "na", "nb", "o"])
 
-    return both.select("a", "b", "za", "zb").mapInArrow(count, f"a {kind}, b {kind}, na long, nb long, o long")
+    return bounded_batches(both.select("a", "b", "za", "zb")).mapInArrow(count, f"a {kind}, b {kind}, na long, nb long, o long")
 
 
 def linked() -> Column:
@@ -223,10 +226,27 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     """Key, ``n_shingles`` and ``component_id`` of every document."""
     docs = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
-    sets = settle(described(docs, rarity_levels(docs)), "gram-sets")
-    some = sets.where("n > 0 AND k IS NOT NULL")
-    lists = settle(_lists(some), "gram-lists")
-
+    with scratch_scope() as scope:
+        with scratch_scope():
+            whole = settle(described(docs, rarity_levels(docs)), "gram-sets")
+            # The prefixes are read once, for the lists.
+            sets = scope.keep(whole.drop("prefix"), "gram-ids")
+            lists = scope.keep(_lists(whole.where("n > 0 AND k IS NOT NULL")), "gram-lists")
+        some = sets.where("n > 0 AND k IS NOT NULL")
+        with scratch_scope():
+            links = scope.keep(_links(docs, some, lists), "gram-links")
+        groups = components(links)
+        classes = some.groupBy("n", "d1", "d2").agg(F.min("k").alias("rep"))
+        classes = join_on_keys(classes, groups.select(F.col("node").alias("rep"), "component"), ["rep"], how="left")
+        classes = classes.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component"))
+        out = join_on_keys(sets.select("k", "n", "d1", "d2"), classes, ["n", "d1", "d2"], how="left")
+        component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
+        out = out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+        return scope.result(out, "gram-groups")
+
+
+def _links(docs: DataFrame, some: DataFrame, lists: DataFrame) -> DataFrame:
+    """Links between sets (``a``, ``b``) that connect what is connected."""
     met = lists.where("head != k").groupBy("k", "head").agg(F.count(F.lit(1)).alias("c"))
     best = met.groupBy("k").agg(F.max(F.struct("c", (-F.col("head")).alias("m"))).alias("x"))
     best = best.select(F.col("k").alias("a"), (-F.col("x.m")).alias("b"))
@@ -259,11 +279,4 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     more = settle(verified(derived.where("NOT sure"), texts), "gram-verified")
     links = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
     links = links.union(derived.where("sure").select("a", "b")).union(more.where(linked()).select("a", "b"))
-    groups = components(links)
-
-    classes = some.groupBy("n", "d1", "d2").agg(F.min("k").alias("rep"))
-    classes = join_on_keys(classes, groups.select(F.col("node").alias("rep"), "component"), ["rep"], how="left")
-    classes = settle(classes.select("n", "d1", "d2", F.coalesce("component", "rep").alias("component")), "gram-classes")
-    out = join_on_keys(sets.select("k", "n", "d1", "d2"), classes, ["n", "d1", "d2"], how="left")
-    component = F.when(F.col("k").isNotNull(), F.coalesce("component", "k"))
-    return out.select(F.col("k").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return links

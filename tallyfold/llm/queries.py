@@ -5,12 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, host_extract, kd_shards, line_dedup, mixing, multi_index, ngram_jaccard, packed_products, prefix_trie, quality_rules, recompression, secret_scan, toxicity
 
-VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
+#: The vocabulary file of a public tokenizer; operators take it as a parameter.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 
 @dataclass(frozen=True)

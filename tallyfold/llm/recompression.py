@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tallyfold.operators.keys import join_on_keys
 from tallyfold.session import settle
 
-from .batches import slices
+from .batches import bounded_batches, frugal, slices
 from .fingerprints import Words, mix, prefix_sums, span, words_of
 
 WINDOW = 50
@@ -191,6 +191,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     """Id, fingerprint and compressed text of every document; rows alike in the first two are alike."""
     fields = f"k {dict(docs.dtypes)['k']}, t long, z binary"
 
+    @frugal
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
@@ -198,7 +199,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
                 packed = [squeeze((t or "").encode()) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("k"), part.column("t"), pa.array(packed, pa.binary())], ["k", "t", "z"])
 
-    return docs.select("k", "t", "text").mapInArrow(pack, fields)
+    return bounded_batches(docs.select("k", "t", "text")).mapInArrow(pack, fields)
 
 
 def unpacked(z: pa.Array) -> pa.Array:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.session import settle
 
-from .batches import slices, texts
+from .batches import bounded_batches, frugal, slices, texts
 
 #: At most so many labelled rows are learned from, the first by hash of the id.
 TRAIN_ROWS = 20_000
@@ -117,16 +117,17 @@ def training_rows(labels: DataFrame, key: str = "doc_id", label: str = "toxic")
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     """Log odds of the entries that toxic texts hold far more often; ``rows``: label, text."""
+    @frugal
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=1 << 20):
                 found = [entries(_word.findall(t.lower())) for t in texts(part)]
                 label = np.repeat(part.column("label").to_numpy(zero_copy_only=False), list(map(len, found)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([e for f in found for e in f], pa.string()), pa.array(label, pa.float64())], ["entry", "label"])
 
     totals = rows.agg(F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") != 1).alias("n")).first()
-    seen = rows.mapInArrow(spread, "entry string, label double").groupBy("entry").agg(
+    seen = bounded_batches(rows).mapInArrow(spread, "entry string, label double").groupBy("entry").agg(
         F.count_if(F.col("label") == 1).alias("t"), F.count_if(F.col("label") != 1).alias("n"))
     odds = F.log((F.col("t") + 0.5) / (totals.t + 1.0)) - F.log((F.col("n") + 0.5) / (totals.n + 1.0))
     best = seen.where(F.col("t") >= MIN_SEEN).select("entry", odds.alias("odds")).where(F.col("odds") >= MIN_ODDS)
@@ -134,19 +135,22 @@ def learn_lexicon(rows: DataFrame) -> dict[str, float]:
     return {w: MIN_ODDS for w in INSULTS} | {r.entry: float(r.odds) for r in top}
 
 
-def featured(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """Adds ``x``, the features of ``text``; ``docs``: any columns, which stay."""
-    names = docs.columns
+def featured(docs: DataFrame, lexicon: dict[str, float], text: str = "text") -> DataFrame:
+    """Adds ``x``, the features of ``text``; ``docs``: any columns, which stay, but for one called text.
+
+    ``text`` may be a field of a struct, such as ``row.text``: rows that come back whole then hold their text once.
+    """
+    kept = [n for n in docs.columns if n != "text"]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
 
+    @frugal
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                x = pa.array([features(t, lexicon) for t in texts(part)], pa.list_(pa.float64()))
-                kept = [n for n in names if n != "text"]
+            for part in slices(batch, text):
+                x = pa.array([features(t, lexicon) for t in texts(part, text)], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), x], [*kept, "x"])
 
-    return docs.mapInArrow(extract, f"{fields}, x array<double>")
+    return bounded_batches(docs).mapInArrow(extract, f"{fields}, x array<double>")
 
 
 def fit_scorer(docs: DataFrame, labels: DataFrame) -> Callable[[DataFrame], DataFrame]:
@@ -156,7 +160,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame) -> Callable[[DataFrame], Data
     rows = settle(docs.join(F.broadcast(sample), "k").select("k", "text", "label", "part"), "toxicity-rows")
     classes = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     share = sum(n for label, n in classes.items() if label == 1) / max(1, sum(classes.values()))
-    constant = lambda df: df.drop("text").withColumn("score", F.lit(float(share)))
+    constant = lambda df, text="text": df.drop("text").withColumn("score", F.lit(float(share)))
     if len(classes) < 2:
         return constant
     lexicon = learn_lexicon(rows.where("part < 5").select("text", "label"))
@@ -173,9 +177,9 @@ def fit_scorer(docs: DataFrame, labels: DataFrame) -> Callable[[DataFrame], Data
     raw = model.transform(check).select("label", probability.alias("__raw"))
     curve = IsotonicRegression(labelCol="label", featuresCol="__raw", predictionCol="__score").fit(raw)
 
-    def score(df: DataFrame) -> DataFrame:
+    def score(df: DataFrame, text: str = "text") -> DataFrame:
         names = [c for c in df.columns if c != "text"]
-        out = model.transform(featured(df, lexicon).withColumn("v", array_to_vector("x")))
+        out = model.transform(featured(df, lexicon, text).withColumn("v", array_to_vector("x")))
         out = curve.transform(out.select(*names, probability.alias("__raw")))
         return out.select(*names, F.greatest(F.lit(0.0), F.least(F.lit(1.0), "__score")).alias("score"))
 
@@ -193,5 +197,5 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", tex
 def without_toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, columns unchanged, that are not predicted toxic; no shuffle of the texts."""
     plain = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).cast("string").alias("text"))
-    return fit_scorer(plain, labels)(rows).where("score < 0.5").select("row.*")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return fit_scorer(plain, labels)(rows, f"row.{text}").where("score < 0.5").select("row.*")

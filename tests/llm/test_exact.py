@@ -166,6 +166,14 @@ def test_line_dedup_of_short_lines(spark):
     assert "Menu" in removed and not any(s.strip() == "" for s in removed)
 
 
+def test_line_dedup_of_two_texts_of_one_id(spark):
+    rows = [(1, "a b"), (2, "a b"), (2, "zzz yyy"), (2, "zzz yyy"), (3, "x\nzzz yyy")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = sorted((r.doc_id, r.text) for r in line_dedup.without_repeated_lines(df).collect())
+    assert left == [(1, "a b"), (2, ""), (2, "zzz yyy"), (2, "zzz yyy"), (3, "x")]
+    assert sorted(r.n_removed for r in line_dedup.dedup_lines(df).collect()) == [0, 0, 0, 1, 1]
+
+
 def test_text_statistics(odd_docs, no_docs):
     rows, df = odd_docs
     out = quality_rules.judge_documents(df)
