@@ -6,7 +6,7 @@ import pytest
 from conftest import random_docs
 from pyspark.sql import functions as F
 
-from tallyfold.llm import mixing, toxicity
+from tallyfold.llm import mixing, secret_scan, toxicity
 from tallyfold.llm.queries import table
 
 SF = "/root/testdata/sf0.1"
@@ -113,3 +113,27 @@ def test_mixing_of_odd_rows(spark, odd_docs, no_docs, no_labels):
 
 def test_random_docs_are_stable():
     assert random_docs() == random_docs()
+
+
+def test_hidden_credentials_of_learned_formats_are_found(spark):
+    """Keys and tokens that no fixed pattern shows, of the formats of those that it does; prose and paths are left alone."""
+    import string
+
+    rng = random.Random(11)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    upper = string.ascii_uppercase + string.digits
+    token, key = lambda: "ghp_" + pick(string.ascii_letters + string.digits, 36), lambda start: start + pick(upper, 16)
+    vocabulary = [pick("aeioutrnsl", rng.randint(3, 9)) for _ in range(400)]
+    prose = lambda: " ".join(rng.choice(vocabulary) for _ in range(30)) + f" see www.example.com/{rng.choice(vocabulary)}/page{rng.randrange(90)} or first.last.{rng.randrange(99)}@mail, 2024-01-{rng.randrange(10, 29)}T10"
+    texts = []
+    for _ in range(400):
+        texts += [f"{prose()} token = \"{token()}\"", f"{prose()} {key('AKIA')} {prose()}", f"{pick('0123456789abcdef', rng.choice([32, 40]))} {prose()}"]
+    hidden = [(f"{prose()} {v} {prose()}", v) for v in [token() for _ in range(100)] + [key("ASIA") for _ in range(100)]]
+    rows = [(i, t) for i, t in enumerate([h for h, _ in hidden] + texts + [prose() for _ in range(600)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("format")] for r in secret_scan.scan_documents(df).collect()}
+    exact = [[rows[i][1][a:b] for a, b in found[i]] == [v] for i, (_, v) in enumerate(hidden)]
+    assert sum(exact[:100]) >= 90 and sum(exact[100:]) >= 90
+    assert not any(found[i] for i in range(200, len(rows)))
+    automata, _ = secret_scan.learn_formats(df.select("text"))
+    assert all(len(a.moves) >= 20 for a in automata)
