@@ -5,15 +5,17 @@ half codes form a grid of cells. A vector visits cells in the order of a lower b
 to anything in the cell (the multi-sequence order over the two sorted halves) until the target recall is reached, which the
 sample gives for vectors at the very limit of similarity (0.999 by default: some ten cells of 4096 on
 vectors of 64 dimensions). With ``recall=1`` it stops only where no vector of the asked similarity can lie
-further on. Everything in a visited cell is verified by cosine in double precision. A link that only
-one of its vectors finds counts for that one, and joins both in their component.
+further on. Everything in a visited cell is verified by cosine in double precision. A link counts for both of its
+vectors, each time once: the one that visits the other's cell also counts for the other, unless that one comes to its cell
+too, which the task tells from both vectors and the codebooks. The codebooks grow with the number of vectors, so that
+a cell holds some ``CELL`` of them at every size.
 
 Vectors are compared only when their labels and their lengths are equal. Null labels, null or
 zero vectors, and vectors with null or non-finite components link with nothing, and stay in the
 result. Equal vectors are compared once and counted as often as they occur. A crowded cell is cut
 into blocks, and so are its visitors, so no task holds more than two blocks. Of the links only sums
 and a spanning forest of each pair of blocks leave the task. An id that occurs twice is two vectors
-with one id; its links are added up.
+with one id; its links are added up. Vectors of equal cosine are all linked; no order among them matters.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from tallyfold.session import settle
 
 from .components import components
 
-#: Vectors that the codebooks are learned from, codes of each half, learning steps.
-SAMPLE, CODES, STEPS = 8_000, 64, 8
+#: Vectors that the codebooks are learned from, vectors wanted in a cell, codes of each half, learning steps.
+SAMPLE, CELL, CODES, STEPS = 8_000, 8, (8, 2_000), 8
 #: Vectors of a block, and visitors compared with it at once.
 BLOCK = 512
 
@@ -43,7 +45,7 @@ def learn_codebook(x: np.ndarray, codes: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     centres = x[rng.choice(len(x), min(codes, len(x)), replace=False)]
     for _ in range(STEPS):
-        near = squared(x, centres).argmin(1)
+        near = ((centres * centres).sum(1) - 2 * x @ centres.T).argmin(1)
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         counts = np.bincount(near, minlength=len(centres))[:, None]
@@ -52,7 +54,8 @@ def learn_codebook(x: np.ndarray, codes: int, seed: int) -> np.ndarray:
 
 
 def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    d = (x * x).sum(1)[:, None] - 2 * x @ y.T + (y * y).sum(1)
+    """Squared distances; each is the same to the last bit whatever rows stand beside it."""
+    d = (x * x).sum(1)[:, None] - 2 * np.einsum("ij,kj->ik", x, y) + (y * y).sum(1)
     return np.maximum(d, 0)
 
 
@@ -151,7 +154,8 @@ def near_duplicates(
         return whole.select(F.col("id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     width = max(2, ones.agg(F.max("n")).first()[0])
     halves = unit_halves(sample, width)
-    books = tuple(learn_codebook(h, CODES, s) for s, h in enumerate(halves))
+    codes = min(max(int((ones.count() / CELL) ** 0.5), CODES[0]), CODES[1])
+    books = tuple(learn_codebook(h, codes, s) for s, h in enumerate(halves))
     limit = visiting_limit(halves, books, least, recall)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,8 +196,8 @@ def near_duplicates(
         out = {"id": [], "links": [], "other": []}
         if len(left) and len(right):
             size = len(left["v"].iloc[0])
-            a, b = (np.array(g["v"].to_list(), float).reshape(len(g), size) for g in (left, right))
-            a, b = (m / np.linalg.norm(m, axis=1)[:, None] for m in (a, b))
+            raw = [np.array(g["v"].to_list(), float).reshape(len(g), size) for g in (left, right)]
+            a, b = (m / np.linalg.norm(m, axis=1)[:, None] for m in raw)
             mine, theirs = left["u"].to_numpy(), right["u"].to_numpy()
             links = (a @ b.T >= least) & (mine[:, None] != theirs)
             found = links @ right["copies"].to_numpy()
@@ -201,7 +205,16 @@ def near_duplicates(
             ids, other = left["id"].to_numpy(), right["id"].to_numpy()
             out["id"] += ids[some].tolist()
             out["links"] += found[some].tolist()
-            out["other"] += [None] * int(some.sum())
+            # A held vector that does not come to its visitor's cell has no other place to count the link.
+            i, j = np.nonzero(links)
+            if len(i):
+                (mine1, _), (mine2, _) = (bounds(h, book) for h, book in zip(unit_halves(list(raw[0][i]), width), books))
+                (_, need1), (_, need2) = (bounds(h, book) for h, book in zip(unit_halves(list(raw[1][j]), width), books))
+                pairs = np.arange(len(i))
+                alone = need1[pairs, mine1] + need2[pairs, mine2] > limit
+                out["id"] += other[j[alone]].tolist()
+                out["links"] += left["copies"].to_numpy()[i[alone]].tolist()
+            out["other"] += [None] * (len(out["id"]) - len(out["other"]))
             for p, q in link_forest(links, ids, other):
                 out["id"].append(p)
                 out["links"].append(0)
