@@ -1,9 +1,10 @@
 """Shards of near equal bytes by a k-d tree over text metadata. Native.
 
 Space is split again and again at a weighted median of the widest dimension until each leaf holds
-its share of the bytes. All dimensions are computed from the text alone, so equal texts are one
-point and always share a shard. A point that holds much of a node can make the median of one
-dimension lopsided; the split then goes to the widest dimension whose median is even enough.
+its share of the bytes. The dimensions are bytes, characters by byte (which tells scripts apart), words, lines and the
+share of capitals. All are computed from the text alone, so equal texts are one point and always share a shard. Texts
+of equal metadata can make the median of one dimension lopsided; the split then goes to the widest dimension whose
+median is even enough. Only where none is, a checksum of the text tells equal metadata apart.
 
 Medians are exact: bytes are counted by the leading digits of the value, then by the next digits
 inside the digit that holds the median. Only these counts, at most ``nodes x dimensions x 1024``
@@ -23,7 +24,9 @@ from tallyfold.operators.keys import join_on_keys
 from tallyfold.session import settle
 
 #: Dimensions are whole numbers of 30 bits, read in three digits of ten.
-DIMENSIONS = ("d_bytes", "d_density", "d_checksum")
+DIMENSIONS = ("d_bytes", "d_density", "d_words", "d_lines", "d_capitals", "d_checksum")
+#: The dimension that only breaks ties.
+TIES = len(DIMENSIONS) - 1
 DIGIT, DIGITS = 10, 3
 #: A split is even enough when it misses its goal by this share of the node.
 EVEN = 0.005
@@ -46,10 +49,14 @@ def with_dimensions(docs: DataFrame) -> DataFrame:
     t = F.coalesce(F.col("text"), F.lit(""))
     size = F.octet_length(t).cast("long") + 1
     top = F.lit((1 << DIGIT * DIGITS) - 1)
+    count = lambda marks: (F.char_length(t) - F.char_length(F.translate(t, marks, ""))).cast("double")
+    scaled = lambda c, factor: F.least(top, F.floor(c * factor)).cast("long")
     return docs.select(
         "k", F.monotonically_increasing_id().alias("u"), size.alias("size"), F.crc32(t).alias("crc"), F.xxhash64(t).alias("h"),
         F.least(top, F.floor(F.log2(size.cast("double")) * (1 << 24))).cast("long").alias("d_bytes"),
         F.least(top, F.floor((F.char_length(t) + 1) / size * (1 << 29))).cast("long").alias("d_density"),
+        scaled(F.log2(1 + count(" \t\n\r")), 1 << 24).alias("d_words"), scaled(F.log2(1 + count("\n")), 1 << 24).alias("d_lines"),
+        scaled(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / size, 1 << 29).alias("d_capitals"),
         F.shiftright(F.crc32(t), 2).cast("long").alias("d_checksum"),
     )
 
@@ -130,8 +137,8 @@ def grow_tree(points: DataFrame, shards: int) -> Column:
                 if (i, d) in medians:
                     edge, up_to, low, high = medians[i, d]
                     miss = abs(up_to - node.weight * few / node.leaves) / max(1, node.weight)
-                    options.append((miss > EVEN, miss if miss > EVEN else -(high - low) / spans[d], d, edge))
-            _, _, d, edge = min(options, default=(False, 0, 0, 0))
+                    options.append((2, miss, d, edge) if miss > EVEN else (int(d == TIES), -(high - low) / spans[d], d, edge))
+            _, _, d, edge = min(options, default=(0, 0, 0, 0))
             side = F.col(DIMENSIONS[d]) <= F.lit(edge)
             nodes.append(Node(node.first, few, node.inside & side))
             nodes.append(Node(node.first + few, node.leaves - few, node.inside & ~side))
