@@ -1,8 +1,9 @@
 """Quality rules: text statistics, fixed limits, and robust multivariate outliers. Native.
 
 For each language and source the centre and spread of the transformed statistics come from the
-minimum-covariance-determinant estimate: start from medians and absolute deviations, keep the
-three quarters of rows nearest to the centre, estimate anew from them, and repeat. Rows whose
+minimum-covariance-determinant estimate: keep the three quarters of rows nearest to the centre, estimate anew from
+them, and repeat until the determinant of no group falls any more. There are two starts, the medians with their absolute
+deviations and the moments of all rows; each group takes the estimate with the least determinant. Rows whose
 Mahalanobis distance from the final estimate is beyond ``CUTOFF`` are rejected. The quantile that
 bounds the nearest rows is a mergeable summary, so a hot source is never gathered in one task.
 
@@ -27,8 +28,10 @@ SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Fixed limits: least words, greatest share of repeated words in percent.
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Share of rows that the estimate keeps, estimation steps, least rows of a group with an estimate of its own.
-NEAREST, STEPS, LEAST_ROWS = 0.75, 3, 50
+#: Share of rows that the estimate keeps, least rows of a group with an estimate of its own.
+NEAREST, LEAST_ROWS = 0.75, 50
+#: Fall of the logarithm of the determinant's root that counts as one, and steps after which a start is given up.
+SETTLED, MOST_STEPS = 1e-6, 40
 #: Squared distance beyond which a row is rejected (a chi-square with five degrees goes beyond 45
 #: once in 10^8), and that chi-square's median, to which distances are scaled.
 CUTOFF, MIDDLE = 45.0, 4.351
@@ -146,6 +149,37 @@ def pools_of_groups(stats: DataFrame) -> DataFrame:
     return settle(groups.select("g_lang", "g_source", *_pools(F.col("level"))), "quality-pools")
 
 
+def _least_determinant(estimates: DataFrame, keys: list[str]) -> DataFrame:
+    """Of several estimates of a pool the one with the least determinant."""
+    rest = [c for c in estimates.columns if c not in (*keys, "log_det")]
+    return estimates.groupBy(*keys).agg(F.min(F.struct("log_det", *rest)).alias("e")).select(*keys, "e.*")
+
+
+def _concentrated(rows: DataFrame, estimate: DataFrame, keys: list[str]) -> DataFrame:
+    """Estimates from the nearest rows, again and again until no pool's determinant falls any more.
+
+    A step cannot raise the determinant but for the approximate quantile, so each pool keeps its least. The logarithm
+    of the root's determinant is in ``log_det``.
+    """
+    log_det = reduce(add, [F.log(F.col(f"l_{i}_{i}")) for i in range(len(FEATURES))])
+    estimate, best = settle(estimate, "quality-start"), None
+    for _ in range(MOST_STEPS):
+        near = _distance(join_on_keys(rows, estimate, keys)).select(*keys, *FEATURES, "d2")
+        bound = settle(near.groupBy(*keys).agg(F.percentile_approx("d2", NEAREST, 1000).alias("bound")), "quality-bound")
+        moments = _moments(join_on_keys(near, bound, keys).where(F.col("d2") <= F.col("bound")), keys)
+        moments = settle(moments.withColumn("log_det", log_det), "quality-step")
+        if best is None:
+            best, fell = moments, True
+        else:
+            before = best.select(*keys, F.col("log_det").alias("before"))
+            fell = not join_on_keys(moments, before, keys).where(F.col("log_det") < F.col("before") - SETTLED).isEmpty()
+            best = settle(_least_determinant(best.unionByName(moments), keys), "quality-best")
+        if not fell:
+            break
+        estimate = moments.drop("log_det")
+    return best
+
+
 def robust_estimates(rows: DataFrame, pools: DataFrame, keys: list[str]) -> DataFrame:
     """Centre (``m_i``), root of the covariance (``l_i_j``) and scale of each of the ``pools`` with rows."""
     p = range(len(FEATURES))
@@ -158,12 +192,10 @@ def robust_estimates(rows: DataFrame, pools: DataFrame, keys: list[str]) -> Data
     roots = {f"l_{i}_{i}": F.greatest(1.4826 * F.col(f"s_{i}"), F.lit(LEAST_SPREAD[FEATURES[i]])) for i in p}
     roots |= {f"l_{i}_{j}": F.lit(0.0) for i in p for j in range(i)}
     estimate = join_on_keys(middle, spread, keys).select(*keys, *[f"m_{i}" for i in p], *[c.alias(n) for n, c in roots.items()])
-    for step in range(STEPS):
-        estimate = settle(estimate, f"quality-estimate-{step}")
-        near = _distance(join_on_keys(rows, estimate, keys)).select(*keys, *FEATURES, "d2")
-        bound = settle(near.groupBy(*keys).agg(F.percentile_approx("d2", NEAREST, 1000).alias("bound")), f"quality-bound-{step}")
-        estimate = _moments(join_on_keys(near, bound, keys).where(F.col("d2") <= F.col("bound")), keys)
-    estimate = settle(estimate, "quality-estimate")
+    # Two starts: medians with their deviations, and the moments of all rows.
+    starts = [estimate, _moments(join_on_keys(rows, pools, keys), keys)]
+    found = [_concentrated(rows, start, keys) for start in starts]
+    estimate = settle(_least_determinant(found[0].unionByName(found[1]), keys).drop("log_det"), "quality-estimate")
     scale = _distance(join_on_keys(rows, estimate, keys)).groupBy(*keys).agg(
         F.greatest(F.percentile_approx("d2", 0.5, 1000) / MIDDLE, F.lit(1.0)).alias("scale"))
     return settle(join_on_keys(estimate, scale, keys), "quality-final")

@@ -8,6 +8,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tallyfold.llm import bpe, kd_shards, line_dedup, multi_index, ngram_jaccard, quality_rules, recompression, secret_scan
 from tallyfold.llm.components import components
@@ -205,6 +206,61 @@ def test_small_groups_are_judged_by_their_language_or_by_all(spark):
     assert all(r.kept and r.distance is not None for r in few.values())
 
 
+def test_distances_are_those_of_an_independent_mcd(spark):
+    """Concentration steps in numpy, from both starts, on the same statistics."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(240):
+        words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(rng.randint(55, 300))]
+        if rng.random() < 0.2:
+            words += [rng.choice(["$$$", "#*", "x" * 30])] * rng.randint(3, 60)
+        texts.append("\n".join(" ".join(words[i:i + 12]) for i in range(0, len(words), 12)))
+    df = spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    stats = quality_rules.transformed(quality_rules.text_statistics(df.select("doc_id", "text"))).toPandas().set_index("doc_id")
+    good = stats[~stats.base_failed]
+    x, least = good[list(quality_rules.FEATURES)].to_numpy(), np.array(list(quality_rules.LEAST_SPREAD.values()))
+    n = len(x)
+
+    def moments(rows):
+        root = np.linalg.cholesky(np.cov(rows.T, bias=True) + np.diag(least**2))
+        return rows.mean(0), root
+
+    def far(estimate):
+        return (np.linalg.solve(estimate[1], (x - estimate[0]).T) ** 2).sum(0)
+
+    middle = np.quantile(x, 0.5, axis=0, method="inverted_cdf")
+    spread = np.quantile(np.abs(x - middle), 0.5, axis=0, method="inverted_cdf")
+    found = []
+    for estimate in ((middle, np.diag(np.maximum(1.4826 * spread, least))), moments(x)):
+        best = None
+        while True:
+            d = far(estimate)
+            estimate = moments(x[d <= np.quantile(d, quality_rules.NEAREST, method="inverted_cdf")])
+            size = np.log(np.diag(estimate[1])).sum()
+            if best is not None and size >= best[0] - quality_rules.SETTLED:
+                break
+            best = (size, estimate)
+        found.append(best)
+    d = far(min(found, key=lambda b: b[0])[1])
+    want = d / max(np.quantile(d, 0.5, method="inverted_cdf") / quality_rules.MIDDLE, 1.0)
+    got = by_id(quality_rules.judge_documents(df))
+    assert n > 150 and np.allclose([got[k].distance for k in good.index], want, rtol=1e-6)
+    assert [got[k].kept for k in good.index] == (want <= quality_rules.CUTOFF).tolist() and not all(want <= quality_rules.CUTOFF)
+
+
+def test_shards_follow_metadata(spark):
+    """Splits go along real dimensions while one is even enough; the checksum only parts texts of equal metadata."""
+    rng = random.Random(3)
+    rows = [(i, " ".join("w" * rng.randint(1, 9) for _ in range(int(rng.lognormvariate(4, 0.7)) + 1)).title()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select(F.col("doc_id").alias("k"), "text")
+    points = kd_shards.with_dimensions(df).withColumn("weight", F.col("size"))
+    tree = kd_shards.grow_tree(points, 8)._jc.toString()
+    assert "d_checksum" not in tree and sum(d in tree for d in kd_shards.DIMENSIONS) >= 2
+    same = spark.createDataFrame([(i, f"{i:06d}") for i in range(2000)], "k long, text string")
+    points = kd_shards.with_dimensions(same).withColumn("weight", F.col("size"))
+    assert "d_checksum" in kd_shards.grow_tree(points, 4)._jc.toString()
+
+
 def test_shards(odd_docs, no_docs):
     rows, df = odd_docs
     out = kd_shards.shard_documents(df, shards=5).toPandas()
@@ -245,6 +301,7 @@ def test_vector_groups(spark):
 
 
 def test_recall_of_the_multi_index(spark):
+    """Links at the very limit: nearly all are found, each for both of its vectors, none that is not one."""
     rng = np.random.default_rng(9)
     centres = rng.normal(size=(150, 64))
     rows = [(i, (centres[i % 150] + rng.normal(size=64) * 0.13).tolist(), 0) for i in range(600)]
@@ -252,10 +309,29 @@ def test_recall_of_the_multi_index(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r.vec_id: r for r in multi_index.near_duplicates(df).collect()}
     true = sum(w[0] for w in want.values())
-    assert true > 500 and sum(r.n_links for r in got.values()) >= 0.98 * true
+    total = sum(r.n_links for r in got.values())
+    assert true > 500 and total >= 0.98 * true and total % 2 == 0
     assert all(got[k].n_links <= w[0] for k, w in want.items())
 
 
+def test_links_found_from_one_side_count_for_both(spark):
+    """With a low recall many links are found from one side only; per component, counts of ends are even and match the links."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for pair in range(200):
+        x = rng.normal(size=16)
+        x /= np.linalg.norm(x)
+        y = rng.normal(size=16)
+        y -= (y @ x) * x
+        y /= np.linalg.norm(y)
+        rows += [(2 * pair, x.tolist(), 0), (2 * pair + 1, (0.9801 * x + np.sqrt(1 - 0.9801**2) * y).tolist(), 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r for r in multi_index.near_duplicates(df, recall=0.6).collect()}
+    ends = [(got[2 * p].n_links, got[2 * p + 1].n_links) for p in range(200)]
+    assert all(a == b for a, b in ends) and 60 < sum(a for a, _ in ends) <= 200
+    assert all((got[2 * p + 1].component_id == 2 * p) == (ends[p][0] == 1) for p in range(200))
+
+
 def test_multi_sequence_visits_by_growing_bound():
     rng = np.random.default_rng(0)
     a, b = rng.random(7), rng.random(5)
