@@ -23,6 +23,8 @@ lines of its own text.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -42,8 +44,10 @@ LINE = ["k", "line"]
 
 
 def line_words(text: Column) -> Column:
-    """The words of a line; repeated ones stay."""
-    return F.array_remove(F.split(F.translate(text, SPACES, " " * len(SPACES)), " "), "")
+    """The words of a line; repeated ones stay. Rare white space is only looked for, since replacing it is dear."""
+    rare = reduce(or_, [F.contains(text, F.lit(c)) for c in SPACES[1:]])
+    plain = F.when(rare, F.translate(text, SPACES, " " * len(SPACES))).otherwise(text)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def text_number(text: Column) -> Column:
@@ -60,7 +64,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def word_levels(docs: DataFrame) -> Column:
     """A constant array: for each bucket of word hashes, half powers of two of its count."""
-    words = docs.where("text IS NOT NULL").select(F.explode(line_words(F.col("text"))).alias("w"))
+    lines = F.replace("text", F.lit("\n"), F.lit(" "))
+    words = docs.where("text IS NOT NULL").select(F.explode(line_words(lines)).alias("w"))
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - SKETCH_BITS)
     counts = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).toArrow()  # at most 2^SKETCH_BITS rows
     levels = ["0"] * (1 << SKETCH_BITS)
@@ -80,12 +85,13 @@ def described(lines: DataFrame, levels: Column) -> DataFrame:
         level = F.get(levels, F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")).cast("long")
         return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))
 
-    sets = lines.select(*LINE, members(F.col("words")).alias("m"))
+    coded = F.transform(F.transform("words", lambda w: F.xxhash64(w)), member)
+    sets = lines.select(*LINE, F.sort_array(F.array_distinct(coded)).alias("m"))
     n = F.size("m")
     parity = F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
     # The nearest to a set that is not equal is the set with one word more.
     kept = F.when(100 * n >= PERCENT * (n + 1), n - F.ceil(n * PERCENT / 100.0 - 1e-9).cast("int") + 1).otherwise(0)
-    prefix = F.when(kept > 0, F.slice(F.sort_array(F.transform("m", member)), F.lit(1), kept)).otherwise(F.array().cast("array<long>"))
+    prefix = F.slice("m", F.lit(1), kept)
     return sets.select(
         *LINE, n.alias("n"), F.xxhash64("m").alias("d1"), F.xxhash64(F.lit(1), "m").alias("d2"), F.when(kept > 0, parity).otherwise(0).alias("p"),
         prefix.alias("prefix"))
