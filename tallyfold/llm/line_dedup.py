@@ -57,15 +57,16 @@ def text_number(text: Column) -> Column:
 
 def lines_of(docs: DataFrame) -> DataFrame:
     """``k``, ``line`` and ``words`` of the lines that can be removed."""
-    lines = docs.where(F.col("k").isNotNull() & F.col("text").isNotNull()).select("k", text_number(F.col("text")).alias("t"), F.posexplode(F.split("text", "\n")).alias("at", "s"))
-    lines = lines.select("k", (F.col("t") + F.col("at")).alias("line"), line_words(F.col("s")).alias("words"))
-    return lines.where(F.size("words") >= LEAST_WORDS)
+    cut = docs.where(F.col("k").isNotNull() & F.col("text").isNotNull()).select("k", text_number(F.col("text")).alias("t"), F.split("text", "\n").alias("lines"))
+    lines = cut.select("k", "t", F.posexplode("lines").alias("at", "s"))
+    # A test on the words would be moved before them and cut every line twice.
+    lines = lines.where(F.btrim("s", F.lit(SPACES)) != "")
+    return lines.select("k", (F.col("t") + F.col("at")).alias("line"), line_words(F.col("s")).alias("words"))
 
 
 def word_levels(docs: DataFrame) -> Column:
     """A constant array: for each bucket of word hashes, half powers of two of its count."""
-    lines = F.replace("text", F.lit("\n"), F.lit(" "))
-    words = docs.where("text IS NOT NULL").select(F.explode(line_words(lines)).alias("w"))
+    words = docs.where("text IS NOT NULL").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w"))
     bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - SKETCH_BITS)
     counts = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).toArrow()  # at most 2^SKETCH_BITS rows
     levels = ["0"] * (1 << SKETCH_BITS)

@@ -3,6 +3,7 @@
 import brute
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tallyfold.llm import line_dedup
@@ -66,4 +67,22 @@ def test_queries_are_registered():
 
     found = entry.queries()
     assert set(QUERIES) <= set(found) and "pipeline" in found
-    assert all(any(n.startswith(f"op{i}_") for n in found) for i in range(1, 11))
+    assert all(any(n.startswith(f"op{i}_") for n in found) for i in range(1, 14))
+
+
+def test_stages_of_an_empty_table(spark):
+    df = table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        df = stage(spark, df, SF)
+        assert df.count() == 0, name
+
+
+def test_user_columns_of_any_name_stay(spark):
+    """Names that the stages use themselves, and names with underscores."""
+    odd = ["__k", "__words", "__p", "__copy", "row", "k", "t", "line", "score", "removed"]
+    rows = [(i, f"some words of document number {i} " * 12 if i < 8 else "some words of document number 3 " * 12, *range(10)) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in odd)).withColumn("n_chars", F.length("text").cast("long"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, df, SF)
+        assert out.columns == df.columns, name
+        assert all(tuple(r)[2:12] == tuple(range(10)) for r in out.collect()), name
