@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyfold.operators.keys import join_on_keys
-from tallyfold.session import scratch_scope, settle
+from tallyfold.session import Scope, scratch_scope, settle
 
 from .batches import bounded_batches, frugal, slices
 from .components import components
@@ -227,14 +227,19 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     docs = docs.select(F.col(key).alias("k"), F.col(text).cast("string").alias("text"))
     docs = docs.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
     with scratch_scope() as scope:
+        with scratch_scope() as early:
+            with scratch_scope():
+                whole = settle(described(docs, rarity_levels(docs)), "gram-sets")
+                # The prefixes are read once, for the lists.
+                sets = scope.keep(whole.drop("prefix"), "gram-ids")
+                lists = early.keep(_lists(whole.where("n > 0 AND k IS NOT NULL")), "gram-lists")
+            some = sets.where("n > 0 AND k IS NOT NULL")
+            first, derived, texts = _candidates(docs, some, lists, scope)
+        # The lists are gone; only the pairs that the bounds left open and the texts are there.
         with scratch_scope():
-            whole = settle(described(docs, rarity_levels(docs)), "gram-sets")
-            # The prefixes are read once, for the lists.
-            sets = scope.keep(whole.drop("prefix"), "gram-ids")
-            lists = scope.keep(_lists(whole.where("n > 0 AND k IS NOT NULL")), "gram-lists")
-        some = sets.where("n > 0 AND k IS NOT NULL")
-        with scratch_scope():
-            links = scope.keep(_links(docs, some, lists), "gram-links")
+            more = verified(derived.where("NOT sure"), texts).where(linked()).select("a", "b")
+            links = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            links = scope.keep(links.union(derived.where("sure").select("a", "b")).union(more), "gram-links")
         groups = components(links)
         classes = some.groupBy("n", "d1", "d2").agg(F.min("k").alias("rep"))
         classes = join_on_keys(classes, groups.select(F.col("node").alias("rep"), "component"), ["rep"], how="left")
@@ -245,8 +250,9 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return scope.result(out, "gram-groups")
 
 
-def _links(docs: DataFrame, some: DataFrame, lists: DataFrame) -> DataFrame:
-    """Links between sets (``a``, ``b``) that connect what is connected."""
+def _candidates(docs: DataFrame, some: DataFrame, lists: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Groups by links to heads, pairs of different groups that may link still, and the texts to verify them on; the
+    three tables belong to ``scope``."""
     met = lists.where("head != k").groupBy("k", "head").agg(F.count(F.lit(1)).alias("c"))
     best = met.groupBy("k").agg(F.max(F.struct("c", (-F.col("head")).alias("m"))).alias("x"))
     best = best.select(F.col("k").alias("a"), (-F.col("x.m")).alias("b"))
@@ -255,7 +261,7 @@ def _links(docs: DataFrame, some: DataFrame, lists: DataFrame) -> DataFrame:
     stars = settle(stars, "gram-heads")
     members = settle(lists.select("k").distinct(), "gram-members")
     wanted = join_on_keys(some.select("k", "t").distinct(), members, ["k"])
-    texts = settle(join_on_keys(packed_texts(docs).dropDuplicates(["k", "t"]), wanted, ["k", "t"]).select("k", "z"), "gram-texts")
+    texts = scope.keep(join_on_keys(packed_texts(docs).dropDuplicates(["k", "t"]), wanted, ["k", "t"]).select("k", "z"), "gram-texts")
     answers = settle(verified(stars, texts), "gram-answers")
     # The further heads of sets that are not linked to their first one.
     orders = range(len(ORDERS))
@@ -265,7 +271,7 @@ def _links(docs: DataFrame, some: DataFrame, lists: DataFrame) -> DataFrame:
     other = join_on_keys(other, answers.where(linked()).select("a"), ["a"], how="left_anti")
     further = verified(settle(other, "gram-further"), texts)
     links = answers.union(settle(further, "gram-further-answers")).where(linked()).select("a", "b")
-    first = components(links)
+    first = scope.keep(components(links), "gram-first")
 
     # An id with several texts has several answers, and none that would bound others.
     head = answers.groupBy(F.col("a").alias("k")).agg(
@@ -275,8 +281,5 @@ def _links(docs: DataFrame, some: DataFrame, lists: DataFrame) -> DataFrame:
     known = join_on_keys(known, first.select(F.col("node").alias("k"), "component"), ["k"], how="left")
     known = settle(known.select("k", F.coalesce("component", "k").alias("group"), "head", "o", "nh"), "gram-known")
     # With one head h: |x & y| >= |x & h| + |y & h| - |h|, and <= least overlap + least rest outside h.
-    derived = settle(_open_pairs(lists, known), "gram-derived")
-    more = settle(verified(derived.where("NOT sure"), texts), "gram-verified")
-    links = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    links = links.union(derived.where("sure").select("a", "b")).union(more.where(linked()).select("a", "b"))
-    return links
+    derived = scope.keep(_open_pairs(lists, known), "gram-derived")
+    return first, derived, texts
