@@ -196,12 +196,6 @@ class WordBpe:
             out += map(self._piece, self.split(part.lower()))
         return self.chunks.keep(chunk, b"".join(out))
 
-    def forget(self) -> None:
-        """Drops what was remembered: the worker lives on after its task."""
-        self.chunks.forget()
-        self.pieces.forget()
-        self.compatible.clear()
-
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers.
 
@@ -260,7 +254,6 @@ def encode_documents(docs: DataFrame, vocabulary: str, key: str = "doc_id", text
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(packed), "<i4"))
                 yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(counts, pa.int64()), ids], ["k", "n_tokens", "ids"])
-        bpe.forget()
 
     return bounded_batches(docs).mapInArrow(encode, schema).withColumnRenamed("k", key)
 
@@ -298,7 +291,6 @@ def token_digests(
                     offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                     columns.append(pa.ListArray.from_arrays(offsets, np.frombuffer(b"".join(packed), "<i4")))
                 yield pa.RecordBatch.from_arrays(columns, names)
-        bpe.forget()
 
     return bounded_batches(docs).mapInArrow(digest, fields + ", ids array<int>" * with_ids).withColumnRenamed("k", key)
 
