@@ -32,8 +32,8 @@ END = "
 WORD_END = "</w>"
 #: Bytes of remembered chunks and letter runs of a worker; when full they are forgotten at once. Longer ones are
 #: not remembered. An entry counts with what the two objects and their place in the table take besides.
-CHUNK_BYTES, PIECE_BYTES, LONGEST, ENTRY = 32 << 20, 16 << 20, 64, 190
-PAIR_CACHE = 200_000
+CHUNK_BYTES, PIECE_BYTES, LONGEST, ENTRY = 64 << 20, 40 << 20, 64, 190
+PAIR_CACHE = 400_000
 
 
 class Remembered(dict):
