@@ -1,20 +1,20 @@
 """Secret scan: fixed patterns, and formats learned from the credentials that they find.
 
-The fixed patterns label credentials in all documents; of the values of each kind a bounded number, the
-least by hash, is learned from. From them a prefix tree is built: letters and digits lead one way, and a mark a way of
+The fixed patterns label credentials in all documents, and all distinct values of each kind are learned from. From them a
+prefix tree is counted: letters and digits lead one way, and a mark a way of
 its own where it is common at that place, so that the counts along a format do not thin out and its length and
-marks are kept. States with enough counts are merged where a Hoeffding test finds the frequencies of their next character
+marks are kept. Spark counts all places up to the next common mark in one job; what the driver holds is the tree, whose size
+does not grow with the values: past ``DEEP`` characters a state leads to itself. States with enough counts are merged where a Hoeffding test finds the frequencies of their next character
 classes and ends compatible, and those of all states after them; the result is a probabilistic automaton of the format.
 
 Every run of ``MIN_RUN`` characters or more is then scored, less what a fixed pattern covers: the log likelihood under
-an automaton, against the better of two ordinary models, of runs with letters and digits and of other runs. Runs with letters and
-digits whose outline is not repeated are left out of those models, since they may be credentials. An automaton's threshold lies above
-every ordinary run that was learned from, and at ``MIN_GAIN`` at least. A run that stays below is scored again in its parts
+an automaton, against the better of two ordinary models, of runs with letters and digits and of other runs, counted over all distinct
+runs. Runs with letters and digits whose outline is rare are left out of those models, since they may be credentials. An automaton's
+threshold lies above every ordinary run, and at ``MIN_GAIN`` at least. A run that stays below is scored again in its parts
 between equals signs. What is above is reported as kind ``format`` beside the fixed ones, which always stay.
 
 Spans are code points, end exclusive. Null and empty texts have no spans. Without labelled
-credentials nothing is learned and only the fixed patterns report. Ties do not matter: the values
-are chosen by hash, then by value.
+credentials nothing is learned and only the fixed patterns report. No order of rows matters: values are only counted.
 """
 
 from __future__ import annotations
@@ -22,29 +22,31 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.session import settle
 
-from .batches import bounded_batches, frugal, slices, texts
+from .batches import SLICE_BYTES, bounded_batches, frugal, slices, texts
 
-#: Values learned for each kind, and ordinary runs for each of their two models.
-VALUES, ORDINARY = 400, 4_000
-#: Significance of the merge test, counts it needs, and the share from which a mark leads a way of its own.
-ALPHA, LEAST, COMMON = 0.05, 20, 0.05
+#: Significance of the merge test and counts it needs.
+ALPHA, LEAST = 0.05, 20
+#: Shares of the values at a place, and of all values, from which a mark leads a way of its own there.
+COMMON, COMMON_OF_ALL = 0.05, 0.01
+#: Places of a value that have states of their own.
+DEEP = 256
 #: Least log-likelihood gain over ordinary text, and of how much a threshold lies above ordinary runs.
 MIN_GAIN, MARGIN = 12.0, 1.0
-#: Runs with letters and digits are ordinary if so many of those learned from have one outline; random tokens have outlines of their own.
-REPEATED = 3
+#: Runs with letters and digits are ordinary if so many, and such a share, of them have one outline; random tokens have outlines of their own.
+REPEATED, REPEATED_SHARE = 3, 3 / 4_000
 MIN_RUN = 8
-#: Values up to this length, and so many of them, are scored and hashed once in a task.
+#: Values up to this length, and so many of them, are scored and sent once in a task.
 CACHED_LENGTH, CACHED = 64, 1 << 16
 
 KINDS = ("assign", "access", "hex")
@@ -86,9 +88,8 @@ def classes(value: str) -> str:
     return value.translate(_CLASSES)
 
 
-_CLASSES = str.maketrans(
-    {c: "h" for c in "abcdef"} | {c: "z" for c in "ghijklmnopqrstuvwxyz"} | {c: "H" for c in "ABCDEF"}
-    | {c: "Z" for c in "GHIJKLMNOPQRSTUVWXYZ"} | {c: "0" for c in "0123456789"})
+_MEMBERS = {"h": "abcdef", "z": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "Z": "GHIJKLMNOPQRSTUVWXYZ", "0": "0123456789"}
+_CLASSES = str.maketrans({c: name for name, held in _MEMBERS.items() for c in held})
 _SPREAD = {"h": math.log(6), "z": math.log(20), "H": math.log(6), "Z": math.log(20), "0": math.log(10)}
 
 
@@ -114,42 +115,86 @@ class Automaton:
         return total + (self.ends[at] if at >= 0 else self.floor)
 
 
-def _prefix_tree(shapes: list[str]):
-    """Moves, counts of passes, ends and next classes of each state, root first."""
-    next_state, passed, ended, used = [{}], [len(shapes)], [0], [defaultdict(int)]
-    level = [(0, shapes)]
-    depth = 0
-    while level:
-        below = []
-        for state, held in level:
-            count = used[state]
-            for shape in held:
-                if len(shape) == depth:
-                    ended[state] += 1
-                else:
-                    count[shape[depth]] += 1
-            own = {c for c, n in count.items() if c not in _SPREAD and n >= max(LEAST, COMMON * len(held))}
-            ways = defaultdict(list)
-            for shape in held:
-                if len(shape) > depth:
-                    ways[shape[depth] if shape[depth] in own else _ANY].append(shape)
-            for way in sorted(ways):
-                next_state[state][way] = len(passed)
-                below.append((len(passed), ways[way]))
-                next_state.append({})
-                passed.append(len(ways[way]))
-                ended.append(0)
-                used.append(defaultdict(int))
-        level, depth = below, depth + 1
-    return next_state, passed, ended, used
-
-
-_ANY = "*"
-
-
-def infer(shapes: list[str], alpha: float = ALPHA) -> Automaton:
-    """Merges compatible states of the prefix tree of ``shapes``, shallow states first."""
-    next_state, passed, ended, used = _prefix_tree(shapes)
+class Tree:
+    """A prefix tree that is counted job by job.
+
+    A trunk is a start depth and the states that one reaches from there on the common way; ``splits`` has by trunk and depth the
+    trunks that marks lead to. Counts of a trunk hold up to the first split that is not known yet, so each ``settle`` ends them
+    there, and a further count goes on behind it.
+    """
+
+    def __init__(self, total: int):
+        self.least = max(LEAST, COMMON_OF_ALL * total)
+        self.splits: list[dict[int, dict[str, int]]] = [{}]
+        #: The depth from which on a trunk's counts are open; none if it is done.
+        self.open: dict[int, int] = {0: 0}
+        self.counts: dict[tuple[int, int], dict[str, int]] = {}
+
+    def count(self, shape: str, n: int, into: dict) -> None:
+        """Adds a value to the open counts, by trunk, depth and class; the end counts as a class."""
+        trunk = 0
+        for i, c in enumerate(shape):
+            depth = i if i < DEEP else DEEP
+            if depth >= self.open.get(trunk, _DONE):
+                into[trunk, depth, c] += n
+            trunk = self.splits[trunk].get(depth, _NONE).get(c, trunk)
+        depth = min(len(shape), DEEP)
+        if depth >= self.open.get(trunk, _DONE):
+            into[trunk, depth, _END] += n
+
+    def settle(self, counted: dict[tuple[int, int, str], int]) -> None:
+        """Keeps what holds of the counts of all values, and splits each open trunk at its next common marks."""
+        places: defaultdict[tuple[int, int], dict[str, int]] = defaultdict(dict)
+        for (trunk, depth, c), n in counted.items():
+            places[trunk, depth][c] = n
+        opened = {}
+        for trunk, depth in self.open.items():
+            while (trunk, depth) in places:
+                count = self.counts[trunk, depth] = places[trunk, depth]
+                held = sum(count.values())
+                own = sorted(c for c, n in count.items() if c not in _SPREAD and c != _END and n >= max(self.least, COMMON * held))
+                depth += 1
+                if own and depth <= DEEP:
+                    self.splits[trunk][depth - 1] = {c: len(self.splits) + i for i, c in enumerate(own)}
+                    self.splits += [{} for _ in own]
+                    opened |= {t: depth for t in (trunk, *self.splits[trunk][depth - 1].values())}
+                    break
+        self.open = opened
+
+    def states(self):
+        """Moves, counts of passes, ends and next classes of each state, root first, and the states that lead to themselves."""
+        number = {place: i for i, place in enumerate(sorted(self.counts, key=lambda p: (p[1], p[0])))} or {(0, 0): 0}
+        next_state, passed, ended, used, loops = [], [], [], [], set()
+        for (trunk, depth), i in number.items():
+            count = self.counts.get((trunk, depth), {})
+            own = self.splits[trunk].get(depth, {})
+            ways = {_ANY: (trunk, depth + 1)} | {c: (to, depth + 1) for c, to in own.items()}
+            next_state.append({w: number[p] for w, p in ways.items() if p in number})
+            passed.append(sum(count.values()))
+            ended.append(count.get(_END, 0))
+            used.append(defaultdict(int, {c: n for c, n in count.items() if c != _END}))
+            if depth == DEEP:
+                loops.add(i)
+        return next_state, passed, ended, used, loops
+
+
+_ANY, _END, _DONE, _NONE = "*", "$", DEEP + 1, {}
+
+
+def grown(shapes: list[str]) -> Tree:
+    """The tree of values at hand."""
+    tree = Tree(len(shapes))
+    while tree.open:
+        counted: defaultdict[tuple[int, int, str], int] = defaultdict(int)
+        for shape in shapes:
+            tree.count(shape, 1, counted)
+        tree.settle(counted)
+    return tree
+
+
+def infer(shapes: list[str] | Tree, alpha: float = ALPHA) -> Automaton:
+    """Merges compatible states of the prefix tree of ``shapes``, or of a tree that has been counted, shallow states first."""
+    next_state, passed, ended, used, loops = (shapes if isinstance(shapes, Tree) else grown(shapes)).states()
     bound_factor = math.sqrt(0.5 * math.log(2 / alpha))
 
     def differ(k: int, n: int, l: int, m: int) -> bool:
@@ -207,9 +252,12 @@ def infer(shapes: list[str], alpha: float = ALPHA) -> Automaton:
     out = Automaton()
     for t in settled:
         whole, ways = passed[t] + 1.0, next_state[t]
+        if t in loops:
+            ways.setdefault(_ANY, t)
         reached = {c: ways.get(c, ways.get(_ANY)) for c in used[t]}
-        out.moves.append({c: (number[to], math.log((used[t][c] + 0.1) / whole)) for c, to in reached.items() if to is not None})
-        out.ends.append(math.log((ended[t] + 0.1) / whole))
+        # However many values there are, nothing is less likely than what was never seen.
+        out.moves.append({c: (number[to], max(out.floor, math.log((used[t][c] + 0.1) / whole))) for c, to in reached.items() if to is not None})
+        out.ends.append(max(out.floor, math.log((ended[t] + 0.1) / whole)))
         out.others.append(number[ways[_ANY]] if _ANY in ways else -1)
     return out
 
@@ -228,13 +276,23 @@ class Ordinary:
         return total
 
 
+def count_pairs(shape: str, n: int, into: dict) -> None:
+    for a, c in zip("^" + shape, shape + "$"):
+        into[a + c] += n
+
+
 def ordinary(shapes: list[str]) -> Ordinary:
     count: defaultdict[str, int] = defaultdict(int)
-    first: defaultdict[str, int] = defaultdict(int)
     for shape in shapes:
-        for a, c in zip("^" + shape, shape + "$"):
-            count[a + c] += 1
-            first[a] += 1
+        count_pairs(shape, 1, count)
+    return ordinary_of(count)
+
+
+def ordinary_of(count: dict[str, int]) -> Ordinary:
+    """The model of counted class pairs."""
+    first: defaultdict[str, int] = defaultdict(int)
+    for pair, n in count.items():
+        first[pair[0]] += n
     return Ordinary({p: math.log((n + 0.5) / (first[p[0]] + 6.0)) for p, n in count.items()})
 
 
@@ -259,89 +317,125 @@ def ordinary_kind(run: str) -> str:
     return "mixed" if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) else "plain"
 
 
-#: Kinds of values, and how many of each are learned from.
-LEARNED = {**{k: VALUES for k in KINDS}, "mixed": ORDINARY, "plain": ORDINARY}
-#: Hashes are counted in 2^12 buckets.
-BUCKET_SHIFT = 63 - 12
-
-
-def value_hash(value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "big") >> 1
-
-
-class Least:
-    """The distinct values with the least hashes, ties by value."""
-
-    def __init__(self, most: int):
-        self.most, self.held, self.bound = most, {}, 1 << 63
+#: Rows that are sent from Python at a time.
+ROWS = 4_000
+
+
+def _rows(rows: list[tuple], **types: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types.values())], list(types))
+
+
+@frugal
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Kind and value of every credential and every ordinary run; short values are not repeated at once."""
+    seen: set[tuple[str, str]] = set()
+    rows, size = [], 0
+    for batch in batches:
+        for part in slices(batch):
+            for text in texts(part):
+                runs = list(RUN.finditer(text))
+                spans = base_spans(text, runs)
+                found = [(kind, value) for kind, _, _, value in spans]
+                for start, end in candidates(runs, spans):
+                    found.append((ordinary_kind(text[start:end]), text[start:end]))
+                for row in found:
+                    if row in seen:
+                        continue
+                    if len(row[1]) <= CACHED_LENGTH:
+                        if len(seen) >= CACHED:
+                            seen.clear()
+                        seen.add(row)
+                    rows.append(row)
+                    size += len(row[1])
+                    if len(rows) >= ROWS or size >= SLICE_BYTES:
+                        yield _rows(rows, kind=pa.string(), value=pa.string())
+                        rows, size = [], 0
+    if rows:
+        yield _rows(rows, kind=pa.string(), value=pa.string())
+
+
+def _shapes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, int]]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("kind", "shape", "n")))
+
+
+def _pair_counts(shapes: DataFrame) -> dict[str, dict[str, int]]:
+    """Counts of class pairs by kind."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        into = defaultdict(lambda: defaultdict(int))
+        for kind, shape, n in _shapes_of(batches):
+            count_pairs(shape, n, into[kind])
+        rows = [(k, p, n) for k, held in into.items() for p, n in held.items()]
+        if rows:
+            yield _rows(rows, kind=pa.string(), pair=pa.string(), n=pa.int64())
+
+    out = defaultdict(dict)
+    for r in shapes.mapInArrow(count, "kind string, pair string, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).collect():  # a row for two classes
+        out[r.kind][r.pair] = r.n
+    return out
 
-    def add(self, value: str, h: int) -> None:
-        if h <= self.bound:
-            self.held[value] = h
-            if len(self.held) > 2 * self.most:
-                self.held = dict(self.sorted())
-                self.bound = max(self.held.values())
 
-    def sorted(self) -> list[tuple[str, int]]:
-        return sorted(self.held.items(), key=lambda x: (x[1], x[0]))[:self.most]
+def _counted_trees(shapes: DataFrame) -> dict[str, Tree]:
+    """The prefix tree of each kind in ``shapes``, counted in as many jobs as common marks follow each other."""
+    totals = {r.kind: r.n for r in shapes.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    trees = {k: Tree(totals[k]) for k in KINDS if k in totals}
+    while grows := {k: t for k, t in trees.items() if t.open}:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            into = defaultdict(lambda: defaultdict(int))
+            for kind, shape, n in _shapes_of(batches):
+                if kind in grows:
+                    grows[kind].count(shape, n, into[kind])
+            rows = [(k, *place, n) for k, held in into.items() for place, n in held.items()]
+            for i in range(0, len(rows), ROWS):
+                yield _rows(rows[i:i + ROWS], kind=pa.string(), trunk=pa.int32(), depth=pa.int32(), c=pa.string(), n=pa.int64())
+
+        counted = shapes.mapInArrow(count, "kind string, trunk int, depth int, c string, n long")
+        found = {k: {} for k in grows}
+        for r in counted.groupBy("kind", "trunk", "depth", "c").agg(F.sum("n").alias("n")).collect():  # a row for a place of the tree and a class
+            found[r.kind][r.trunk, r.depth, r.c] = r.n
+        for k, tree in grows.items():
+            tree.settle(found[k])
+    return trees
+
+
+def _highest_gains(shapes: DataFrame, automata: list[Automaton], models: list[Ordinary]) -> dict[int, float]:
+    """The most that an ordinary run gains under each automaton."""
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most: dict[int, float] = {}
+        for _, shape, _ in _shapes_of(batches):
+            base = max(m.log_likelihood(shape) for m in models)
+            for i, a in enumerate(automata):
+                most[i] = max(most.get(i, -math.inf), a.log_likelihood(shape) - base)
+        if most:
+            yield _rows(list(most.items()), i=pa.int32(), gain=pa.float64())
+
+    return {r.i: r.gain for r in shapes.mapInArrow(score, "i int, gain double").groupBy("i").agg(F.max("gain").alias("gain")).collect()}
+
+
+def outline(shape: Column) -> Column:
+    """The shape with no more than three of one class in a row."""
+    return F.regexp_replace(shape, r"(.)\1{3,}", "$1$1$1")
 
 
 def learn_formats(docs: DataFrame) -> tuple[list[Automaton], list[Ordinary]]:
-    """Automata of the three kinds, and the ordinary models, from all of ``docs`` (``text``)."""
-    @frugal
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = {k: Least(n) for k, n in LEARNED.items()}
-        known = lru_cache(CACHED)(lambda v: (ordinary_kind(v), value_hash(v)))
-        for batch in batches:
-            for part in slices(batch):
-                for text in texts(part):
-                    runs = list(RUN.finditer(text))
-                    spans = base_spans(text, runs)
-                    for kind, _, _, value in spans:
-                        least[kind].add(value, value_hash(value))
-                    for start, end in candidates(runs, spans):
-                        value = text[start:end]
-                        kind, h = (known if end - start <= CACHED_LENGTH else known.__wrapped__)(value)
-                        least[kind].add(value, h)
-        # No task sends more values than are learned from.
-        rows = [(k, v, h) for k, x in least.items() for v, h in x.sorted()]
-        for i in range(0, len(rows), 1000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*rows[i:i + 1000]), (pa.string(), pa.string(), pa.int64()))], ["kind", "value", "h"])
-
-    found = settle(bounded_batches(docs.select("text")).mapInArrow(pick, "kind string, value string, h long").distinct(), "secret-values")
-    bucket = F.shiftright("h", BUCKET_SHIFT)
-    counts = defaultdict(list)
-    for r in found.groupBy("kind", bucket.alias("b")).count().orderBy("kind", "b").collect():  # at most 2^12 rows a kind
-        counts[r.kind].append((r.b, r["count"]))
-    chosen: dict[str, list[str]] = {k: [] for k in LEARNED}
-    for kind, rows in counts.items():
-        total, last = 0, 0
-        for last, n in rows:
-            total += n
-            if total >= LEARNED[kind]:
-                break
-        # Only the buckets that hold the least hashes are ordered.
-        top = found.where((F.col("kind") == kind) & (bucket <= last)).orderBy("h", "value").limit(LEARNED[kind])
-        chosen[kind] = [r.value for r in top.select("value").collect()]
-    return fit_formats({k: [classes(v) for v in values] for k, values in chosen.items()})
-
-
-def outline(shape: str) -> str:
-    """The shape with no more than three of one class in a row."""
-    return "".join(c for i, c in enumerate(shape) if shape[max(0, i - 3): i] != 3 * c)
-
-
-def fit_formats(shapes: dict[str, list[str]]) -> tuple[list[Automaton], list[Ordinary]]:
-    """Automata with their thresholds, and the ordinary models, from the shapes of each kind."""
-    seen = Counter(map(outline, shapes["mixed"]))
-    mixed = [v for v in shapes["mixed"] if seen[outline(v)] >= REPEATED]
-    models = [ordinary(v) for v in (mixed, shapes["plain"]) if v] or [ordinary([])]
-    automata = [infer(shapes[k]) for k in KINDS if shapes[k]]
-    base = [(v, max(m.log_likelihood(v) for m in models)) for v in {*mixed, *shapes["plain"]}]
-    for automaton in automata:
-        most = max((automaton.log_likelihood(v) - b for v, b in base), default=0.0)
-        automaton.threshold = max(MIN_GAIN, most + MARGIN)
+    """Automata of the three kinds with their thresholds, and the ordinary models, from all of ``docs`` (``text``)."""
+    values = bounded_batches(docs.select("text")).mapInArrow(_values, "kind string, value string").distinct()
+    shape = F.translate("value", "".join(_MEMBERS.values()), "".join(len(held) * name for name, held in _MEMBERS.items()))
+    shapes = settle(values.groupBy("kind", shape.alias("shape")).agg(F.count(F.lit(1)).alias("n")), "secret-shapes")
+    trees = _counted_trees(shapes.where(F.col("kind").isin(*KINDS)))
+    mixed = shapes.where("kind = 'mixed'").withColumn("outline", outline(F.col("shape")))
+    total = mixed.agg(F.sum("n")).first()[0] or 0
+    common = mixed.groupBy("outline").agg(F.sum("n").alias("n")).where(F.col("n") >= max(REPEATED, REPEATED_SHARE * total))
+    # No more outlines than have such a share.
+    mixed = mixed.join(F.broadcast(common.select("outline")), "outline", "left_semi").select("kind", "shape", "n")
+    runs = mixed.union(shapes.where("kind = 'plain'").select("kind", "shape", "n"))
+    pairs = _pair_counts(runs)
+    models = [ordinary_of(pairs[k]) for k in ("mixed", "plain") if k in pairs] or [ordinary([])]
+    automata = [infer(trees[k]) for k in KINDS if k in trees]
+    if automata:
+        gains = _highest_gains(runs, automata, models)
+        for i, automaton in enumerate(automata):
+            automaton.threshold = max(MIN_GAIN, gains.get(i, 0.0) + MARGIN)
     return automata, models
 
 

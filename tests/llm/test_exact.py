@@ -391,6 +391,36 @@ def test_formats_are_learned_from_all_documents(spark):
     assert len(automata) == 1 and automata[0].log_likelihood(secret_scan.classes(key())) > secret_scan.infer([]).log_likelihood("Z" * 20)
 
 
+def test_formats_and_ordinary_models_are_counted_over_all_values(spark):
+    """More values than a fixed number of them; the last ones by any order have a mark of their own, and one ordinary run is like a credential."""
+    rng = random.Random(5)
+    pick = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    values = sorted({pick("abcxyzABCXYZ0123456789", 20) + ("-" + pick("0123456789", 4) if i % 3 else "") for i in range(2_500)} | {"A" * 400, "xyz" * 2_000})
+    words = sorted({pick("abcdefghijklmnopqrstuvwxyz.", rng.randint(8, 14)) for _ in range(6_000)} | {"aBcXyZaBcXyZabcxyzab"})
+    mixed = sorted({"page/" + pick("0123456789", 3) for _ in range(900)} | {"x1y2z3w4+v5"})
+    df = spark.createDataFrame([(f"{w} token={v} {m}",) for w, v, m in zip(words, values * 3, mixed * 12)], "text string").repartition(5)
+    (automaton,), models = secret_scan.learn_formats(df)
+    want = secret_scan.infer([secret_scan.classes(v) for v in values])
+    assert (automaton.moves, automaton.ends, automaton.others) == (want.moves, want.ends, want.others)
+    shapes = [[secret_scan.classes(v) for v in held] for held in (mixed[:-1], words)]
+    assert [m.pairs for m in models] == [secret_scan.ordinary(s).pairs for s in shapes]
+    highest = max(automaton.log_likelihood(s) - max(m.log_likelihood(s) for m in models) for held in shapes for s in held)
+    assert highest > secret_scan.MIN_GAIN and automaton.threshold == pytest.approx(highest + secret_scan.MARGIN)
+
+
+def test_tree_counts_are_those_of_one_walk():
+    """A common mark splits a place only after those before it; long values share one place past the depth."""
+    rng = random.Random(8)
+    shapes = ["".join(rng.choice("hz0-=") if rng.random() < 0.3 else "h" for _ in range(rng.randint(0, 12))) for _ in range(500)] + ["h" * 700]
+    tree = secret_scan.grown(shapes)
+    next_state, passed, ended, used, loops = tree.states()
+    assert passed[0] == len(shapes) and sum(ended) == len(shapes) and sum(map(len, tree.splits)) == 2
+    for i, ways in enumerate(next_state):
+        assert i in loops or passed[i] == ended[i] + sum(passed[t] for t in ways.values() if t not in loops) + sum(1 for t in ways.values() if t in loops)
+    (loop,) = loops
+    assert used[loop] == {"h": 700 - secret_scan.DEEP} and len(passed) < 700
+
+
 def test_every_run_is_scored():
     """Short runs, one class only, parts after an equals sign, and the rests beside a fixed span."""
     text = "abcdefgh x1 12345678 k=value999/ab== short=1 left.part_password=abcdefghij rest0rest0-0123456789abcdef0123456789abcdef-beside12"
