@@ -59,6 +59,15 @@ def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix(part + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+def string_names(strings: list[str]) -> np.ndarray:
+    """Fingerprints of whole strings."""
+    held = pa.array(strings, pa.large_string())
+    bounds = np.frombuffer(held.buffers()[1], np.int64)[: len(held) + 1] if len(held) else np.zeros(1, np.int64)
+    data = held.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[: bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    return span(prefix_sums(_VALUES[raw]), bounds[:-1], bounds[1:])
+
+
 @dataclass
 class Words:
     """Fingerprints of all words of some texts; those of text i are ``first[i]:first[i + 1]``."""

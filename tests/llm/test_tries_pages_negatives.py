@@ -191,6 +191,30 @@ def test_boilerplate_without_markup_is_found_over_the_host(spark, monkeypatch, p
     assert host_extract.main_texts(df.limit(0)).count() == 0
 
 
+def test_a_divided_host_gives_what_an_undivided_one_does(spark, monkeypatch):
+    """Boilerplate of a page without markup that only pages with an article have, copies, and counts over the host."""
+    rng = random.Random(9)
+    shared = "All rights reserved by this company and all of its many partners"
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = [(i, "http://big.example/", page(f"<article><p>{words(30)}</p><p>{shared}</p></article>")) for i in range(25)]
+    alone = words(40)
+    rows += [(50, "http://big.example/u", page(f"<div>{shared}</div><div>{alone}</div>"))]
+    # Copies of one stream repeat nothing, in one part or in several.
+    copy = words(60)
+    rows += [(100 + i, "http://copies.example/", f"<p title={i}>{copy}") for i in range(40)]
+    rows += [(200 + i, "http://small.example/", page(f"<p>{words(5)}</p>")) for i in range(2)]
+    rows += [(300, "http://big.example/", None), (301, "http://big.example/", "few words"), (302, "http://long.example", "x " * 5_000), (303, "http://long.example", "x " * 6_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    monkeypatch.setattr(host_extract, "PACKED", 500)
+    got = {}
+    for part_bytes in (1 << 20, 1500):
+        monkeypatch.setattr(host_extract, "PART_BYTES", part_bytes)
+        got[part_bytes] = sorted(map(tuple, host_extract.main_texts(df).collect()), key=lambda r: r[0])
+    assert got[1500] == got[1 << 20] and len(got[1500]) == len(rows)
+    by_id = {r[0]: r for r in got[1500]}
+    assert by_id[50][2] == alone and by_id[100][4] == 0 and by_id[100][2] == copy and by_id[302][4] == 5_000 and by_id[0][4] > 10
+
+
 def test_pages_of_the_table(spark):
     """Texts of the given pages, whose articles are plain, by a simple rule of their own."""
     import html
