@@ -182,9 +182,10 @@ def daily_retention_binned(
 def user_bitmaps(events: DataFrame, day: str, user: str = "user_id") -> DataFrame:
     """``(day, bucket, bitmap)``: which users, numbered without large gaps, have a row on each day.
 
-    A table to keep: bitmaps of new days are added to it, and every count below reads it alone.
+    A table to keep: bitmaps of new days are added to it, and every count below reads it alone. A day on which no
+    row has a user has none of them.
     """
-    return id_bitmaps(events.filter(F.col(day).isNotNull()), [day], user)
+    return id_bitmaps(events.filter(F.col(day).isNotNull()), [day], user, keep_keys=True)
 
 
 def dau_of_bitmaps(active: DataFrame) -> DataFrame:

@@ -253,7 +253,8 @@ def phik_solver() -> Callable[[float, int, int, int], float]:
         largest = n * (min(nx, ny) - 1)
         if chi2 <= noise:
             return 0.0
-        if chi2 >= largest:
+        # The sum of many cells may miss the largest by rounding, and the weight is flat there.
+        if chi2 >= largest * (1 - 1e-9):
             return 1.0
         nx, ny = int(nx), int(ny)
         weight = weight_of(nx, ny)

@@ -41,10 +41,11 @@ def number_ids(df: DataFrame, id: str, known: DataFrame | None = None) -> DataFr
     return numbered if known is None else known.select(id, "number").unionByName(numbered)
 
 
-def id_bitmaps(df: DataFrame, keys: Sequence[str], number: str) -> DataFrame:
-    """``(*keys, bucket, bitmap)``: the numbers that occur with each key; rows without a number are left out."""
-    rows = df.filter(F.col(number).isNotNull())
-    return rows.groupBy(*keys, F.bitmap_bucket_number(number).alias("bucket")).agg(
+def id_bitmaps(df: DataFrame, keys: Sequence[str], number: str, keep_keys: bool = False) -> DataFrame:
+    """``(*keys, bucket, bitmap)``: the numbers that occur with each key; rows without a number are left out, or with ``keep_keys``
+    set no bit, so that a key without numbers counts zero."""
+    rows = df if keep_keys else df.filter(F.col(number).isNotNull())
+    return rows.groupBy(*keys, F.coalesce(F.bitmap_bucket_number(number), F.lit(1)).alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position(number)).alias("bitmap"))
 
 
