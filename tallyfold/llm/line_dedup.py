@@ -1,9 +1,10 @@
 """Line dedup by an exact set-similarity join. Native.
 
-A line's set is its distinct words. Lines with equal sets are one class, whose first line (by document
-id, then place) stands for it. The words of a set are ordered by rarity and its prefix, of which two
-matching sets must share a word, goes into inverted lists with size and position; lists of one set are dropped. Within a
-list, sets are paired under the length and positional filters, and a 64-bit parity of each set bounds the
+A line's set is its distinct words, hashed and written once for all that follows up to the lists. Lines with equal sets are one class,
+whose first line (by document id, then place) stands for it; the others go. The words of a set are ordered by rarity and its
+prefix, of which two matching sets must share a word, goes into inverted lists with size and position. By the length and positional
+filters a row has a largest size that it can match; rows that no other row of their list can match by that are dropped. Within a
+list, sets are paired under these filters, and a 64-bit parity of each set bounds the
 difference of two sets from below. What is left is verified by Jaccard on the words themselves, which are cut again
 from the documents that hold them: a bitmap of fixed size keeps the other documents from being shuffled.
 
@@ -12,7 +13,7 @@ first meets only the earliest set of its size class that it shares most lists wi
 that need no other pair. This keeps large groups of near copies from being paired among themselves. Sets that are
 not let through to that one by the filters meet all earlier sets of the list.
 
-Rarity is the count of a word's bucket in a sketch of fixed size over all lines; it decides only the
+Rarity is the number of lines with a word of the word's bucket, in a sketch of fixed size over all lines; it decides only the
 order. Sets of up to eight words match only equal sets, at 0.9, so they are in no list: their class says all.
 Every line with a word can be removed; blank lines have an empty set, which has no similarity, and stay. Null
 and empty texts have no lines to remove. Documents without an id keep all lines and remove none. Rows of one id
@@ -41,13 +42,15 @@ SPACES = " \t\n\x0b\x0c\r"
 BITMAP_BITS = 24
 #: A line: its document's id, and one number for the document's text and the line's place in it.
 LINE = ["k", "line"]
+#: Lists of at most so many rows are paired where they are made.
+SHORT = 16
 
 
 def line_words(text: Column) -> Column:
-    """The words of a line; repeated ones stay. Rare white space is only looked for, since replacing it is dear."""
-    rare = reduce(or_, [F.contains(text, F.lit(c)) for c in SPACES[1:]])
-    plain = F.when(rare, F.translate(text, SPACES, " " * len(SPACES))).otherwise(text)
-    return F.array_remove(F.split(plain, " "), "")
+    """The words of a line; repeated ones stay. Lines with more than single blanks between their words are brought to
+    that first; the others, most of them, are spared the pattern."""
+    odd = F.contains(text, F.lit("  ")) | F.startswith(text, F.lit(" ")) | F.endswith(text, F.lit(" ")) | F.rlike(text, F.lit(r"[\x09-\x0D]"))
+    return F.split(F.when(odd, F.btrim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " "))).otherwise(text), " ")
 
 
 def text_number(text: Column) -> Column:
@@ -64,69 +67,100 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select("k", (F.col("t") + F.col("at")).alias("line"), line_words(F.col("s")).alias("words"))
 
 
-def word_levels(docs: DataFrame) -> Column:
-    """A constant array: for each bucket of word hashes, half powers of two of its count."""
-    words = docs.where("text IS NOT NULL").select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w"))
-    bucket = F.shiftrightunsigned(F.xxhash64("w"), 64 - SKETCH_BITS)
+def members(words: Column) -> Column:
+    """The distinct words as sorted 64-bit hashes."""
+    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+
+
+def line_sets(docs: DataFrame) -> DataFrame:
+    """``k``, ``line``, and the set of every line that can be removed: ``m``, its size and two digests of it."""
+    sets = lines_of(docs).select(*LINE, members(F.col("words")).alias("m"))
+    return sets.select(*LINE, F.size("m").alias("n"), F.xxhash64("m").alias("d1"), F.xxhash64(F.lit(1), "m").alias("d2"), "m")
+
+
+def word_levels(sets: DataFrame) -> Column:
+    """A constant array: for each bucket of word hashes, half powers of two of the number of lines it occurs in."""
+    words = sets.select(F.explode("m").alias("w"))
+    bucket = F.shiftrightunsigned("w", 64 - SKETCH_BITS).cast("int")
     counts = words.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).toArrow()  # at most 2^SKETCH_BITS rows
     levels = ["0"] * (1 << SKETCH_BITS)
     for b, c in zip(counts.column("b").to_pylist(), counts.column("c").to_pylist()):
         levels[b] = str(int(2 * math.log2(c)) + 1)
-    return F.split(F.lit(",".join(levels)), ",").cast("array<tinyint>")
-
-
-def members(words: Column) -> Column:
-    """The distinct words as sorted 64-bit hashes."""
-    return F.sort_array(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.split(F.lit(",".join(levels)), ",").cast("array<bigint>")
 
 
-def described(lines: DataFrame, levels: Column) -> DataFrame:
-    """Size, digests, parity and prefix of every line's set; members of the prefix are hashes led by their level."""
+def described(sets: DataFrame, levels: Column) -> DataFrame:
+    """Sets with parity and prefix; members of the prefix are hashes led by their level."""
     def member(h: Column) -> Column:
-        level = F.get(levels, F.shiftrightunsigned(h, 64 - SKETCH_BITS).cast("int")).cast("long")
-        return F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1))
+        level = F.get(levels, F.shiftrightunsigned(h, 64 - SKETCH_BITS))
+        # Members that cannot be null are sorted as plain numbers.
+        return F.coalesce(F.shiftleft(level, 56).bitwiseOR(h.bitwiseAND((1 << 56) - 1)), F.lit(0).cast("long"))
 
-    coded = F.transform(F.transform("words", lambda w: F.xxhash64(w)), member)
-    sets = lines.select(*LINE, F.sort_array(F.array_distinct(coded)).alias("m"))
-    n = F.size("m")
+    n = F.col("n")
     parity = F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
     # The nearest to a set that is not equal is the set with one word more.
     kept = F.when(100 * n >= PERCENT * (n + 1), n - F.ceil(n * PERCENT / 100.0 - 1e-9).cast("int") + 1).otherwise(0)
-    prefix = F.slice("m", F.lit(1), kept)
-    return sets.select(
-        *LINE, n.alias("n"), F.xxhash64("m").alias("d1"), F.xxhash64(F.lit(1), "m").alias("d2"), F.when(kept > 0, parity).otherwise(0).alias("p"),
-        prefix.alias("prefix"))
+    prefix = F.when(kept > 0, F.slice(F.sort_array(F.transform("m", member)), F.lit(1), kept))
+    return sets.select(*LINE, "n", "d1", "d2", F.when(kept > 0, parity).otherwise(0).alias("p"), prefix.alias("prefix"))
 
 
 def least_overlap(n1: Column, n2: Column) -> Column:
     return F.ceil(PERCENT * (n1 + n2) / (100.0 + PERCENT) - 1e-9)
 
 
-def may_match(a: str, b: str) -> Column:
-    """Length, positional and parity filters on the columns ``n``, ``pos`` and ``p`` with two suffixes."""
-    n1, n2 = F.col(f"n{a}"), F.col(f"n{b}")
+def filters(n1: Column, pos1: Column, p1: Column, n2: Column, pos2: Column, p2: Column) -> Column:
+    """Length, positional and parity filters on two rows of a list."""
     least = least_overlap(n1, n2)
-    rest = 1 + F.least(n1 - 1 - F.col(f"pos{a}"), n2 - 1 - F.col(f"pos{b}"))
-    apart = F.bit_count(F.col(f"p{a}").bitwiseXOR(F.col(f"p{b}")))
+    rest = 1 + F.least(n1 - 1 - pos1, n2 - 1 - pos2)
+    apart = F.bit_count(p1.bitwiseXOR(p2))
     return (100 * F.least(n1, n2) >= PERCENT * F.greatest(n1, n2)) & (rest >= least) & (apart <= n1 + n2 - 2 * least)
 
 
-def _listed(sets: DataFrame) -> DataFrame:
-    """A row for each class and member of its prefix (``g``)."""
-    classes = sets.where(F.size("prefix") > 0).groupBy("n", "d1", "d2", "p").agg(F.min(F.struct(*LINE)).alias("c"), F.first("prefix").alias("prefix"))
-    return classes.select("c.k", "c.line", "n", "p", F.posexplode("prefix").alias("pos", "g"))
+def may_match(a: str, b: str) -> Column:
+    """The filters on the columns ``n``, ``pos`` and ``p`` with two suffixes."""
+    return filters(*[F.col(f"{c}{v}") for v in (a, b) for c in ("n", "pos", "p")])
+
+
+def classes_of(sets: DataFrame) -> DataFrame:
+    """The first line of every class of equal sets, with the set's size, parity and prefix."""
+    classes = sets.groupBy("d1", "d2", "n", "p").agg(F.min(F.struct(*LINE)).alias("c"), F.first("prefix").alias("prefix"))
+    return classes.select("c.k", "c.line", "n", "p", "prefix")
+
+
+def _with_partners(rows: DataFrame) -> DataFrame:
+    """Rows that the length and positional filters may let match another row of their list; ``reach`` is the size
+    of the largest set that a row can match."""
+    positional = F.expr(f"cast(n - pos as bigint) * {100 + PERCENT} div {PERCENT} - n")
+    rows = rows.withColumn("reach", F.least(positional, F.expr(f"cast(n as bigint) * 100 div {PERCENT}")))
+    by_size = W.partitionBy("g").orderBy("size_class", "n", F.desc("pos"))
+    # Of the larger sets of a list the next one is the nearest; of the smaller ones any may reach this one.
+    rows = rows.withColumn("next", F.lead("n").over(by_size))
+    rows = rows.withColumn("reached", F.max("reach").over(by_size.rowsBetween(W.unboundedPreceding, -1)))
+    return rows.where((F.col("next") <= F.col("reach")) | (F.col("reached") >= F.col("n"))).drop("reach", "next", "reached")
 
 
-def _with_heads(rows: DataFrame) -> DataFrame:
-    """Rows of lists of two classes or more with ``h``, the earliest class of the list and size class where the
-    filters let it match."""
+def _lists(classes: DataFrame) -> DataFrame:
+    """Rows of long lists and pairs of short ones.
+
+    A row for each class and member of its prefix (``g``) that may have a partner in a list of more than ``SHORT`` such rows, with
+    ``h``, the earliest class of the list and size class where the filters let it match; ``near`` is null. From the other lists
+    the rows with ``near``, the classes before them in the order of size that the filters let them match.
+    """
     size_class = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / PERCENT)).cast("int")
-    rows = rows.withColumn("size_class", size_class)
-    head = F.first(F.struct(*LINE, "n", "pos", "p")).over(W.partitionBy("g", "size_class").orderBy(*LINE))
-    rows = rows.withColumn("many", F.count(F.lit(1)).over(W.partitionBy("g"))).withColumn("h", head).where("many > 1")
-    rows = rows.select("*", *[F.col(f"h.{c}").alias(f"{c}_h") for c in (*LINE, "n", "pos", "p")])
+    rows = classes.where(F.size("prefix") > 0).select(*LINE, "n", "p", size_class.alias("size_class"), F.posexplode("prefix").alias("pos", "g"))
+    by_size = W.partitionBy("g").orderBy("size_class", "n", F.desc("pos"))
+    rows = _with_partners(rows).withColumn("many", F.count(F.lit(1)).over(by_size.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    row, is_long = F.struct(*LINE, "n", "pos", "p"), F.col("many") > SHORT
+    rows = rows.withColumn("before", F.collect_list(F.when(~is_long, row)).over(by_size.rowsBetween(1 - SHORT, -1)))
+    rows = rows.withColumn("h", F.min(F.when(is_long, row)).over(W.partitionBy("g", "size_class")))
+    here = [F.col(c) for c in ("n", "pos", "p")]
+    near = F.filter("before", lambda x: filters(*here, x["n"], x["pos"], x["p"]))
+    near = F.when(~is_long, F.transform(near, lambda x: F.struct(x["k"].alias("k"), x["line"].alias("line"))))
+    rows = rows.select("g", *LINE, *here, near.alias("near"), *[F.col(f"h.{c}").alias(f"{c}_h") for c in (*LINE, "n", "pos", "p")])
+    rows = rows.where(F.col("near").isNull() | (F.size("near") > 0))
     other = (F.col("k_h") != F.col("k")) | (F.col("line_h") != F.col("line"))
-    return rows.select("g", *LINE, "n", "pos", "p", F.when(other & may_match("", "_h"), F.struct(F.col("k_h").alias("k"), F.col("line_h").alias("line"))).alias("h"))
+    head = F.when(other & may_match("", "_h"), F.struct(F.col("k_h").alias("k"), F.col("line_h").alias("line")))
+    return rows.select("g", *LINE, *here, head.alias("h"), "near")
 
 
 def _earlier(asked: DataFrame, rows: DataFrame) -> DataFrame:
@@ -172,25 +206,30 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """``k``, ``t`` (of the text) and ``removed`` (places from 0) of the documents that hold a line which an earlier
     line matches; ``docs``: ``k``, ``text``. The table is written, all others are deleted."""
     with scratch_scope() as scope:
-        sets = settle(described(lines_of(docs), word_levels(docs)), "line-sets")
-        lists = settle(_with_heads(_listed(sets)), "line-lists")
+        with scratch_scope():
+            # Hashes hardly repeat within a file, so a dictionary of them is only built to be given up.
+            sets = settle(line_sets(docs), "line-sets", **{"parquet.enable.dictionary": "false"})
+            classes = scope.keep(classes_of(described(sets, word_levels(sets))), "line-classes")
+            # Of equal sets all but the first go.
+            copies = scope.keep(join_on_keys(sets.select(*LINE), classes.select(*LINE), LINE, how="left_anti"), "line-copies")
+        found = settle(_lists(classes), "line-lists")
+        near = found.where("near IS NOT NULL").select(F.struct(*LINE).alias("one"), F.explode("near").alias("two"))
+        near = near.select(F.greatest("one", "two").alias("a"), F.least("one", "two").alias("b"))
+        near = near.select("a.k", "a.line", F.col("b.k").alias("hk"), F.col("b.line").alias("hline"))
+        lists = found.where("near IS NULL")
         # Of the heads in all its lists a set takes the one it meets most often.
         met = lists.where("h IS NOT NULL").groupBy(*LINE, F.col("h.k").alias("hk"), F.col("h.line").alias("hline")).agg(F.count(F.lit(1)).alias("c"))
         stars = met.groupBy(*LINE).agg(F.min(F.struct((-F.col("c")).alias("c"), F.col("hk"), F.col("hline"))).alias("h"))
         stars = settle(stars.select(*LINE, "h.hk", "h.hline"), "line-heads")
         direct = _earlier(lists.where("h IS NULL"), lists)
-        pairs = settle(stars.union(direct).distinct(), "line-pairs")
+        pairs = settle(stars.union(direct).union(near).distinct(), "line-pairs")
         gone = settle(_verified(pairs, docs), "line-matches")
         # Sets whose head failed meet all earlier sets of their lists.
         failed = settle(join_on_keys(stars.select(*LINE), gone, LINE, how="left_anti"), "line-open")
         again = _earlier(join_on_keys(lists.where("h IS NOT NULL"), failed, LINE, how="left_semi"), lists)
         again = settle(join_on_keys(again, pairs, [*LINE, "hk", "hline"], how="left_anti"), "line-more-pairs")
         gone = settle(gone.union(_verified(again, docs)).distinct(), "line-gone")
-        first = sets.groupBy("n", "d1", "d2").agg(F.min(F.struct(*LINE)).alias("c")).select("n", "d1", "d2", "c.*")
-        first = join_on_keys(first, gone.withColumn("gone", F.lit(True)), LINE, how="left")
-        first = first.select("n", "d1", "d2", F.struct(*LINE).alias("c"), F.coalesce("gone", F.lit(False)).alias("gone"))
-        lost = join_on_keys(sets.select(*LINE, "n", "d1", "d2"), first, ["n", "d1", "d2"])
-        lost = lost.where(F.col("gone") | (F.struct(*LINE) != F.col("c"))).select(*LINE)
+        lost = gone.union(copies)
         at = F.col("line").bitwiseAND((1 << 31) - 1)
         lost = lost.groupBy("k", (F.col("line") - at).alias("t")).agg(F.sort_array(F.collect_set(at.cast("int"))).alias("removed"))
         return scope.result(lost, "line-lost")

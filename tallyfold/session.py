@@ -46,7 +46,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
+def settle(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes an intermediate table once and reads it back.
 
     For results that several later steps read: without it each step would compute the whole
@@ -54,23 +54,23 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     size from the file and can broadcast them, where it would else shuffle the rows before it
     finds out that the other side is small. The table lives in the shared scratch folder, so
     losing an executor loses nothing. Writing it runs a job. The innermost open
-    ``scratch_scope`` owns the table; without one it stays.
+    ``scratch_scope`` owns the table; without one it stays. ``options`` go to the writer.
     """
     path = scratch_path(df.sparkSession, name)
-    _write(df, path)
+    _write(df, path, options)
     scopes = _SCOPES.get()
     if scopes:
         scopes[-1][path] = df.sparkSession
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _write(df: DataFrame, path: str) -> None:
+def _write(df: DataFrame, path: str, options: dict[str, str]) -> None:
     """Writes the rows; the shuffle files of this write go with its end, not when the driver happens to collect garbage."""
     conf = df.sparkSession.conf
     before = conf.get(_CLEANUP, None)
     conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
 
