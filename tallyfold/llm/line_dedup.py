@@ -43,7 +43,7 @@ BITMAP_BITS = 24
 #: A line: its document's id, and one number for the document's text and the line's place in it.
 LINE = ["k", "line"]
 #: Lists of at most so many rows are paired where they are made.
-SHORT = 16
+SHORT = 32
 
 
 def line_words(text: Column) -> Column:
