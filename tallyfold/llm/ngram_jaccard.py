@@ -3,7 +3,8 @@
 The join works on relations between sets rather than on pairs of documents.
 
 1. Equal sets become one. Each set is ordered by rarity (a count sketch of all n-grams) and its prefix,
-   of which two linked sets must share a member, goes into inverted lists, ordered by size.
+   of which two linked sets must share a member, goes into inverted lists, ordered by size. A set stays in a
+   list only where sizes and positions leave it a partner, or where the list is crowded.
 2. *Heads.* Within a list and a size class the first set is the head, in crowded lists the set that is in
    most crowded lists, which is the least changed of a family of near copies. A set is verified against
    the head it meets most often, which also measures how it differs from it. Where that is no link, sets
@@ -15,6 +16,10 @@ The join works on relations between sets rather than on pairs of documents.
 4. *Derived answers.* For two sets with one head, the overlaps with the head bound their own overlap
    from both sides; only pairs that the bounds leave open are verified on their texts.
 
+Before texts are fetched, for heads as for other pairs, a bitmap of two to four bits a member bounds the overlap: a bit
+that only one of two sets has is a member that the other lacks. Sets that share a few n-grams by chance, of which there
+are more for each set the larger the table, end there.
+
 Skipped pairs are either in one group already or too different, so the groups are exact. N-grams are
 64-bit fingerprints. The sketch has a fixed size and only decides the order, never what is found.
 Sets are equal if size and two 64-bit sums are.
@@ -29,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,6 +48,8 @@ from .fingerprints import Words, mix, prefix_sums, span, words_of
 from .recompression import packed_texts, unpacked
 
 N, PERCENT = 5, 80
+#: The overlap with a head is also measured where it is no link but may reach this, for the bounds.
+HEAD_PERCENT = 50
 SKETCH_BITS = 17
 SLICE = 1 << 20
 BLOCK = 256
@@ -74,6 +82,32 @@ def needed(n1: Column, n2: Column, percent: int = PERCENT) -> Column:
     return F.ceil(percent * (n1 + n2) / F.lit(100.0 + percent) - 1e-9)
 
 
+def bitmaps(text: np.ndarray, gram: np.ndarray, n: np.ndarray) -> pa.Array:
+    """A bit for each member's hash, two to four times as many bits as members, a power of two."""
+    size = np.where(n > 0, 1 << np.ceil(np.log2(np.maximum(2 * n, 64))).astype(np.int64), 0)
+    ends = np.cumsum(size)
+    bits = np.zeros(size.sum(), bool)
+    bits[(ends - size)[text] + (gram & (size[text] - 1).astype(np.uint64)).astype(np.int64)] = True
+    offsets = np.concatenate([[0], ends // 8]).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(np.packbits(bits))])
+
+
+def most_shared(left: pa.Array, right: pa.Array, n1: np.ndarray, n2: np.ndarray) -> np.ndarray:
+    """Greatest overlap that the bitmaps of each two sets allow; the longer bitmap is folded to the shorter."""
+    widths = [pc.binary_length(x).to_numpy().astype(np.int64) for x in (left, right)]
+    maps = [x.to_pylist() for x in (left, right)]
+    out = np.minimum(n1, n2)
+    for w1, w2 in np.unique(np.stack(widths, 1), axis=0):
+        at = np.flatnonzero((widths[0] == w1) & (widths[1] == w2))
+        x, y = (np.frombuffer(b"".join([m[i] for i in at]), np.uint8).reshape(len(at), w) for m, w in zip(maps, (w1, w2)))
+        while x.shape[1] != y.shape[1]:
+            half = min(x.shape[1], y.shape[1])
+            x, y = (z if z.shape[1] == half else z[:, : z.shape[1] // 2] | z[:, z.shape[1] // 2:] for z in (x, y))
+        own, other, both = (np.bitwise_count(z).sum(1, dtype=np.int64) for z in (x, y, x & y))
+        out[at] = np.minimum(n1[at] - (own - both), n2[at] - (other - both))
+    return out
+
+
 def rarity_levels(docs: DataFrame) -> np.ndarray:
     """Half powers of two of the count of each n-gram's bucket, over all documents."""
     @frugal
@@ -94,10 +128,10 @@ def rarity_levels(docs: DataFrame) -> np.ndarray:
 
 
 def described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """``k``, ``t``, set size ``n``, sums ``d1`` and ``d2``, and the rarest members as ``prefix``."""
+    """``k``, ``t``, set size ``n``, sums ``d1`` and ``d2``, the rarest members as ``prefix``, and a bitmap of all as ``bits``."""
     sent = docs.sparkSession.sparkContext.broadcast(levels)
     kind = dict(docs.dtypes)["k"]
-    names = ["k", "t", "n", "d1", "d2", "prefix"]
+    names = ["k", "t", "n", "d1", "d2", "prefix", "bits"]
 
     @frugal
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +154,28 @@ def described(docs: DataFrame, levels: np.ndarray) -> DataFrame:
                 offsets = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([
                     part.column("k"), part.column("t"), pa.array(n, pa.int64()), pa.array(sums[0]), pa.array(sums[1]),
-                    pa.ListArray.from_arrays(offsets, pa.array(prefix.view(np.int64)))], names)
+                    pa.ListArray.from_arrays(offsets, pa.array(prefix.view(np.int64))), bitmaps(text, gram, n)], names)
 
-    return bounded_batches(docs.select("k", "t", "text")).mapInArrow(describe, f"k {kind}, t long, n long, d1 long, d2 long, prefix array<long>")
+    return bounded_batches(docs.select("k", "t", "text")).mapInArrow(describe, f"k {kind}, t long, n long, d1 long, d2 long, prefix array<long>, bits binary")
+
+
+def possible(pairs: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Pairs (``a``, ``b``), each once, that may overlap by ``percent`` as far as the bitmaps tell."""
+    kind = dict(pairs.dtypes)["a"]
+    left = bits.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("bits").alias("za"))
+    right = bits.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("zb"))
+    both = join_on_keys(join_on_keys(pairs.select("a", "b"), left, ["a"]), right, ["b"])
+
+    @frugal
+    def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n1, n2 = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            o = most_shared(batch.column("za"), batch.column("zb"), n1, n2)
+            some = pa.array(100 * o >= percent * (n1 + n2 - o))
+            yield batch.select(["a", "b"]).filter(some)
+
+    found = bounded_batches(both.select("a", "b", "na", "nb", "za", "zb")).mapInArrow(bound, f"a {kind}, b {kind}")
+    return found.distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -155,20 +208,34 @@ def linked() -> Column:
     return 100 * F.col("o") >= PERCENT * (F.col("na") + F.col("nb") - F.col("o"))
 
 
-def _lists(sets: DataFrame) -> DataFrame:
-    """Inverted lists with two or more sets: ``g``, set ``k``, its size and position, its ``head``, and
+def _classes(sets: DataFrame) -> DataFrame:
+    """The least ``k`` of equal sets, their size and prefix."""
+    return sets.groupBy("n", "d1", "d2").agg(F.min("k").alias("k"), F.first("prefix").alias("prefix")).select("k", "n", "prefix")
+
+
+def _lists(classes: DataFrame) -> DataFrame:
+    """Inverted lists, of sets that may link with another of the list, or crowd it: ``g``, set ``k``, its size and position, its ``head``, and
     ``m0``, ``m1``, ...: for crowded lists the least set in each of the orders, as its order value."""
-    classes = sets.groupBy("n", "d1", "d2").agg(F.min("k").alias("k"), F.first("prefix").alias("prefix"))
     rows = classes.select("k", "n", F.posexplode("prefix").alias("pos", "g"))
+    # Dealt by list here, so that what follows from a row's own values is not sent along.
+    rows = rows.repartition("g")
     rows = rows.withColumn("size_class", F.floor(F.log(F.col("n").cast("double")) / np.log(100 / PERCENT)).cast("int"))
     by_list = W.partitionBy("g").orderBy("size_class", "n", "k")
     by_size = W.partitionBy("g", "size_class").orderBy("n", "k")
     crowd = W.partitionBy("g", "size_class")
-    rows = rows.withColumns({"before": F.lag("k").over(by_list), "after": F.lead("k").over(by_list), "head": F.first("k").over(by_size)})
+    # The largest set that may link from this position on; a link's smaller set reaches the larger.
+    rows = rows.withColumn("reach", F.floor((100 + PERCENT) * (F.col("n") - F.col("pos")) / F.lit(float(PERCENT))) - F.col("n"))
+    earlier = F.max("reach").over(by_list.rowsBetween(W.unboundedPreceding, -1))
+    rows = rows.withColumns({"before": F.lag("n").over(by_list), "earlier": earlier, "after": F.lead("n").over(by_list)})
     rows = rows.withColumn("crowd", F.count(F.lit(1)).over(crowd))
+    smaller = (100 * F.col("before") >= PERCENT * F.col("n")) & (F.col("earlier") >= F.col("n"))
+    larger = (100 * F.col("n") >= PERCENT * F.col("after")) & (F.col("after") <= F.col("reach"))
+    # Crowded lists stay whole: they tell which sets are the heads of a family.
+    rows = rows.where(smaller | larger | (F.col("crowd") >= CROWD)).select("g", "k", "n", "pos", "size_class", "crowd")
+    rows = rows.withColumn("head", F.first("k").over(by_size))
     rows = rows.withColumns({f"m{i}": F.min(F.col("k").bitwiseXOR(F.lit(o))).over(crowd) for i, o in enumerate(ORDERS)})
     least = [F.when(F.col("crowd") >= CROWD, F.col(f"m{i}")).alias(f"m{i}") for i in range(len(ORDERS))]
-    return rows.where("before IS NOT NULL OR after IS NOT NULL").select("g", "k", "n", "pos", "head", *least)
+    return rows.select("g", "k", "n", "pos", "head", *least)
 
 
 def _central(lists: DataFrame) -> DataFrame:
@@ -228,18 +295,22 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     docs = docs.withColumn("t", F.xxhash64(F.coalesce("text", F.lit(""))))
     with scratch_scope() as scope:
         with scratch_scope() as early:
-            with scratch_scope():
-                whole = settle(described(docs, rarity_levels(docs)), "gram-sets")
-                # The prefixes are read once, for the lists.
-                sets = scope.keep(whole.drop("prefix"), "gram-ids")
-                lists = early.keep(_lists(whole.where("n > 0 AND k IS NOT NULL")), "gram-lists")
+            with scratch_scope() as listed:
+                with scratch_scope():
+                    whole = settle(described(docs, rarity_levels(docs)), "gram-sets")
+                    sets = scope.keep(whole.drop("prefix", "bits"), "gram-ids")
+                    sound = whole.where("n > 0 AND k IS NOT NULL")
+                    bits = early.keep(sound.select("k", "n", "bits"), "gram-bits")
+                    # The prefixes are read once, for the lists; their copies and shuffle files go before those are made.
+                    classes = listed.keep(_classes(sound), "gram-classes")
+                lists = early.keep(_lists(classes), "gram-lists")
             some = sets.where("n > 0 AND k IS NOT NULL")
-            first, derived, texts = _candidates(docs, some, lists, scope)
+            first, sure, unsure, texts = _candidates(docs, some, lists, bits, scope)
         # The lists are gone; only the pairs that the bounds left open and the texts are there.
         with scratch_scope():
-            more = verified(derived.where("NOT sure"), texts).where(linked()).select("a", "b")
+            more = verified(unsure, texts).where(linked()).select("a", "b")
             links = first.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            links = scope.keep(links.union(derived.where("sure").select("a", "b")).union(more), "gram-links")
+            links = scope.keep(links.union(sure).union(more), "gram-links")
         groups = components(links)
         classes = some.groupBy("n", "d1", "d2").agg(F.min("k").alias("rep"))
         classes = join_on_keys(classes, groups.select(F.col("node").alias("rep"), "component"), ["rep"], how="left")
@@ -250,18 +321,22 @@ def ngram_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         return scope.result(out, "gram-groups")
 
 
-def _candidates(docs: DataFrame, some: DataFrame, lists: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Groups by links to heads, pairs of different groups that may link still, and the texts to verify them on; the
-    three tables belong to ``scope``."""
+def _candidates(
+    docs: DataFrame, some: DataFrame, lists: DataFrame, bits: DataFrame, scope: Scope,
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Groups by links to heads, pairs of different groups that surely link, pairs that may, and the texts to verify those
+    on; the four tables belong to ``scope``."""
     met = lists.where("head != k").groupBy("k", "head").agg(F.count(F.lit(1)).alias("c"))
     best = met.groupBy("k").agg(F.max(F.struct("c", (-F.col("head")).alias("m"))).alias("x"))
     best = best.select(F.col("k").alias("a"), (-F.col("x.m")).alias("b"))
     central = settle(_central(lists), "gram-central")
     stars = join_on_keys(best, central.select("a"), ["a"], how="left_anti").union(central.where("a != b"))
-    stars = settle(stars, "gram-heads")
+    stars = settle(possible(settle(stars, "gram-heads"), bits, HEAD_PERCENT), "gram-near-heads")
     members = settle(lists.select("k").distinct(), "gram-members")
     wanted = join_on_keys(some.select("k", "t").distinct(), members, ["k"])
-    texts = scope.keep(join_on_keys(packed_texts(docs).dropDuplicates(["k", "t"]), wanted, ["k", "t"]).select("k", "z"), "gram-texts")
+    # Each key is there once and none is null, so the join may read the texts as they lie.
+    packed = packed_texts(docs).dropDuplicates(["k", "t"])
+    texts = scope.keep(join_on_keys(packed, wanted, [], never_null=["k", "t"]).select("k", "z"), "gram-texts")
     answers = settle(verified(stars, texts), "gram-answers")
     # The further heads of sets that are not linked to their first one.
     orders = range(len(ORDERS))
@@ -269,7 +344,7 @@ def _candidates(docs: DataFrame, some: DataFrame, lists: DataFrame, scope: Scope
     other = other.select(F.col("k").alias("a"), F.explode(F.array(*[F.col(f"m{i}").bitwiseXOR(F.lit(o)) for i, o in enumerate(ORDERS)])).alias("b"))
     other = other.where("b IS NOT NULL AND a != b").distinct()
     other = join_on_keys(other, answers.where(linked()).select("a"), ["a"], how="left_anti")
-    further = verified(settle(other, "gram-further"), texts)
+    further = verified(settle(possible(settle(other, "gram-further"), bits), "gram-near-further"), texts)
     links = answers.union(settle(further, "gram-further-answers")).where(linked()).select("a", "b")
     first = scope.keep(components(links), "gram-first")
 
@@ -281,5 +356,7 @@ def _candidates(docs: DataFrame, some: DataFrame, lists: DataFrame, scope: Scope
     known = join_on_keys(known, first.select(F.col("node").alias("k"), "component"), ["k"], how="left")
     known = settle(known.select("k", F.coalesce("component", "k").alias("group"), "head", "o", "nh"), "gram-known")
     # With one head h: |x & y| >= |x & h| + |y & h| - |h|, and <= least overlap + least rest outside h.
-    derived = scope.keep(_open_pairs(lists, known), "gram-derived")
-    return first, derived, texts
+    derived = settle(_open_pairs(lists, known), "gram-derived")
+    sure = scope.keep(derived.where("sure").select("a", "b"), "gram-sure")
+    unsure = scope.keep(possible(derived.where("NOT sure"), bits), "gram-open")
+    return first, sure, unsure, texts

@@ -53,6 +53,48 @@ def test_ngram_groups_of_a_large_family(spark):
     assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == brute.ngram_groups(list(enumerate(texts)))
 
 
+def test_bitmaps_never_rule_out_members_that_sets_share():
+    """Bounds for sets of all sizes, also where bitmaps of two lengths meet; sets with little in common stay far below a link."""
+    rng = np.random.default_rng(4)
+    pool = rng.integers(0, 2**63, 4000, dtype=np.uint64)
+    a, b = [], []
+    for size in [0, 1, 3, 31, 32, 33, 64, 65, 200, 500, 1000, 1024, 1025, 3000]:
+        for share in (0, 0.1, 0.5, 0.9, 1):
+            x = rng.choice(pool, size, replace=False)
+            y = np.concatenate([x[: int(share * size)], rng.integers(0, 2**63, int(size - share * size) + int(rng.integers(0, size // 8 + 2)), dtype=np.uint64)])
+            a.append(x)
+            b.append(np.unique(y))
+
+    def held(sets):
+        n = np.array([len(x) for x in sets])
+        return ngram_jaccard.bitmaps(np.repeat(np.arange(len(sets)), n), np.concatenate(sets), n), n
+
+    (left, n1), (right, n2) = held(a), held(b)
+    o = np.array([len(np.intersect1d(x, y)) for x, y in zip(a, b)])
+    bound = ngram_jaccard.most_shared(left, right, n1, n2)
+    assert (bound >= o).all() and (bound <= np.minimum(n1, n2)).all()
+    apart = (o == 0) & (np.minimum(n1, n2) >= 100)
+    assert apart.any() and (bound[apart] < 0.6 * np.minimum(n1, n2)[apart]).all()
+
+
+def test_chance_meetings_of_documents_cost_no_texts(spark, monkeypatch):
+    """Documents that share one rare n-gram each with another are told apart before their texts are fetched."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(40):
+        shared = [f"s{i // 2}x{j}" for j in range(5)]
+        own = [f"d{i}y{rng.randrange(900)}" for _ in range(100 + i % 7)]
+        texts.append(" ".join([*own, *own, *own, *shared]))  # what is shared is rarer than the rest
+    texts += [texts[0] + " more", texts[1]]
+    rows = list(enumerate(texts))
+    fetched = []
+    verify = ngram_jaccard.verified
+    monkeypatch.setattr(ngram_jaccard, "verified", lambda pairs, known: fetched.append(pairs.count()) or verify(pairs, known))
+    got = by_id(ngram_jaccard.ngram_groups(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == brute.ngram_groups(rows)
+    assert 1 <= sum(fetched) <= 3
+
+
 def test_bpe_is_the_library(odd_docs, no_docs, spark):
     from tokenizers import Tokenizer
 
