@@ -38,6 +38,8 @@ from .components import components
 SAMPLE, CELL, CODES, STEPS = 8_000, 8, (8, 2_000), 8
 #: Vectors of a block, and visitors compared with it at once.
 BLOCK = 512
+#: Distances from vectors to codes that are held at once.
+HELD = 1 << 18
 
 
 def learn_codebook(x: np.ndarray, codes: int, seed: int) -> np.ndarray:
@@ -59,17 +61,36 @@ def squared(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0)
 
 
-def bounds(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Own code of each row, and the squared distance at least needed to get into each code's region."""
+def bounds(x: np.ndarray, centres: np.ndarray, codes: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """Own code of each row, and the squared distance at least needed to get into the region of each of ``codes``."""
     d = squared(x, centres)
     own = d.argmin(1)
-    apart = np.sqrt(squared(centres, centres))[own]
+    homes, at = np.unique(own, return_inverse=True)
+    apart = np.sqrt(squared(centres[homes], centres[codes]))[at]
     with np.errstate(divide="ignore", invalid="ignore"):
-        need = (d - d[np.arange(len(x)), own][:, None]) / (2 * apart)
+        need = (d[:, codes] - d[np.arange(len(x)), own][:, None]) / (2 * apart)
     need = np.where(apart > 0, np.maximum(need, 0), 0)
     return own, need * need
 
 
+def held_at_once(books: tuple[np.ndarray, ...]) -> int:
+    """Rows whose distances to all codes are held at once."""
+    return max(1, min(1024, HELD // max(len(b) for b in books)))
+
+
+def stays_away(left, right, i: np.ndarray, j: np.ndarray, books, limit: float) -> np.ndarray:
+    """Whether the right vector of each pair (rows ``i`` and ``j`` of two sets of halves) does not come to the left one's cell.
+
+    Codes and bounds are found once for each vector, however many pairs it is in."""
+    rows, at = np.unique(i, return_inverse=True)
+    others, to = np.unique(j, return_inverse=True)
+    need = 0
+    for x, y, book in zip(left, right, books):
+        codes, place = np.unique(squared(x[rows], book).argmin(1), return_inverse=True)
+        need = need + bounds(y[others], book, codes)[1][to, place[at]]
+    return need > limit
+
+
 def multi_sequence(first: np.ndarray, second: np.ndarray, limit: float) -> list[tuple[int, int]]:
     """Grid cells by growing sum of the two halves' bounds, up to ``limit``."""
     a, b = np.argsort(first, kind="stable"), np.argsort(second, kind="stable")
@@ -111,9 +132,13 @@ def visiting_limit(halves, books, least: float, recall: float) -> float:
     length = np.linalg.norm(aside, axis=1)[:, None]
     moved = least * x + np.sqrt(1 - least * least) * aside / np.where(length > 0, length, 1)
     cut = halves[0].shape[1]
-    need = 0
+    need = np.zeros(len(x))
+    step = held_at_once(books)
     for part, there, book in zip(halves, (moved[:, :cut], moved[:, cut:]), books):
-        need = need + bounds(part, book)[1][np.arange(len(x)), bounds(there, book)[0]]
+        for start in range(0, len(x), step):
+            some = slice(start, start + step)
+            found = bounds(part[some], book)[1]
+            need[some] += found[np.arange(len(found)), squared(there[some], book).argmin(1)]
     return min(limit, float(np.quantile(need, recall, method="higher")) + 1e-9)
 
 
@@ -160,9 +185,10 @@ def near_duplicates(
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector's own cell, and the cells it visits."""
+        step = held_at_once(books)
         for batch in batches:
-            for start in range(0, batch.num_rows, 1024):
-                part = batch.slice(start, 1024)
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
                 (own1, need1), (own2, need2) = (bounds(h, b) for h, b in zip(unit_halves(part.column("v").to_pylist(), width), books))
                 at, cells, home = [], [], []
                 for i in range(part.num_rows):
@@ -179,7 +205,8 @@ def near_duplicates(
     seen = join_on_keys(seen, ones.select("u", "label", "n"), ["u"])
     place = ["label", "n", "cell"]
     counts = seen.groupBy(*place).agg(F.count_if("home").alias("held"), F.count(F.lit(1)).alias("came"))
-    counts = settle(counts.where("held > 0"), "cells")
+    # Who is alone in a cell that nobody else visits meets only itself there.
+    counts = settle(counts.where("held > 0 AND came > 1"), "cells")
     seen = join_on_keys(seen, counts, place)
     blocks, crowds = F.ceil(F.col("held") / BLOCK), F.ceil(F.col("came") / BLOCK)
     block = F.pmod(F.xxhash64("u"), blocks).cast("int")
@@ -208,10 +235,7 @@ def near_duplicates(
             # A held vector that does not come to its visitor's cell has no other place to count the link.
             i, j = np.nonzero(links)
             if len(i):
-                (mine1, _), (mine2, _) = (bounds(h, book) for h, book in zip(unit_halves(list(raw[0][i]), width), books))
-                (_, need1), (_, need2) = (bounds(h, book) for h, book in zip(unit_halves(list(raw[1][j]), width), books))
-                pairs = np.arange(len(i))
-                alone = need1[pairs, mine1] + need2[pairs, mine2] > limit
+                alone = stays_away(*(unit_halves(list(m), width) for m in raw), i, j, books, limit)
                 out["id"] += other[j[alone]].tolist()
                 out["links"] += left["copies"].to_numpy()[i[alone]].tolist()
             out["other"] += [None] * (len(out["id"]) - len(out["other"]))

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import tracemalloc
 
 import brute
 import numpy as np
@@ -407,6 +408,28 @@ def test_links_found_from_one_side_count_for_both(spark):
     assert all((got[2 * p + 1].component_id == 2 * p) == (ends[p][0] == 1) for p in range(200))
 
 
+def test_links_of_a_dense_block_need_little_memory():
+    """Cells are told for each vector, not for each of the pairs it is in, and as if each pair stood alone."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1, 64)) + 0.05 * rng.normal(size=(600, 64))
+    left, right = (multi_index.unit_halves(list(part), 64) for part in (x[:300], x[300:]))
+    books = tuple(multi_index.learn_codebook(np.vstack([a, rng.normal(size=(300, 32))]), 280, s) for s, a in enumerate(left))
+    i, j = np.nonzero(np.ones((300, 300), bool))
+    some = rng.choice(len(i), 200, replace=False)
+    sums = []
+    for p, q in zip(i[some], j[some]):
+        own = [multi_index.bounds(h[p:p + 1], book)[0][0] for h, book in zip(left, books)]
+        need = [multi_index.bounds(h[q:q + 1], book)[1][0] for h, book in zip(right, books)]
+        sums.append(need[0][own[0]] + need[1][own[1]])
+    limit = np.median(sums)
+    tracemalloc.start()
+    got = multi_index.stays_away(left, right, i, j, books, limit)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20  # a row of bounds for each pair takes 200 MB
+    assert got[some].tolist() == [bool(x > limit) for x in sums] and 0 < got.mean() < 1
+
+
 def test_multi_sequence_visits_by_growing_bound():
     rng = np.random.default_rng(0)
     a, b = rng.random(7), rng.random(5)
