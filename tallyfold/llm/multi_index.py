@@ -24,14 +24,15 @@ import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.operators.keys import join_on_keys
 from tallyfold.session import settle
 
+from .batches import bounded_batches, frugal
 from .components import components
 
 #: Vectors that the codebooks are learned from, vectors wanted in a cell, codes of each half, learning steps.
@@ -183,6 +184,7 @@ def near_duplicates(
     books = tuple(learn_codebook(h, codes, s) for s, h in enumerate(halves))
     limit = visiting_limit(halves, books, least, recall)
 
+    @frugal
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector's own cell, and the cells it visits."""
         step = held_at_once(books)
@@ -201,51 +203,80 @@ def near_duplicates(
                     [pa.array(u, pa.int64()), pa.array(cells, pa.int32()), pa.array(home, pa.bool_())], ["u", "cell", "home"])
 
     # Only ids go through the counts; vectors join once the blocks are known.
-    seen = settle(ones.select("u", "v").mapInArrow(visits, "u long, cell int, home boolean"), "visits")
+    seen = settle(bounded_batches(ones.select("u", "v")).mapInArrow(visits, "u long, cell int, home boolean"), "visits")
     seen = join_on_keys(seen, ones.select("u", "label", "n"), ["u"])
     place = ["label", "n", "cell"]
     counts = seen.groupBy(*place).agg(F.count_if("home").alias("held"), F.count(F.lit(1)).alias("came"))
     # Who is alone in a cell that nobody else visits meets only itself there.
-    counts = settle(counts.where("held > 0 AND came > 1"), "cells")
+    counts = settle(counts.where("held > 0 AND came > 1").withColumn("spot", F.monotonically_increasing_id()), "cells")
     seen = join_on_keys(seen, counts, place)
     blocks, crowds = F.ceil(F.col("held") / BLOCK), F.ceil(F.col("came") / BLOCK)
     block = F.pmod(F.xxhash64("u"), blocks).cast("int")
     crowd = F.pmod(F.xxhash64(F.lit(1), "u"), crowds).cast("int")
     lower = F.lit(0).cast("int")
-    visitors = seen.select("u", *place, F.lit(False).alias("held_here"), crowd.alias("crowd"), F.explode(F.sequence(lower, (blocks - 1).cast("int"))).alias("block"))
-    held = seen.where("home").select("u", *place, F.lit(True).alias("held_here"), F.explode(F.sequence(lower, (crowds - 1).cast("int"))).alias("crowd"), block.alias("block"))
+    visitors = seen.select("u", "spot", F.lit(False).alias("held_here"), crowd.alias("crowd"), F.explode(F.sequence(lower, (blocks - 1).cast("int"))).alias("block"))
+    held = seen.where("home").select("u", "spot", F.lit(True).alias("held_here"), F.explode(F.sequence(lower, (crowds - 1).cast("int"))).alias("crowd"), block.alias("block"))
     cast = visitors.union(held.select(*visitors.columns[:-2], "crowd", "block"))
     work = join_on_keys(cast, ones.select("u", "id", "copies", "v"), ["u"])
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        here = group["held_here"].to_numpy()
-        left, right = group[~here], group[here]
+    group = ["spot", "block", "crowd"]
+    kept = ["held_here", "u", "id", "copies", "v"]
+
+    @frugal
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by group; of the last group of a batch the next may hold more."""
+        rest = None
+        for batch in filter(len, batches):
+            rows = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks().to_batches()[0]
+            new = np.zeros(rows.num_rows, bool)
+            new[0] = True
+            for c in group:
+                number = rows.column(c).to_numpy()
+                new[1:] |= number[1:] != number[:-1]
+            starts = np.flatnonzero(new)
+            yield found_links(rows.slice(0, starts[-1]), starts)
+            rest = rows.slice(starts[-1])
+        if rest is not None:
+            yield found_links(rest, np.array([0, rest.num_rows]))
+
+    def found_links(rows: pa.RecordBatch, starts: np.ndarray) -> pa.RecordBatch:
+        held, u, id_, copies = (rows.column(c).to_numpy(zero_copy_only=False) for c in kept[:-1])
+        lists = rows.column("v")
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        numbers = lists.flatten().to_numpy(zero_copy_only=False).astype(float)
         out = {"id": [], "links": [], "other": []}
-        if len(left) and len(right):
-            size = len(left["v"].iloc[0])
-            raw = [np.array(g["v"].to_list(), float).reshape(len(g), size) for g in (left, right)]
+        for start, end in zip(starts[:-1], starts[1:]):
+            here = held[start:end]
+            if here.all() or not here.any():
+                continue
+            # All vectors of a group have one length.
+            vectors = numbers[first[start]: first[end]].reshape(end - start, -1)
+            left, right = (np.flatnonzero(x) for x in (~here, here))
+            raw = vectors[left], vectors[right]
             a, b = (m / np.linalg.norm(m, axis=1)[:, None] for m in raw)
-            mine, theirs = left["u"].to_numpy(), right["u"].to_numpy()
+            mine, theirs = u[start:end][left], u[start:end][right]
             links = (a @ b.T >= least) & (mine[:, None] != theirs)
-            found = links @ right["copies"].to_numpy()
+            if not links.any():
+                continue
+            found = links @ copies[start:end][right]
             some = found > 0
-            ids, other = left["id"].to_numpy(), right["id"].to_numpy()
+            ids, other = id_[start:end][left], id_[start:end][right]
             out["id"] += ids[some].tolist()
             out["links"] += found[some].tolist()
             # A held vector that does not come to its visitor's cell has no other place to count the link.
             i, j = np.nonzero(links)
-            if len(i):
-                alone = stays_away(*(unit_halves(list(m), width) for m in raw), i, j, books, limit)
-                out["id"] += other[j[alone]].tolist()
-                out["links"] += left["copies"].to_numpy()[i[alone]].tolist()
+            alone = stays_away(*(unit_halves(list(m), width) for m in raw), i, j, books, limit)
+            out["id"] += other[j[alone]].tolist()
+            out["links"] += copies[start:end][left][i[alone]].tolist()
             out["other"] += [None] * (len(out["id"]) - len(out["other"]))
             for p, q in link_forest(links, ids, other):
                 out["id"].append(p)
                 out["links"].append(0)
                 out["other"].append(q)
-        return pd.DataFrame({"id": pd.Series(out["id"], dtype="int64"), "links": pd.Series(out["links"], dtype="int64"), "other": pd.Series(out["other"], dtype="Int64")})
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out.values()], list(out))
 
-    found = settle(work.groupBy(*place, "block", "crowd").applyInPandas(compare, "id long, links long, other long"), "vector-links")
+    work = bounded_batches(work.select(*group, *kept).repartition(*group).sortWithinPartitions(*group))
+    found = settle(work.mapInArrow(compare, "id long, links long, other long"), "vector-links")
     direct = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("other IS NOT NULL").select("id", "other"))
     reps = ones.select(*same, F.col("id").alias("rep"), "copies")
