@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.operators.keys import join_on_keys
-from tallyfold.session import settle
+from tallyfold.session import scratch_scope, settle
 
 from .batches import bounded_batches, frugal
 from .components import components
@@ -41,6 +42,8 @@ SAMPLE, CELL, CODES, STEPS = 8_000, 8, (8, 2_000), 8
 BLOCK = 512
 #: Distances from vectors to codes that are held at once.
 HELD = 1 << 18
+#: Copies of each vector that are dealt to blocks in one round, and copies in all that one round takes at any size.
+COPIES, ROUND = 3, 1_000_000
 
 
 def learn_codebook(x: np.ndarray, codes: int, seed: int) -> np.ndarray:
@@ -203,21 +206,22 @@ def near_duplicates(
                     [pa.array(u, pa.int64()), pa.array(cells, pa.int32()), pa.array(home, pa.bool_())], ["u", "cell", "home"])
 
     # Only ids go through the counts; vectors join once the blocks are known.
-    seen = settle(bounded_batches(ones.select("u", "v")).mapInArrow(visits, "u long, cell int, home boolean"), "visits")
-    seen = join_on_keys(seen, ones.select("u", "label", "n"), ["u"])
-    place = ["label", "n", "cell"]
-    counts = seen.groupBy(*place).agg(F.count_if("home").alias("held"), F.count(F.lit(1)).alias("came"))
-    # Who is alone in a cell that nobody else visits meets only itself there.
-    counts = settle(counts.where("held > 0 AND came > 1").withColumn("spot", F.monotonically_increasing_id()), "cells")
-    seen = join_on_keys(seen, counts, place)
-    blocks, crowds = F.ceil(F.col("held") / BLOCK), F.ceil(F.col("came") / BLOCK)
-    block = F.pmod(F.xxhash64("u"), blocks).cast("int")
-    crowd = F.pmod(F.xxhash64(F.lit(1), "u"), crowds).cast("int")
-    lower = F.lit(0).cast("int")
-    visitors = seen.select("u", "spot", F.lit(False).alias("held_here"), crowd.alias("crowd"), F.explode(F.sequence(lower, (blocks - 1).cast("int"))).alias("block"))
-    held = seen.where("home").select("u", "spot", F.lit(True).alias("held_here"), F.explode(F.sequence(lower, (crowds - 1).cast("int"))).alias("crowd"), block.alias("block"))
-    cast = visitors.union(held.select(*visitors.columns[:-2], "crowd", "block"))
-    work = join_on_keys(cast, ones.select("u", "id", "copies", "v"), ["u"])
+    with scratch_scope() as scope:
+        seen = settle(bounded_batches(ones.select("u", "v")).mapInArrow(visits, "u long, cell int, home boolean"), "visits")
+        seen = join_on_keys(seen, ones.select("u", "label", "n"), ["u"])
+        place = ["label", "n", "cell"]
+        counts = seen.groupBy(*place).agg(F.count_if("home").alias("held"), F.count(F.lit(1)).alias("came"))
+        # Who is alone in a cell that nobody else visits meets only itself there.
+        counts = settle(counts.where("held > 0 AND came > 1").withColumn("spot", F.monotonically_increasing_id()), "cells")
+        seen = join_on_keys(seen, counts, place)
+        blocks, crowds = F.ceil(F.col("held") / BLOCK), F.ceil(F.col("came") / BLOCK)
+        block = F.pmod(F.xxhash64("u"), blocks).cast("int")
+        crowd = F.pmod(F.xxhash64(F.lit(1), "u"), crowds).cast("int")
+        lower = F.lit(0).cast("int")
+        visitors = seen.select("u", "spot", F.lit(False).alias("held_here"), crowd.alias("crowd"), F.explode(F.sequence(lower, (blocks - 1).cast("int"))).alias("block"))
+        held = seen.where("home").select("u", "spot", F.lit(True).alias("held_here"), F.explode(F.sequence(lower, (crowds - 1).cast("int"))).alias("crowd"), block.alias("block"))
+        cast = visitors.union(held.select(*visitors.columns[:-2], "crowd", "block"))
+        cast = scope.result(cast, "casts")
 
     group = ["spot", "block", "crowd"]
     kept = ["held_here", "u", "id", "copies", "v"]
@@ -275,8 +279,15 @@ def near_duplicates(
                 out["other"].append(q)
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out.values()], list(out))
 
-    work = bounded_batches(work.select(*group, *kept).repartition(*group).sortWithinPartitions(*group))
-    found = settle(work.mapInArrow(compare, "id long, links long, other long"), "vector-links")
+    # A vector is dealt to tens of blocks; in rounds of whole cells, only the copies of one round are on disk at a time.
+    rounds = -(-cast.count() // max(COPIES * ones.count(), ROUND))
+    found = []
+    for turn in range(max(rounds, 1)):
+        work = cast.where(F.pmod(F.xxhash64(F.lit(2), "spot"), F.lit(max(rounds, 1))) == turn)
+        work = join_on_keys(work, ones.select("u", "id", "copies", "v"), ["u"])
+        work = bounded_batches(work.select(*group, *kept).repartition(*group).sortWithinPartitions(*group))
+        found.append(settle(work.mapInArrow(compare, "id long, links long, other long"), "vector-links"))
+    found = reduce(DataFrame.union, found)
     direct = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links"))
     joined = components(found.where("other IS NOT NULL").select("id", "other"))
     reps = ones.select(*same, F.col("id").alias("rep"), "copies")

@@ -408,6 +408,20 @@ def test_links_found_from_one_side_count_for_both(spark):
     assert all((got[2 * p + 1].component_id == 2 * p) == (ends[p][0] == 1) for p in range(200))
 
 
+def test_vectors_are_dealt_to_blocks_in_rounds(spark, monkeypatch):
+    """Rounds bound the copies on disk; each block is in one of them, so the links are the same."""
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(30, 16)), 20, axis=0) + 0.03 * rng.normal(size=(600, 16))
+    df = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    whole = sorted(multi_index.near_duplicates(df).collect())
+    names, write = [], multi_index.settle
+    monkeypatch.setattr(multi_index, "settle", lambda df, name, **k: names.append(name) or write(df, name, **k))
+    monkeypatch.setattr(multi_index, "COPIES", 1)
+    monkeypatch.setattr(multi_index, "ROUND", 1)
+    assert sorted(multi_index.near_duplicates(df).collect()) == whole and any(r.n_links for r in whole)
+    assert names.count("vector-links") > 1
+
+
 def test_links_of_a_dense_block_need_little_memory():
     """Cells are told for each vector, not for each of the pairs it is in, and as if each pair stood alone."""
     rng = np.random.default_rng(6)
